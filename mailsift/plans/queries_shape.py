@@ -28,19 +28,24 @@ def _lr_sql(counts: str, n_draw: str, total: str, name: str) -> str:
                      FROM (SELECT g, CAST(n_c AS DOUBLE) / ({total}) * ({n_draw}) AS cont FROM {counts})))"""
 
 
-def _split_sql(hold: float, toh: str) -> str:
-    body = f"""
-SELECT row_id, y, CASE WHEN rk < n_train THEN 'train' WHEN rk < n_train + n_val THEN 'val' ELSE 'test' END AS split
-FROM ({_rank_sql('mail', 'y', SEED)}) r JOIN q ON r.y = q.g"""
-    tot = f"SELECT sum(n_c) AS n, CAST(ceil(CAST({hold} AS DOUBLE) * sum(n_c)) AS BIGINT) AS n_hold FROM cls"
+def split_ctes(hold: float, toh: str) -> list[tuple[str, str]]:
+    """CTEs computing the stratified split of ``mail``; the last one,
+    ``splits``, holds (row_id, y, split)."""
     cls = "SELECT y AS g, count(*) AS n_c FROM mail GROUP BY y"
+    tot = f"SELECT sum(n_c) AS n, CAST(ceil(CAST({hold} AS DOUBLE) * sum(n_c)) AS BIGINT) AS n_hold FROM cls"
     tr = _lr_sql("cls", "(SELECT n - n_hold FROM tot)", "(SELECT n FROM tot)", "n_train")
     hold_cls = "SELECT c.g, c.n_c - t.n_train AS n_c FROM cls c JOIN tr t ON c.g = t.g"
     n_test = f"CAST(ceil(CAST({toh} AS DOUBLE) * n_hold) AS BIGINT)"
     va = _lr_sql("hold_cls", f"(SELECT n_hold - {n_test} FROM tot)", "(SELECT n_hold FROM tot)", "n_val")
     q = "SELECT tr.g, n_train, n_val FROM tr JOIN va ON tr.g = va.g"
-    return tb.with_views(body, "mail", extra=[("cls", cls), ("tot", tot), ("tr", tr), ("hold_cls", hold_cls),
-                                               ("va", va), ("q", q)])
+    splits = f"""
+SELECT row_id, y, CASE WHEN rk < n_train THEN 'train' WHEN rk < n_train + n_val THEN 'val' ELSE 'test' END AS split
+FROM ({_rank_sql('mail', 'y', SEED)}) r JOIN q ON r.y = q.g"""
+    return [("cls", cls), ("tot", tot), ("tr", tr), ("hold_cls", hold_cls), ("va", va), ("q", q), ("splits", splits)]
+
+
+def _split_sql(hold: float, toh: str) -> str:
+    return tb.with_views("SELECT row_id, y, split FROM splits", "mail", extra=split_ctes(hold, toh))
 
 
 @register("src4_union_by_name", tb.with_views(
