@@ -1 +1,89 @@
-"""Queries (filled in below)."""
+"""Model queries: MOD-1 ... MOD-4, MOD-6, EVL-1 (fit on train, score held-out rows).
+
+Model outputs depend on Spark ML's optimisers, so these queries have no SQL
+oracle; ``tests/test_models.py`` checks their invariants (held-out rows
+only, one prediction per row, accuracy above the majority-class floor).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from mailsift.functions import patterns as P
+from mailsift.functions import text as X
+from mailsift.operators import evaluate as E
+from mailsift.operators import labels as L
+from mailsift.operators import models as M
+from mailsift.operators import shape as S
+from mailsift.plans.queries_eval import scored_subject_mail
+from mailsift.plans.queries_shape import SEED
+from mailsift.plans.registry import register
+from mailsift.sources import tables as tb
+
+
+def _split(spark, d):
+    sp = S.stratified_split(tb.mail(spark, d), "y", "row_id", 0.2, 0.5, SEED)
+    sp = sp.withColumn("label", F.col("y").cast("double"))
+    return sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test")
+
+
+def _out(pred):
+    return pred.select("row_id", "y", "y_pred", F.round("conf", 6).alias("conf"))
+
+
+def fit_logreg(spark, d):
+    train, test = _split(spark, d)
+    model = M.logistic_regression_bow("body", "label", n_train=train.count()).fit(train)
+    return model, test
+
+
+@register("mod1_logreg_bow")
+def mod1_logreg_bow(spark, d):
+    model, test = fit_logreg(spark, d)
+    return _out(M.score(model, test))
+
+
+@register("mod2_decision_tree_bow")
+def mod2_decision_tree_bow(spark, d):
+    train, test = _split(spark, d)
+    model = M.decision_tree_bow("body", "label", seed=SEED).fit(train)
+    return _out(M.score(model, test))
+
+
+@register("mod3_embedding_mlp")
+def mod3_embedding_mlp(spark, d):
+    train, test = _split(spark, d)
+    toks = X.clean_tokens("body", passes=2)
+    train, test = train.withColumn("tokens", toks), test.withColumn("tokens", toks)
+    model = M.embedding_mlp("tokens", "label", n_classes=2, max_iter=50, seed=SEED).fit(train)
+    return _out(M.score(model, test))
+
+
+@register("mod4_weighted_frozen_vectors")
+def mod4_weighted_frozen_vectors(spark, d):
+    emb = tb.load(spark, d, "embeddings")
+    sp = S.stratified_split(emb.withColumnRenamed("vec_id", "row_id"), "label", "row_id", 0.2, 0.5, SEED)
+    sp = M.with_vector(sp, "embedding").withColumn("y", F.col("label"))
+    train = sp.filter(F.col("split") == "train")
+    weights = L.class_weights(train, "label").select("label", "weight")
+    train = train.join(F.broadcast(weights), "label").withColumn("label", F.col("label").cast("double"))
+    model = M.weighted_logistic_regression("features", "label", "weight").fit(train)
+    test = sp.filter(F.col("split") == "test")
+    pred = model.transform(test).withColumn("conf", F.array_max(M.vector_to_array(F.col("probability"))))
+    return _out(pred.withColumn("y_pred", F.col("prediction").cast("int")))
+
+
+@register("mod6_holdout_report")
+def mod6_holdout_report(spark, d):
+    model, test = fit_logreg(spark, d)
+    return E.classification_report(M.score(model, test), [0, 1], P.DEFAULT_ID2LABEL, "y", "y_pred")
+
+
+@register("evl1_batch_scoring")
+def evl1_batch_scoring(spark, d):
+    """The scoring endpoint's flow with a real model: mail_subject rows with
+    a valid label, scored by the MOD-1 model trained on mail."""
+    model, _ = fit_logreg(spark, d)
+    _, valid = scored_subject_mail(spark, d)
+    valid = valid.drop("score", "y_pred", "conf").withColumnRenamed("text", "body")
+    return M.score(model, valid).select("conv_id", "turn", "y_true", "y_pred", F.round("conf", 6).alias("conf"))
