@@ -1 +1,79 @@
-"""Queries (filled in below)."""
+"""Source and sink queries (SRC-1/2/3/7/8, SNK-1/2).
+
+The driver ships Parquet only, so each query first writes data Spark derives
+from the driver tables as CSV / JSON into the session's shared checkpoint
+folder (never a machine-local path on a cluster), then reads it back with
+the source under test.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from mailsift.operators import features as FE
+from mailsift.operators import labels as L
+from mailsift.plans.queries_features import _VOCAB, _split_mail
+from mailsift.plans.queries_labels import _MAP_SQL, _UNION_LABELS, _union_label_map
+from mailsift.plans.registry import register
+from mailsift.functions import text as X
+from mailsift.session import shared_scratch
+from mailsift.sources import csv as C
+from mailsift.sources import json as J
+from mailsift.sources import sinks as K
+from mailsift.sources import tables as tb
+from mailsift.plans.queries_features import _SPLIT
+
+
+def _scratch(spark, name: str) -> str:
+    return shared_scratch(spark, f"queries/{name}-{uuid.uuid4().hex}")
+
+
+@register("src1_read_latin1_csv", tb.with_views(
+    "SELECT body, label FROM mail_raw_label WHERE body IS NOT NULL AND label IS NOT NULL", "mail_raw_label"))
+def src1_read_latin1_csv(spark, d):
+    path = _scratch(spark, "src1")
+    C.write_csv(tb.mail_raw_label(spark, d).select("body", "label", "y"), path, C.LATIN1)
+    return C.read_mail_csv(spark, path).select("body", "label")
+
+
+@register("src2_read_text_csv", tb.with_views("SELECT body AS text, label FROM mail_subject", "mail_subject"))
+def src2_read_text_csv(spark, d):
+    path = _scratch(spark, "src2")
+    C.write_csv(tb.mail_subject(spark, d).select(F.col("body").alias("text"), "label"), path, C.UTF8)
+    return C.read_text_csv(spark, path).select("text", "label")
+
+
+@register("src3_read_eval_csv", tb.with_views("SELECT subject, body, label FROM mail_subject", "mail_subject"))
+def src3_read_eval_csv(spark, d):
+    path = _scratch(spark, "src3")
+    C.write_csv(tb.mail_subject(spark, d).select("subject", "body", "label"), path, C.UTF8)
+    return C.read_eval_csv(spark, path).select("subject", "body", "label")
+
+
+@register("src7_list_csv_files")
+def src7_list_csv_files(spark, d):
+    path = _scratch(spark, "src7")
+    C.write_csv(tb.mail(spark, d).select("body", "y"), path, C.UTF8)
+    return C.list_csv_files(spark, path)
+
+
+@register("src8_label_map_roundtrip", tb.with_views(_MAP_SQL, "mail_raw_label", "mail_subject",
+                                                    extra=[_UNION_LABELS]))
+def src8_label_map_roundtrip(spark, d):
+    """SNK-2 writes the label map as a JSON object, SRC-8 reads it back."""
+    path = _scratch(spark, "src8")
+    K.save_label_map(_union_label_map(spark, d)[1], path)
+    return J.read_label_map(spark, path)
+
+
+@register("snk1_vocab_roundtrip", tb.with_views("SELECT token, id FROM vocab", "mail",
+                                                extra=_SPLIT + [("vocab", _VOCAB)]))
+def snk1_vocab_roundtrip(spark, d):
+    """SNK-1 writes Parquet + a {token: id} JSON document; read the JSON back."""
+    path = _scratch(spark, "snk1")
+    train = _split_mail(spark, d).filter(F.col("split") == "train").withColumn("tokens", X.simple_tokens("body"))
+    K.save_vocab(FE.build_vocab(train, "tokens"), path)
+    text = spark.read.text(f"{path}/vocab.json", wholetext=True)
+    return text.select(F.explode(F.from_json("value", "map<string,long>")).alias("token", "id"))
