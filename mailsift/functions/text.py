@@ -178,17 +178,19 @@ def _one_pass(c: Column, *, remove_stopwords: bool, stem: bool, drop_long_tokens
 
 
 def clean_text(col, *, remove_stopwords: bool = False, stem: bool = False,
-               drop_long_tokens: int = P.DROP_LONG_TOKENS, passes: int = 1) -> Column:
+               drop_long_tokens: int = P.DROP_LONG_TOKENS, passes: int = 1, normalize: bool = True) -> Column:
     """Clean a string column (input already coerced, see ``coerce_text``).
 
     ``passes=2`` reproduces the tokenizer that cleans an already cleaned body
     again with default options (CLN-16). The second pass needs no Arrow step:
     a cleaned value holds only word characters and single spaces, for which
-    NFKC, the printable filter and entity decoding are the identity.
+    NFKC, the printable filter and entity decoding are the identity. For the
+    same reason ``normalize=False`` skips that step for input that is
+    already cleaner output.
     """
     c = F.coalesce(_c(col), F.lit(""))
     c = _one_pass(c, remove_stopwords=remove_stopwords, stem=stem,
-                  drop_long_tokens=drop_long_tokens, unicode_step=True)
+                  drop_long_tokens=drop_long_tokens, unicode_step=normalize)
     for _ in range(passes - 1):
         c = _one_pass(c, remove_stopwords=False, stem=False,
                       drop_long_tokens=P.DROP_LONG_TOKENS, unicode_step=False)
