@@ -141,7 +141,7 @@ def _cells():
 
 @register("evl9_evaluation_report", tb.with_views(
     "SELECT (SELECT count(*) FROM mail_subject) AS n_rows, count(*) AS n_used_for_eval, "
-    "round(avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END), 4) AS accuracy, "
+    "round_even(avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END), 4) AS accuracy, "
     + ", ".join(f"count(CASE WHEN y_true = {a} AND y_pred = {b} THEN 1 END) AS cm_{a}{b}" for a, b in _cells())
     + " FROM v", "mail_subject", extra=[_VALID_SQL]))
 def evl9_evaluation_report(spark, d):
@@ -157,8 +157,8 @@ def evl9_evaluation_report(spark, d):
 
 
 @register("evl9_per_class_report", tb.with_views(
-    "SELECT class_id, class_name, round(precision, 4) AS precision, round(recall, 4) AS recall, "
-    "round(f1, 4) AS f1, support FROM pc", "mail_subject", extra=[
+    "SELECT class_id, class_name, round_even(precision, 4) AS precision, round_even(recall, 4) AS recall, "
+    "round_even(f1, 4) AS f1, support FROM pc", "mail_subject", extra=[
         _VALID_SQL, _LAB_SQL, ("c", "SELECT y_true, y_pred, count(*) AS n FROM v GROUP BY y_true, y_pred"), _PC_SQL]))
 def evl9_per_class_report(spark, d):
     m, v = scored_subject_mail(spark, d)
@@ -170,7 +170,7 @@ def evl9_per_class_report(spark, d):
 @register("evl10_misclassified_examples", tb.with_views("""
 SELECT index_in_valid, CASE y_true WHEN 0 THEN 'legitimate' WHEN 1 THEN 'phishing' END AS "true",
        CASE y_pred WHEN 0 THEN 'legitimate' WHEN 1 THEN 'phishing' END AS pred,
-       round(conf, 4) AS confidence, substring(text, 1, 300) AS preview
+       round_even(conf, 4) AS confidence, substring(text, 1, 300) AS preview
 FROM (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS index_in_valid FROM v)
 WHERE y_true <> y_pred ORDER BY index_in_valid LIMIT 10""", "mail_subject", extra=[_VALID_SQL]))
 def evl10_misclassified_examples(spark, d):
