@@ -57,7 +57,10 @@ REPLY_SPLITTERS = [
 REPLY_SPLITTER = "(?iumd)(?:" + "|".join(REPLY_SPLITTERS) + ")"
 OUTER_WS = r"\A" + WS + "+|" + WS + r"+\z"
 # CLN-6a..e: masks, applied in this order.
-URL = "(?iud)" + B + "((?:https?://|www\\.)" + NWS + "+)" + B
+# A URL starts with "h" or "w" (word characters): the leading boundary is
+# "no word character before".
+URL = "(?iud)(?<!" + W + ")((?:https?://|www\\.)" + NWS + "+)" + B
+URL_HINT = r"(?i)://|www\."
 EMAIL = B + "[" + W_CLASS + ".+-]+@[" + W_CLASS + "-]+(?:\\.[" + W_CLASS + "-]+)+" + B
 MONEY = (
     "(?iud)(?:(?<=" + WS + ")|^)"
@@ -65,13 +68,18 @@ MONEY = (
     + r"|\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)?" + WS + "?(?:usd|aud|eur|gbp))"
     + "(?=" + WS + "|$)"
 )
+# A phone match starts with "+", "(" or a digit; the look-ahead rejects other
+# positions before the (costlier) boundary test.
 PHONE = (
-    "(?d)" + B
+    "(?d)(?=[+(\\p{Nd}])" + B
     + r"(?:\+?\p{Nd}{1,3}(?:" + WS + "|-)?)?"
     + r"(?:\(?\p{Nd}{2,4}\)?(?:" + WS + "|-)?){2,4}"
     + r"\p{Nd}{2,4}" + B
 )
-NUMBER = B + r"\p{Nd}+(?:[.,]\p{Nd}+)?" + B
+# A number starts and ends with a digit (a word character), so its boundaries
+# are "no word character before" / "no word character after".
+NUMBER = "(?<!" + W + r")\p{Nd}+(?:[.,]\p{Nd}+)?(?!" + W + ")"
+EMAIL_HINT = "@"
 MASKS = [
     (URL, " <url> "),
     (EMAIL, " <email> "),

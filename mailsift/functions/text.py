@@ -68,19 +68,35 @@ def strip_outer_ws(col) -> Column:
     return F.regexp_replace(_c(col), P.OUTER_WS, "")
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a one-element
+    ``transform``). Referring to a column several times inside a CASE would
+    otherwise re-evaluate the whole expression chain feeding it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def cut_reply(col) -> Column:
-    """CLN-5: keep the text before the first reply/forward marker, stripped."""
-    c = _c(col)
-    parts = F.split(c, P.REPLY_SPLITTER, 2)
-    return F.when(F.size(parts) == 2, strip_outer_ws(parts.getItem(0))).otherwise(c)
+    """CLN-5: keep the text before the first reply/forward marker, stripped.
+    Without a marker ``split`` returns the whole text as its only part."""
+    return _let(F.split(_c(col), P.REPLY_SPLITTER, 2),
+                lambda parts: F.when(F.size(parts) == 2, strip_outer_ws(parts[0])).otherwise(parts[0]))
+
+
+def _guarded(col, hint_regex: str | None, literal: str | None, pattern: str, repl: str) -> Column:
+    """``regexp_replace`` run only on values that can match (a cheap
+    necessary condition first); the value is bound once."""
+    def body(v):
+        cond = v.contains(literal) if literal else v.rlike(hint_regex)
+        return F.when(cond, F.regexp_replace(v, pattern, repl)).otherwise(v)
+    return _let(_c(col), body)
 
 
 def mask_url(col) -> Column:
-    return F.regexp_replace(_c(col), P.URL, " <url> ")
+    return _guarded(col, P.URL_HINT, None, P.URL, " <url> ")
 
 
 def mask_email(col) -> Column:
-    return F.regexp_replace(_c(col), P.EMAIL, " <email> ")
+    return _guarded(col, None, P.EMAIL_HINT, P.EMAIL, " <email> ")
 
 
 def mask_money(col) -> Column:
@@ -97,10 +113,7 @@ def mask_number(col) -> Column:
 
 def mask_all(col) -> Column:
     """CLN-6a..e in order: url, email, money, phone, number."""
-    c = _c(col)
-    for pattern, placeholder in P.MASKS:
-        c = F.regexp_replace(c, pattern, placeholder)
-    return c
+    return mask_number(mask_phone(mask_money(mask_email(mask_url(col)))))
 
 
 def cap_repeats(col) -> Column:
@@ -160,12 +173,14 @@ def simple_tokens(col) -> Column:
 # CLN-13 / CLN-16: the whole cleaner
 # --------------------------------------------------------------------------
 def _one_pass(c: Column, *, remove_stopwords: bool, stem: bool, drop_long_tokens: int,
-              unicode_step: bool) -> Column:
+              unicode_step: bool, markup_steps: bool = True) -> Column:
     if unicode_step:
         c = normalize_unicode_html(c)
-    c = strip_tags(replace_br(c))
+    if markup_steps:
+        c = strip_tags(replace_br(c))
     c = deobfuscate(c)
-    c = cut_reply(c)
+    if markup_steps:
+        c = cut_reply(c)
     c = mask_all(c)
     c = cap_repeats(c)
     toks = word_tokens(c)
@@ -182,18 +197,19 @@ def clean_text(col, *, remove_stopwords: bool = False, stem: bool = False,
     """Clean a string column (input already coerced, see ``coerce_text``).
 
     ``passes=2`` reproduces the tokenizer that cleans an already cleaned body
-    again with default options (CLN-16). The second pass needs no Arrow step:
-    a cleaned value holds only word characters and single spaces, for which
-    NFKC, the printable filter and entity decoding are the identity. For the
-    same reason ``normalize=False`` skips that step for input that is
-    already cleaner output.
+    again with default options (CLN-16). A cleaned value holds only word
+    characters and single spaces, so in later passes NFKC, the printable
+    filter and entity decoding are the identity (no Arrow step), and so are
+    the tag, ``<br>`` and reply-marker steps (each needs one of ``< > : -``).
+    For the same reason ``normalize=False`` skips the Arrow step for input
+    that is already cleaner output.
     """
     c = F.coalesce(_c(col), F.lit(""))
     c = _one_pass(c, remove_stopwords=remove_stopwords, stem=stem,
                   drop_long_tokens=drop_long_tokens, unicode_step=normalize)
     for _ in range(passes - 1):
         c = _one_pass(c, remove_stopwords=False, stem=False,
-                      drop_long_tokens=P.DROP_LONG_TOKENS, unicode_step=False)
+                      drop_long_tokens=P.DROP_LONG_TOKENS, unicode_step=False, markup_steps=False)
     return c
 
 

@@ -16,8 +16,25 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+# Text tables and their keys. Per-row work on text (regexes, the Arrow step)
+# is heavy, and a small file is a single row group, i.e. a single task. Such
+# a table is hash-spread by its key over twice the cluster's cores; a large
+# input already has more partitions than that and is left as it is. Hashing
+# on the key (not round-robin) keeps a recomputed partition identical.
+SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "benchmark": "item_id"}
+
+
+def spread(df: DataFrame, key: str, target: int | None = None) -> DataFrame:
+    target = target or 2 * df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target, key)
+    return df
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    key = SPREAD_KEYS.get(name)
+    return spread(df, key) if key else df
 
 
 # --------------------------------------------------------------------------

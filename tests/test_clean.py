@@ -61,6 +61,14 @@ def test_random_tricky_strings_match_brute_force(spark, opts):
     assert not bad, bad[:5]
 
 
+def test_two_passes_match_brute_force(spark):
+    values = _tricky(300, seed=3) + [r.text for r in tb.load(spark, SF001, "documents").collect()]
+    got = _run(spark, values, passes=2)
+    exp = [BF.clean(BF.clean(v)) for v in values]
+    bad = [(v, g, e) for v, g, e in zip(values, got, exp) if g != e]
+    assert not bad, bad[:3]
+
+
 def test_documents_and_pages_match_brute_force(spark):
     docs = tb.load(spark, SF001, "documents").select("doc_id", "text").collect()
     pages = tb.load(spark, SF001, "pages").select("page_id", "html").collect()
