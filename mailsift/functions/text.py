@@ -152,6 +152,15 @@ def stem_tokens(tokens) -> Column:
     return F.transform(_c(tokens), stem_token)
 
 
+def explode_values(values) -> Column:
+    """``explode`` for a computed array. Plain ``explode`` makes Catalyst infer
+    a ``size(array) > 0`` filter on its input and push it towards the scan,
+    which evaluates the whole array expression (e.g. the cleaner) twice.
+    ``explode_outer`` infers nothing; callers drop its null row with
+    ``.filter(col.isNotNull())``."""
+    return F.explode_outer(_c(values))
+
+
 def join_tokens(tokens) -> Column:
     """CLN-12."""
     return F.array_join(_c(tokens), " ")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailsift.functions import patterns as P
+from mailsift.functions import text as X
 from mailsift.operators.profile import token_frequency
 
 PAD, UNK = "<pad>", "<unk>"
@@ -80,8 +81,10 @@ def bag_of_words(train: DataFrame, test: DataFrame, key: str, text: str,
     """FEA-4: (row, term, count) triples of ``test`` over the vocabulary fitted
     on ``train`` only. The fitted vocabulary is as large as the corpus allows,
     so it is joined by shuffle (left semi), not broadcast."""
-    vocab = train.select(F.explode(bow_tokens(text, stopwords)).alias("term")).distinct()
-    terms = test.select(key, F.explode(bow_tokens(text, stopwords)).alias("term"))
+    vocab = (train.select(X.explode_values(bow_tokens(text, stopwords)).alias("term"))
+             .filter(F.col("term").isNotNull()).distinct())
+    terms = (test.select(key, X.explode_values(bow_tokens(text, stopwords)).alias("term"))
+             .filter(F.col("term").isNotNull()))
     counts = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("count"))
     return counts.join(vocab, "term", "left_semi")
 

@@ -55,10 +55,10 @@ def box_stats(df: DataFrame, value: str, by: str, approx: bool = False, accuracy
 
 
 def _words(df: DataFrame, text: str, label: str | None, stopwords: Sequence[str]) -> DataFrame:
-    cols = [F.explode(X.alpha_words(F.lower(F.col(text)))).alias("word")]
+    cols = [X.explode_values(X.alpha_words(F.lower(F.col(text)))).alias("word")]
     if label:
         cols.insert(0, F.col(label))
-    words = df.select(*cols)
+    words = df.select(*cols).filter(F.col("word").isNotNull())
     return words.filter(~F.col("word").isin(*stopwords)) if stopwords else words
 
 
@@ -102,7 +102,8 @@ def class_unique_words(df: DataFrame, label: str = "y", positive=1, text: str =
 def token_frequency(df: DataFrame, tokens: Column | str) -> DataFrame:
     """AGG-7: token -> frequency over a token-array column."""
     t = F.col(tokens) if isinstance(tokens, str) else tokens
-    return df.select(F.explode(t).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
+    toks = df.select(X.explode_values(t).alias("token")).filter(F.col("token").isNotNull())
+    return toks.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
 
 
 def null_shape(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:

@@ -123,7 +123,8 @@ def shp6_split_test_then_val(spark, d):
                  f"'{X.P.WS}+')) AS w FROM mail) WHERE regexp_matches(w, '^\\p{{L}}+$') AND w NOT IN {STOP_SQL}")]))
 def shp7_words_only_in_phishing(spark, d):
     m = tb.mail(spark, d)
-    words = m.select("y", F.explode(X.alpha_words(F.lower("body"))).alias("word"))
+    words = m.select("y", X.explode_values(X.alpha_words(F.lower("body"))).alias("word"))
+    words = words.filter(F.col("word").isNotNull())
     words = words.filter(~F.col("word").isin(*X.P.english_stopwords()))
     return S.words_only_in(words, "y", 1)
 
@@ -138,8 +139,10 @@ LEFT JOIN (SELECT token, count(*) AS freq FROM (
            WHERE token <> '' GROUP BY token) f ON t.token = f.token
 GROUP BY t.row_id""", "mail"))
 def shp8_lookup_with_default(spark, d):
-    m = tb.mail(spark, d).select("row_id", F.explode(X.simple_tokens("body")).alias("token"))
-    bench = tb.load(spark, d, "benchmark").select(F.explode(X.simple_tokens("text")).alias("token"))
+    m = tb.mail(spark, d).select("row_id", X.explode_values(X.simple_tokens("body")).alias("token"))
+    m = m.filter(F.col("token").isNotNull())
+    bench = tb.load(spark, d, "benchmark").select(X.explode_values(X.simple_tokens("text")).alias("token"))
+    bench = bench.filter(F.col("token").isNotNull())
     dim = bench.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
     j = S.lookup_with_default(m, "token", dim, "token", "freq", 0)
     return j.groupBy("row_id").agg(F.count(F.lit(1)).alias("n_tokens"),
