@@ -2,11 +2,11 @@
 set differences, seeded shuffle (SHP-1 ... SHP-13).
 
 Seeded selection never ranks a whole class in one task. Rows are ordered by
-``md5(seed|key)``; the first hex digits of that hash give a bucket, so a class
-spreads over up to ``16**digits`` buckets. Per-(class, bucket) counts and their
-running sums form a small table; a bucket that lies entirely before or after
-every cut point is decided without ranking, and only the few buckets that
-straddle a cut are ranked row by row (SURVEY H3).
+``md5(seed|key)``; hex digits of that hash give buckets, so a class spreads
+over many buckets. Per-(class, bucket) counts and their running sums decide
+every bucket that lies entirely inside one segment; buckets that straddle a
+cut point are refined on the next digits, and only the handful of rows left
+in straddling sub-buckets are ranked row by row (SURVEY H3).
 """
 
 from __future__ import annotations
@@ -48,13 +48,19 @@ def seed_hash(seed: int, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
 
 
-def _digits_for(n_groups: int) -> int:
+def _digits_for(n_tables: int) -> int:
+    """Hex digits per bucket level so a level's table stays under
+    ``MAX_BUCKET_ROWS`` rows (``n_tables`` buckets are refined at once)."""
     d = 4
-    while d > 0 and n_groups * 16 ** d > MAX_BUCKET_ROWS:
+    while d > 0 and n_tables * 16 ** d > MAX_BUCKET_ROWS:
         d -= 1
     return d
 
 
+def _n_cuts_at_or_below(cuts: Column, x: Column) -> Column:
+    return F.size(F.filter(cuts, lambda c: c <= x))
+
+
 def seeded_segments(df: DataFrame, by: str | None, key: str, seed: int,
                     cuts: Mapping[object, Sequence[int]], segment: str = "_segment") -> DataFrame:
     """Assign each row a segment number from its exact seeded rank.
@@ -62,33 +68,59 @@ def seeded_segments(df: DataFrame, by: str | None, key: str, seed: int,
     Rows of group ``g`` are ranked 0, 1, ... by ``(md5(seed|key), key)``; a row
     with rank ``r`` gets segment ``#{c in cuts[g] : c <= r}``. Rows of groups
     without cuts get segment 0. ``key`` must be unique.
+
+    Three small tables decide every row, each computed from key columns only:
+    level-1 buckets (first hash digits) with running counts per group; for
+    the few level-1 buckets that straddle a cut, level-2 buckets (next
+    digits); for the few level-2 buckets that still straddle a cut, the exact
+    rank of their rows. The data itself is then read once and joined with the
+    three broadcast tables: no shuffle of the rows, no per-group window.
     """
     spark = df.sparkSession
     gcol = F.col(by) if by else F.lit(0)
-    digits = _digits_for(max(1, len(cuts)))
+    n_groups = max(1, len(cuts))
+    n_cut_buckets = max(1, sum(len(v) for v in cuts.values()))
+    d1 = _digits_for(n_groups)
+    d2 = _digits_for(n_cut_buckets)
     h = seed_hash(seed, key)
-    keyed = df.withColumn("_g", gcol).withColumn("_h", h).withColumn("_b", F.substring("_h", 1, digits))
-    counts = keyed.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    cut_rows = [(k, [int(c) for c in v]) for k, v in cuts.items()]
+    keyed = (df.withColumn("_g", gcol).withColumn("_h", h)
+               .withColumn("_b1", F.substring("_h", 1, d1)).withColumn("_b2", F.substring("_h", d1 + 1, d2)))
+    keys = keyed.select("_g", "_h", "_b1", "_b2", key)
     gtype = df.schema[by].dataType.simpleString() if by else "int"
-    cut_df = spark.createDataFrame(cut_rows, f"_g {gtype}, _cuts array<bigint>")
-    w = Window.partitionBy("_g").orderBy("_b")
-    counts = (counts.join(F.broadcast(cut_df), "_g", "left")
-                    .withColumn("_cuts", F.coalesce("_cuts", F.array().cast("array<bigint>")))
-                    .withColumn("_start", F.sum("_cnt").over(w) - F.col("_cnt")))
-    seg_lo = F.size(F.filter("_cuts", lambda c: c <= F.col("_start")))
-    seg_hi = F.size(F.filter("_cuts", lambda c: c <= F.col("_start") + F.col("_cnt") - 1))
-    table = counts.select("_g", "_b", "_start", "_cuts", seg_lo.alias("_seg_lo"), (seg_lo != seg_hi).alias("_split"))
-    # The table has at most (#groups x 16**digits) rows (see _digits_for).
-    joined = keyed.join(F.broadcast(table), ["_g", "_b"])
-    easy = joined.filter(~F.col("_split")).withColumn(segment, F.col("_seg_lo"))
-    wr = Window.partitionBy("_g", "_b").orderBy("_h", key)
-    hard = (joined.filter(F.col("_split"))
-                  .withColumn("_rank", F.col("_start") + F.row_number().over(wr) - 1)
-                  .withColumn(segment, F.size(F.filter("_cuts", lambda c: c <= F.col("_rank"))))
-                  .drop("_rank"))
-    out = easy.unionByName(hard)
-    return out.drop("_g", "_h", "_b", "_start", "_cuts", "_seg_lo", "_split")
+    cut_df = F.broadcast(spark.createDataFrame([(k, [int(c) for c in v]) for k, v in cuts.items()],
+                                               f"_g {gtype}, _cuts array<bigint>"))
+    no_cuts = F.array().cast("array<bigint>")
+
+    # Level 1: at most n_groups * 16**d1 rows.
+    c1 = keys.groupBy("_g", "_b1").agg(F.count(F.lit(1)).alias("_cnt"))
+    c1 = (c1.join(cut_df, "_g", "left").withColumn("_cuts", F.coalesce("_cuts", no_cuts))
+            .withColumn("_s1", F.sum("_cnt").over(Window.partitionBy("_g").orderBy("_b1")) - F.col("_cnt")))
+    lo1 = _n_cuts_at_or_below(F.col("_cuts"), F.col("_s1"))
+    hi1 = _n_cuts_at_or_below(F.col("_cuts"), F.col("_s1") + F.col("_cnt") - 1)
+    t1 = c1.select("_g", "_b1", "_s1", "_cuts", lo1.alias("_seg1"), (lo1 != hi1).alias("_x1"))
+
+    # Level 2: only level-1 buckets that straddle a cut (at most one per cut).
+    x1 = F.broadcast(t1.filter("_x1").select("_g", "_b1", "_s1", "_cuts"))
+    c2 = keys.join(x1, ["_g", "_b1"]).groupBy("_g", "_b1", "_b2", "_s1", "_cuts").agg(
+        F.count(F.lit(1)).alias("_cnt"))
+    w2 = Window.partitionBy("_g", "_b1").orderBy("_b2")
+    c2 = c2.withColumn("_s2", F.col("_s1") + F.sum("_cnt").over(w2) - F.col("_cnt"))
+    lo2 = _n_cuts_at_or_below(F.col("_cuts"), F.col("_s2"))
+    hi2 = _n_cuts_at_or_below(F.col("_cuts"), F.col("_s2") + F.col("_cnt") - 1)
+    t2 = c2.select("_g", "_b1", "_b2", "_s2", "_cuts", lo2.alias("_seg2"), (lo2 != hi2).alias("_x2"))
+
+    # Level 3: exact ranks of the rows of level-2 buckets that straddle a cut.
+    x2 = F.broadcast(t2.filter("_x2").select("_g", "_b1", "_b2", "_s2", "_cuts"))
+    w3 = Window.partitionBy("_g", "_b1", "_b2").orderBy("_h", key)
+    t3 = (keys.join(x2, ["_g", "_b1", "_b2"])
+              .withColumn("_r", F.col("_s2") + F.row_number().over(w3) - 1)
+              .select(F.col(key).alias("_k3"), _n_cuts_at_or_below(F.col("_cuts"), F.col("_r")).alias("_seg3")))
+
+    out = (keyed.join(F.broadcast(t1.select("_g", "_b1", "_seg1", "_x1")), ["_g", "_b1"])
+                .join(F.broadcast(t2.select("_g", "_b1", "_b2", "_seg2", "_x2")), ["_g", "_b1", "_b2"], "left")
+                .join(F.broadcast(t3), F.col(key) == F.col("_k3"), "left"))
+    seg = F.when(~F.col("_x1"), F.col("_seg1")).when(~F.col("_x2"), F.col("_seg2")).otherwise(F.col("_seg3"))
+    return out.withColumn(segment, seg).drop("_g", "_h", "_b1", "_b2", "_seg1", "_x1", "_seg2", "_x2", "_k3", "_seg3")
 
 
 def group_counts(df: DataFrame, by: str | None) -> dict:

@@ -60,6 +60,22 @@ def test_seeded_rank_matches_exact_window(spark):
     assert {r.row_id: r.seg for r in seg.collect()} == exp
 
 
+@pytest.mark.parametrize("budget", [64, 512])
+def test_seeded_rank_all_levels(spark, monkeypatch, budget):
+    """Few buckets per level, so rows are decided at levels 1, 2 and 3."""
+    from pyspark.sql import Window
+    monkeypatch.setattr(S, "MAX_BUCKET_ROWS", budget)
+    labels = [0 if i % 3 else 1 for i in range(3000)]
+    df = _frame(spark, labels, 8)
+    cuts = {0: [0, 333, 1000, 1999], 1: [1, 500, 999]}
+    seg = S.seeded_segments(df, "label", "row_id", 7, cuts, "seg")
+    w = Window.partitionBy("label").orderBy(S.seed_hash(7, "row_id"), "row_id")
+    exact = df.withColumn("rk", F.row_number().over(w) - 1)
+    exp = {r.row_id: sum(c <= r.rk for c in cuts[r.label]) for r in exact.collect()}
+    got = {r.row_id: r.seg for r in seg.collect()}
+    assert got == exp
+
+
 def test_balance_equal_counts(spark):
     df = S.balance_classes(_frame(spark, [0] * 30 + [1] * 7 + [2] * 5), "label", "row_id", (0, 1))
     counts = {r.label: r.n for r in df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
