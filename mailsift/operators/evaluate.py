@@ -101,6 +101,21 @@ def binary_scores(pc: DataFrame, positive: int = 1) -> DataFrame:
     return pc.filter(F.col("class_id") == positive).select("precision", "recall", "f1")
 
 
+def metric_rows(df: DataFrame, labels: Sequence[int], y: str = "y", yp: str = "y_pred",
+                average: str = "macro", positive: int = 1) -> DataFrame:
+    """UDF-3: the metric callback of a training loop as (metric, value) rows:
+    accuracy and macro- or binary-averaged precision / recall / F1."""
+    counts = pair_counts(df, y, yp)
+    pc = per_class(df, labels, None, y, yp, counts)
+    avg = macro_average(pc) if average == "macro" else binary_scores(pc, positive)
+    acc = counts.agg(_safe_div(F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0))
+                               .cast("double"), F.sum("n").cast("double")).alias("accuracy"))
+    return (acc.select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
+            .unionByName(avg.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
+                                                        for m in ("precision", "recall", "f1")])).alias("m"))
+                         .select("m.metric", "m.value")))
+
+
 def classification_report(df: DataFrame, labels: Sequence[int], names: Mapping[int, str] | None = None,
                           y: str = "y", yp: str = "y_pred") -> DataFrame:
     """EVL-8: per class, then accuracy, macro avg and support-weighted avg."""

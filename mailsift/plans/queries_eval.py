@@ -88,6 +88,16 @@ def evl6_macro_average(spark, d):
     return m.select(*[_r(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
 
 
+@register("evl6_metric_callback", tb.with_views(
+    "SELECT 'accuracy' AS metric, round(avg(CASE WHEN y = y_pred THEN 1.0 ELSE 0.0 END), 9) AS value FROM pred "
+    "UNION ALL SELECT 'precision', round(avg(precision), 9) FROM pc "
+    "UNION ALL SELECT 'recall', round(avg(recall), 9) FROM pc "
+    "UNION ALL SELECT 'f1', round(avg(f1), 9) FROM pc", "pred", extra=_PC))
+def evl6_metric_callback(spark, d):
+    m = E.metric_rows(tb.pred(spark, d), LABELS, "y", "y_pred", "macro")
+    return m.select("metric", _r(F.col("value")).alias("value"))
+
+
 @register("evl7_binary_scores", tb.with_views(
     "SELECT round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM pc "
     "WHERE class_id = 1", "pred", extra=_PC))

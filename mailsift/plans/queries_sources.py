@@ -77,3 +77,14 @@ def snk1_vocab_roundtrip(spark, d):
     K.save_vocab(FE.build_vocab(train, "tokens"), path)
     text = spark.read.text(f"{path}/vocab.json", wholetext=True)
     return text.select(F.explode(F.from_json("value", "map<string,long>")).alias("token", "id"))
+
+
+@register("src9_training_log_roundtrip", tb.with_views(
+    "SELECT step, epoch, loss, eval_loss, eval_accuracy FROM log", "log"))
+def src9_training_log_roundtrip(spark, d):
+    """The log table written as trainer-state documents (SNK), read back
+    with SRC-9."""
+    path = _scratch(spark, "src9")
+    K.save_training_log(tb.log(spark, d).select("step", "epoch", "loss", "eval_loss", "eval_accuracy"), path)
+    return J.read_training_log(spark, path, multi_line=False).select("step", "epoch", "loss", "eval_loss",
+                                                                     "eval_accuracy")

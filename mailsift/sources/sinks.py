@@ -62,3 +62,13 @@ def save_report(spark: SparkSession, report: dict, path: str) -> None:
 def read_document(spark: SparkSession, path: str) -> str:
     """Read back a single-document text sink."""
     return spark.read.text(path, wholetext=True).first()[0]
+
+
+def save_training_log(log: DataFrame, path: str, block: int = 500, order: str = "step") -> None:
+    """Write a log table as trainer-state documents, one per block of
+    ``block`` consecutive steps (a checkpoint's worth), one per line; each
+    document's ``log_history`` is bounded by the block size."""
+    fields = [order] + [c for c in log.columns if c != order]
+    docs = (log.groupBy(F.floor(F.col(order) / block).alias("_blk"))
+               .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("log_history")))
+    docs.select(F.to_json(F.struct("log_history")).alias("value")).write.mode("overwrite").text(path)
