@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailsift.operators.shape import union_tables
+from mailsift.sources.tables import spread
 
 # Spellings the original CSV reader turns into a missing value.
 NA_TOKENS = ["#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
@@ -57,7 +58,10 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], encoding: str = UTF
     row tagged with its source file and its position in that file."""
     df = _reader(spark, encoding).csv(path)
     df = na_to_null(df)
-    return df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row_ord", F.monotonically_increasing_id())
+    df = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row_ord", F.monotonically_increasing_id())
+    # A multi-line CSV file is one task; spread the rows before any heavy
+    # per-row work (the order column is fixed before the exchange).
+    return spread(df, "_row_ord")
 
 
 def read_mail_csv(spark: SparkSession, path: str, required: Sequence[str] = ("body", "label"),

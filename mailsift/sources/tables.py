@@ -25,10 +25,14 @@ SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv
 
 
 def spread(df: DataFrame, key: str, target: int | None = None) -> DataFrame:
-    target = target or 2 * df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target, key)
-    return df
+    """Hash-spread ``df`` by ``key`` when it has fewer partitions than
+    ``target`` (default: twice the cluster's cores); otherwise unchanged."""
+    try:
+        target = target or 2 * df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave as is
+        return df
+    return df.repartition(target, key) if n < target else df
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
