@@ -93,15 +93,22 @@ def seeded_segments(df: DataFrame, by: str | None, key: str, seed: int,
 
     # Level 1: at most n_groups * 16**d1 rows.
     c1 = keys.groupBy("_g", "_b1").agg(F.count(F.lit(1)).alias("_cnt"))
-    c1 = (c1.join(cut_df, "_g", "left").withColumn("_cuts", F.coalesce("_cuts", no_cuts))
-            .withColumn("_s1", F.sum("_cnt").over(Window.partitionBy("_g").orderBy("_b1")) - F.col("_cnt")))
+    if by:
+        c1 = c1.join(cut_df, "_g", "left").withColumn("_cuts", F.coalesce("_cuts", no_cuts))
+    else:
+        # No group column: one literal cut list (joining on a constant would
+        # plan a nested-loop join).
+        c1 = c1.withColumn("_cuts", F.array(*[F.lit(int(c)) for c in cuts.get(0, [])]).cast("array<bigint>"))
+    c1 = c1.withColumn("_s1", F.sum("_cnt").over(Window.partitionBy("_g").orderBy("_b1")) - F.col("_cnt"))
     lo1 = _n_cuts_at_or_below(F.col("_cuts"), F.col("_s1"))
     hi1 = _n_cuts_at_or_below(F.col("_cuts"), F.col("_s1") + F.col("_cnt") - 1)
     t1 = c1.select("_g", "_b1", "_s1", "_cuts", lo1.alias("_seg1"), (lo1 != hi1).alias("_x1"))
 
     # Level 2: only level-1 buckets that straddle a cut (at most one per cut).
-    x1 = F.broadcast(t1.filter("_x1").select("_g", "_b1", "_s1", "_cuts"))
-    c2 = keys.join(x1, ["_g", "_b1"]).groupBy("_g", "_b1", "_b2", "_s1", "_cuts").agg(
+    g1 = ["_g", "_b1"] if by else ["_b1"]
+    g2 = g1 + ["_b2"]
+    x1 = F.broadcast(t1.filter("_x1").select(*g1, "_s1", "_cuts"))
+    c2 = keys.join(x1, g1).groupBy("_g", "_b1", "_b2", "_s1", "_cuts").agg(
         F.count(F.lit(1)).alias("_cnt"))
     w2 = Window.partitionBy("_g", "_b1").orderBy("_b2")
     c2 = c2.withColumn("_s2", F.col("_s1") + F.sum("_cnt").over(w2) - F.col("_cnt"))
@@ -110,14 +117,14 @@ def seeded_segments(df: DataFrame, by: str | None, key: str, seed: int,
     t2 = c2.select("_g", "_b1", "_b2", "_s2", "_cuts", lo2.alias("_seg2"), (lo2 != hi2).alias("_x2"))
 
     # Level 3: exact ranks of the rows of level-2 buckets that straddle a cut.
-    x2 = F.broadcast(t2.filter("_x2").select("_g", "_b1", "_b2", "_s2", "_cuts"))
+    x2 = F.broadcast(t2.filter("_x2").select(*g2, "_s2", "_cuts"))
     w3 = Window.partitionBy("_g", "_b1", "_b2").orderBy("_h", key)
-    t3 = (keys.join(x2, ["_g", "_b1", "_b2"])
+    t3 = (keys.join(x2, g2)
               .withColumn("_r", F.col("_s2") + F.row_number().over(w3) - 1)
               .select(F.col(key).alias("_k3"), _n_cuts_at_or_below(F.col("_cuts"), F.col("_r")).alias("_seg3")))
 
-    out = (keyed.join(F.broadcast(t1.select("_g", "_b1", "_seg1", "_x1")), ["_g", "_b1"])
-                .join(F.broadcast(t2.select("_g", "_b1", "_b2", "_seg2", "_x2")), ["_g", "_b1", "_b2"], "left")
+    out = (keyed.join(F.broadcast(t1.select(*g1, "_seg1", "_x1")), g1)
+                .join(F.broadcast(t2.select(*g2, "_seg2", "_x2")), g2, "left")
                 .join(F.broadcast(t3), F.col(key) == F.col("_k3"), "left"))
     seg = F.when(~F.col("_x1"), F.col("_seg1")).when(~F.col("_x2"), F.col("_seg2")).otherwise(F.col("_seg3"))
     return out.withColumn(segment, seg).drop("_g", "_h", "_b1", "_b2", "_seg1", "_x1", "_seg2", "_x2", "_k3", "_seg3")
