@@ -80,6 +80,8 @@ PHONE = (
 # are "no word character before" / "no word character after".
 NUMBER = "(?<!" + W + r")\p{Nd}+(?:[.,]\p{Nd}+)?(?!" + W + ")"
 EMAIL_HINT = "@"
+MONEY_HINT = r"[\$£€]|(?i:usd|aud|eur|gbp)"
+HXXP_HINT = r"(?i)hxxp"
 MASKS = [
     (URL, " <url> "),
     (EMAIL, " <email> "),

@@ -40,14 +40,30 @@ def coerce_text(df: DataFrame, name: str) -> Column:
 # --------------------------------------------------------------------------
 # Individual cleaning steps
 # --------------------------------------------------------------------------
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a one-element
+    ``transform``). Referring to a column several times inside a CASE would
+    otherwise re-evaluate the whole expression chain feeding it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _guarded(col, hint_regex: str | None, literal: str | None, pattern: str, repl: str) -> Column:
+    """``regexp_replace`` run only on values that can match (a cheap
+    necessary condition first); the value is bound once."""
+    def body(v):
+        cond = v.contains(literal) if literal else v.rlike(hint_regex)
+        return F.when(cond, F.regexp_replace(v, pattern, repl)).otherwise(v)
+    return _let(_c(col), body)
+
+
 def replace_br(col) -> Column:
     """CLN-3b: ``<br>`` variants become a newline."""
-    return F.regexp_replace(_c(col), P.BR_TAG, "\n")
+    return _guarded(col, None, "<", P.BR_TAG, "\n")
 
 
 def strip_tags(col) -> Column:
     """CLN-3c: any ``<...>`` becomes a space."""
-    return F.regexp_replace(_c(col), P.ANY_TAG, " ")
+    return _guarded(col, None, "<", P.ANY_TAG, " ")
 
 
 def strip_html(col, decode: bool = False) -> Column:
@@ -58,7 +74,7 @@ def strip_html(col, decode: bool = False) -> Column:
 
 def deobfuscate(col) -> Column:
     """CLN-4: hxxp -> http; [.] (dot) ' dot ' -> '.'; [@] ' at ' -> '@'."""
-    c = F.regexp_replace(_c(col), P.HXXP, "http")
+    c = _guarded(col, P.HXXP_HINT, None, P.HXXP, "http")
     c = F.regexp_replace(c, P.DOT_OBFUSCATION, ".")
     return F.regexp_replace(c, P.AT_OBFUSCATION, "@")
 
@@ -68,13 +84,6 @@ def strip_outer_ws(col) -> Column:
     return F.regexp_replace(_c(col), P.OUTER_WS, "")
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and pass it to ``body`` (a one-element
-    ``transform``). Referring to a column several times inside a CASE would
-    otherwise re-evaluate the whole expression chain feeding it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def cut_reply(col) -> Column:
     """CLN-5: keep the text before the first reply/forward marker, stripped.
     Without a marker ``split`` returns the whole text as its only part."""
@@ -82,15 +91,6 @@ def cut_reply(col) -> Column:
                 lambda parts: F.when(F.size(parts) == 2, strip_outer_ws(parts[0])).otherwise(parts[0]))
 
 
-def _guarded(col, hint_regex: str | None, literal: str | None, pattern: str, repl: str) -> Column:
-    """``regexp_replace`` run only on values that can match (a cheap
-    necessary condition first); the value is bound once."""
-    def body(v):
-        cond = v.contains(literal) if literal else v.rlike(hint_regex)
-        return F.when(cond, F.regexp_replace(v, pattern, repl)).otherwise(v)
-    return _let(_c(col), body)
-
-
 def mask_url(col) -> Column:
     return _guarded(col, P.URL_HINT, None, P.URL, " <url> ")
 
@@ -100,7 +100,7 @@ def mask_email(col) -> Column:
 
 
 def mask_money(col) -> Column:
-    return F.regexp_replace(_c(col), P.MONEY, " <money> ")
+    return _guarded(col, P.MONEY_HINT, None, P.MONEY, " <money> ")
 
 
 def mask_phone(col) -> Column:
