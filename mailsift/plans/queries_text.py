@@ -87,6 +87,11 @@ def prj11_head(spark, d):
     return tb.mail(spark, d).select("row_id", "y").orderBy("row_id").limit(10)
 
 
+@register("prj11_tail", tb.with_views("SELECT row_id, y FROM mail ORDER BY row_id DESC LIMIT 5", "mail"))
+def prj11_tail(spark, d):
+    return tb.mail(spark, d).select("row_id", "y").orderBy(F.col("row_id").desc()).limit(5)
+
+
 # ---------------------------------------------------------------- cleaning
 @register("cln0_coerce_text", tb.with_views(
     "SELECT row_id, CASE WHEN label_num IS NULL OR label_num = 0 THEN '' ELSE CAST(label_num AS VARCHAR) END "
