@@ -38,6 +38,13 @@ def test_encode_pad_truncate_unk_and_decode(spark, corpus):
     assert dec == {1: "b a b <unk>", 2: "a b", 3: "", 4: "<unk> a b <unk>"}
 
 
+def test_encode_methods_agree(spark, corpus):
+    vocab = FE.build_vocab(corpus, "tokens", min_freq=1)
+    a = {r.row_id: r.ids for r in FE.encode_ids(corpus, "row_id", "tokens", vocab, 3, method="dict").collect()}
+    b = {r.row_id: r.ids for r in FE.encode_ids(corpus, "row_id", "tokens", vocab, 3, method="join").collect()}
+    assert a == b and len(a) == 4
+
+
 def test_bag_of_words_train_vocabulary_only(spark):
     train = spark.createDataFrame([(1, "Hello hello world"), (2, "the x word")], "row_id long, text string")
     test = spark.createDataFrame([(9, "hello unseen world world the")], "row_id long, text string")
