@@ -7,17 +7,24 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings every session of the engine relies on. Cluster deployments pass
-# their own values through spark-submit; ``getOrCreate`` keeps those and only
-# fills what is unset.
-_DEFAULTS = {
+# Runtime SQL settings the engine relies on. They are applied only where the
+# session has no value yet, so a cluster's own settings (spark-submit,
+# spark-defaults) always win.
+SQL_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Mails run to tens of thousands of words: a 10,000-record Arrow batch of
+    # long texts would put gigabytes into one Python worker.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.session.timeZone": "UTC",
+}
+# Settings that must be given when the JVM starts (only used when this module
+# creates the session itself).
+STATIC_DEFAULTS = {
     "spark.ui.enabled": "false",
-    # Python workers are reused across tasks so the Arrow UDF's compiled
+    # Python workers are reused across tasks so the Arrow step's compiled
     # tables are built once per worker, not per task.
     "spark.python.worker.reuse": "true",
 }
@@ -25,20 +32,26 @@ _DEFAULTS = {
 
 def get_spark(master: str | None = None, app: str = "mailsift", shuffle_partitions: int | None = None,
               extra: dict[str, str] | None = None) -> SparkSession:
-    """Return the active session, creating a local one for tests / bench."""
+    """Return the active session, creating one (local for tests / bench)."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    conf = dict(_DEFAULTS)
-    if shuffle_partitions:
-        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    static = dict(STATIC_DEFAULTS)
     if master and master.startswith("local"):
-        conf.setdefault("spark.driver.memory", "16g")
-    conf.update(extra or {})
-    for k, v in conf.items():
+        static.setdefault("spark.driver.memory", "16g")
+    static.update({k: v for k, v in (extra or {}).items() if not k.startswith("spark.sql.")})
+    for k, v in static.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    for k, v in SQL_DEFAULTS.items():
+        if spark.conf.get(k, None) is None:  # None: never set explicitly
+            spark.conf.set(k, v)
+    if shuffle_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for k, v in (extra or {}).items():
+        if k.startswith("spark.sql."):
+            spark.conf.set(k, v)
     ensure_checkpoint_dir(spark)
     return spark
 
