@@ -6,6 +6,8 @@
 * ``evaluate_csv`` (E2): an evaluation upload -> report, given a model.
 * ``train_classical`` (E3): several training CSVs -> dedup (first wins) ->
   balance -> bag-of-words model -> accuracy and report on a test CSV.
+* ``evaluate_saved_model``: a model saved by E1 on a new CSV -> labels by
+  their printed form -> rows with unseen labels counted and skipped -> report.
 
 Intermediate tables are handed off as Parquet in the session's shared
 checkpoint folder (cleaning runs once, lineage is cut, and a lost executor
@@ -14,6 +16,7 @@ only recomputes from the last written table).
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -29,6 +32,7 @@ from mailsift.operators import models as M
 from mailsift.operators import shape as S
 from mailsift.session import shared_scratch
 from mailsift.sources import csv as C
+from mailsift.sources import json as J
 from mailsift.sources import sinks as K
 
 
@@ -131,3 +135,21 @@ def train_classical(spark: SparkSession, train_paths: Sequence[str], test_path:
     acc = E.accuracy(scored, "y", "y_pred").first()[0]
     report = E.classification_report(scored, [0, 1], names, "y", "y_pred").collect()
     return {"accuracy": acc, "report": [r.asDict() for r in report], "n_train": bal.count()}
+
+
+def evaluate_saved_model(spark: SparkSession, model_dir: str, test_path: str) -> dict:
+    """SRC-1 -> LBL-2 -> PRJ-8 -> EVL-1 -> EVL-8 with the assets E1 saved
+    (model, label map, run metadata)."""
+    model = K.load_model(f"{model_dir}/model")
+    label_map = J.read_label_map(spark, f"{model_dir}/labels.json")
+    meta = json.loads(K.read_document(spark, f"{model_dir}/meta.json"))
+    df = C.read_mail_csv(spark, test_path)
+    df = df.withColumn("label", L.normalize_label_printed("label", L.label_kind(df, "label")))
+    n_unknown = L.unknown_label_count(df, label_map).first()[0]
+    df = L.encode_labels(L.keep_known_labels(df, label_map), label_map, "label", "label_id", strict=False)
+    df = clean_mail(df, "body", meta.get("remove_stopwords", False), meta.get("stem_tokens", False))
+    df = df.withColumn("tokens", X.clean_tokens("body", normalize=False))
+    scored = M.score(model, df.withColumn("label_id", F.col("label_id").cast("double")))
+    id2label = {int(r["label_id"]): r["label"] for r in label_map.collect()}
+    report = E.classification_report(scored, sorted(id2label), id2label, "label_id", "y_pred").collect()
+    return {"n_skipped_unknown_label": int(n_unknown), "report": [r.asDict() for r in report]}

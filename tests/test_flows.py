@@ -92,6 +92,14 @@ def test_e1_train_and_evaluate(spark, tmp_dir):
     assert "accuracy" in rows and "macro avg" in rows
     assert os.path.exists(os.path.join(tmp_dir, "out", "model"))
 
+    from mailsift.plans.flows import evaluate_saved_model
+
+    ev = evaluate_saved_model(spark, os.path.join(tmp_dir, "out"), te)
+    rows = {r["row"]: r for r in ev["report"]}
+    assert "accuracy" in rows and ev["n_skipped_unknown_label"] >= 0
+    n_known = sum(r["support"] for k, r in rows.items() if k not in ("accuracy", "macro avg", "weighted avg"))
+    assert n_known == rows["accuracy"]["support"]
+
 
 def test_driver_contract(spark):
     import __spark_entry__ as entry
