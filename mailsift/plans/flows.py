@@ -8,6 +8,11 @@
   balance -> bag-of-words model -> accuracy and report on a test CSV.
 * ``evaluate_saved_model``: a model saved by E1 on a new CSV -> labels by
   their printed form -> rows with unseen labels counted and skipped -> report.
+* ``explore``: the notebook's data exploration -> shapes, class counts,
+  special-character box statistics, top and class-unique words, 70/10/20
+  split sizes.
+* ``train_with_validation``: UTF-8 CSV -> stratified train/val/test ->
+  truncated/padded tokens -> model -> macro metrics on the validation rows.
 
 Intermediate tables are handed off as Parquet in the session's shared
 checkpoint folder (cleaning runs once, lineage is cut, and a lost executor
@@ -29,6 +34,7 @@ from mailsift.operators import evaluate as E
 from mailsift.operators import features as FE
 from mailsift.operators import labels as L
 from mailsift.operators import models as M
+from mailsift.operators import profile as PR
 from mailsift.operators import shape as S
 from mailsift.session import shared_scratch
 from mailsift.sources import csv as C
@@ -153,3 +159,46 @@ def evaluate_saved_model(spark: SparkSession, model_dir: str, test_path: str) ->
     id2label = {int(r["label_id"]): r["label"] for r in label_map.collect()}
     report = E.classification_report(scored, sorted(id2label), id2label, "label_id", "y_pred").collect()
     return {"n_skipped_unknown_label": int(n_unknown), "report": [r.asDict() for r in report]}
+
+
+def _numeric_label(df: DataFrame, label: str) -> DataFrame:
+    return df.withColumn(label, F.trim(F.col(label).cast("string")).try_cast("double").cast("int"))
+
+
+def explore(spark: SparkSession, path: str, text: str = "text", label: str = "label", k: int = 20,
+            seed: int = 42) -> dict:
+    """SRC-5, AGG-8, PRJ-5, AGG-1 ... AGG-6, SHP-5 as one report (every part
+    is a small aggregate; only those reach the driver)."""
+    raw = C.read_csv(spark, path)
+    data_cols = [c for c in raw.columns if not c.startswith("_")]
+    before = PR.null_shape(raw.select(*data_cols)).first()
+    df = _numeric_label(raw.dropna(how="any", subset=data_cols), label).withColumn(text, F.lower(text))
+    df = df.filter(F.col(label).isNotNull())
+    counts = {r[label]: r["n"] for r in PR.rows_per_label(df, label).collect()}
+    box = [r.asDict() for r in PR.box_stats(PR.with_special_chars(df, text), "special_characters", label).collect()]
+    top = {c: [(r.word, r.n) for r in PR.top_words(df.filter(F.col(label) == c), text, k).collect()] for c in (0, 1)}
+    unique = [(r.word, r.n) for r in PR.class_unique_words(df, label, 1, text, k).collect()]
+    parts = S.stratified_split(df.withColumn("_key", F.col("_row_ord")), label, "_key", 0.3, 2 / 3, seed)
+    sizes = {r.split: r.n for r in parts.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {"shape_before": (before["n_rows"], len(data_cols)), "shape_after": (df.count(), len(data_cols)),
+            "rows_per_label": counts, "special_characters": box, "top_words": top, "unique_words": unique,
+            "split_sizes": sizes}
+
+
+def train_with_validation(spark: SparkSession, path: str, test_size: float = 0.1, val_size: float = 0.1,
+                          max_len: int = 256, seed: int = 42) -> dict:
+    """The secondary training script: SRC-2 -> SHP-4 -> FEA-5 -> fit ->
+    EVL-6 on the validation rows (best candidate by F1 is MOD-5)."""
+    df = _numeric_label(C.read_text_csv(spark, path), "label").filter(F.col("label").isNotNull())
+    rel_val = val_size / (test_size + val_size)
+    parts = S.stratified_split(df.withColumn("_key", F.col("_row_ord")), "label", "_key",
+                               test_size + val_size, 1 - rel_val, seed)
+    parts = parts.withColumn("tokens", X.simple_tokens("text"))
+    parts = FE.truncate_pad(parts, "tokens", "split", max_len)
+    train = parts.filter(F.col("split") == "train").withColumn("y", F.col("label").cast("double"))
+    val = parts.filter(F.col("split") == "val")
+    model = M.logistic_regression_bow("text", "y", n_train=train.count()).fit(train)
+    labels = sorted(r[0] for r in df.select("label").distinct().collect())
+    metrics = {r.metric: r.value for r in E.metric_rows(M.score(model, val), labels, "label", "y_pred").collect()}
+    return {"split_sizes": {r.split: r.n for r in parts.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()},
+            "validation": metrics}

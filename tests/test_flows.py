@@ -147,3 +147,18 @@ def test_write_splits_partitioned(spark, tmp_dir):
     back = spark.read.parquet(path)
     assert back.filter(F.col("split") == "test").count() == sp.filter(F.col("split") == "test").count()
     assert {"split=train", "split=val", "split=test"} <= set(os.listdir(path))
+
+
+def test_explore_and_train_with_validation(spark, tmp_dir):
+    from mailsift.plans.flows import explore, train_with_validation
+
+    path = os.path.join(tmp_dir, "emails")
+    C.write_csv(tb.mail(spark, SF001).select(F.col("body").alias("text"), F.col("y").alias("label")).coalesce(1), path)
+    rep = explore(spark, path)
+    n = tb.mail(spark, SF001).count()
+    assert rep["shape_before"] == (n, 2) and sum(rep["rows_per_label"].values()) == rep["shape_after"][0]
+    assert sum(rep["split_sizes"].values()) == rep["shape_after"][0]
+    assert len(rep["top_words"][0]) <= 20 and {b["label"] for b in rep["special_characters"]} <= {0, 1}
+    res = train_with_validation(spark, path)
+    assert set(res["validation"]) == {"accuracy", "precision", "recall", "f1"}
+    assert res["split_sizes"]["val"] == res["split_sizes"]["test"]
