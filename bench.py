@@ -17,7 +17,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
 
 from mailsift.functions import text as X  # noqa: E402
 from mailsift.plans.registry import queries  # noqa: E402

@@ -12,18 +12,16 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from mailsift.functions import text as X
 from mailsift.operators import features as FE
-from mailsift.operators import labels as L
-from mailsift.plans.queries_features import _VOCAB, _split_mail
+from mailsift.plans.queries_features import _SPLIT, _VOCAB, _split_mail
 from mailsift.plans.queries_labels import _MAP_SQL, _UNION_LABELS, _union_label_map
 from mailsift.plans.registry import register
-from mailsift.functions import text as X
 from mailsift.session import shared_scratch
 from mailsift.sources import csv as C
 from mailsift.sources import json as J
 from mailsift.sources import sinks as K
 from mailsift.sources import tables as tb
-from mailsift.plans.queries_features import _SPLIT
 
 
 def _scratch(spark, name: str) -> str:

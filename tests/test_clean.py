@@ -4,7 +4,6 @@ Python cleaner on the driver tables and on random tricky strings."""
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 import brute_force as BF
 from conftest import SF001

@@ -5,7 +5,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from mailsift.operators import evaluate as E
 from mailsift.operators import features as FE

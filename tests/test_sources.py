@@ -65,8 +65,6 @@ def test_label_map_and_training_log(spark, tmp_dir):
 
 
 def test_sinks_roundtrip(spark, tmp_dir):
-    from mailsift.operators.evaluate import REPORT_SCHEMA  # noqa: F401
-
     vocab = spark.createDataFrame([("<pad>", 0, 0), ("<unk>", 0, 1), ("hi", 3, 2)], "token string, freq long, id long")
     K.save_vocab(vocab, os.path.join(tmp_dir, "v"))
     assert json.loads(K.read_document(spark, os.path.join(tmp_dir, "v", "vocab.json"))) == \
