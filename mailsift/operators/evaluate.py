@@ -208,6 +208,10 @@ REPORT_SCHEMA = (
     "preview:string>>")
 
 
+# Reading a report back from JSON: object keys are strings.
+REPORT_JSON_SCHEMA = REPORT_SCHEMA.replace("map<int,string>", "map<string,string>")
+
+
 def report_frame(spark: SparkSession, report: dict) -> DataFrame:
     """The nested report as a one-row DataFrame (for ``to_json`` / sinks)."""
     return spark.createDataFrame([report], REPORT_SCHEMA)

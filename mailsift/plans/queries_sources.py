@@ -1,4 +1,4 @@
-"""Source and sink queries (SRC-1/2/3/7/8, SNK-1/2).
+"""Source, sink and streaming queries (SRC-1/2/3/7/8/9, SNK-1/2/3/4, STR-1/2).
 
 The driver ships Parquet only, so each query first writes data Spark derives
 from the driver tables as CSV / JSON into the session's shared checkpoint
@@ -86,3 +86,79 @@ def src9_training_log_roundtrip(spark, d):
     K.save_training_log(tb.log(spark, d).select("step", "epoch", "loss", "eval_loss", "eval_accuracy"), path)
     return J.read_training_log(spark, path, multi_line=False).select("step", "epoch", "loss", "eval_loss",
                                                                      "eval_accuracy")
+
+
+def _small_model(spark, d):
+    """A quickly trained bag-of-words model on the labelled mail (the point of
+    the queries below is the sink / stream, not the model)."""
+    from mailsift.operators import models as M
+    m = tb.mail(spark, d).withColumn("label", F.col("y").cast("double"))
+    return M.logistic_regression_bow("body", "label", n_train=m.count(), max_iter=20).fit(m)
+
+
+@register("snk3_model_roundtrip")
+def snk3_model_roundtrip(spark, d):
+    """SNK-3: save the fitted pipeline, load it back, score with the copy."""
+    from mailsift.operators import models as M
+    path = _scratch(spark, "snk3")
+    K.save_model(_small_model(spark, d), path)
+    scored = M.score(K.load_model(path), tb.mail(spark, d))
+    return scored.select("row_id", "y", "y_pred", F.round("conf", 6).alias("conf"))
+
+
+def _report_sql():
+    from mailsift.plans.queries_eval import _VALID_SQL
+    return tb.with_views(
+        "SELECT (SELECT count(*) FROM mail_subject) AS n_rows, count(*) AS n_used_for_eval, "
+        "round_even(avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END), 4) AS accuracy, "
+        "count(CASE WHEN y_true <> y_pred THEN 1 END) AS n_errors FROM v", "mail_subject", extra=[_VALID_SQL])
+
+
+@register("snk4_report_roundtrip", _report_sql())
+def snk4_report_roundtrip(spark, d):
+    """SNK-4: the nested evaluation report written as one JSON document and
+    read back (n_errors is the full confusion off-diagonal)."""
+    from mailsift.operators import evaluate as E
+    from mailsift.plans.queries_eval import scored_subject_mail
+    m, v = scored_subject_mail(spark, d)
+    path = _scratch(spark, "snk4")
+    K.save_report(spark, E.evaluation_report(v, m.count(), ("conv_id", "turn"), "y_true", "y_pred", "conf", "text"),
+                  path)
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", E.REPORT_JSON_SCHEMA).alias("r"))
+    cm = F.col("r.confusion_matrix.matrix")
+    off = F.aggregate(F.transform(F.sequence(F.lit(0), F.size(cm) - 1),
+                                  lambda i: F.aggregate(F.transform(F.sequence(F.lit(0), F.size(cm[i]) - 1),
+                                                                    lambda j: F.when(i != j, cm[i][j]).otherwise(0)),
+                                                        F.lit(0).cast("long"), lambda a, x: a + x)),
+                      F.lit(0).cast("long"), lambda a, x: a + x)
+    return doc.select(F.col("r.n_rows").alias("n_rows"), F.col("r.n_used_for_eval").alias("n_used_for_eval"),
+                      F.col("r.accuracy").alias("accuracy"), off.alias("n_errors"))
+
+
+def _arriving_files(spark, d, name):
+    """mail_subject written as several CSV files: the arriving uploads."""
+    folder = _scratch(spark, name)
+    C.write_csv(tb.mail_subject(spark, d).select("subject", "body", "label"), folder)
+    return folder
+
+
+@register("str1_stream_scoring")
+def str1_stream_scoring(spark, d):
+    """STR-1: arriving CSVs -> scored, thresholded rows (availableNow run)."""
+    from mailsift.streaming import scoring as ST
+    model = _small_model(spark, d)
+    out = _scratch(spark, "str1-out")
+    q = ST.score_stream(spark, _arriving_files(spark, d, "str1-in"), model, out, _scratch(spark, "str1-ckpt"))
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("str2_running_confusion")
+def str2_running_confusion(spark, d):
+    """STR-2: confusion counts kept in the stream's state store."""
+    from mailsift.streaming import scoring as ST
+    model = _small_model(spark, d)
+    name = "str2_" + uuid.uuid4().hex[:8]
+    q = ST.running_confusion(spark, _arriving_files(spark, d, "str2-in"), model, _scratch(spark, "str2-ckpt"), name)
+    q.awaitTermination()
+    return spark.sql(f"SELECT * FROM {name}")

@@ -9,7 +9,8 @@ from mailsift.plans.registry import queries
 QUERIES = queries()
 # Model queries fit a model while being built; their plans are the scoring side.
 SLOW = {"mod1_logreg_bow", "mod2_decision_tree_bow", "mod3_embedding_mlp", "mod6_holdout_report",
-        "evl1_batch_scoring"}
+        "evl1_batch_scoring", "snk3_model_roundtrip", "snk4_report_roundtrip", "str1_stream_scoring",
+        "str2_running_confusion"}
 
 
 def _plan(df) -> str:
