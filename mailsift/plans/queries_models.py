@@ -31,10 +31,17 @@ def _out(pred):
     return pred.select("row_id", "y", "y_pred", F.round("conf", 6).alias("conf"))
 
 
+_FITTED: dict = {}
+
+
 def fit_logreg(spark, d):
+    """MOD-1 fitted once per session and data folder (MOD-1, MOD-6 and EVL-1
+    share the model, as the original scripts share one saved model)."""
     train, test = _split(spark, d)
-    model = M.logistic_regression_bow("body", "label", n_train=train.count()).fit(train)
-    return model, test
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FITTED:
+        _FITTED[key] = M.logistic_regression_bow("body", "label", n_train=train.count()).fit(train)
+    return _FITTED[key], test
 
 
 @register("mod1_logreg_bow")
