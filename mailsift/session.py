@@ -24,8 +24,7 @@ SQL_DEFAULTS = {
 # creates the session itself).
 STATIC_DEFAULTS = {
     "spark.ui.enabled": "false",
-    # Python workers are reused across tasks so the Arrow step's compiled
-    # tables are built once per worker, not per task.
+    # Python workers are reused across tasks (no fork and import per task).
     "spark.python.worker.reuse": "true",
 }
 

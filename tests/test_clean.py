@@ -107,3 +107,14 @@ def test_clean_plan_has_one_python_step(spark):
     df = spark.createDataFrame([("a",)], "t string").select(X.clean_text("t", passes=2).alias("c"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_drop_non_printable_every_code_point():
+    """CLN-2's Python side equals the per-character rule on all code points
+    (surrogates cannot arrive through Arrow's UTF-8)."""
+    from mailsift.functions.unicode_udf import drop_non_printable
+
+    chars = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF)
+    want = "".join(c for c in chars if c.isprintable() or c in "\n\t")
+    assert drop_non_printable(chars) == want
+    assert drop_non_printable("plain text\n\tok") == "plain text\n\tok"
