@@ -43,8 +43,10 @@ BR_TAG = "(?iu)<" + WS + "*br" + WS + "*/?>"
 ANY_TAG = "<[^>]+>"
 # CLN-4: de-obfuscation.
 HXXP = "(?iu)hx{2}p"
-DOT_OBFUSCATION = r"(?iu)\[\.\]|\(dot\)|" + WS + "+dot" + WS + "+"
-AT_OBFUSCATION = r"(?iu)\[@\]|" + WS + "+at" + WS + "+"
+# Case-insensitivity is scoped to the words: whitespace has no case, and a
+# case-folding test of every whitespace-class position costs ~20 %.
+DOT_OBFUSCATION = r"\[\.\]|\((?iu:dot)\)|" + WS + "+(?iu:dot)" + WS + "+"
+AT_OBFUSCATION = r"\[@\]|" + WS + "+(?iu:at)" + WS + "+"
 # CLN-5: reply / forward markers (multi-line, case-insensitive).
 REPLY_SPLITTERS = [
     r"^>+ .*",
