@@ -245,3 +245,30 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int = 42, out: str = "shuffle_
 def write_splits(df: DataFrame, path: str, split: str = "split", mode: str = "overwrite") -> None:
     """SHP-13: one table, one folder per split (partition pruning on read)."""
     df.write.mode(mode).partitionBy(split).parquet(path)
+
+
+# monotonically_increasing_id() = partition index << 33 | position in partition.
+_POSITION_MASK = (1 << 33) - 1
+
+
+def fresh_index(df: DataFrame, order: Sequence[str], path: str, out: str = "row_idx") -> DataFrame:
+    """SHP-12: a fresh, contiguous 0-based row index in the total order
+    ``order`` (e.g. file position then row position after a concat).
+
+    No window over the whole table: rows are range-partitioned and sorted on
+    ``order``, and each row records its partition and its position inside it.
+    That is written to ``path`` (a shared folder) first, because range bounds
+    are sampled and a second evaluation could cut differently. The index is
+    then the row's position plus the number of rows in earlier partitions,
+    from a table with one row per partition (broadcast; its size is the
+    partition count)."""
+    ranged = (df.repartitionByRange(*order).sortWithinPartitions(*order)
+                .withColumn("_part", F.spark_partition_id())
+                .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK))))
+    ranged.write.mode("overwrite").parquet(path)
+    fixed = df.sparkSession.read.parquet(path)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (fixed.groupBy("_part").count()
+               .select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_off")))
+    return (fixed.join(F.broadcast(offsets), "_part")
+                 .withColumn(out, F.col("_off") + F.col("_pos")).drop("_part", "_pos", "_off"))

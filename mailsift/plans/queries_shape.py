@@ -1,4 +1,4 @@
-"""Row-set shaping queries: SHP-1 ... SHP-12, SRC-4/5."""
+"""Row-set shaping queries: SHP-1 ... SHP-13, SRC-4/5."""
 
 from __future__ import annotations
 
@@ -177,3 +177,35 @@ def shp10_pair_by_key(spark, d):
     f"SELECT row_id, md5('{SEED}|' || CAST(row_id AS VARCHAR)) AS shuffle_key FROM mail", "mail"))
 def shp11_seeded_shuffle(spark, d):
     return S.seeded_shuffle(tb.mail(spark, d), "row_id", SEED).select("row_id", "shuffle_key")
+
+
+def _scratch(spark, name: str) -> str:
+    import uuid
+
+    from mailsift.session import shared_scratch
+    return shared_scratch(spark, f"queries/{name}-{uuid.uuid4().hex}")
+
+
+@register("shp12_fresh_index", """
+SELECT _file_ord, doc_id, item_id,
+       row_number() OVER (ORDER BY _file_ord, coalesce(doc_id, item_id)) - 1 AS row_idx
+FROM (SELECT 0 AS _file_ord, doc_id, NULL::BIGINT AS item_id FROM documents
+      UNION ALL SELECT 1, NULL::BIGINT, item_id FROM benchmark)""")
+def shp12_fresh_index(spark, d):
+    """SHP-12: documents and benchmark passages concatenated, then a fresh
+    0..n-1 index in concatenation order (file, then key)."""
+    docs = tb.load(spark, d, "documents").select("doc_id")
+    bench = tb.load(spark, d, "benchmark").select("item_id")
+    both = S.union_tables([docs, bench]).withColumn("_key", F.coalesce("doc_id", "item_id"))
+    idx = S.fresh_index(both, ["_file_ord", "_key"], _scratch(spark, "shp12"))
+    return idx.select("_file_ord", "doc_id", "item_id", "row_idx")
+
+
+@register("shp13_split_folders", _split_sql(0.2, "0.5"))
+def shp13_split_folders(spark, d):
+    """SHP-13: the named splits kept together as one table written with one
+    folder per split, read back whole (a split filter prunes folders)."""
+    path = _scratch(spark, "shp13")
+    S.write_splits(S.stratified_split(tb.mail(spark, d), "y", "row_id", 0.2, 0.5, SEED).select("row_id", "y", "split"),
+                   path)
+    return spark.read.parquet(path).select("row_id", "y", "split")

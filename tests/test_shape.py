@@ -102,3 +102,35 @@ def test_words_only_in_and_lookup(spark):
     dim = spark.createDataFrame([("a", 5)], "k string, v long")
     out = S.lookup_with_default(words, "word", dim, "k", "v", 0)
     assert sorted(r.v for r in out.collect()) == [0, 0, 0, 5]
+
+
+@pytest.mark.parametrize("parts", [1, 4, 64])
+def test_fresh_index_contiguous_in_order(spark, tmp_dir, parts):
+    """SHP-12 across partition counts (coalescing off, so the per-partition
+    offsets are exercised): equals a global row_number, 0..n-1."""
+    from pyspark.sql import Window
+
+    conf = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        a = spark.range(0, 3000).select((F.col("id") % 7).alias("f"), (F.col("id") * 7919 % 3001).alias("k"))
+        b = spark.range(0, 500).select(F.lit(9).alias("f"), F.col("id").alias("k"))
+        df = a.unionByName(b).repartition(5)
+        got = {(r.f, r.k): r.row_idx for r in S.fresh_index(df, ["f", "k"], f"{tmp_dir}/idx{parts}").collect()}
+        want = {(r.f, r.k): r.i for r in
+                df.select("f", "k", (F.row_number().over(Window.orderBy("f", "k")) - 1).alias("i")).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == want and sorted(got.values()) == list(range(3500))
+
+
+def test_split_folders_prune(spark, tmp_dir):
+    """SHP-13: a split filter on the written table reads one folder."""
+    df = S.stratified_split(_frame(spark, [0] * 50 + [1] * 50), "label", "row_id", 0.2, 0.5, seed=1)
+    S.write_splits(df, f"{tmp_dir}/splits")
+    back = spark.read.parquet(f"{tmp_dir}/splits").filter(F.col("split") == "test")
+    assert back.count() == 10
+    assert "PartitionFilters: [isnotnull(split" in back._jdf.queryExecution().executedPlan().toString()
