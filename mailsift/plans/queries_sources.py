@@ -1,4 +1,4 @@
-"""Source, sink and streaming queries (SRC-1/2/3/7/8/9, SNK-1/2/3/4, STR-1/2).
+"""Source, sink and streaming queries (SRC-1/2/3/6/7/8/9, SNK-1/2/3/4, STR-1/2).
 
 The driver ships Parquet only, so each query first writes data Spark derives
 from the driver tables as CSV / JSON into the session's shared checkpoint
@@ -66,6 +66,52 @@ def src8_label_map_roundtrip(spark, d):
     return J.read_label_map(spark, path)
 
 
+# The run metadata the training script records.
+RUN_META = {"max_len": 256, "emb_dim": 128, "min_freq": 2, "remove_stopwords": False, "stem_tokens": False}
+_META_FIELDS = ["emb_dim", "max_len", "min_freq", "n_labels", "n_train", "remove_stopwords", "stem_tokens",
+                "vocab_size"]
+
+
+@register("snk2_run_metadata_roundtrip", tb.with_views(
+    "SELECT CAST(128 AS BIGINT) AS emb_dim, CAST(256 AS BIGINT) AS max_len, CAST(2 AS BIGINT) AS min_freq, "
+    "(SELECT count(DISTINCT y) FROM splits WHERE split = 'train') AS n_labels, "
+    "(SELECT count(*) FROM splits WHERE split = 'train') AS n_train, false AS remove_stopwords, "
+    "false AS stem_tokens, (SELECT count(*) FROM vocab) AS vocab_size", "mail",
+    extra=_SPLIT + [("vocab", _VOCAB)]))
+def snk2_run_metadata_roundtrip(spark, d):
+    """SNK-2: the run's hyper-parameters plus what the run measured (train
+    rows, classes, vocabulary size) as one JSON document, read back."""
+    path = _scratch(spark, "snk2")
+    train = _split_mail(spark, d).filter(F.col("split") == "train")
+    vocab = FE.build_vocab(train.withColumn("tokens", X.simple_tokens("body")), "tokens")
+    figures = (train.agg(F.count(F.lit(1)).alias("n_train"), F.countDistinct("y").alias("n_labels"),
+                         F.lit(None).cast("long").alias("vocab_size"))
+               .unionByName(vocab.agg(F.lit(None).cast("long").alias("n_train"),
+                                      F.lit(None).cast("long").alias("n_labels"),
+                                      F.count(F.lit(1)).alias("vocab_size")))
+               .agg(*[F.max(c).alias(c) for c in ("n_train", "n_labels", "vocab_size")]))
+    meta = figures.select(*[F.lit(v).alias(k) for k, v in RUN_META.items()], "n_train", "n_labels", "vocab_size")
+    K.save_meta_frame(meta, path)
+    return spark.read.json(path).select(*_META_FIELDS)
+
+
+@register("src6_required_columns", tb.with_views(
+    "SELECT 'subject' AS column_name, count(*) - count(subject) AS n_missing FROM mail_subject "
+    "UNION ALL SELECT 'body', count(*) - count(body) FROM mail_subject "
+    "UNION ALL SELECT 'label', count(*) - count(label) FROM mail_subject", "mail_subject"))
+def src6_required_columns(spark, d):
+    """SRC-6 on an upload carrying extra columns: the required columns are
+    checked (a missing one raises, naming all missing ones), then the
+    upload's missing values are counted per required column."""
+    path = _scratch(spark, "src6")
+    C.write_csv(tb.mail_subject(spark, d), path, C.UTF8)
+    required = ["subject", "body", "label"]
+    up = C.require_columns(C.read_csv(spark, path), required)
+    counts = up.agg(*[(F.count(F.lit(1)) - F.count(c)).alias(c) for c in required])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_missing"))
+                                             for c in required])).alias("m")).select("m.*")
+
+
 @register("snk1_vocab_roundtrip", tb.with_views("SELECT token, id FROM vocab", "mail",
                                                 extra=_SPLIT + [("vocab", _VOCAB)]))
 def snk1_vocab_roundtrip(spark, d):

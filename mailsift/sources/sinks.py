@@ -41,6 +41,12 @@ def save_meta(spark: SparkSession, meta: dict, path: str) -> None:
     _write_document(spark.createDataFrame([(json.dumps(meta),)], "value string"), path)
 
 
+def save_meta_frame(meta: DataFrame, path: str) -> None:
+    """SNK-2: a one-row table (hyper-parameters and figures computed by the
+    run) as one flat JSON document, built without leaving Spark."""
+    _write_document(meta.select(F.to_json(F.struct("*")).alias("value")), path)
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     """SNK-3: persist a fitted pipeline (overwrite keeps the latest best)."""
     model.write().overwrite().save(path)
