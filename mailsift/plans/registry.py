@@ -35,7 +35,7 @@ def _load_all() -> None:
     # Importing the modules registers their queries.
     from mailsift.plans import (queries_eval, queries_features, queries_labels,  # noqa: F401
                                 queries_logs, queries_models, queries_profile, queries_shape,
-                                queries_sources, queries_text)
+                                queries_sources, queries_text, queries_udf)
 
 
 def queries() -> dict[str, QueryFn]:
