@@ -108,7 +108,7 @@ def test_driver_contract(spark):
     assert df.columns == ["word", "n"] and df.count() >= 0
     qs, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(qs)
-    families = {"agg", "cln", "evl", "fea", "lbl", "log", "mod", "prj", "shp", "snk", "src", "str"}
+    families = {"agg", "cln", "evl", "fea", "lbl", "log", "mod", "prj", "shp", "snk", "src", "str", "udf"}
     for name in qs:
         m = re.match(r"([a-z]+)\d+[a-e]?_", name)
         assert m and m.group(1) in families, name
