@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -52,6 +54,7 @@ def get_spark(master: str | None = None, app: str = "mailsift", shuffle_partitio
         if k.startswith("spark.sql."):
             spark.conf.set(k, v)
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -79,3 +82,28 @@ def shared_scratch(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written hand-off tables."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{root}/{name}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of a local
+    session that did not start from the package's folder.
+
+    Executors import the package for pandas UDFs and ``mapInPandas``. On a
+    cluster it is shipped the usual way (``--py-files`` or an installed
+    wheel); on a local master it is zipped once into the session's scratch
+    folder and added with ``addPyFile``."""
+    sc = spark.sparkContext
+    if not sc.master.startswith("local") or getattr(sc, "_mailsift_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    folder = ensure_checkpoint_dir(spark)
+    folder = folder[len("file:"):] if folder.startswith("file:") else folder
+    path = os.path.join(folder, f"mailsift-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    sc._mailsift_shipped = True
