@@ -87,6 +87,28 @@ def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(labels, "row_id")
 
 
+def bucket_mail_tables(spark: SparkSession, sf_dir: str, folder: str, n_buckets: int,
+                       prefix: str = "mailsift") -> tuple[str, str]:
+    """Write ``documents`` and ``labels`` once as tables bucketed and sorted
+    by ``doc_id`` (same bucket count) under ``folder`` (a shared folder).
+    Every later ``mail`` join over them is a sort-merge join without an
+    exchange on either side, instead of shuffling the text per query. Pick
+    ``n_buckets`` so one bucket of text is ~128-256 MB."""
+    names = (f"{prefix}_documents", f"{prefix}_labels")
+    for name, table in zip(names, ("documents", "labels")):
+        df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+        (df.repartition(n_buckets, "doc_id").write.mode("overwrite").bucketBy(n_buckets, "doc_id").sortBy("doc_id")
+           .option("path", f"{folder.rstrip('/')}/{table}").saveAsTable(name))
+    return names
+
+
+def mail_bucketed(spark: SparkSession, names: tuple[str, str]) -> DataFrame:
+    """``mail`` over the bucketed tables of ``bucket_mail_tables``."""
+    docs = spark.table(names[0]).select(F.col("doc_id").alias("row_id"), F.col("text").alias("body"))
+    labels = spark.table(names[1]).select(F.col("doc_id").alias("row_id"), F.col("toxic").alias("y"))
+    return docs.join(labels, "row_id")
+
+
 def mail_raw_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``mail`` with raw label spellings (string column) and a numeric label."""
     return (mail(spark, sf_dir)

@@ -81,3 +81,25 @@ def test_sinks_roundtrip(spark, tmp_dir):
     back = json.loads(K.read_document(spark, os.path.join(tmp_dir, "report")))
     assert back["confusion_matrix"]["matrix"] == [[1, 0], [1, 0]] and back["labels"] == {"0": "legitimate",
                                                                                          "1": "phishing"}
+
+
+def test_bucketed_mail_join_has_no_exchange(spark, tmp_dir):
+    """Co-located join: documents and labels bucketed by doc_id join
+    without shuffling either side, and give the same rows as ``mail``."""
+    from pyspark.sql import functions as F
+
+    from conftest import SF001
+    from mailsift.sources import tables as tb
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        names = tb.bucket_mail_tables(spark, SF001, f"{tmp_dir}/bucketed", 8, prefix=f"t{abs(hash(tmp_dir)) % 10**6}")
+        m = tb.mail_bucketed(spark, names)
+        plan = m._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        got = sorted(m.select("row_id", "y", F.length("body").alias("n")).collect())
+        want = sorted(tb.mail(spark, SF001).select("row_id", "y", F.length("body").alias("n")).collect())
+        assert got == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
