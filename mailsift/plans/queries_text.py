@@ -169,7 +169,16 @@ register("cln6a_mask_url")(_mask_query(X.mask_url))
 register("cln6b_mask_email")(_mask_query(X.mask_email))
 register("cln6c_mask_money")(_mask_query(X.mask_money))
 register("cln6d_mask_phone")(_mask_query(X.mask_phone))
-register("cln6e_mask_number")(_mask_query(X.mask_number))
+# CLN-6e without look-arounds (RE2): every non-word character is doubled, so
+# the character after one number can be consumed as its right context and
+# its copy still be the left context of the next; digits become a word-class
+# sentinel, the doubling is undone, then the sentinel becomes the mask.
+_NW = "[^\\p{L}\\p{N}_]"
+_NUMBER_SQL = (
+    "replace(regexp_replace(regexp_replace(regexp_replace(text, '(" + _NW + ")', '\\1\\1', 'g'), "
+    "'(^|" + _NW + ")\\p{Nd}+(?:(?:\\.\\.|,,)\\p{Nd}+)?(" + _NW + "|$)', '\\1\ua66e\\2', 'g'), "
+    "'(" + _NW + ")" + _NW + "', '\\1', 'g'), '\ua66e', ' <number> ')")
+register("cln6e_mask_number", f"SELECT doc_id, {_NUMBER_SQL} AS text FROM documents")(_mask_query(X.mask_number))
 
 
 @register("cln7_cap_repeats", f"""

@@ -118,3 +118,28 @@ def test_drop_non_printable_every_code_point():
     want = "".join(c for c in chars if c.isprintable() or c in "\n\t")
     assert drop_non_printable(chars) == want
     assert drop_non_printable("plain text\n\tok") == "plain text\n\tok"
+
+
+def test_number_mask_equals_re2_emulation(spark):
+    """CLN-6e's oracle (non-word characters doubled, RE2, no look-arounds)
+    equals the Spark mask on random strings of numbers, separators, word
+    characters and non-ASCII digits / letters."""
+    import duckdb
+
+    from mailsift.plans.queries_text import _NUMBER_SQL
+
+    frags = ["1", "23", "4.5", "6,7", ".", ",", "..", "a", "_", "é", " ", "\n", "-", "٣", "x9", "9x", "1.2.3",
+             "$", "(", ")", "½", "1_000", "0.", ",5"]
+    rnd = random.Random(7)
+    values = ["".join(rnd.choice(frags) for _ in range(rnd.randint(0, 12))) for _ in range(2000)]
+    got = _run_fn(spark, values, X.mask_number)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT * FROM (SELECT unnest(range(?)) AS doc_id, unnest(?) AS text)",
+                [len(values), values])
+    want = dict(con.execute(f"SELECT doc_id, {_NUMBER_SQL} FROM documents").fetchall())
+    assert got == [want[i] for i in range(len(values))]
+
+
+def _run_fn(spark, values, fn):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string")
+    return [r.c for r in sorted(df.select("i", fn("t").alias("c")).collect(), key=lambda r: r.i)]
