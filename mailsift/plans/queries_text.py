@@ -159,13 +159,23 @@ def cln5_cut_reply(spark, d):
     return _docs(spark, d).select("doc_id", X.cut_reply("text").alias("text"))
 
 
+# CLN-6a without look-arounds: a URL runs to the last word character of its
+# non-space run (the closing boundary can only fall there), so only its left
+# context needs the doubling of non-word characters (see CLN-6e below).
+_NWSW = "[^\\p{L}\\p{N}_" + P.WS_CLASS + "]"
+_URL_SQL = (
+    "replace(regexp_replace(regexp_replace(regexp_replace(text, '([^\\p{L}\\p{N}_])', '\\1\\1', 'g'), "
+    "'(^|[^\\p{L}\\p{N}_])(?i:https?::////|www\\.\\.)(?:[\\p{L}\\p{N}_]|" + _NWSW + "{2})*[\\p{L}\\p{N}_]', "
+    "'\\1\ua66e', 'g'), '([^\\p{L}\\p{N}_])[^\\p{L}\\p{N}_]', '\\1', 'g'), '\ua66e', ' <url> ')")
+
+
 def _mask_query(fn):
     def q(spark, d):
         return _docs(spark, d).select("doc_id", fn("text").alias("text"))
     return q
 
 
-register("cln6a_mask_url")(_mask_query(X.mask_url))
+register("cln6a_mask_url", f"SELECT doc_id, {_URL_SQL} AS text FROM documents")(_mask_query(X.mask_url))
 register("cln6b_mask_email")(_mask_query(X.mask_email))
 register("cln6c_mask_money")(_mask_query(X.mask_money))
 register("cln6d_mask_phone")(_mask_query(X.mask_phone))

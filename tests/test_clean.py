@@ -143,3 +143,21 @@ def test_number_mask_equals_re2_emulation(spark):
 def _run_fn(spark, values, fn):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string")
     return [r.c for r in sorted(df.select("i", fn("t").alias("c")).collect(), key=lambda r: r.i)]
+
+
+def test_url_mask_equals_re2_emulation(spark):
+    """CLN-6a's oracle equals the Spark mask on random URL-like strings."""
+    import duckdb
+
+    from mailsift.plans.queries_text import _URL_SQL
+
+    frags = ["http://", "https://", "HTTP://", "hxxp://", "www.", "WWW.", "a", "b1", ".", "/", "!", "?", "=", "&",
+             " ", "\n", "é", "_", "-", ":", "www", "<", ">", "(", ")", "x.com", "٣"]
+    rnd = random.Random(11)
+    values = ["".join(rnd.choice(frags) for _ in range(rnd.randint(0, 10))) for _ in range(2000)]
+    got = _run_fn(spark, values, X.mask_url)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT * FROM (SELECT unnest(range(?)) AS doc_id, unnest(?) AS text)",
+                [len(values), values])
+    want = dict(con.execute(f"SELECT doc_id, {_URL_SQL} FROM documents").fetchall())
+    assert got == [want[i] for i in range(len(values))]
