@@ -169,6 +169,18 @@ _URL_SQL = (
     "'\\1\ua66e', 'g'), '([^\\p{L}\\p{N}_])[^\\p{L}\\p{N}_]', '\\1', 'g'), '\ua66e', ' <url> ')")
 
 
+# CLN-6c without look-arounds: both contexts of an amount are whitespace, so
+# whitespace is doubled (the one optional blank inside an amount becomes a
+# pair), the amount becomes a sentinel, and the doubling is undone.
+_WSC = "[" + P.WS_CLASS + "]"
+_AMOUNT = ("(?:[\\$£€](?:" + _WSC + "{2})?\\p{Nd}[\\p{Nd},]*(?:\\.\\p{Nd}+)?"
+           "|\\p{Nd}[\\p{Nd},]*(?:\\.\\p{Nd}+)?(?:" + _WSC + "{2})?(?i:usd|aud|eur|gbp))")
+_MONEY_SQL = (
+    "replace(regexp_replace(regexp_replace(regexp_replace(text, '(" + _WSC + ")', '\\1\\1', 'g'), "
+    "'(^|" + _WSC + ")" + _AMOUNT + "(" + _WSC + "|$)', '\\1\ua66e\\2', 'g'), "
+    "'(" + _WSC + ")" + _WSC + "', '\\1', 'g'), '\ua66e', ' <money> ')")
+
+
 def _mask_query(fn):
     def q(spark, d):
         return _docs(spark, d).select("doc_id", fn("text").alias("text"))
@@ -177,7 +189,7 @@ def _mask_query(fn):
 
 register("cln6a_mask_url", f"SELECT doc_id, {_URL_SQL} AS text FROM documents")(_mask_query(X.mask_url))
 register("cln6b_mask_email")(_mask_query(X.mask_email))
-register("cln6c_mask_money")(_mask_query(X.mask_money))
+register("cln6c_mask_money", f"SELECT doc_id, {_MONEY_SQL} AS text FROM documents")(_mask_query(X.mask_money))
 register("cln6d_mask_phone")(_mask_query(X.mask_phone))
 # CLN-6e without look-arounds (RE2): every non-word character is doubled, so
 # the character after one number can be consumed as its right context and

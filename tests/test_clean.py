@@ -161,3 +161,22 @@ def test_url_mask_equals_re2_emulation(spark):
                 [len(values), values])
     want = dict(con.execute(f"SELECT doc_id, {_URL_SQL} FROM documents").fetchall())
     assert got == [want[i] for i in range(len(values))]
+
+
+def test_money_mask_equals_re2_emulation(spark):
+    """CLN-6c's oracle equals the Spark mask on random amount-like strings."""
+    import duckdb
+
+    from mailsift.plans.queries_text import _MONEY_SQL
+
+    frags = ["$", "£", "€", "5", "10", "1,000", ".5", ".", ",", " ", "  ", "\t", "\n", "usd", "USD", "Eur", "gbp",
+             "aud", "x", "a", "-", "٣", " ", "$5.", "2.50", "us"]
+    rnd = random.Random(13)
+    values = ["".join(rnd.choice(frags) for _ in range(rnd.randint(0, 10))) for _ in range(2000)]
+    got = _run_fn(spark, values, X.mask_money)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT * FROM (SELECT unnest(range(?)) AS doc_id, unnest(?) AS text)",
+                [len(values), values])
+    want = dict(con.execute(f"SELECT doc_id, {_MONEY_SQL} FROM documents").fetchall())
+    bad = [(values[i], got[i], want[i]) for i in range(len(values)) if got[i] != want[i]]
+    assert not bad, bad[:5]
