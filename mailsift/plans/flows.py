@@ -134,16 +134,17 @@ def train_classical(spark: SparkSession, train_paths: Sequence[str], test_path:
     test = C.read_eval_csv(spark, test_path)
     test = test.withColumn("Email Text", X.subject_body_space("subject", "body")).dropna(subset=["label"])
     test = test.withColumn("y", L.binary_label("label", "phishing"))
+    n_train = bal.count()
     if model == "tree":
         pipe = M.decision_tree_bow("Email Text", "label", seed)
     else:
-        pipe = M.logistic_regression_bow("Email Text", "label", n_train=bal.count())
-    fitted = pipe.fit(bal)
+        pipe = M.logistic_regression_bow("Email Text", "label", n_train=n_train)
+    fitted = pipe.fit(M.for_fit(bal, n_train))
     scored = M.score(fitted, test)
     names = {0: "Legitimate", 1: "Phishing"}
     acc = E.accuracy(scored, "y", "y_pred").first()[0]
     report = E.classification_report(scored, [0, 1], names, "y", "y_pred").collect()
-    return {"accuracy": acc, "report": [r.asDict() for r in report], "n_train": bal.count()}
+    return {"accuracy": acc, "report": [r.asDict() for r in report], "n_train": n_train}
 
 
 def evaluate_saved_model(spark: SparkSession, model_dir: str, test_path: str) -> dict:
@@ -200,7 +201,8 @@ def train_with_validation(spark: SparkSession, path: str, test_size: float = 0.1
     parts = FE.truncate_pad(parts, "tokens", "split", max_len)
     train = parts.filter(F.col("split") == "train").withColumn("y", F.col("label").cast("double"))
     val = parts.filter(F.col("split") == "val")
-    model = M.logistic_regression_bow("text", "y", n_train=train.count()).fit(train)
+    n = train.count()
+    model = M.logistic_regression_bow("text", "y", n_train=n).fit(M.for_fit(train, n))
     labels = sorted(r[0] for r in df.select("label").distinct().collect())
     metrics = {r.metric: r.value for r in E.metric_rows(M.score(model, val), labels, "label", "y_pred").collect()}
     return {"split_sizes": {r.split: r.n for r in parts.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()},

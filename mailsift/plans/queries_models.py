@@ -40,7 +40,8 @@ def fit_logreg(spark, d):
     train, test = _split(spark, d)
     key = (spark.sparkContext.applicationId, d)
     if key not in _FITTED:
-        _FITTED[key] = M.logistic_regression_bow("body", "label", n_train=train.count()).fit(train)
+        n = train.count()
+        _FITTED[key] = M.logistic_regression_bow("body", "label", n_train=n).fit(M.for_fit(train, n))
     return _FITTED[key], test
 
 
@@ -53,7 +54,7 @@ def mod1_logreg_bow(spark, d):
 @register("mod2_decision_tree_bow")
 def mod2_decision_tree_bow(spark, d):
     train, test = _split(spark, d)
-    model = M.decision_tree_bow("body", "label", seed=SEED).fit(train)
+    model = M.decision_tree_bow("body", "label", seed=SEED).fit(M.for_fit(train))
     return _out(M.score(model, test))
 
 
@@ -62,7 +63,7 @@ def mod3_embedding_mlp(spark, d):
     train, test = _split(spark, d)
     toks = X.clean_tokens("body", passes=2)
     train, test = train.withColumn("tokens", toks), test.withColumn("tokens", toks)
-    model = M.embedding_mlp("tokens", "label", n_classes=2, max_iter=50, seed=SEED).fit(train)
+    model = M.embedding_mlp("tokens", "label", n_classes=2, max_iter=50, seed=SEED).fit(M.for_fit(train))
     return _out(M.score(model, test))
 
 
@@ -74,7 +75,7 @@ def mod4_weighted_frozen_vectors(spark, d):
     train = sp.filter(F.col("split") == "train")
     weights = L.class_weights(train, "label").select("label", "weight")
     train = train.join(F.broadcast(weights), "label").withColumn("label", F.col("label").cast("double"))
-    model = M.weighted_logistic_regression("features", "label", "weight").fit(train)
+    model = M.weighted_logistic_regression("features", "label", "weight").fit(M.for_fit(train))
     test = sp.filter(F.col("split") == "test")
     pred = model.transform(test).withColumn("conf", F.array_max(M.vector_to_array(F.col("probability"))))
     return _out(pred.withColumn("y_pred", F.col("prediction").cast("int")))

@@ -139,7 +139,8 @@ def _small_model(spark, d):
     the queries below is the sink / stream, not the model)."""
     from mailsift.operators import models as M
     m = tb.mail(spark, d).withColumn("label", F.col("y").cast("double"))
-    return M.logistic_regression_bow("body", "label", n_train=m.count(), max_iter=20).fit(m)
+    n = m.count()
+    return M.logistic_regression_bow("body", "label", n_train=n, max_iter=20).fit(M.for_fit(m, n))
 
 
 @register("snk3_model_roundtrip")
