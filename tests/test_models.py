@@ -47,3 +47,13 @@ def test_metric_callback_rows(spark):
     rows = {r.metric: r.value for r in Q["udf3_metric_callback"](spark, SF001).collect()}
     assert set(rows) == {"accuracy", "precision", "recall", "f1"}
     assert all(0.0 <= v <= 1.0 for v in rows.values())
+
+
+def test_for_fit_merges_only_small_partitions(spark):
+    from mailsift.operators import models as M
+
+    small = spark.range(0, 300, numPartitions=16)
+    assert M.for_fit(small).rdd.getNumPartitions() == 1
+    big = spark.range(0, 100_000, numPartitions=4)
+    assert M.for_fit(big, rows_per_partition=20_000).rdd.getNumPartitions() == 4
+    assert M.for_fit(big, rows_per_partition=50_000).rdd.getNumPartitions() == 2
