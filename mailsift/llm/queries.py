@@ -16,7 +16,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mailsift.llm.substring_dedup import dedup
 
     out = dedup(read_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("factors").alias("n_factors"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

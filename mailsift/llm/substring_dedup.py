@@ -10,14 +10,18 @@ The reference blocks are indexed in two steps, both sharded by hash:
    with the smallest hash is its anchor, so equal windows have equal anchors
    (about a fifth of the words start one). Anchors held by one document only
    are dropped; no window over them can have a second copy.
-2. *Windows.* Windows over the remaining anchors are indexed by their hash;
-   each entry keeps the smallest document that holds it. A document's windows
-   look their entry up; every window is looked up by itself, those across a
-   factor's boundary too, so a greedy factor never hides a copy.
+2. *Blocks.* The consecutive windows over one remaining anchor form a block
+   entry: its window hashes, document and place. All entries of an anchor meet
+   in one task, sorted; there each window gets the smallest document that holds
+   it. Every window is looked up by itself, those across a factor's boundary
+   too, so a greedy factor never hides a copy.
 
 A document's factors are then the maximal runs of consecutive windows with the
-same reference document. Group sizes never matter: entries are pre-aggregated,
-and look-ups are plain equi-joins that AQE can split.
+same reference document. Before entries are shuffled, each slice of a few
+megabytes keeps only its smallest holder of a window (the others are copies
+whatever else the corpus holds), so a passage of a third of all documents
+sends one entry per slice. The reference of a factor is a smaller document
+that holds it; which one of several may depend on the slices.
 
 Defined results: null text is an empty text; texts of fewer than ``window``
 words keep all words; rows whose id is null neither lose words nor serve as
@@ -76,7 +80,24 @@ def _anchor_rows(window: int, anchor: int) -> Callable:
     return run
 
 
-def _window_rows(window: int, anchor: int) -> Callable:
+def _smallest(window: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The smallest document that holds each entry's window."""
+    order = np.lexsort((doc, window))
+    sorted_w = window[order]
+    new = np.r_[True, sorted_w[1:] != sorted_w[:-1]] if len(order) else np.zeros(0, bool)
+    out = np.empty(len(doc), np.int64)
+    out[order] = doc[order][new][np.cumsum(new) - 1]
+    return out
+
+
+def _lists(first: np.ndarray, size: int, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[first, size].astype(np.int32)), values)
+
+
+def _entry_rows(window: int, anchor: int) -> Callable:
+    """Block entries of the windows over shared anchors. A window that a
+    smaller document of the same slice holds has its reference already; an
+    entry of such windows only is not looked up (any key, no hashes)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -87,30 +108,80 @@ def _window_rows(window: int, anchor: int) -> Callable:
                 owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
                 key = lambda row, gram: mix(gram ^ mix(row.astype(np.uint64)))
                 hit = np.isin(key(words.row[best], grams[best]), key(owner, shared))
-                start = start[hit]
+                start, best = start[hit], best[hit]
+                if not len(start):
+                    continue
                 at, wide = words.windows(window, seed=2)
-                wide = wide[np.searchsorted(at, start)]
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                row = words.row[start]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(wide)), pa.array(ids[row], pa.int64()), pa.array((start - words.first[row]).astype(np.int32))], ["window", "doc_id", "pos"])
+                wide = signed(wide[np.searchsorted(at, start)])
+                doc = part.column("doc_id").to_numpy(zero_copy_only=False)[words.row[start]]
+                ref = _smallest(wide, doc)
+                known = ref < doc
+                first = np.flatnonzero(np.r_[True, (best[1:] != best[:-1]) | (start[1:] != start[:-1] + 1)])
+                done = np.logical_and.reduceat(known, first)
+                pos = (start - words.first[words.row[start]])[first]
+                block = np.where(done, signed(mix(wide[first].view(np.uint64) + doc[first].view(np.uint64))), signed(grams[best[first]]))
+                sent = ~np.repeat(done, np.diff(np.r_[first, len(start)]))
+                sizes = np.add.reduceat(sent.astype(np.int64), first)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block), pa.array(doc[first], pa.int64()), pa.array(pos.astype(np.int32)), _lists(first, len(start), pa.array(ref, mask=~known)),
+                     _lists(np.cumsum(sizes) - sizes, int(sizes.sum()), pa.array(wide[sent]))],
+                    ["block", "doc_id", "pos", "refs", "hashes"])
     return run
 
 
+def _look_up(entries: pa.Table) -> pa.RecordBatch:
+    """References of whole blocks: entries with all others of their block."""
+    entries = entries.combine_chunks()
+    hashes, refs = (entries.column(c).combine_chunks() for c in ("hashes", "refs"))
+    counts = hashes.value_lengths().to_numpy(zero_copy_only=False)
+    doc = entries.column("doc_id").to_numpy()
+    holder = np.repeat(doc, counts)
+    flat = refs.flatten()
+    known = flat.is_valid().to_numpy(zero_copy_only=False).copy()
+    ref = flat.fill_null(0).to_numpy(zero_copy_only=False).copy()
+    sizes = refs.value_lengths().to_numpy(zero_copy_only=False)
+    sent = np.repeat(counts > 0, sizes)
+    least = _smallest(hashes.flatten().to_numpy(zero_copy_only=False), holder)
+    ref[sent] = least
+    known[sent] = least < holder
+    first = np.cumsum(sizes) - sizes
+    some = np.logical_or.reduceat(known, first)
+    keep = np.repeat(some, sizes)
+    sizes = sizes[some]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc[some]), pa.array(entries.column("pos").to_numpy()[some]),
+         _lists(np.cumsum(sizes) - sizes, int(sizes.sum()), pa.array(ref[keep], mask=~known[keep]))], ["doc_id", "pos", "refs"])
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries arrive sorted by block; the last block of a batch waits for
+    the next batch. A block holds at most one slice's worth of entries per slice."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block = batch.column("block").to_numpy()
+        cut = int(np.searchsorted(block, block[-1]))
+        if cut and rest or rest and rest[-1].column("block")[-1].as_py() != block[0]:
+            yield _look_up(pa.Table.from_batches([*rest, batch.slice(0, cut)]))
+            rest = []
+        elif cut:
+            yield _look_up(pa.Table.from_batches([batch.slice(0, cut)]))
+        rest.append(batch.slice(cut))
+    if rest:
+        yield _look_up(pa.Table.from_batches(rest))
+
+
 def matches(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, pos, ref): every window (by its first word) of ``docs``
-    (doc_id, text) that also starts in a document with a smaller id; ref is
-    the smallest such document."""
+    """(doc_id, pos, refs) of ``docs`` (doc_id, text): for consecutive windows
+    from word pos on, a document with a smaller id in which the window also
+    starts (null: none)."""
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     anchors = texts.mapInArrow(_anchor_rows(window, anchor), "doc_id long, anchor long")
     shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     lists = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    windows = texts.join(lists, "doc_id").mapInArrow(_window_rows(window, anchor), "window long, doc_id long, pos int")
-    return _looked_up(windows)
-
-
-def _looked_up(windows: DataFrame) -> DataFrame:
-    index = windows.groupBy("window").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last")).where("ref < last").select("window", "ref")
-    return windows.join(index, "window").where("ref < doc_id").select("doc_id", "pos", "ref")
+    entries = texts.join(lists, "doc_id").mapInArrow(_entry_rows(window, anchor), "block long, doc_id long, pos int, refs array<long>, hashes array<long>")
+    return entries.repartition("block").sortWithinPartitions("block").mapInArrow(_looked_up, "doc_id long, pos int, refs array<long>")
 
 
 def factors(pos: np.ndarray, ref: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
@@ -118,8 +189,8 @@ def factors(pos: np.ndarray, ref: np.ndarray, window: int = WINDOW) -> list[tupl
     of each maximal run of consecutive windows with one reference."""
     if not len(pos):
         return []
-    order = np.argsort(pos, kind="stable")
-    pos, ref = pos[order], ref[order]
+    pos, first = np.unique(pos, return_index=True)  # rows that repeat a document name a window more than once
+    ref = ref[first]
     new = np.flatnonzero(np.r_[True, (pos[1:] > pos[:-1] + 1) | (ref[1:] != ref[:-1])])
     last = np.r_[new[1:], len(pos)] - 1
     return [(int(pos[a]), int(pos[b] - pos[a]) + window, int(ref[a])) for a, b in zip(new, last)]
@@ -135,8 +206,12 @@ def _removed(window: int) -> Callable:
                     words = text.split()
                     n_words.append(len(words))
                     if found.is_valid and len(found.values):
-                        values = found.values
-                        parsed = factors(values.field("pos").to_numpy(zero_copy_only=False), values.field("ref").to_numpy(zero_copy_only=False), window)
+                        refs = found.values.field("refs")
+                        sizes = refs.value_lengths().to_numpy(zero_copy_only=False)
+                        pos = np.repeat(found.values.field("pos").to_numpy(zero_copy_only=False), sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                        flat = refs.flatten()
+                        some = flat.is_valid().to_numpy(zero_copy_only=False)
+                        parsed = factors(pos[some], flat.fill_null(0).to_numpy(zero_copy_only=False)[some], window)
                         keep = np.ones(len(words), bool)
                         for start, size, _ in parsed:
                             keep[start: start + size] = False
@@ -158,7 +233,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
     ignored): doc_id, n_words, n_removed, kept_text (kept words joined by one
     space) and factors (start word, words, reference document)."""
     texts = docs.select("doc_id", "text")
-    found = matches(texts, window, anchor).groupBy("doc_id").agg(F.collect_set(F.struct("pos", "ref")).alias("found"))
+    found = matches(texts, window, anchor).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "refs")).alias("found"))
     known = texts.where("doc_id IS NOT NULL").join(found, "doc_id", "left")  # the same exchange of texts as in matches()
-    none = texts.where("doc_id IS NULL").withColumn("found", F.lit(None).cast("array<struct<pos:int,ref:long>>"))
+    none = texts.where("doc_id IS NULL").withColumn("found", F.lit(None).cast("array<struct<pos:int,refs:array<long>>>"))
     return known.unionByName(none).mapInArrow(_removed(window), "doc_id long, n_words long, n_removed long, kept_text string, factors array<struct<start:long,words:long,ref:long>>")
