@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from mailsift.llm.tables import read_table
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents linked at Jaccard >= 0.85 of their 4-word shingles."""
+    from mailsift.llm.jaccard_join import groups
+
+    return groups(read_table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of 13-word windows that an earlier document also holds."""
     from mailsift.llm.substring_dedup import dedup
