@@ -28,7 +28,7 @@ Defined results: words are runs of non-white-space characters after
 lower-casing A-Z; a text of fewer than n words is one shingle; null or empty
 texts have no shingle and link with nothing; a null id links with nothing and
 has a null component; rows that repeat an id are one node (linked by what any
-of them links). Shingles compare by 64-bit hashes.
+of them links). Shingles compare by 52-bit hashes.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from mailsift.llm.links import components
 from mailsift.llm.tables import handoff
-from mailsift.llm.words import Words, mix, signed, slices, text_column
+from mailsift.llm.words import Words, by_row, distinct, mix, row_of, signed, slices, text_column
 
 #: Entries of each of the two frequency tables that order the shingles (a bound
 #: on what is broadcast; the order, and so the result, is exact for any table).
@@ -51,9 +51,13 @@ MAX_COMMON = 1 << 16
 CELL = 256
 
 
+_KEY = np.uint64((1 << 52) - 1)
+
+
 class Sets:
-    """The shingle sets of one slice: ``shingle`` sorted and distinct within
-    each row, row i at ``first[i]:first[i + 1]``; ``cost`` orders them."""
+    """The shingle sets of one slice: ``shingle`` (52-bit hashes) sorted and
+    distinct within each row, row i at ``first[i]:first[i + 1]``; ``both``
+    holds row and shingle in one number; ``cost`` orders a row's shingles."""
 
     def __init__(self, texts: pa.LargeStringArray, n: int, words: tuple | None = None, shingles: tuple | None = None):
         w = Words(texts, lower=True)
@@ -66,21 +70,24 @@ class Sets:
                 at = np.r_[at, w.first[rows]]
                 key = np.r_[key, h[np.searchsorted(a, w.first[rows])]]
         row = w.row[at]
-        cost = np.zeros(len(at), np.int64)
-        if words is not None:
+        both = by_row(row, key)
+        self.words, self.cost = w, None
+        if words is None:
+            both.sort()
+            both = both[distinct(both)]
+        else:
             common = _find(w.hash, *words)
+            cost = common[at].copy()
             span = np.minimum(n, size[row])
-            for k in range(n):
-                inside = k < span
+            for k in range(1, n):
+                inside = np.flatnonzero(k < span)
                 cost[inside] += common[at[inside] + k]
-            hot = _find(key, *shingles)
-            cost += hot * 1000
-        order = np.lexsort((key, row))
-        row, key, cost = row[order], key[order], cost[order]
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
-        self.words = w
-        self.row, self.shingle, self.cost = row[new], key[new], cost[new]
+            order = np.argsort(both)
+            new = distinct(both[order])
+            order = order[new]
+            both, cost = both[order], cost[order]
+            self.cost = cost + 256 * _find(both & _KEY, *shingles)
+        self.both, self.row, self.shingle = both, row_of(both), both & _KEY
         self.first = np.searchsorted(self.row, np.arange(w.rows + 1))
         self.size = np.diff(self.first)
 
@@ -132,7 +139,7 @@ def _leads(n: int, percent: int, words: tuple, shingles: tuple) -> Callable:
         for batch in batches:
             for part in slices(batch):
                 sets = Sets(text_column(part, "text"), n, words, shingles)
-                order = np.lexsort((sets.shingle, sets.cost, sets.row))
+                order = np.argsort((sets.row << 32) | sets.cost, kind="stable")  # ties: by shingle
                 leads = sets.size - (percent * sets.size + 99) // 100 + (sets.size > 0)
                 place = np.arange(len(order)) - sets.first[sets.row]
                 kept = order[place < leads[sets.row]]
@@ -147,8 +154,8 @@ def _distances(n: int) -> Callable:
         for batch in batches:
             for part in slices(batch):
                 x, p = Sets(text_column(part, "text"), n), Sets(text_column(part, "pivot_text"), n)
-                key = lambda s: mix(s.shingle ^ mix(s.row.astype(np.uint64)))
-                both = np.bincount(x.row[np.isin(key(x), key(p))], minlength=part.num_rows)
+                merged = np.sort(np.concatenate([x.both, p.both]))
+                both = np.bincount(row_of(merged[~distinct(merged)]), minlength=part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column("pivot"), part.column("doc_id"), pa.array(both.astype(np.int64)), pa.array((x.size + p.size - both).astype(np.int64)), part.column("text")],
                                                  ["pivot", "doc_id", "both", "either", "text"])
     return run
@@ -241,13 +248,14 @@ def _cell_links(n: int, percent: int) -> Callable:
 def _region_links(measured: DataFrame, n: int, percent: int) -> DataFrame:
     """Links among the documents of each region other than to its pivot."""
     far = F.col("both") * 100 < F.col("either") * percent
-    sized = measured.groupBy("pivot").agg(F.count("*").alias("members"), F.sum(far.cast("long")).alias("far")).where("far > 0 AND members > 1")
+    placeable = measured.select("pivot", "doc_id", "both", "either")
+    sized = placeable.groupBy("pivot").agg(F.count("*").alias("members"), F.sum(far.cast("long")).alias("far")).where("far > 0 AND members > 1")
     width = (100 - percent) / 100
-    ringed = (measured.join(sized.select("pivot", "members"), "pivot")
+    ringed = (placeable.join(sized.select("pivot", "members"), "pivot")
               .withColumn("ring", F.when(F.col("members") <= CELL, F.lit(0)).otherwise(F.floor((1 - F.col("both") / F.col("either")) / width).cast("int"))))
     deals = ringed.groupBy("pivot", "ring", "members").agg(F.ceil(F.count("*") / CELL).cast("int").alias("deals"))
-    celled = (ringed.join(deals.drop("members"), ["pivot", "ring"]).withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.col("deals")).cast("int"))
-              .select("pivot", "ring", "cell", "doc_id", "both", "either", "text"))
+    celled = (ringed.join(deals.drop("members"), ["pivot", "ring"])
+              .select("pivot", "ring", F.pmod(F.xxhash64("doc_id"), F.col("deals")).cast("int").alias("cell"), "doc_id"))
     cells = deals.select("pivot", "ring", "members", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("cell"))
     other = cells.select("pivot", F.col("ring").alias("ring2"), F.col("cell").alias("cell2"))
     meets = (cells.join(other, "pivot")
@@ -257,7 +265,8 @@ def _region_links(measured: DataFrame, n: int, percent: int) -> DataFrame:
     first = celled.join(meets, ["pivot", "ring", "cell"]).withColumn("side", F.lit(0))
     second = (celled.withColumnsRenamed({"ring": "ring2", "cell": "cell2"})
               .join(meets.where("ring <> ring2 OR cell <> cell2"), ["pivot", "ring2", "cell2"]).withColumn("side", F.lit(1)))
-    return first.unionByName(second).groupBy("pivot", "ring", "cell", "ring2", "cell2").applyInArrow(_cell_links(n, percent), "a long, b long")
+    placed = first.unionByName(second).join(measured, ["pivot", "doc_id"])
+    return placed.groupBy("pivot", "ring", "cell", "ring2", "cell2").applyInArrow(_cell_links(n, percent), "a long, b long")
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -272,11 +281,14 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Dat
     points = full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("point"))
     same = handoff(full.select("doc_id", "f1", "f2", "n_shingles").join(points, ["f1", "f2", "n_shingles"]).where("doc_id <> point").select("doc_id", "point").distinct(), "same")
     entries = full.select("doc_id", F.explode("leads").alias("lead"))
-    pivots = entries.groupBy("lead").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("lead", "pivot")
+    pivots = entries.groupBy("lead").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("lead", "pivot")
     met = entries.join(pivots, "lead").where("doc_id <> pivot").select("pivot", "doc_id").distinct()
     as_point = lambda df, c: df.join(same.select(F.col("doc_id").alias(c), "point"), c, "left").withColumn(c, F.coalesce("point", c)).drop("point")
     pairs = as_point(as_point(met, "doc_id"), "pivot").where("doc_id <> pivot").distinct()
-    measured = handoff(pairs.join(known, "doc_id").join(known.select(F.col("doc_id").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
+    # Both joins read one exchange of the texts.
+    x, p = known.alias("x"), known.alias("p")
+    both = pairs.join(x, F.col("x.doc_id") == pairs.doc_id).select("pivot", "x.doc_id", "x.text").join(p, F.col("p.doc_id") == F.col("pivot"))
+    measured = handoff(both.select("pivot", "x.doc_id", "x.text", F.col("p.text").alias("pivot_text"))
                        .mapInArrow(_distances(n), "pivot long, doc_id long, both long, either long, text string"), "measured")
     direct = measured.where(F.col("both") * 100 >= F.col("either") * percent).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
     links = same.select(F.col("point").alias("a"), F.col("doc_id").alias("b")).unionByName(direct).unionByName(_region_links(measured, n, percent))

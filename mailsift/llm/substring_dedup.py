@@ -39,8 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailsift.llm.words import Words, mix, signed, slices, text_column
+from mailsift.llm.words import Words, by_row, distinct, mix, row_of, signed, slices, text_column
 
+_KEY = np.uint64((1 << 52) - 1)
 WINDOW = 13
 ANCHOR = 5
 
@@ -70,23 +71,21 @@ def _anchor_rows(window: int, anchor: int) -> Callable:
                 words = Words(text_column(part, "text"))
                 _, best, grams = _anchors(words, window, anchor)
                 best = np.unique(best)
-                row, gram = words.row[best], grams[best]
-                order = np.lexsort((gram, row))
-                row, gram = row[order], gram[order]
-                new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
+                both = by_row(words.row[best], grams[best])
+                both.sort()
+                both = both[distinct(both)]
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row[new]], pa.int64()), pa.array(signed(gram[new]))], ["doc_id", "anchor"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row_of(both)], pa.int64()), pa.array(signed(both & _KEY))], ["doc_id", "anchor"])
     return run
 
 
 def _smallest(window: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """The smallest document that holds each entry's window."""
-    order = np.lexsort((doc, window))
-    sorted_w = window[order]
-    new = np.r_[True, sorted_w[1:] != sorted_w[:-1]] if len(order) else np.zeros(0, bool)
+    order = np.argsort(window)
+    new = distinct(window[order])
     out = np.empty(len(doc), np.int64)
-    out[order] = doc[order][new][np.cumsum(new) - 1]
+    if len(order):
+        out[order] = np.minimum.reduceat(doc[order], np.flatnonzero(new))[np.cumsum(new) - 1]
     return out
 
 
@@ -106,8 +105,7 @@ def _entry_rows(window: int, anchor: int) -> Callable:
                 lists = part.column("anchors")
                 shared = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                key = lambda row, gram: mix(gram ^ mix(row.astype(np.uint64)))
-                hit = np.isin(key(words.row[best], grams[best]), key(owner, shared))
+                hit = np.isin(by_row(words.row[best], grams[best]), (owner.astype(np.uint64) << np.uint64(52)) | shared)
                 start, best = start[hit], best[hit]
                 if not len(start):
                     continue

@@ -17,6 +17,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at once (one longer text is a slice of its own).
 SLICE_BYTES = 4 << 20
+#: Rows handled at once: a row number fits 12 bits of a 64-bit sort key.
+SLICE_ROWS = 1 << 12
 _LONG_WORD = 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -41,13 +43,13 @@ def text_column(batch: pa.RecordBatch, name: str) -> pa.LargeStringArray:
 
 def slices(batch: pa.RecordBatch, name: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive row ranges of ``batch`` with at most ``limit`` bytes of
-    text each (a single longer row stands alone)."""
+    text each (a single longer row stands alone) and SLICE_ROWS rows."""
     if batch.num_rows == 0:
         return
     sizes = np.diff(_offsets(text_column(batch, name)))
     start, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
-        if total and total + n > limit:
+        if total and total + n > limit or i - start == SLICE_ROWS:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += n
@@ -132,6 +134,22 @@ class Words:
         return [self.data[s:e].tobytes() for s, e in zip(self.start[a:b], self.end[a:b])]
 
 
+def by_row(row: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """(row, key) as one number: 12 bits of row above the key's leading 52."""
+    return (row.astype(np.uint64) << np.uint64(52)) | (key >> np.uint64(12))
+
+
+def row_of(number: np.ndarray) -> np.ndarray:
+    return (number >> np.uint64(52)).astype(np.int64)
+
+
+def distinct(number: np.ndarray) -> np.ndarray:
+    """Mask of the first of equal neighbours in a sorted array."""
+    new = np.ones(len(number), bool)
+    new[1:] = number[1:] != number[:-1]
+    return new
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """uint64 hashes as the int64 that Spark's long column holds."""
     return np.ascontiguousarray(x).view(np.int64)
