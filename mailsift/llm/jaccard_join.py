@@ -9,16 +9,19 @@ link when their distance is at most eps. The join is exact:
    these lead shingles are mostly unique. The smallest document with a lead
    shingle is its pivot; every linked pair therefore meets in a region, the
    documents that share a lead shingle with one pivot.
-2. *Distances* of all documents of a region to its pivot, a number of rows
-   linear in the lead shingles. Documents within eps are linked to the pivot.
-3. *Regions.* Pairs of one region that are not both within eps of the pivot
-   may still link. By the triangle inequality their distances to the pivot
-   differ by eps at most: a large region is cut into rings of width eps and
-   each ring meets itself and the next only. Rings are dealt into cells; pairs
-   of cells are joined in parallel. Within a pair of cells the join recurses:
-   new pivots split the documents into Voronoi regions, documents that are at
-   most 2 eps farther from another pivot than from their own are replicated to
-   it, and small or undivided regions are compared outright.
+2. *Windows.* The sizes and the places of the shared leads bound the overlap
+   of two documents of a region; documents with no possible partner leave a
+   region before any text is read.
+3. *Large regions* (over CELL documents) are measured against their pivot, one
+   row per document. Documents within eps are linked to the pivot; any others
+   link only if, by the triangle inequality, their distances to the pivot
+   differ by eps at most. So the region is cut into rings of width eps, each
+   ring meets itself and the next only, and pairs within the innermost ring
+   are skipped. Rings are dealt into cells; pairs of cells join in parallel.
+4. Within a small region or a pair of cells the join recurses: new pivots split
+   the documents into Voronoi regions, documents that are at most 2 eps farther
+   from another pivot than from their own are replicated to it, and small or
+   undivided regions are compared outright.
 
 Documents with equal sets are one point of the space, whatever their number.
 The links returned connect exactly the documents that the full link graph
@@ -156,8 +159,25 @@ def _distances(n: int) -> Callable:
                 x, p = Sets(text_column(part, "text"), n), Sets(text_column(part, "pivot_text"), n)
                 merged = np.sort(np.concatenate([x.both, p.both]))
                 both = np.bincount(row_of(merged[~distinct(merged)]), minlength=part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("pivot"), part.column("doc_id"), pa.array(both.astype(np.int64)), pa.array((x.size + p.size - both).astype(np.int64)), part.column("text")],
-                                                 ["pivot", "doc_id", "both", "either", "text"])
+                yield pa.RecordBatch.from_arrays([part.column("pivot"), part.column("doc_id"), pa.array(1 - both / (x.size + p.size - both)), pa.array(100 * both >= (x.size + p.size - both) * part.column("percent").to_numpy())],
+                                                 ["pivot", "doc_id", "distance", "near"])
+    return run
+
+
+def _possible(size: np.ndarray, place: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+    """Which of others may share enough with i: at most the smaller set, less
+    what precedes the first shared lead, and 100 x >= percent (m + m' - x)."""
+    most = np.minimum(size[i] - place[i], size[others] - place[others])
+    return (100 + percent) * most >= percent * (size[i] + size[others])
+
+
+def _partnered(percent: int) -> Callable:
+    """The documents of a small region that have a possible partner."""
+    def run(table: pa.Table) -> pa.Table:
+        size, place = table.column("n_shingles").to_numpy(), table.column("place").to_numpy()
+        everyone = np.arange(len(size))
+        some = np.array([(_possible(size, place, i, everyone, percent) & (everyone != i)).any() for i in everyone], bool)
+        return table.filter(pa.array(some))
     return run
 
 
@@ -224,18 +244,17 @@ class _Region:
 
 def _cell_links(n: int, percent: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        batch = table.to_batches()[0]
+        batch = table.combine_chunks().to_batches()[0]
         sets = Sets(text_column(batch, "text"), n)
-        side = batch.column("side").to_numpy()
-        ring = 1 - batch.column("both").to_numpy() / batch.column("either").to_numpy()
+        side, place = batch.column("side").to_numpy(), batch.column("place").to_numpy()
+        ring = batch.column("distance").to_numpy(zero_copy_only=False)  # nan in a small region
         eps = 1 - percent / 100 + 1e-9
         two = bool((side == 1).any())
 
         def apart(i: int, others: np.ndarray) -> np.ndarray:
-            near = np.abs(ring[others] - ring[i]) <= eps
-            near &= ~((ring[others] <= eps) & (ring[i] <= eps))  # both are linked to the pivot
-            return near & (side[others] != side[i]) if two else near
+            may = _possible(sets.size, place, i, others, percent) & ~(np.abs(ring[others] - ring[i]) > eps)
+            may &= ~((ring[others] <= eps - 2e-9) & (ring[i] <= eps - 2e-9))  # both are linked to the pivot
+            return may & (side[others] != side[i]) if two else may
 
         region = _Region(sets, percent, apart)
         region.join(np.arange(batch.num_rows))
@@ -245,28 +264,19 @@ def _cell_links(n: int, percent: int) -> Callable:
     return run
 
 
-def _region_links(measured: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links among the documents of each region other than to its pivot."""
-    far = F.col("both") * 100 < F.col("either") * percent
-    placeable = measured.select("pivot", "doc_id", "both", "either")
-    sized = placeable.groupBy("pivot").agg(F.count("*").alias("members"), F.sum(far.cast("long")).alias("far")).where("far > 0 AND members > 1")
-    width = (100 - percent) / 100
-    ringed = (placeable.join(sized.select("pivot", "members"), "pivot")
-              .withColumn("ring", F.when(F.col("members") <= CELL, F.lit(0)).otherwise(F.floor((1 - F.col("both") / F.col("either")) / width).cast("int"))))
-    deals = ringed.groupBy("pivot", "ring", "members").agg(F.ceil(F.count("*") / CELL).cast("int").alias("deals"))
-    celled = (ringed.join(deals.drop("members"), ["pivot", "ring"])
-              .select("pivot", "ring", F.pmod(F.xxhash64("doc_id"), F.col("deals")).cast("int").alias("cell"), "doc_id"))
-    cells = deals.select("pivot", "ring", "members", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("cell"))
+def _cells(large: DataFrame, percent: int) -> DataFrame:
+    """Members (pivot, doc_id, place, distance) of large regions, one row for
+    each pair of cells (ring, cell, ring2, cell2) that they take part in."""
+    ringed = large.withColumn("ring", F.floor(F.col("distance") / ((100 - percent) / 100)).cast("int"))
+    deals = ringed.groupBy("pivot", "ring").agg(F.ceil(F.count("*") / CELL).cast("int").alias("deals"))
+    celled = ringed.join(deals, ["pivot", "ring"]).withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.col("deals")).cast("int")).drop("deals")
+    cells = deals.select("pivot", "ring", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("cell"))
     other = cells.select("pivot", F.col("ring").alias("ring2"), F.col("cell").alias("cell2"))
-    meets = (cells.join(other, "pivot")
-             .where("(ring2 = ring AND cell2 >= cell) OR ring2 = ring + 1")
-             .where(f"members <= {CELL} OR NOT (ring = 0 AND ring2 = 0)")
-             .select("pivot", "ring", "cell", "ring2", "cell2"))
+    meets = cells.join(other, "pivot").where("(ring2 = ring AND cell2 >= cell AND ring > 0) OR ring2 = ring + 1")
     first = celled.join(meets, ["pivot", "ring", "cell"]).withColumn("side", F.lit(0))
     second = (celled.withColumnsRenamed({"ring": "ring2", "cell": "cell2"})
               .join(meets.where("ring <> ring2 OR cell <> cell2"), ["pivot", "ring2", "cell2"]).withColumn("side", F.lit(1)))
-    placed = first.unionByName(second).join(measured, ["pivot", "doc_id"])
-    return placed.groupBy("pivot", "ring", "cell", "ring2", "cell2").applyInArrow(_cell_links(n, percent), "a long, b long")
+    return first.unionByName(second)
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -280,18 +290,26 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Dat
     full = leads.where("doc_id IS NOT NULL AND n_shingles > 0")
     points = full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("point"))
     same = handoff(full.select("doc_id", "f1", "f2", "n_shingles").join(points, ["f1", "f2", "n_shingles"]).where("doc_id <> point").select("doc_id", "point").distinct(), "same")
-    entries = full.select("doc_id", F.explode("leads").alias("lead"))
+    several = full.groupBy("doc_id").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).where("low <> high").select("doc_id")  # an id with unequal texts stays
+    entries = full.select("doc_id", "n_shingles", F.posexplode("leads").alias("place", "lead"))
     pivots = entries.groupBy("lead").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("lead", "pivot")
-    met = entries.join(pivots, "lead").where("doc_id <> pivot").select("pivot", "doc_id").distinct()
-    as_point = lambda df, c: df.join(same.select(F.col("doc_id").alias(c), "point"), c, "left").withColumn(c, F.coalesce("point", c)).drop("point")
-    pairs = as_point(as_point(met, "doc_id"), "pivot").where("doc_id <> pivot").distinct()
-    # Both joins read one exchange of the texts.
-    x, p = known.alias("x"), known.alias("p")
-    both = pairs.join(x, F.col("x.doc_id") == pairs.doc_id).select("pivot", "x.doc_id", "x.text").join(p, F.col("p.doc_id") == F.col("pivot"))
-    measured = handoff(both.select("pivot", "x.doc_id", "x.text", F.col("p.text").alias("pivot_text"))
-                       .mapInArrow(_distances(n), "pivot long, doc_id long, both long, either long, text string"), "measured")
-    direct = measured.where(F.col("both") * 100 >= F.col("either") * percent).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-    links = same.select(F.col("point").alias("a"), F.col("doc_id").alias("b")).unionByName(direct).unionByName(_region_links(measured, n, percent))
+    members = handoff(entries.join(pivots, "lead").groupBy("pivot", "doc_id", "n_shingles").agg(F.min("place").alias("place"))
+                      .join(same.join(several, "doc_id", "left_anti"), "doc_id", "left_anti"), "members")
+    sized = members.groupBy("pivot").agg(F.count("*").alias("members")).where("members > 1")
+    member_type = "pivot long, doc_id long, n_shingles long, place int"
+    small = members.join(sized.where(F.col("members") <= CELL), "pivot").select("pivot", "doc_id", "n_shingles", "place").groupBy("pivot").applyInArrow(_partnered(percent), member_type)
+    large = members.join(sized.where(F.col("members") > CELL), "pivot").select("pivot", "doc_id", "n_shingles", "place")
+    small, large = handoff(small, "small"), handoff(large, "large")
+    wanted = small.select("doc_id").unionByName(large.select("doc_id")).distinct()
+    read = handoff(known.join(wanted, "doc_id"), "texts")
+    pivot_texts = read.select(F.col("doc_id").alias("pivot"), F.col("text").alias("pivot_text"))
+    measured = handoff(large.select("pivot", "doc_id").join(read, "doc_id").join(pivot_texts, "pivot").withColumn("percent", F.lit(percent))
+                       .mapInArrow(_distances(n), "pivot long, doc_id long, distance double, near boolean"), "measured")
+    direct = measured.where("near AND pivot <> doc_id").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
+    cells = _cells(large.join(measured.select("pivot", "doc_id", "distance"), ["pivot", "doc_id"]), percent)
+    whole = small.select("pivot", "doc_id", "place", F.lit(float("nan")).alias("distance"), *(F.lit(0).alias(c) for c in ("ring", "cell", "ring2", "cell2", "side")))
+    compared = whole.unionByName(cells.drop("n_shingles")).join(read, "doc_id").groupBy("pivot", "ring", "cell", "ring2", "cell2").applyInArrow(_cell_links(n, percent), "a long, b long")
+    links = same.select(F.col("point").alias("a"), F.col("doc_id").alias("b")).unionByName(direct).unionByName(compared)
     return leads.select("doc_id", "n_shingles"), links
 
 
