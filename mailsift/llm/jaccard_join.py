@@ -172,12 +172,33 @@ def _possible(size: np.ndarray, place: np.ndarray, i: int, others: np.ndarray, p
 
 
 def _partnered(percent: int) -> Callable:
-    """The documents of a small region that have a possible partner."""
+    """The documents of a small region that have a possible partner. With the
+    leads at hand: of the document whose leads end first, a lead that is not
+    shared is missing in the other set, so a linked pair shares at least
+    overlap - ceil(t max(m, m')) + 1 leads."""
     def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
         size, place = table.column("n_shingles").to_numpy(), table.column("place").to_numpy()
         everyone = np.arange(len(size))
-        some = np.array([(_possible(size, place, i, everyone, percent) & (everyone != i)).any() for i in everyone], bool)
-        return table.filter(pa.array(some))
+        shared = None
+        if "leads" in table.column_names:
+            lists = table.column("leads").combine_chunks()
+            _, index = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            ends = np.cumsum(lists.value_lengths().to_numpy())
+            starts = np.r_[0, ends[:-1]]
+            mark = np.zeros(len(index), np.int64)
+        some = np.zeros(len(size), bool)
+        for i in everyone.tolist():
+            may = _possible(size, place, i, everyone, percent)
+            if "leads" in table.column_names:
+                mark[index[starts[i]: ends[i]]] = 1
+                shared = np.add.reduceat(mark[index], starts)
+                mark[index[starts[i]: ends[i]]] = 0
+                need = -(-percent * (size[i] + size) // (100 + percent)) + (-percent * np.maximum(size[i], size) // 100) + 1
+                may &= shared >= need
+            may[i] = False
+            some[i] = may.any()
+        return table.filter(pa.array(some)).select(["pivot", "doc_id", "n_shingles", "place"])
     return run
 
 
@@ -299,9 +320,10 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Dat
     member_type = "pivot long, doc_id long, n_shingles long, place int"
     small = members.join(sized.where(F.col("members") <= CELL), "pivot").select("pivot", "doc_id", "n_shingles", "place").groupBy("pivot").applyInArrow(_partnered(percent), member_type)
     large = members.join(sized.where(F.col("members") > CELL), "pivot").select("pivot", "doc_id", "n_shingles", "place")
+    small = handoff(small, "small").join(full.select("doc_id", "n_shingles", "leads").hint("merge"), ["doc_id", "n_shingles"]).groupBy("pivot").applyInArrow(_partnered(percent), member_type)
     small, large = handoff(small, "small"), handoff(large, "large")
     wanted = small.select("doc_id").unionByName(large.select("doc_id")).distinct()
-    read = handoff(known.join(wanted, "doc_id"), "texts")
+    read = handoff(known.hint("merge").join(wanted, "doc_id"), "texts")  # one plan at every size
     pivot_texts = read.select(F.col("doc_id").alias("pivot"), F.col("text").alias("pivot_text"))
     measured = handoff(large.select("pivot", "doc_id").join(read, "doc_id").join(pivot_texts, "pivot").withColumn("percent", F.lit(percent))
                        .mapInArrow(_distances(n), "pivot long, doc_id long, distance double, near boolean"), "measured")
