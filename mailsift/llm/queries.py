@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 from mailsift.llm.tables import read_table
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of equal row counts and equal mixture of sources."""
+    from mailsift.llm.sharding import shard
+
+    docs = read_table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "source", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
+                       F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+    out = shard(rows, 40, tie=("text_crc32", "size"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents linked at Jaccard >= 0.85 of their 4-word shingles."""
     from mailsift.llm.jaccard_join import groups
@@ -18,6 +29,24 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(read_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of all documents and the verdict after frequent lines of their source are removed."""
+    from mailsift.llm.quality_rules import rules
+
+    out = rules(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_kept_words")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in all documents."""
+    from mailsift.llm.pii import find
+
+    joined = lambda kinds: F.expr(f"array_join(transform(filter(spans, s -> {kinds}), s -> concat_ws(':', s.kind, s.start, s.end)), ',')")
+    out = find(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.expr(f"CAST(size(filter(spans, s -> s.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return out.select("doc_id", *counts, F.sha2(joined("s.kind IN ('email', 'ip', 'card', 'phone')"), 256).alias("base_sha256"), joined("true").alias("spans"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of 13-word windows that an earlier document also holds."""
     from mailsift.llm.substring_dedup import dedup
