@@ -36,13 +36,13 @@ _WORDS = f"array_remove(split({{}}, '{_SPACE}', -1), '')"
 # Words covered by windows found twice or more: window starts sorted, each adds what the next does not cover.
 _COVERED = """
 aggregate(
-  zip_with(starts, slice(starts, 2, size(starts)), (a, b) -> least(8, coalesce(b - a, 8))),
+  zip_with(_starts, slice(_starts, 2, size(_starts)), (a, b) -> least(8, coalesce(b - a, 8))),
   0L, (sum, x) -> sum + x)
 """
 _STARTS = """
 array_sort(array_distinct(flatten(transform(
   filter(
-    zip_with(slice(sorted, 1, size(sorted) - 1), slice(sorted, 2, size(sorted) - 1), (a, b) -> IF(a.h = b.h, array(a.i, b.i), null)),
+    zip_with(slice(_sorted, 1, size(_sorted) - 1), slice(_sorted, 2, size(_sorted) - 1), (a, b) -> IF(a.h = b.h, array(a.i, b.i), null)),
     p -> p IS NOT NULL), p -> p))))
 """
 
@@ -68,11 +68,16 @@ def measured(docs: DataFrame) -> DataFrame:
            .withColumn("word_chars", F.char_length(F.array_join("_w", "")).cast("long"))
            .withColumn("n_symbols", (F.char_length("_t") - F.char_length(F.translate("_t", "#*$%&|<>", ""))).cast("long"))
            .withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
-           .withColumn("_h", F.expr("IF(n_words > 8, transform(sequence(1, CAST(n_words AS INT) - 7), i -> xxhash64(slice(_w, i, 8))), array())")))
-    out = out.withColumn("_again", F.size(F.array_distinct("_h")) < F.size("_h"))
-    covered = "IF(_again, " + _COVERED.replace("starts", "(" + _STARTS.strip() + ")").replace("sorted", "sort_array(transform(_h, (h, i) -> struct(h AS h, i AS i)))").strip() + ", 0L)"
-    out = out.withColumn("n_repeat_words", F.expr(covered))
-    return out.withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")).drop("_l", "_h", "_again", "_w")
+           .withColumn("_h", F.expr("transform(_w, w -> xxhash64(w))")))
+    for step in (1, 2, 4):  # hashes of 2, 4, then 8 words from those of half as many
+        left, right = (f"slice(_h, {at}, greatest(size(_h) - {step}, 0))" for at in (1, 1 + step))
+        out = out.withColumn("_h", F.expr(f"zip_with({left}, {right}, (a, b) -> xxhash64(a, b))"))
+    again = F.size(F.array_distinct("_h")) < F.size("_h")
+    out = out.withColumn("_sorted", F.when(again, F.expr("sort_array(transform(_h, (h, i) -> struct(h AS h, i AS i)))")))
+    out = out.withColumn("_starts", F.when(F.col("_sorted").isNotNull(), F.expr(_STARTS)))
+    out = out.withColumn("n_repeat_words", F.coalesce(F.expr(_COVERED), F.lit(0).cast("long")))
+    return out.withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")).drop("_l", "_h", "_sorted", "_starts", "_w")
+
 
 
 def rules(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
