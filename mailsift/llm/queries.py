@@ -22,6 +22,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of at most 2048 tokens, packed into few sequences."""
+    from mailsift.llm.packing import pack
+
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents linked at Jaccard >= 0.85 of their 4-word shingles."""
     from mailsift.llm.jaccard_join import groups
@@ -29,6 +36,16 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(read_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op5_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; a fifth of the ids is held out of the fit."""
+    from mailsift.llm.compression_classifier import fit, score
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    model = fit(docs, read_table(spark, sf_dir, "labels").where(~held_out))
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of all documents and the verdict after frequent lines of their source are removed."""
     from mailsift.llm.quality_rules import rules
@@ -47,6 +64,14 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(joined("s.kind IN ('email', 'ip', 'card', 'phone')"), 256).alias("base_sha256"), joined("true").alias("spans"))
 
 
+def op9_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all embeddings linked at cosine >= 0.9."""
+    from mailsift.llm.epsilon_grid import groups
+
+    out = groups(read_table(spark, sf_dir, "embeddings"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of 13-word windows that an earlier document also holds."""
     from mailsift.llm.substring_dedup import dedup
