@@ -22,6 +22,16 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op2_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampled segmentation of every whole document, and the checksum of its text after decoding."""
+    from mailsift.llm.piece_sampling import decode, encode
+
+    ids = encode(read_table(spark, sf_dir, "documents"))
+    joined = F.struct("doc_id", "ids").alias("doc_id")  # ids travel with the decoded text
+    both = decode(ids.select(joined, "ids")).select("doc_id.doc_id", "doc_id.ids", "text")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.crc32("text").alias("decoded_crc32"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of at most 2048 tokens, packed into few sequences."""
     from mailsift.llm.packing import pack
