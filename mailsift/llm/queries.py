@@ -74,6 +74,16 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(joined("s.kind IN ('email', 'ip', 'card', 'phone')"), 256).alias("base_sha256"), joined("true").alias("spans"))
 
 
+def op8_chat_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles and canonical turns of all conversations, recovered from raw
+    transcripts; the model learns from four fifths of the conversations."""
+    from mailsift.llm.chat_hmm import as_transcript, fit, parse
+
+    raw = as_transcript(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    model = fit(raw.where(F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit(""))) % 5 != 0))
+    return parse(raw, model)
+
+
 def op9_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all embeddings linked at cosine >= 0.9."""
     from mailsift.llm.epsilon_grid import groups

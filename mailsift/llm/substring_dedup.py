@@ -174,8 +174,8 @@ def matches(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     """(doc_id, pos, refs) of ``docs`` (doc_id, text): for consecutive windows
     from word pos on, a document with a smaller id in which the window also
     starts (null: none)."""
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    anchors = texts.mapInArrow(_anchor_rows(window, anchor), "doc_id long, anchor long")
+    texts = docs.where("doc_id IS NOT NULL")
+    anchors = texts.select("doc_id", "text").mapInArrow(_anchor_rows(window, anchor), "doc_id long, anchor long")
     shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     lists = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     entries = texts.join(lists, "doc_id").mapInArrow(_entry_rows(window, anchor), "block long, doc_id long, pos int, refs array<long>, hashes array<long>")
@@ -219,19 +219,23 @@ def _removed(window: int) -> Callable:
                         spans.append([])
                     n_removed.append(n_words[-1] - len(words))
                     kept.append(b" ".join(words))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()),
-                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("ref", pa.int64())])))],
-                    ["doc_id", "n_words", "n_removed", "kept_text", "factors"])
+                own = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()),
+                       pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("ref", pa.int64())])))]
+                names = ["doc_id", *(["text", "rest"] if "rest" in part.schema.names else [])]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *own], [*names, "n_words", "n_removed", "kept_text", "factors"])
     return run
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """One row per row of ``docs`` (doc_id long, text string; other columns are
-    ignored): doc_id, n_words, n_removed, kept_text (kept words joined by one
-    space) and factors (start word, words, reference document)."""
-    texts = docs.select("doc_id", "text")
+def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep: list[str] | None = None) -> DataFrame:
+    """One row per row of ``docs`` (doc_id long, text string): doc_id, n_words,
+    n_removed, kept_text (kept words joined by one space) and factors (start
+    word, words, reference document). With ``keep``, text and these columns of
+    ``docs`` come along; other columns are ignored."""
+    rest = [F.struct(*keep).alias("rest")] if keep else []
+    texts = docs.select("doc_id", "text", *rest)
     found = matches(texts, window, anchor).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "refs")).alias("found"))
-    known = texts.where("doc_id IS NOT NULL").join(found, "doc_id", "left")  # the same exchange of texts as in matches()
+    known = texts.where("doc_id IS NOT NULL").join(found, "doc_id", "left")  # without rest, the same exchange of texts as in matches()
     none = texts.where("doc_id IS NULL").withColumn("found", F.lit(None).cast("array<struct<pos:int,refs:array<long>>>"))
-    return known.unionByName(none).mapInArrow(_removed(window), "doc_id long, n_words long, n_removed long, kept_text string, factors array<struct<start:long,words:long,ref:long>>")
+    carried = f"text string, rest {texts.schema['rest'].dataType.simpleString()}, " if keep else ""
+    out = known.unionByName(none).mapInArrow(_removed(window), f"doc_id long, {carried}n_words long, n_removed long, kept_text string, factors array<struct<start:long,words:long,ref:long>>")
+    return out.select("*", "rest.*").drop("rest") if keep else out
