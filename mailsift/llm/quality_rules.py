@@ -89,5 +89,7 @@ def rules(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share
     lines = f"zip_with(split(_t, '\\n', -1), {_HASHES.replace('text', '_t')}, (l, h) -> IF(array_contains(_boiler, h), null, l))"
     out = out.withColumn("kept_text", F.expr(f"IF(_boiler IS NULL, _t, array_join(filter({lines}, l -> l IS NOT NULL), '\\n'))"))
     out = out.withColumn("n_kept_words", F.expr(f"IF(_boiler IS NULL, n_words, CAST(size({_WORDS.format('kept_text')}) AS BIGINT))"))
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("n_kept_words") >= F.col("n_words") * (1 - depleted)))
-    return out.drop("_key", "_boiler", "_t")
+    # The row number keeps a filter on the verdict above these steps; pushed below, it would repeat them for every use.
+    out = out.withColumn("_row", F.monotonically_increasing_id())
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("n_kept_words") >= F.col("n_words") * (1 - depleted)) & (F.col("_row") >= 0))
+    return out.drop("_key", "_boiler", "_t", "_row")
