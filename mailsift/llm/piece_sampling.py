@@ -35,7 +35,9 @@ from mailsift.llm.words import mix, slices, text_column
 RANK_OFFSET = 10
 #: Probability weight of a byte piece, that of a piece of this rank.
 BYTE_RANK = 1_000_000
-MAX_UNITS = 300_000
+MAX_UNITS = 150_000
+#: Units whose lattices are computed at once (a bound on working memory).
+GROUP = 16_000
 _B = np.uint64(0x100000001B3)
 
 
@@ -116,7 +118,7 @@ class Lattices:
         self.size = np.zeros(0, np.int64)
         self.node = np.zeros(1, np.int64)
         self.choice = np.zeros(1, np.int64)
-        self.length, self.id, self.upto = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)
+        self.length, self.id, self.upto = np.zeros(0, np.int16), np.zeros(0, np.int32), np.zeros(0, np.float32)
 
     @classmethod
     def of(cls, pieces: Pieces) -> "Lattices":
@@ -124,7 +126,18 @@ class Lattices:
         return cls._made.setdefault(id(pieces), cls(pieces))
 
     def add(self, units: list[bytes]) -> None:
-        """``units`` come without their space."""
+        """Lattices of new units (without their space)."""
+        made = [self._made_of(units[i: i + GROUP]) for i in range(0, len(units), GROUP)]
+        size, choice, length, piece, upto = (np.concatenate(x) for x in zip(*made))
+        self.index.update(zip(units, range(len(self.size), len(self.size) + len(units))))
+        self.node = np.r_[self.node, self.node[-1] + np.cumsum(size + 1)]
+        self.size = np.r_[self.size, size]
+        self.choice = np.r_[self.choice, len(self.id) + np.cumsum(choice)]
+        self.length, self.id, self.upto = np.r_[self.length, length], np.r_[self.id, piece], np.r_[self.upto, upto]
+
+    def _made_of(self, units: list[bytes]) -> tuple[np.ndarray, ...]:
+        """(bytes per unit, choices per node, and of each choice its length, id
+        and running probability)."""
         p = self.pieces
         data = np.frombuffer(b" " + b" ".join(units), np.uint8)
         size = np.fromiter(map(len, units), np.int64, len(units)) + 1
@@ -185,11 +198,7 @@ class Lattices:
         running = np.cumsum(share)
         choice = np.searchsorted(node_end, np.arange(total + 1))
         before = np.r_[0.0, running][choice[node_end]]
-        self.index.update(zip(units, range(len(self.size), len(self.size) + len(units))))
-        self.node = np.r_[self.node, self.node[-1] + np.cumsum(size + 1)]
-        self.size = np.r_[self.size, size]
-        self.choice = np.r_[self.choice[:-1], len(self.id) + choice]
-        self.length, self.id, self.upto = np.r_[self.length, length.astype(np.int32)], np.r_[self.id, piece.astype(np.int32)], np.r_[self.upto, running - before]
+        return size, np.diff(choice), length.astype(np.int16), piece.astype(np.int32), (running - before).astype(np.float32)
 
     def keep(self, most: int) -> None:
         """Forget all but the first ``most`` units."""
