@@ -22,6 +22,7 @@ Defined results: null or empty text has no ids; rows with equal keys draw alike
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import chain, islice
 
@@ -35,7 +36,7 @@ from mailsift.llm.words import mix, slices, text_column
 RANK_OFFSET = 10
 #: Probability weight of a byte piece, that of a piece of this rank.
 BYTE_RANK = 1_000_000
-MAX_UNITS = 150_000
+MAX_UNITS = 300_000
 #: Units whose lattices are computed at once (a bound on working memory).
 GROUP = 16_000
 _B = np.uint64(0x100000001B3)
@@ -236,7 +237,7 @@ class Lattices:
         return ids, count
 
 
-def _encode(model: str | None, sharpness: float):
+def _encode(model: str | None, sharpness: float, check: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(model or default_model(), sharpness)
         lattices = Lattices.of(pieces)
@@ -255,15 +256,20 @@ def _encode(model: str | None, sharpness: float):
                 seed = mix(np.repeat(mix(key), sizes) + mix(place.astype(np.uint64)))
                 ids, count = lattices.sample(unit, seed)
                 edges = np.r_[0, np.cumsum(count)][np.r_[0, np.cumsum(sizes)]]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
+                columns, names = [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"]
+                if check:
+                    listed, ends = ids.tolist(), edges.tolist()
+                    columns.append(pa.array([zlib.crc32(pieces.decode(listed[a:b])) for a, b in zip(ends, ends[1:])], pa.int64()))
+                    names.append("decoded_crc32")
+                yield pa.RecordBatch.from_arrays(columns, names)
     return run
 
 
-def encode(docs: DataFrame, seed: int = 11, sharpness: float = 1.0, model: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, seed: int = 11, sharpness: float = 1.0, model: str | None = None, check: bool = False) -> DataFrame:
     """(doc_id, ids) of every row: a segmentation drawn by the row's doc_id and
-    ``seed``."""
+    ``seed``; with ``check`` also decoded_crc32 of the text the ids decode to."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", F.lit(seed)).alias("key")).mapInArrow(_encode(model, sharpness), f"doc_id {kind}, ids array<int>")
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", F.lit(seed)).alias("key")).mapInArrow(_encode(model, sharpness, check), f"doc_id {kind}, ids array<int>" + ", decoded_crc32 long" * check)
 
 
 def _decode(model: str | None):

@@ -24,12 +24,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sampled segmentation of every whole document, and the checksum of its text after decoding."""
-    from mailsift.llm.piece_sampling import decode, encode
+    from mailsift.llm.piece_sampling import encode
 
-    ids = encode(read_table(spark, sf_dir, "documents"))
-    joined = F.struct("doc_id", "ids").alias("doc_id")  # ids travel with the decoded text
-    both = decode(ids.select(joined, "ids")).select("doc_id.doc_id", "doc_id.ids", "text")
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.crc32("text").alias("decoded_crc32"))
+    ids = encode(read_table(spark, sf_dir, "documents"), check=True)
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "decoded_crc32")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once (one longer text is a slice of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Rows handled at once: a row number fits 12 bits of a 64-bit sort key.
 SLICE_ROWS = 1 << 12
 _LONG_WORD = 64
