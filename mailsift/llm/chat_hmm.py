@@ -86,7 +86,7 @@ def fit(labelled: DataFrame) -> Model:
     """Counts over rows (conv_id, turn, role, text); unknown roles are left out.
     State 2 r: first line of a turn of role r; 2 r + 1: a further line."""
     role = F.expr("CASE " + " ".join(f"WHEN role = '{r}' THEN {k}" for k, r in enumerate(ROLES)) + " END")
-    rows = lines(labelled).withColumn("state", role * 2 + (F.col("line_no") > 0).cast("int")).where("state IS NOT NULL")
+    rows = lines(labelled.select("conv_id", "turn", "role", "text")).withColumn("state", role * 2 + (F.col("line_no") > 0).cast("int")).where("state IS NOT NULL")
     shown = rows.groupBy("state", "symbol").agg(F.count("*").alias("n"))
     # Within a turn the steps follow from its number of lines; between turns from the neighbours.
     turns = rows.groupBy("conv", "turn", "tie").agg(F.min("state").alias("first"), F.count("*").alias("size"))
@@ -151,7 +151,7 @@ def _matrices(table: pa.Table) -> list[np.ndarray]:
 
 def _reduce_group(table: pa.Table) -> pa.Table:
     table = table.sort_by("chunk")
-    return pa.table({"conv": table.column("conv").slice(0, 1), "chunk": pa.array([table.column("chunk")[0].as_py() // FAN]), "m": pa.array([_product(_matrices(table)).ravel().tolist()], pa.list_(pa.float64()))})
+    return pa.table({"conv": table.column("conv").slice(0, 1), "chunk": table.column("group").slice(0, 1), "m": pa.array([_product(_matrices(table)).ravel().tolist()], pa.list_(pa.float64()))})
 
 
 def _borders(table: pa.Table) -> pa.Table:
@@ -184,13 +184,13 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
     all_lines = handoff(shown.join(first, "conv").withColumn("chunk", F.expr(f"CAST((turn - least) div {CHUNK} AS LONG)")).drop("least"), "lines")
     levels = [handoff(all_lines.groupBy("conv", "chunk").applyInArrow(_reduce_chunk(model), "conv string, chunk long, m array<double>"), "matrices")]
     while (levels[-1].agg(F.max("chunk")).first()[0] or 0) >= FAN:
-        levels.append(handoff(levels[-1].withColumn("group", F.expr(f"chunk div {FAN}")).groupBy("conv", "group").applyInArrow(_group, "conv string, chunk long, m array<double>"), "matrices"))
+        levels.append(handoff(levels[-1].withColumn("group", F.expr(f"chunk div {FAN}")).groupBy("conv", "group").applyInArrow(_reduce_group, "conv string, chunk long, m array<double>"), "matrices"))
     border_type = "conv string, chunk long, enter int, leave int"
     top = levels[-1].withColumn("enter", F.lit(None).cast("int")).withColumn("leave", F.lit(None).cast("int"))
     borders = handoff(top.groupBy("conv").applyInArrow(_borders, border_type), "borders")
     for level in reversed(levels[:-1]):
         above = borders.withColumnRenamed("chunk", "group")
-        borders = handoff(level.withColumn("group", F.expr(f"chunk div {FAN}")).join(above, ["conv", "group"]).groupBy("conv", "group").applyInArrow(_borders_of_group, border_type), "borders")
+        borders = handoff(level.withColumn("group", F.expr(f"chunk div {FAN}")).join(above, ["conv", "group"]).groupBy("conv", "group").applyInArrow(_borders, border_type), "borders")
     decoded = handoff(all_lines.join(borders, ["conv", "chunk"]).groupBy("conv", "chunk").applyInArrow(_decode_chunk(model), f"conv string, conv_id {kind}, chunk long, line string, at int, role string, begun long"), "decoded")
     counts = decoded.groupBy("conv", "chunk").agg(F.max("begun").alias("turns"))
     offset = counts.select("conv", "chunk", (F.sum("turns").over(Window.partitionBy("conv").orderBy("chunk")) - F.col("turns")).alias("before"))
@@ -201,14 +201,6 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
     return turns.select("conv", "conv_id", "turn", "role", "n_lines", text.alias("text")).withColumn("rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>")))
 
 
-def _group(table: pa.Table) -> pa.Table:
-    return _reduce_group(table.select(["conv", "chunk", "m"]))
-
-
-def _borders_of_group(table: pa.Table) -> pa.Table:
-    return _borders(table.select(["conv", "chunk", "m", "enter", "leave"]))
-
-
 def as_transcript(conversations: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) with the text as a line of a raw
     transcript: one of three marker styles for each conversation, no marker on

@@ -139,12 +139,26 @@ def _best_fit(counts: np.ndarray, length: int) -> list[Bin]:
     return [tuple(b) for b in bins]
 
 
+def least_bins(counts: np.ndarray, length: int) -> int:
+    """A lower bound: pieces above half a sequence never share one; smaller
+    pieces of at least k tokens fill the room of those that leave k or more."""
+    size = np.arange(len(counts))
+    best = -(-int((counts * size).sum()) // length)
+    for k in range(length // 2 + 1):
+        alone = int(counts[size > length - k].sum())
+        halves = (size > length // 2) & (size <= length - k)
+        rest = int((counts * size)[(size >= max(k, 1)) & (size <= length // 2)].sum())
+        room = int((counts * (length - size))[halves].sum())
+        best = max(best, alone + int(counts[halves].sum()) + max(0, -(-(rest - room) // length)))
+    return best
+
+
 def _branch_and_bound(counts: np.ndarray, length: int, nodes: int = NODES) -> list[Bin]:
     """Few pieces: completions of the largest, backtracking within the waste
     that a better packing than the incumbent may have."""
     total = int((counts * np.arange(len(counts))).sum())
     best = _best_fit(counts, length)
-    least = -(-total // length)
+    least = least_bins(counts, length)
     budget = nodes
 
     def search(counts: np.ndarray, bins: list[Bin], spare: int) -> bool:
