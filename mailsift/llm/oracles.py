@@ -1,3 +1,61 @@
 """DuckDB SQL of the operators that SQL can express on whole tables."""
 
-SQL: dict[str, str] = {}
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_HAS_WORD = r"regexp_matches(l, '[^\x20\x09-\x0D]')"
+_NORM = r"trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'))"
+
+_OP6 = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, w[i:i+7] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 6, 1))) AS i FROM d)),
+again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(0, 8) AS t(k) WHERE n > 1 GROUP BY doc_id),
+lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l FROM d),
+good AS (SELECT doc_id, source, l, {_NORM} AS norm FROM lines WHERE {_HAS_WORD}),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM good GROUP BY doc_id),
+sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+boiler AS (SELECT g.source, g.norm FROM (SELECT source, norm, count(DISTINCT doc_id) AS n FROM good GROUP BY source, norm) g
+           JOIN sizes s ON s.source IS NOT DISTINCT FROM g.source WHERE g.n > 20 AND g.n > s.n * 0.1),
+lost AS (SELECT doc_id, sum(len({_WORDS.replace('text', 'l')})) AS n FROM good g
+         WHERE EXISTS (SELECT 1 FROM boiler b WHERE b.source IS NOT DISTINCT FROM g.source AND b.norm = g.norm) GROUP BY doc_id),
+all_of AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+             (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
+             (len(w) - coalesce(lost.n, 0))::BIGINT AS n_kept_words
+           FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN lost USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_kept_words >= n_words * 0.3 AS kept, n_kept_words
+FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM all_of)
+"""
+
+_OP9 = """
+WITH u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+reach AS (SELECT vec_id, vec_id AS r FROM u)
+, walk AS (WITH RECURSIVE w(v, r) AS (SELECT vec_id, vec_id FROM u UNION SELECT l.b, w.r FROM w JOIN links l ON l.a = w.v) SELECT v, min(r) AS c FROM w GROUP BY v),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept FROM u JOIN walk ON v = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+_OP10 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, w[i:i+12] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM d)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM win) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM hit, range(0, 13) AS t(k)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(regexp_extract_all(hex(encode(text)), '..'),
+    lambda h: [(('0x' || h[2])::BIGINT), (('0x' || h[1])::BIGINT)]))), lambda c, n: xor(table16[(xor(c, n) & 15) + 1], c >> 4))"""
+
+_OP1 = f"""
+WITH RECURSIVE step(i, k, c) AS (SELECT i, 0, i::BIGINT FROM range(16) AS t(i) UNION ALL
+    SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 4),
+tables AS (SELECT list(c ORDER BY i) AS table16 FROM step WHERE k = 4),
+d AS (SELECT doc_id, source, coalesce(text, '') AS text, table16 FROM documents, tables),
+crc AS (SELECT doc_id, source, (strlen(text) + 16)::BIGINT AS size, CASE WHEN text = '' THEN 0 ELSE xor({_CRC}, 4294967295) END::BIGINT AS text_crc32 FROM d),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('7:' || coalesce(doc_id::VARCHAR, 'null')), text_crc32, size) AS r, count(*) OVER (PARTITION BY source) AS n FROM crc),
+placed AS (SELECT *, row_number() OVER (ORDER BY (2 * r - 1)::DOUBLE / (2 * n), CASE WHEN source IS NULL THEN 'null' ELSE 's' || source END, r) - 1 AS p0, count(*) OVER () AS total FROM ranked),
+cut AS (SELECT *, p0 * 40 // total AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INTEGER AS shard, (p0 - (shard * total + 39) // 40)::BIGINT AS slot, NULL::INTEGER AS grown_shard, source FROM cut
+"""
+
+SQL: dict[str, str] = {"op1_sharding": _OP1, "op6_quality_rules": _OP6, "op9_epsilon_grid": _OP9, "op10_substring_dedup": _OP10}
