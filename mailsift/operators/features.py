@@ -137,7 +137,7 @@ def bag_of_words(train: DataFrame, test: DataFrame, key: str, text: str,
 
 
 def count_vectorizer_stages(text: str = "text", features: str = "features",
-                            stopwords: Sequence[str] | None = None, vocab_size: int = 1 << 22):
+                            stopwords: Sequence[str] | None = None, vocab_size: int = (1 << 31) - 1):
     """FEA-4 as Spark ML stages (fit on train, transform test): tokenizer,
     stop-word remover, count vectorizer."""
     from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StopWordsRemover
@@ -174,10 +174,14 @@ def mean_vectors(df: DataFrame, group: Sequence[str] | str, vec: str, out: str =
 def masked_mean_pool(df: DataFrame, key: str, ids: str, vectors: DataFrame, id_col: str = "id",
                      vec: str = "vector", out: str = "pooled") -> DataFrame:
     """FEA-6 on token ids: mean of the token vectors of the non-pad ids of
-    each row (pads carry no weight; an all-pad row has no vector)."""
+    each row. Pads carry no weight; a row without other ids, or whose ids have
+    no vector, gets the zero vector."""
     ex = df.select(key, F.explode(F.filter(F.col(ids), lambda x: x != PAD_ID)).alias(id_col))
     j = ex.join(vectors.select(id_col, vec), id_col)
-    return mean_vectors(j, key, vec, out)
+    width = vectors.select(F.size(vec).alias("n")).first()
+    zero = F.array_repeat(F.lit(0.0), width["n"] if width else 0)
+    pooled = df.select(key).distinct().join(mean_vectors(j, key, vec, out), key, "left")
+    return pooled.withColumn(out, F.coalesce(out, zero))
 
 
 def decode_ids(df: DataFrame, key: str, ids: str, vocab: DataFrame, out: str = "text") -> DataFrame:

@@ -20,6 +20,12 @@ from mailsift.functions import text as X
 # --------------------------------------------------------------------------
 # Column kind of a raw label column (decided per column, as CSV inference does)
 # --------------------------------------------------------------------------
+def as_number(s: Column) -> Column:
+    """The number a trimmed text spells, else null (a cast alone would take
+    type suffixes such as ``1d``)."""
+    return F.when(s.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity|nan)$"), s.try_cast("double"))
+
+
 def label_kind(df: DataFrame, col: str) -> dict:
     """One pass over the non-null labels: is the column numeric, fractional,
     boolean, does it hold nulls. Returns a small dict (one aggregate row)."""
@@ -33,7 +39,7 @@ def label_kind(df: DataFrame, col: str) -> dict:
         floating = isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType))
         return {"kind": "numeric", "has_null": r["nulls"] > 0, "frac": floating or r["frac"] > 0}
     s = F.trim(c)
-    num = s.try_cast("double")
+    num = as_number(s)
     r = df.agg(
         F.count(F.when(c.isNull(), 1)).alias("nulls"),
         F.count(F.when(c.isNotNull() & num.isNull(), 1)).alias("non_num"),
@@ -78,7 +84,7 @@ def printed_label(col: Column | str, kind: dict) -> Column:
     float column, so ``1`` prints as ``1.0``."""
     c = F.col(col) if isinstance(col, str) else col
     if kind["kind"] == "numeric":
-        v = F.trim(c.cast("string")).try_cast("double")
+        v = as_number(F.trim(c.cast("string")))
         if kind["frac"] or kind["has_null"]:
             return v.cast("string")
         return v.cast("long").cast("string")
@@ -96,7 +102,7 @@ def normalize_labels(df: DataFrame, col: str = "label", out: str | None = None)
     """LBL-1 over a table: the numeric branch is chosen by the column kind."""
     kind = label_kind(df, col)
     numeric = kind["kind"] == "numeric"
-    src = F.trim(F.col(col).cast("string")).try_cast("double") if numeric else F.col(col)
+    src = as_number(F.trim(F.col(col).cast("string"))) if numeric else F.col(col)
     if kind["kind"] == "boolean":
         src = F.when(F.lower(F.col(col).cast("string")) == "true", 1.0).when(F.col(col).isNotNull(), 0.0)
         numeric = True
@@ -114,8 +120,8 @@ def label_ids(df: DataFrame, col: str, label2id: Mapping[str, int], kind: dict |
     kind = kind or label_kind(df, col)
     c = F.col(col)
     if kind["kind"] == "numeric":
-        v = F.trim(c.cast("string")).try_cast("double")
-        return df.withColumn(out, F.when(v.isNotNull(), v.cast("long").cast("int")))
+        v = as_number(F.trim(c.cast("string")))
+        return df.withColumn(out, v.try_cast("int"))  # a number beyond 32 bits is no known class
     if kind["kind"] == "boolean":
         return df.withColumn(out, F.when(F.lower(c.cast("string")) == "true", 1).when(c.isNotNull(), 0))
     s = X.strip_outer_ws(c)

@@ -35,13 +35,16 @@ def union_tables(frames: Sequence[DataFrame], tag: str | None = "_file_ord") ->
 
 def drop_duplicates_first(df: DataFrame, subset: Sequence[str], order: Sequence[str]) -> DataFrame:
     """SHP-2: drop duplicates on ``subset`` keeping the first row in input
-    ``order``. A ``min`` over a struct led by the order columns is a plain
-    hash aggregate with map-side partial aggregation, so a key shared by a
-    third of all rows is pre-combined before the shuffle."""
-    rest = [c for c in df.columns if c not in subset]
-    fields = list(order) + [c for c in rest if c not in order]
-    agg = df.groupBy(*subset).agg(F.min(F.struct(*fields)).alias("_first"))
-    return agg.select(*subset, *[F.col(f"_first.{c}").alias(c) for c in rest])
+    ``order`` (unique per row). Only a hash of the key and the order columns
+    are aggregated, pre-combined before the shuffle; the winning rows are then
+    picked by a semi join, so no text is sorted or used as a shuffle key."""
+    hashed = df.withColumn("_key", F.sha2(F.to_json(F.struct(*subset)), 256))
+    first = F.min(order[0]) if len(order) == 1 else F.min(F.struct(*order))
+    winners = hashed.groupBy("_key").agg(first.alias("_first"))
+    own = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    kept = hashed.withColumn("_own", own).join(winners.select(F.col("_key").alias("_k"), "_first"),
+                                               (F.col("_key") == F.col("_k")) & F.col("_own").eqNullSafe(F.col("_first")), "left_semi")
+    return kept.select(*subset, *[c for c in df.columns if c not in subset])
 
 
 def seed_hash(seed: int, key: str) -> Column:
@@ -77,7 +80,9 @@ def seeded_segments(df: DataFrame, by: str | None, key: str, seed: int,
     three broadcast tables: no shuffle of the rows, no per-group window.
     """
     spark = df.sparkSession
-    gcol = F.col(by) if by else F.lit(0)
+    # Null is a group of its own.
+    name = lambda c: F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("null"))
+    gcol = name(F.col(by)) if by else F.lit(0)
     n_groups = max(1, len(cuts))
     n_cut_buckets = max(1, sum(len(v) for v in cuts.values()))
     d1 = _digits_for(n_groups)
@@ -88,7 +93,7 @@ def seeded_segments(df: DataFrame, by: str | None, key: str, seed: int,
     keys = keyed.select("_g", "_h", "_b1", "_b2", key)
     gtype = df.schema[by].dataType.simpleString() if by else "int"
     cut_df = F.broadcast(spark.createDataFrame([(k, [int(c) for c in v]) for k, v in cuts.items()],
-                                               f"_g {gtype}, _cuts array<bigint>"))
+                                               f"_g {gtype}, _cuts array<bigint>").withColumn("_g", name(F.col("_g")) if by else F.col("_g")))
     no_cuts = F.array().cast("array<bigint>")
 
     # Level 1: at most n_groups * 16**d1 rows.
@@ -160,7 +165,7 @@ def largest_remainder(counts: Mapping[object, int], n_draws: int) -> dict:
     cont = {k: v / total * n_draws for k, v in counts.items()}
     base = {k: math.floor(x) for k, x in cont.items()}
     need = n_draws - sum(base.values())
-    order = sorted(counts, key=lambda k: (-(cont[k] - base[k]), k))
+    order = sorted(counts, key=lambda k: (-(cont[k] - base[k]), k is None, "" if k is None else k))
     for k in order[:need]:
         base[k] += 1
     return base

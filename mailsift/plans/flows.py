@@ -139,7 +139,7 @@ def train_classical(spark: SparkSession, train_paths: Sequence[str], test_path:
         pipe = M.decision_tree_bow("Email Text", "label", seed)
     else:
         pipe = M.logistic_regression_bow("Email Text", "label", n_train=n_train)
-    fitted = pipe.fit(M.for_fit(bal, n_train))
+    fitted = pipe.fit(M.for_fit(bal))
     scored = M.score(fitted, test)
     names = {0: "Legitimate", 1: "Phishing"}
     acc = E.accuracy(scored, "y", "y_pred").first()[0]
@@ -202,7 +202,7 @@ def train_with_validation(spark: SparkSession, path: str, test_size: float = 0.1
     train = parts.filter(F.col("split") == "train").withColumn("y", F.col("label").cast("double"))
     val = parts.filter(F.col("split") == "val")
     n = train.count()
-    model = M.logistic_regression_bow("text", "y", n_train=n).fit(M.for_fit(train, n))
+    model = M.logistic_regression_bow("text", "y", n_train=n).fit(M.for_fit(train))
     labels = sorted(r[0] for r in df.select("label").distinct().collect())
     metrics = {r.metric: r.value for r in E.metric_rows(M.score(model, val), labels, "label", "y_pred").collect()}
     return {"split_sizes": {r.split: r.n for r in parts.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()},

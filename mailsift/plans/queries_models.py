@@ -41,7 +41,7 @@ def fit_logreg(spark, d):
     key = (spark.sparkContext.applicationId, d)
     if key not in _FITTED:
         n = train.count()
-        _FITTED[key] = M.logistic_regression_bow("body", "label", n_train=n).fit(M.for_fit(train, n))
+        _FITTED[key] = M.logistic_regression_bow("body", "label", n_train=n).fit(M.for_fit(train))
     return _FITTED[key], test
 
 

@@ -140,7 +140,7 @@ def _small_model(spark, d):
     from mailsift.operators import models as M
     m = tb.mail(spark, d).withColumn("label", F.col("y").cast("double"))
     n = m.count()
-    return M.logistic_regression_bow("body", "label", n_train=n, max_iter=20).fit(M.for_fit(m, n))
+    return M.logistic_regression_bow("body", "label", n_train=n, max_iter=20).fit(M.for_fit(m))
 
 
 @register("snk3_model_roundtrip")

@@ -30,8 +30,10 @@ STRING_KIND = {"kind": "string", "has_null": True, "frac": False}
 
 def read_arriving_csv(spark: SparkSession, folder: str, schema: str = EVAL_SCHEMA,
                       max_files_per_trigger: int | None = None) -> DataFrame:
-    """Evaluation CSVs as they land in ``folder`` (header, quoted multi-line)."""
-    r = (spark.readStream.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
+    """Evaluation CSVs as they land in ``folder`` (header, quoted multi-line). A
+    file whose header does not name the schema's columns in their order fails
+    the batch instead of being read by position."""
+    r = (spark.readStream.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False)
          .option("pathGlobFilter", "*.[cC][sS][vV]"))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)

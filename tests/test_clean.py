@@ -1,15 +1,26 @@
-"""Cleaning layer (CLN-*): edge rows, and equality with the brute-force
-Python cleaner on the driver tables and on random tricky strings."""
+"""Cleaning layer (CLN-*): edge rows with known results, each mask against
+Python's Unicode ``re``, and properties of the whole cleaner on the driver
+tables and on random tricky strings."""
 
 import random
+import re
 
 import pytest
 
-import brute_force as BF
 from conftest import SF001
+from mailsift.functions import patterns as P
 from mailsift.functions import text as X
 from mailsift.sources import tables as tb
 
+# The masked things, as Python patterns.
+MASKED = {
+    "mask_url": (re.compile(r"\b((?:https?://|www\.)\S+)\b", re.I), " <url> "),
+    "mask_email": (re.compile(r"\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b"), " <email> "),
+    "mask_money": (re.compile(r"(?:(?<=\s)|^)(?:[\$£€]\s?\d[\d,]*(?:\.\d+)?|\d[\d,]*(?:\.\d+)?\s?(?:usd|aud|eur|gbp))(?=\s|$)", re.I), " <money> "),
+    "mask_phone": (re.compile(r"\b(?:\+?\d{1,3}[\s-]?)?(?:\(?\d{2,4}\)?[\s-]?){2,4}\d{2,4}\b"), " <phone> "),
+    "mask_number": (re.compile(r"\b\d+(?:[\.,]\d+)?\b"), " <number> "),
+}
+
 EDGE = [
     (None, ""), ("meet at noon", "meet noon"), ("x[@]y[.]com now", "email now"),
     ("hxxp://evil[.]com/a now", "url now"), ("Subject: hi\nbody", ""),
@@ -51,37 +62,52 @@ def _tricky(n, seed=7):
     return ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 25))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("opts", [{}, {"remove_stopwords": True, "stem": True}])
-def test_random_tricky_strings_match_brute_force(spark, opts):
-    values = _tricky(400)
-    got = _run(spark, values, **opts)
-    exp = [BF.clean(v, opts.get("remove_stopwords", False), opts.get("stem", False)) for v in values]
-    bad = [(v, g, e) for v, g, e in zip(values, got, exp) if g != e]
-    assert not bad, bad[:5]
+def _texts(spark):
+    docs = [r.text for r in tb.load(spark, SF001, "documents").select("text").collect()]
+    return _tricky(400) + docs + [r.html for r in tb.load(spark, SF001, "pages").select("html").collect()]
 
 
-def test_two_passes_match_brute_force(spark):
-    values = _tricky(300, seed=3) + [r.text for r in tb.load(spark, SF001, "documents").collect()]
-    got = _run(spark, values, passes=2)
-    exp = [BF.clean(BF.clean(v)) for v in values]
-    bad = [(v, g, e) for v, g, e in zip(values, got, exp) if g != e]
-    assert not bad, bad[:3]
+def test_cleaned_tokens_are_short_lower_case_words(spark):
+    for text in _run(spark, _texts(spark)):
+        for token in text.split(" ") if text else []:
+            assert 0 < len(token) <= P.DROP_LONG_TOKENS
+            assert token == token.lower()
+            assert all(c == "_" or c.isalnum() for c in token)
+
+
+def test_word_tokens_match_a_character_scan(spark):
+    texts = _texts(spark)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.c for r in df.select("i", X.word_tokens("t").alias("c")).collect()}
+    for i, text in enumerate(texts):
+        exp, token = [], ""
+        for c in text + " ":
+            if c == "_" or c.isalnum():
+                token += c
+            elif token:
+                exp.append(token)
+                token = ""
+        assert got[i] == exp
+
+
+def test_stop_words_and_stems_change_tokens_one_by_one(spark):
+    texts = _texts(spark)
+    plain = _run(spark, texts)
+    for before, after in zip(plain, _run(spark, texts, remove_stopwords=True, stem=True)):
+        exp = []
+        for token in filter(None, before.split(" ")):
+            if token not in P.CLEAN_STOPWORDS:
+                ends = [x for x in P.STEM_SUFFIXES if token.endswith(x) and len(token) - len(x) > 2]
+                exp.append(token[: len(token) - len(ends[0])] if ends else token)
+        assert after == " ".join(exp)
 
 
-def test_documents_and_pages_match_brute_force(spark):
-    docs = tb.load(spark, SF001, "documents").select("doc_id", "text").collect()
-    pages = tb.load(spark, SF001, "pages").select("page_id", "html").collect()
-    values = [r.text for r in docs] + [r.html for r in pages]
-    got = _run(spark, values)
-    exp = [BF.clean(v) for v in values]
-    bad = [i for i, (g, e) in enumerate(zip(got, exp)) if g != e]
-    assert not bad, (len(bad), values[bad[0]][:200] if bad else None)
+def test_two_passes_are_one_pass_applied_twice(spark):
+    texts = _texts(spark)
+    assert _run(spark, texts, passes=2) == _run(spark, _run(spark, texts))
 
 
-@pytest.mark.parametrize("name,rx,rep", [
-    ("mask_url", BF.URL_RE, " <url> "), ("mask_email", BF.EMAIL_RE, " <email> "),
-    ("mask_money", BF.MONEY_RE, " <money> "), ("mask_phone", BF.PHONE_RE, " <phone> "),
-    ("mask_number", BF.NUM_RE, " <number> ")])
+@pytest.mark.parametrize("name,rx,rep", [(name, *made) for name, made in MASKED.items()])
 def test_each_mask_matches_python(spark, name, rx, rep):
     values = _tricky(300, seed=11) + [r.text for r in tb.load(spark, SF001, "documents").collect()]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string")

@@ -58,10 +58,10 @@ def test_truncate_pad_and_mean_pool(spark):
     assert out == {1: ["x", "y"], 2: ["x", "<pad>"], 3: ["y"]}
     vec = spark.createDataFrame([(0, [1.0, 2.0]), (0, [3.0, 4.0]), (1, [5.0, 5.0])], "g int, v array<double>")
     assert {r.g: r.mean for r in FE.mean_vectors(vec, "g", "v").collect()} == {0: [2.0, 3.0], 1: [5.0, 5.0]}
-    ids = spark.createDataFrame([(7, [2, 3, 0, 0])], "row_id long, ids array<int>")
+    ids = spark.createDataFrame([(7, [2, 3, 0, 0]), (8, [0, 0]), (9, [])], "row_id long, ids array<int>")
     vectors = spark.createDataFrame([(2, [1.0, 0.0]), (3, [0.0, 1.0])], "id int, vector array<double>")
-    pooled = FE.masked_mean_pool(ids, "row_id", "ids", vectors).first()
-    assert pooled.pooled == [0.5, 0.5]
+    pooled = {r.row_id: r.pooled for r in FE.masked_mean_pool(ids, "row_id", "ids", vectors).collect()}
+    assert pooled == {7: [0.5, 0.5], 8: [0.0, 0.0], 9: [0.0, 0.0]}
 
 
 def test_per_class_zero_division_and_report(spark):

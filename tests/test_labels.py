@@ -88,3 +88,12 @@ def test_prj8_semi_anti(spark):
     assert L.keep_known_labels(df, lm).count() == 2
     assert L.unknown_label_count(df, lm).first()[0] == 1
     assert F is not None
+
+
+def test_numbers_with_type_suffixes_are_text_and_large_numbers_are_no_class(spark):
+    from mailsift.operators import labels as L
+
+    mixed = spark.createDataFrame([("1d",), ("2f",)], "label string")
+    assert L.label_kind(mixed, "label")["kind"] == "string"
+    large = spark.createDataFrame([("99999999999",), ("1",), ("-3.7",)], "label string")
+    assert sorted((r.y_true is None, r.y_true or 0) for r in L.label_ids(large, "label", {"a": 0}).collect()) == [(False, -3), (False, 1), (True, 0)]

@@ -49,11 +49,10 @@ def test_metric_callback_rows(spark):
     assert all(0.0 <= v <= 1.0 for v in rows.values())
 
 
-def test_for_fit_merges_only_small_partitions(spark):
+def test_for_fit_keeps_rows_and_sizes_partitions_by_bytes(spark):
     from mailsift.operators import models as M
 
-    small = spark.range(0, 300, numPartitions=16)
-    assert M.for_fit(small).rdd.getNumPartitions() == 1
-    big = spark.range(0, 100_000, numPartitions=4)
-    assert M.for_fit(big, rows_per_partition=20_000).rdd.getNumPartitions() == 4
-    assert M.for_fit(big, rows_per_partition=50_000).rdd.getNumPartitions() == 2
+    for n in (300, 100_000):
+        made = M.for_fit(spark.range(0, n, numPartitions=16).selectExpr("id", "id % 7 AS y"))
+        assert made.columns == ["id", "y"] and made.count() == n
+        assert made.agg({"id": "sum"}).first()[0] == n * (n - 1) // 2

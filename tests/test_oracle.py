@@ -1,5 +1,5 @@
 """Every registered query with an oracle equals its DuckDB SQL (sf0.001);
-queries without one run and return rows."""
+queries without one return rows."""
 
 import pytest
 
@@ -26,4 +26,5 @@ def test_matches_oracle(spark, con, name):
     "mod1_logreg_bow", "mod2_decision_tree_bow", "mod3_embedding_mlp", "mod6_holdout_report",
     "evl1_batch_scoring", "snk3_model_roundtrip", "str1_stream_scoring", "str2_running_confusion"}))
 def test_rows_only_queries_run(spark, name):
-    assert QUERIES[name](spark, SF001).count() >= 0
+    out = QUERIES[name](spark, SF001)
+    assert out.columns and out.count() > 0

@@ -134,3 +134,18 @@ def test_split_folders_prune(spark, tmp_dir):
     back = spark.read.parquet(f"{tmp_dir}/splits").filter(F.col("split") == "test")
     assert back.count() == 10
     assert "PartitionFilters: [isnotnull(split" in back._jdf.queryExecution().executedPlan().toString()
+
+
+def test_split_keeps_null_labels_as_a_class(spark):
+    rows = [(i, "a" if i % 2 else None) for i in range(101)]
+    out = S.stratified_split(spark.createDataFrame(rows, "k long, label string"), "label", "k").collect()
+    assert sorted(r.k for r in out) == list(range(101))
+    assert {r.split for r in out if r.label is None} == {"train", "val", "test"}
+
+
+def test_dedup_does_not_group_by_the_text(spark):
+    df = spark.createDataFrame([("x", 2, "b"), ("x", 1, "a"), (None, 3, "c"), (None, 4, "d"), ("", 5, "e")], "text string, ord long, label string")
+    out = S.drop_duplicates_first(df, ["text"], ["ord"])
+    assert sorted(map(str, out.collect())) == sorted(map(str, df.where("ord IN (1, 3, 5)").collect()))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
