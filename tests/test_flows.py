@@ -105,11 +105,13 @@ def test_driver_contract(spark):
     import __spark_entry__ as entry
 
     df = entry.entry(spark)
-    assert df.columns == ["word", "n"] and df.count() >= 0
+    assert df.columns == ["word", "n"] and df.count() == 20
     qs, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(qs)
     families = {"agg", "cln", "evl", "fea", "lbl", "log", "mod", "prj", "shp", "snk", "src", "str", "udf"}
     for name in qs:
+        if name == "pipeline" or re.match(r"op\d+_", name):  # parts that may be absent
+            continue
         m = re.match(r"([a-z]+)\d+[a-e]?_", name)
         assert m and m.group(1) in families, name
 
