@@ -1,8 +1,8 @@
 """Vocabulary, encoding and vector features (FEA-1 ... FEA-7).
 
-The vocabulary is capped at ``max_size`` rows by construction (a top-k), so
-it is the one table the encoder broadcasts (as a dictionary, or as the build
-side of a hash join); never a per-row map literal.
+The vocabulary is a top-k of ``max_size`` rows. It is joined without a hint:
+handed off first, its size is known, and Spark broadcasts it where that is
+small enough; never a per-row map literal.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from mailsift.functions import patterns as P
 from mailsift.functions import text as X
 from mailsift.operators.profile import token_frequency
+from mailsift.session import handoff
 
 PAD, UNK = "<pad>", "<unk>"
 PAD_ID, UNK_ID = 0, 1
@@ -42,68 +43,25 @@ def build_vocab(df: DataFrame, tokens: Column | str, min_freq: int = 2, max_size
     return specials.unionByName(ids)
 
 
-# Largest vocabulary shipped to the executors as a dictionary (FEA-2).
-MAX_DICT_ENTRIES = 1_000_000
-
-
 def encode_ids(df: DataFrame, key: str, tokens: Column | str, vocab: DataFrame, max_len: int = 256,
-               out: str = "ids", method: str = "auto") -> DataFrame:
+               out: str = "ids") -> DataFrame:
     """FEA-2 (+SHP-8): first ``max_len`` tokens -> ids (``<unk>`` if absent),
     right-padded with 0 to ``max_len``. Empty texts become all-pad rows.
 
-    ``method="dict"`` (the default when the vocabulary has at most
-    ``MAX_DICT_ENTRIES`` rows, which ``build_vocab`` guarantees through
-    ``max_size``): the vocabulary is collected once, broadcast, and each
-    partition maps its rows with Arrow batches -- no shuffle at all.
-    ``method="join"``: ``slice`` -> ``posexplode_outer`` -> broadcast join ->
-    regroup per ``key`` (one shuffle of at most ``max_len`` rows per key).
-    SURVEY H4 asked for both; on the sf0.1 documents the dictionary path is
-    1.7x faster and avoids shuffling ``rows x max_len`` records."""
-    if method in ("auto", "dict"):
-        try:
-            rows = vocab.select("token", "id").limit(MAX_DICT_ENTRIES + 1).collect()
-            if len(rows) <= MAX_DICT_ENTRIES:
-                mapping = {r[0]: int(r[1]) for r in rows}
-                return _encode_with_dict(df, key, tokens, mapping, max_len, out)
-        except Exception:  # noqa: BLE001 - no broadcast API in this session: use the join
-            if method == "dict":
-                raise
-        if method == "dict":
-            raise ValueError(f"vocabulary larger than {MAX_DICT_ENTRIES} entries")
-    return _encode_with_join(df, key, tokens, vocab, max_len, out)
-
-
-def _encode_with_dict(df: DataFrame, key: str, tokens: Column | str, mapping: dict, max_len: int,
-                      out: str) -> DataFrame:
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(mapping)
-    key_type = df.schema[key].dataType.simpleString() if key in df.columns else "long"
-    src = df.select(F.col(key), F.slice(_col(tokens), 1, max_len).alias("_t"))
-
-    def encode(batches):
-        import pandas as pd
-
-        m = bc.value
-        for pdf in batches:
-            ids = []
-            for toks in pdf["_t"]:
-                row = [m.get(t, UNK_ID) for t in toks] if toks is not None else []
-                ids.append(row + [PAD_ID] * (max_len - len(row)))
-            yield pd.DataFrame({key: pdf[key], out: ids})
-
-    return src.mapInPandas(encode, f"{key} {key_type}, {out} array<int>")
-
-
-def _encode_with_join(df: DataFrame, key: str, tokens: Column | str, vocab: DataFrame, max_len: int,
-                      out: str) -> DataFrame:
+    ``slice`` -> ``posexplode_outer`` -> left join with the vocabulary -> regroup
+    per ``key`` (one shuffle of at most ``max_len`` rows per key). The join has
+    no hint: a vocabulary below Spark's broadcast threshold (hand it off first,
+    so that its size is known) is broadcast, a larger one is joined by token
+    with skewed tokens split. ``key`` must be unique: a repeated key raises."""
     ex = df.select(key, F.posexplode_outer(F.slice(_col(tokens), 1, max_len)).alias("_pos", "_tok"))
-    # vocab holds at most max_size rows (see build_vocab): safe to broadcast.
-    v = F.broadcast(vocab.select(F.col("token").alias("_tok"), F.col("id").cast("int").alias("_id")))
-    j = ex.join(v, "_tok", "left")
+    v = vocab.select(F.col("token").alias("_tok"), F.col("id").cast("int").alias("_id"))
     item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_id", F.lit(UNK_ID)).alias("id")))
-    g = j.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("_s"))
-    ids = F.transform("_s", lambda s: s["id"])
-    return g.select(key, F.concat(ids, F.array_repeat(F.lit(PAD_ID), F.lit(max_len) - F.size(ids))).alias(out))
+    g = ex.join(v, "_tok", "left").groupBy(key).agg(
+        F.sort_array(F.collect_list(item)).alias("_s"), F.max("_pos").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    twice = F.raise_error(F.concat(F.lit(f"{key} is not unique: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    ids = F.when(F.col("_n") == F.coalesce(F.col("_last") + 1, F.lit(1)), F.transform("_s", lambda s: s["id"])).otherwise(twice.cast("array<int>"))
+    ids = F.concat(ids, F.array_repeat(F.lit(PAD_ID), F.lit(max_len) - F.size("_s")))
+    return g.select(key, ids.alias(out))
 
 
 def attention_mask(ids: Column | str) -> Column:
@@ -153,10 +111,11 @@ def count_vectorizer_stages(text: str = "text", features: str = "features",
 def truncate_pad(df: DataFrame, tokens: str, group: str, max_len: int, pad: str = PAD,
                  out: str = "padded") -> DataFrame:
     """FEA-5: truncate to ``max_len`` and pad to the longest row of the same
-    ``group`` (a batch / split). The per-group maxima are one row per group,
-    joined back (broadcast by AQE when small)."""
+    ``group`` (a batch / split). The maxima, one row per group, are handed off:
+    with a few groups the planner knows that they are small and no row is
+    shuffled by its group."""
     sliced = df.withColumn("_t", F.slice(F.col(tokens), 1, max_len))
-    longest = sliced.groupBy(group).agg(F.max(F.size("_t")).alias("_m"))
+    longest = handoff(sliced.groupBy(group).agg(F.max(F.size("_t")).alias("_m")), "longest")
     j = sliced.join(longest, group)
     padded = F.concat("_t", F.array_repeat(F.lit(pad), F.col("_m") - F.size("_t")))
     return j.withColumn(out, padded).drop("_t", "_m")
@@ -185,12 +144,10 @@ def masked_mean_pool(df: DataFrame, key: str, ids: str, vectors: DataFrame, id_c
 
 
 def decode_ids(df: DataFrame, key: str, ids: str, vocab: DataFrame, out: str = "text") -> DataFrame:
-    """FEA-7: ids -> tokens (pads dropped), joined by one space."""
-    ex = df.select(key, F.posexplode(F.col(ids)).alias("_pos", "_id")).filter(F.col("_id") != PAD_ID)
-    v = F.broadcast(vocab.select(F.col("id").cast("int").alias("_id"), F.col("token").alias("_tok")))
-    j = ex.join(v, "_id", "left")
-    g = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_pos", "_tok"))).alias("_s"))
-    keys = df.select(key)
-    res = keys.join(g, key, "left")
-    toks = F.transform(F.coalesce("_s", F.array().cast("array<struct<_pos:int,_tok:string>>")), lambda s: s["_tok"])
-    return res.select(key, F.array_join(toks, " ").alias(out))
+    """FEA-7: ids -> tokens (pads dropped), joined by one space; an unknown id
+    is left out. One shuffle, by ``key`` (unique)."""
+    ex = df.select(key, F.posexplode_outer(F.filter(F.col(ids), lambda x: x != PAD_ID)).alias("_pos", "_id"))
+    v = vocab.select(F.col("id").cast("int").alias("_id"), F.col("token").alias("_tok"))
+    item = F.when(F.col("_tok").isNotNull(), F.struct("_pos", "_tok"))
+    g = ex.join(v, "_id", "left").groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("_s"))
+    return g.select(key, F.array_join(F.transform("_s", lambda s: s["_tok"]), " ").alias(out))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from mailsift.functions import patterns as P
 from mailsift.functions import text as X
+from mailsift.session import handoff
 
 
 def rows_per_label(df: DataFrame, label: str = "y") -> DataFrame:
@@ -33,7 +34,8 @@ def box_stats(df: DataFrame, value: str, by: str, approx: bool = False, accuracy
     value -> count map, so integer-valued counts stay small per group), or
     ``percentile_approx`` when ``approx``. Whiskers are the most extreme
     values within 1.5 IQR of the box; outliers are counted. The quartile table
-    has one row per group and is joined back for a second aggregate pass.
+    has one row per group; it is handed off, so that the planner knows its size,
+    and joined back for a second aggregate pass.
     """
     v = F.col(value)
     if approx:
@@ -43,7 +45,7 @@ def box_stats(df: DataFrame, value: str, by: str, approx: bool = False, accuracy
     quart = (df.groupBy(by).agg(q.alias("_q"))
                .select(by, F.col("_q")[0].cast("double").alias("q1"), F.col("_q")[1].cast("double").alias("median"),
                        F.col("_q")[2].cast("double").alias("q3")))
-    joined = df.select(by, value).join(quart, by)
+    joined = df.select(by, value).join(handoff(quart, "quartiles"), by)
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = (v >= lo) & (v <= hi)

@@ -5,22 +5,24 @@ Seeded selection never ranks a whole class in one task. Rows are ordered by
 ``md5(seed|key)``; hex digits of that hash give buckets, so a class spreads
 over many buckets. Per-(class, bucket) counts and their running sums decide
 every bucket that lies entirely inside one segment; buckets that straddle a
-cut point are refined on the next digits, and only the handful of rows left
-in straddling sub-buckets are ranked row by row (SURVEY H3).
+cut point are refined on the next digits, and only the rows left in straddling
+sub-buckets are ranked row by row (SURVEY H3). All of that works on a written
+table of keys and classes; the rows themselves are read once more at the end.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Upper bound on rows of the per-(group, bucket) count table; it is broadcast.
-MAX_BUCKET_ROWS = 1 << 20
-# Guard on the number of groups collected to the driver to compute quotas.
-MAX_GROUPS = 100_000
+from mailsift.session import handoff, shared_scratch
+
+# Hex digits of the seeded hash in one level of buckets (65,536 a class).
+DIGITS = 4
 
 
 def union_tables(frames: Sequence[DataFrame], tag: str | None = "_file_ord") -> DataFrame:
@@ -51,140 +53,129 @@ def seed_hash(seed: int, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
 
 
-def _digits_for(n_tables: int) -> int:
-    """Hex digits per bucket level so a level's table stays under
-    ``MAX_BUCKET_ROWS`` rows (``n_tables`` buckets are refined at once)."""
-    d = 4
-    while d > 0 and n_tables * 16 ** d > MAX_BUCKET_ROWS:
-        d -= 1
-    return d
+def _group_name(by: str) -> Column:
+    """A class as text; null is a class of its own."""
+    return F.coalesce(F.concat(F.lit("v"), F.col(by).cast("string")), F.lit("null"))
+
+
+def _cut_table(df: DataFrame, by: str | None, cuts: Mapping[object, Sequence[int]] | DataFrame) -> DataFrame:
+    """(_g, _cuts) from a mapping or from a frame (``by``, cuts)."""
+    if isinstance(cuts, DataFrame):
+        return cuts.select(_group_name(by).alias("_g"), F.col("cuts").alias("_cuts"))
+    spark, rows = df.sparkSession, [(k, [int(c) for c in v]) for k, v in cuts.items()]
+    if by is None:
+        return spark.createDataFrame([("all", v) for _, v in rows], "_g string, _cuts array<bigint>")
+    kind = df.schema[by].dataType.simpleString()
+    frame = spark.createDataFrame(rows, f"`{by}` {kind}, _cuts array<bigint>")
+    return frame.select(_group_name(by).alias("_g"), "_cuts")
 
 
 def _n_cuts_at_or_below(cuts: Column, x: Column) -> Column:
     return F.size(F.filter(cuts, lambda c: c <= x))
 
 
-def seeded_segments(df: DataFrame, by: str | None, key: str, seed: int,
-                    cuts: Mapping[object, Sequence[int]], segment: str = "_segment") -> DataFrame:
-    """Assign each row a segment number from its exact seeded rank.
-
-    Rows of group ``g`` are ranked 0, 1, ... by ``(md5(seed|key), key)``; a row
-    with rank ``r`` gets segment ``#{c in cuts[g] : c <= r}``. Rows of groups
-    without cuts get segment 0. ``key`` must be unique.
-
-    Three small tables decide every row, each computed from key columns only:
-    level-1 buckets (first hash digits) with running counts per group; for
-    the few level-1 buckets that straddle a cut, level-2 buckets (next
-    digits); for the few level-2 buckets that still straddle a cut, the exact
-    rank of their rows. The data itself is then read once and joined with the
-    three broadcast tables: no shuffle of the rows, no per-group window.
-    """
-    spark = df.sparkSession
-    # Null is a group of its own.
-    name = lambda c: F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("null"))
-    gcol = name(F.col(by)) if by else F.lit(0)
-    n_groups = max(1, len(cuts))
-    n_cut_buckets = max(1, sum(len(v) for v in cuts.values()))
-    d1 = _digits_for(n_groups)
-    d2 = _digits_for(n_cut_buckets)
+def _keyed(df: DataFrame, by: str | None, key: str, seed: int) -> DataFrame:
+    """Key, class and hash digits of every row as a written table. (Stored, the
+    one class of ``by=None`` is a join key like any other.)"""
+    group = _group_name(by) if by else F.lit("all")
     h = seed_hash(seed, key)
-    keyed = (df.withColumn("_g", gcol).withColumn("_h", h)
-               .withColumn("_b1", F.substring("_h", 1, d1)).withColumn("_b2", F.substring("_h", d1 + 1, d2)))
-    keys = keyed.select("_g", "_h", "_b1", "_b2", key)
-    gtype = df.schema[by].dataType.simpleString() if by else "int"
-    cut_df = F.broadcast(spark.createDataFrame([(k, [int(c) for c in v]) for k, v in cuts.items()],
-                                               f"_g {gtype}, _cuts array<bigint>").withColumn("_g", name(F.col("_g")) if by else F.col("_g")))
-    no_cuts = F.array().cast("array<bigint>")
-
-    # Level 1: at most n_groups * 16**d1 rows.
-    c1 = keys.groupBy("_g", "_b1").agg(F.count(F.lit(1)).alias("_cnt"))
-    if by:
-        c1 = c1.join(cut_df, "_g", "left").withColumn("_cuts", F.coalesce("_cuts", no_cuts))
-    else:
-        # No group column: one literal cut list (joining on a constant would
-        # plan a nested-loop join).
-        c1 = c1.withColumn("_cuts", F.array(*[F.lit(int(c)) for c in cuts.get(0, [])]).cast("array<bigint>"))
-    c1 = c1.withColumn("_s1", F.sum("_cnt").over(Window.partitionBy("_g").orderBy("_b1")) - F.col("_cnt"))
-    lo1 = _n_cuts_at_or_below(F.col("_cuts"), F.col("_s1"))
-    hi1 = _n_cuts_at_or_below(F.col("_cuts"), F.col("_s1") + F.col("_cnt") - 1)
-    t1 = c1.select("_g", "_b1", "_s1", "_cuts", lo1.alias("_seg1"), (lo1 != hi1).alias("_x1"))
-
-    # Level 2: only level-1 buckets that straddle a cut (at most one per cut).
-    g1 = ["_g", "_b1"] if by else ["_b1"]
-    g2 = g1 + ["_b2"]
-    x1 = F.broadcast(t1.filter("_x1").select(*g1, "_s1", "_cuts"))
-    c2 = keys.join(x1, g1).groupBy("_g", "_b1", "_b2", "_s1", "_cuts").agg(
-        F.count(F.lit(1)).alias("_cnt"))
-    w2 = Window.partitionBy("_g", "_b1").orderBy("_b2")
-    c2 = c2.withColumn("_s2", F.col("_s1") + F.sum("_cnt").over(w2) - F.col("_cnt"))
-    lo2 = _n_cuts_at_or_below(F.col("_cuts"), F.col("_s2"))
-    hi2 = _n_cuts_at_or_below(F.col("_cuts"), F.col("_s2") + F.col("_cnt") - 1)
-    t2 = c2.select("_g", "_b1", "_b2", "_s2", "_cuts", lo2.alias("_seg2"), (lo2 != hi2).alias("_x2"))
-
-    # Level 3: exact ranks of the rows of level-2 buckets that straddle a cut.
-    x2 = F.broadcast(t2.filter("_x2").select(*g2, "_s2", "_cuts"))
-    w3 = Window.partitionBy("_g", "_b1", "_b2").orderBy("_h", key)
-    t3 = (keys.join(x2, g2)
+    cols = [key] + ([by] if by and by != key else [])
+    return handoff(df.select(*cols, group.alias("_g"), F.substring(h, 1, DIGITS).alias("_b1"),
+                             F.substring(h, DIGITS + 1, DIGITS).alias("_b2"), h.alias("_h")), "keys")
+
+
+def segment_table(rows: DataFrame, by: str | None, key: str,
+                  cuts: Mapping[object, Sequence[int]] | DataFrame, segment: str = "_segment") -> DataFrame:
+    """(key, by, segment) of ``seeded_segments`` as a written table, from the
+    rows of ``_keyed``.
+
+    Level-1 buckets (first hash digits) carry running counts per class; the
+    level-1 buckets that straddle a cut (at most one per cut) are counted again
+    by the next digits; rows of the level-2 buckets that still straddle one are
+    ranked exactly, about ``n / 16**8`` of a class's ``n`` rows per cut. Joins
+    take whatever plan the tables' sizes allow."""
+    cols = [key] + ([by] if by and by != key else [])
+    cut_df = _cut_table(rows, by, cuts)
+    g1, g2 = ["_g", "_b1"], ["_g", "_b1", "_b2"]
+    n = F.count(F.lit(1)).alias("_n")
+
+    def bounds(counts: DataFrame, before: Column, first: str, seg: str, cut: str) -> DataFrame:
+        t = counts.withColumn(first, before - F.col("_n"))
+        lo = _n_cuts_at_or_below(F.col("_cuts"), F.col(first))
+        hi = _n_cuts_at_or_below(F.col("_cuts"), F.col(first) + F.col("_n") - 1)
+        return t.withColumn(seg, lo).withColumn(cut, lo != hi).drop("_n")
+
+    c1 = rows.groupBy(*g1).agg(n).join(cut_df, "_g", "left")
+    c1 = c1.withColumn("_cuts", F.coalesce("_cuts", F.array().cast("array<bigint>")))
+    t1 = bounds(c1, F.sum("_n").over(Window.partitionBy("_g").orderBy("_b1")), "_s1", "_seg1", "_x1")
+
+    c2 = rows.join(t1.filter("_x1").select(*g1, "_s1", "_cuts"), g1).groupBy(*g2, "_s1", "_cuts").agg(n)
+    w2 = Window.partitionBy(*g1).orderBy("_b2")
+    t2 = bounds(c2, F.col("_s1") + F.sum("_n").over(w2), "_s2", "_seg2", "_x2")
+
+    w3 = Window.partitionBy(*g2).orderBy("_h", key)
+    t3 = (rows.join(t2.filter("_x2").select(*g2, "_s2", "_cuts"), g2)
               .withColumn("_r", F.col("_s2") + F.row_number().over(w3) - 1)
               .select(F.col(key).alias("_k3"), _n_cuts_at_or_below(F.col("_cuts"), F.col("_r")).alias("_seg3")))
 
-    out = (keyed.join(F.broadcast(t1.select(*g1, "_seg1", "_x1")), g1)
-                .join(F.broadcast(t2.select(*g2, "_seg2", "_x2")), g2, "left")
-                .join(F.broadcast(t3), F.col(key) == F.col("_k3"), "left"))
+    out = (rows.join(t1.select(*g1, "_seg1", "_x1"), g1)
+               .join(t2.select(*g2, "_seg2", "_x2"), g2, "left")
+               .join(t3, F.col(key) == F.col("_k3"), "left"))
     seg = F.when(~F.col("_x1"), F.col("_seg1")).when(~F.col("_x2"), F.col("_seg2")).otherwise(F.col("_seg3"))
-    return out.withColumn(segment, seg).drop("_g", "_h", "_b1", "_b2", "_seg1", "_x1", "_seg2", "_x2", "_k3", "_seg3")
+    return handoff(out.select(*cols, seg.alias(segment)), "segments")
 
 
-def group_counts(df: DataFrame, by: str | None) -> dict:
-    """Row count per group, collected (one row per class)."""
-    if by is None:
-        return {0: df.count()}
-    rows = df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups in {by}")
-    return {r[0]: r[1] for r in rows}
+def seeded_segments(df: DataFrame, by: str | None, key: str, seed: int,
+                    cuts: Mapping[object, Sequence[int]] | DataFrame, segment: str = "_segment") -> DataFrame:
+    """Assign each row a segment number from its exact seeded rank.
+
+    Rows of group ``g`` are ranked 0, 1, ... by ``(md5(seed|key), key)``; a row
+    with rank ``r`` gets segment ``#{c in cuts[g] : c <= r}``. Rows of groups
+    without cuts get segment 0; null is a group. ``key`` must be unique and not
+    null. ``cuts`` is a mapping or, for any number of groups, a frame of ``by``
+    and ``cuts``. The rows are joined once, by key, with ``segment_table``."""
+    return df.join(segment_table(_keyed(df, by, key, seed), by, key, cuts, segment).select(key, segment), key)
 
 
 def balance_classes(df: DataFrame, label: str, key: str, classes: Sequence = (0, 1), seed: int = 42) -> DataFrame:
     """SHP-3: down-sample the larger of two classes to the smaller one's size
     (seeded); rows of any other class are dropped."""
-    two = df.filter(F.col(label).isin(*classes))
-    counts = group_counts(two, label)
+    two = _keyed(df.filter(F.col(label).isin(*classes)), label, key, seed)
+    counts = {r[0]: r[1] for r in two.groupBy(label).count().collect()}  # one row per listed class
     n = min(counts.get(c, 0) for c in classes)
-    kept = seeded_segments(two, label, key, seed, {c: [n] for c in classes}, "_seg")
-    return kept.filter(F.col("_seg") == 0).drop("_seg")
-
-
-def largest_remainder(counts: Mapping[object, int], n_draws: int) -> dict:
-    """Stratified allocation of ``n_draws`` rows over classes: floor of the
-    proportional share, then one more row to the largest remainders (ties to
-    the smaller label)."""
-    total = sum(counts.values())
-    if total == 0:
-        return {k: 0 for k in counts}
-    cont = {k: v / total * n_draws for k, v in counts.items()}
-    base = {k: math.floor(x) for k, x in cont.items()}
-    need = n_draws - sum(base.values())
-    order = sorted(counts, key=lambda k: (-(cont[k] - base[k]), k is None, "" if k is None else k))
-    for k in order[:need]:
-        base[k] += 1
-    return base
-
-
-def split_quotas(counts: Mapping[object, int], hold_fraction: float, test_of_hold: float) -> dict:
-    """Per-class (n_train, n_val, n_test) for a two-stage split.
+    segs = segment_table(two, label, key, {c: [n] for c in classes}, "_seg")
+    return df.join(segs.filter(F.col("_seg") == 0).select(key), key)
+
+
+def largest_remainder(counts: DataFrame, total: int, n_draws: int, by: str = "label", n: str = "n", out: str = "share") -> DataFrame:
+    """Stratified allocation of ``n_draws`` of ``total`` rows over classes: floor
+    of the proportional share, then one more row to the largest remainders (ties
+    to the smaller label, null last). ``counts`` has one row per class, in any
+    number; remainders are ranked by a range sort, and only a sum reaches the
+    driver."""
+    part = F.col(n).cast("double") / F.lit(float(total or 1)) * F.lit(float(n_draws))
+    base = counts.withColumn(out, F.floor(part)).withColumn("_less", F.floor(part) - part)
+    need = n_draws - (base.agg(F.sum(out)).first()[0] or 0) if total else 0
+    if need <= 0:
+        return base.drop("_less")
+    path = f"{shared_scratch(counts.sparkSession, 'handoff')}/shares-{uuid.uuid4().hex}"
+    ranked = fresh_index(base.withColumn("_none", F.col(by).isNull()), ["_less", "_none", by], path, "_rank")
+    return ranked.withColumn(out, F.col(out) + (F.col("_rank") < need).cast("long")).drop("_less", "_none", "_rank")
+
+
+def split_quotas(counts: DataFrame, hold_fraction: float, test_of_hold: float, by: str = "label") -> DataFrame:
+    """Per-class n_train, n_val and n_test of a two-stage split, added to
+    ``counts`` (``by``, n).
 
     Stage 1 holds out ``ceil(hold_fraction * n)`` rows; the train side is
     allocated by largest remainder and the hold-out gets the rest. Stage 2
     gives ``ceil(test_of_hold * n_hold)`` of the hold-out to test the same way.
     """
-    n = sum(counts.values())
-    n_hold = math.ceil(hold_fraction * n)
-    train = largest_remainder(counts, n - n_hold)
-    hold = {k: counts[k] - train[k] for k in counts}
-    n_test = math.ceil(test_of_hold * n_hold)
-    val = largest_remainder(hold, n_hold - n_test)
-    return {k: (train[k], val[k], hold[k] - val[k]) for k in counts}
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    n_hold = math.ceil(hold_fraction * total)
+    held = largest_remainder(counts, total, total - n_hold, by, "n", "n_train").withColumn("_hold", F.col("n") - F.col("n_train"))
+    out = largest_remainder(held, n_hold, n_hold - math.ceil(test_of_hold * n_hold), by, "_hold", "n_val")
+    return out.withColumn("n_test", F.col("_hold") - F.col("n_val")).drop("_hold")
 
 
 SPLIT_NAMES = ("train", "val", "test")
@@ -194,29 +185,30 @@ def stratified_split(df: DataFrame, label: str, key: str, hold_fraction: float =
                      seed: int = 42, out: str = "split") -> DataFrame:
     """SHP-4 / SHP-5: stratified train / val / test in one pass, as a
     ``split`` column (SHP-13 keeps the parts in one table)."""
-    counts = group_counts(df, label)
-    q = split_quotas(counts, hold_fraction, test_of_hold)
-    cuts = {k: [a, a + b] for k, (a, b, _) in q.items()}
-    seg = seeded_segments(df, label, key, seed, cuts, "_seg")
-    return seg.withColumn(out, F.element_at(F.array(*[F.lit(s) for s in SPLIT_NAMES]), F.col("_seg") + 1)).drop("_seg")
+    keys = _keyed(df, label, key, seed)
+    counts = handoff(keys.groupBy(label).agg(F.count(F.lit(1)).alias("n")), "counts")
+    q = split_quotas(counts, hold_fraction, test_of_hold, label)
+    cuts = q.select(label, F.array("n_train", F.col("n_train") + F.col("n_val")).alias("cuts"))
+    segs = segment_table(keys, label, key, cuts, "_seg")
+    name = F.element_at(F.array(*[F.lit(s) for s in SPLIT_NAMES]), F.col("_seg") + 1)
+    return df.join(segs.select(key, name.alias(out)), key)
 
 
 def split_test_then_stratified_val(df: DataFrame, label: str, key: str, test_fraction: float = 0.2,
                                    val_fraction: float = 0.125, seed: int = 42, out: str = "split") -> DataFrame:
     """SHP-6: an unstratified test part first, then a stratified validation
-    part of the remaining rows."""
-    n = df.count()
-    n_test = math.ceil(test_fraction * n)
-    first = seeded_segments(df, None, key, seed, {0: [n - n_test]}, "_t")
-    rest = first.filter(F.col("_t") == 0).drop("_t")
-    counts = group_counts(rest, label)
-    n_rest = sum(counts.values())
-    n_val = math.ceil(val_fraction * n_rest)
-    train = largest_remainder(counts, n_rest - n_val)
-    second = seeded_segments(rest, label, key, seed + 1, {k: [v] for k, v in train.items()}, "_v")
-    a = second.withColumn(out, F.when(F.col("_v") == 0, "train").otherwise("val")).drop("_v")
-    b = first.filter(F.col("_t") == 1).drop("_t").withColumn(out, F.lit("test"))
-    return a.unionByName(b)
+    part of the remaining rows. Both are drawn on one table of keys; the rows
+    are read twice in all."""
+    keys = handoff(df.select(key, label), "classes")
+    n = keys.count()
+    first = segment_table(_keyed(keys, None, key, seed), None, key, {0: [n - math.ceil(test_fraction * n)]}, "_t")
+    rest = _keyed(keys.join(first.filter("_t = 0").select(key), key, "left_semi"), label, key, seed + 1)
+    counts = handoff(rest.groupBy(label).agg(F.count(F.lit(1)).alias("n")), "counts")
+    n_rest = n - math.ceil(test_fraction * n)
+    train = largest_remainder(counts, n_rest, n_rest - math.ceil(val_fraction * n_rest), label)
+    second = segment_table(rest, label, key, train.select(label, F.array("share").alias("cuts")), "_v")
+    a = second.select(key, F.when(F.col("_v") == 0, "train").otherwise("val").alias(out))
+    return df.join(a.unionByName(first.filter("_t = 1").select(key, F.lit("test").alias(out))), key)
 
 
 def words_only_in(df: DataFrame, label: str, positive, words: str = "word") -> DataFrame:

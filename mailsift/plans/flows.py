@@ -22,7 +22,6 @@ only recomputes from the last written table).
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,20 +35,12 @@ from mailsift.operators import labels as L
 from mailsift.operators import models as M
 from mailsift.operators import profile as PR
 from mailsift.operators import shape as S
-from mailsift.session import shared_scratch
+from mailsift.session import handoff
 from mailsift.sources import csv as C
 from mailsift.sources import json as J
 from mailsift.sources import sinks as K
 
 
-def handoff(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back (lineage cut)."""
-    spark = df.sparkSession
-    path = shared_scratch(spark, f"handoff/{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def clean_mail(df: DataFrame, text: str = "body", remove_stopwords: bool = False, stem: bool = False,
                partitions: int | None = None) -> DataFrame:
     """CLN-13 over a table. Rows are spread evenly before the Arrow step so

@@ -10,6 +10,7 @@ from mailsift.operators import shape as S
 from mailsift.plans.queries_profile import STOP_SQL
 from mailsift.plans.queries_shape import SEED, split_ctes
 from mailsift.plans.registry import register
+from mailsift.session import handoff
 from mailsift.sources import tables as tb
 
 MAX_LEN = 256
@@ -26,9 +27,8 @@ UNION ALL SELECT token, freq, CAST(row_number() OVER (ORDER BY freq DESC, token)
     SELECT token, count(*) AS freq FROM (
       SELECT unnest({_TOKENS}) AS token FROM mail m JOIN splits s ON m.row_id = s.row_id WHERE s.split = 'train')
     GROUP BY token) WHERE freq >= {MIN_FREQ} ORDER BY freq DESC, token LIMIT {MAX_SIZE - 2})"""
-_TEST = ("test", f"SELECT m.row_id, list_slice({_TOKENS}, 1, {MAX_LEN}) AS toks FROM mail m "
-                 "JOIN splits s ON m.row_id = s.row_id WHERE s.split = 'test'")
-_EX = ("ex", "SELECT row_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM test")
+_CUT = ("cut", f"SELECT m.row_id, list_slice({_TOKENS}, 1, {MAX_LEN}) AS toks FROM mail m")
+_EX = ("ex", "SELECT row_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM cut")
 
 
 def _split_mail(spark, d):
@@ -36,16 +36,21 @@ def _split_mail(spark, d):
     return S.stratified_split(m, "y", "row_id", 0.2, 0.5, SEED)
 
 
-def _vocab_and_test(spark, d):
-    sp = _split_mail(spark, d).withColumn("tokens", X.simple_tokens("body"))
-    train = sp.filter(F.col("split") == "train")
-    test = sp.filter(F.col("split") == "test")
-    return FE.build_vocab(train, "tokens", MIN_FREQ, MAX_SIZE), test
+def _vocab(spark, d):
+    sp = _split_mail(spark, d).filter(F.col("split") == "train")
+    return FE.build_vocab(sp.withColumn("tokens", X.simple_tokens("body")), "tokens", MIN_FREQ, MAX_SIZE)
+
+
+def _vocab_and_ids(spark, d):
+    """The vocabulary of the train rows and the ids of all rows."""
+    vocab = handoff(_vocab(spark, d), "vocab")
+    mail = tb.mail(spark, d).withColumn("tokens", X.simple_tokens("body"))
+    return vocab, FE.encode_ids(mail, "row_id", "tokens", vocab, MAX_LEN)
 
 
 @register("fea1_vocabulary", tb.with_views(_VOCAB, "mail", extra=_SPLIT))
 def fea1_vocabulary(spark, d):
-    return _vocab_and_test(spark, d)[0]
+    return _vocab(spark, d)
 
 
 @register("fea1_vocabulary_cleaned")
@@ -62,20 +67,21 @@ _ENC = ("enc", "SELECT ex.row_id, list(coalesce(v.id, 1) ORDER BY pos) AS ids FR
 
 @register("fea2_encode_ids", tb.with_views(
     f"SELECT t.row_id, array_to_string(list_resize(coalesce(e.ids, []), {MAX_LEN}, 0), ' ') AS ids "
-    "FROM test t LEFT JOIN enc e ON t.row_id = e.row_id",
-    "mail", extra=_SPLIT + [("vocab", _VOCAB), _TEST, _EX, _ENC]))
+    "FROM cut t LEFT JOIN enc e ON t.row_id = e.row_id",
+    "mail", extra=_SPLIT + [("vocab", _VOCAB), _CUT, _EX, _ENC]))
 def fea2_encode_ids(spark, d):
-    vocab, test = _vocab_and_test(spark, d)
-    enc = FE.encode_ids(test, "row_id", "tokens", vocab, MAX_LEN)
+    vocab, enc = _vocab_and_ids(spark, d)
     return enc.select("row_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
 @register("fea3_mask_length", tb.with_views(
-    "SELECT row_id, CAST(greatest(1, len(toks)) AS BIGINT) AS n_real FROM test", "mail", extra=_SPLIT + [_TEST]))
+    f"SELECT row_id, CAST(greatest(1, len(toks)) AS BIGINT) AS n_real, "
+    f"rtrim(repeat('1 ', CAST(len(toks) AS BIGINT)) || repeat('0 ', {MAX_LEN} - CAST(len(toks) AS BIGINT))) AS mask "
+    "FROM (SELECT row_id, coalesce(toks, []) AS toks FROM cut)", "mail", extra=[_CUT]))
 def fea3_mask_length(spark, d):
-    vocab, test = _vocab_and_test(spark, d)
-    enc = FE.encode_ids(test, "row_id", "tokens", vocab, MAX_LEN)
-    return enc.select("row_id", FE.real_length("ids").alias("n_real"))
+    vocab, enc = _vocab_and_ids(spark, d)
+    mask = F.array_join(FE.attention_mask("ids").cast("array<string>"), " ")
+    return enc.select("row_id", FE.real_length("ids").alias("n_real"), mask.alias("mask"))
 
 
 _BOW = ("list_filter(regexp_extract_all(lower(m.body), '[\\p{L}\\p{N}_]{2,}'), "
@@ -114,12 +120,35 @@ def fea6_mean_pool(spark, d):
     return ex.select("label", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
 
 
+_DIMS = 8
+_ID_VECTOR = "[" + ", ".join(f"CAST((id * {2 * i + 3}) % 101 AS DOUBLE)" for i in range(_DIMS)) + "]"
+
+
+@register("fea6_masked_mean_pool", tb.with_views(f"""
+SELECT c.row_id, CAST(p.pos - 1 AS BIGINT) AS dim, CAST(coalesce(m.v, 0) AS BIGINT) AS weight
+FROM cut c CROSS JOIN (SELECT unnest(range(1, {_DIMS + 1})) AS pos) p LEFT JOIN (
+  SELECT row_id, pos, sum(v) AS v FROM (
+    SELECT e.row_id, unnest(v.vec) AS v, generate_subscripts(v.vec, 1) AS pos FROM ex e
+    LEFT JOIN vocab t ON e.tok = t.token JOIN vecs v ON v.id = coalesce(t.id, 1)) GROUP BY row_id, pos) m
+ON m.row_id = c.row_id AND m.pos = p.pos""", "mail", extra=_SPLIT + [
+    ("vocab", _VOCAB), _CUT, _EX, ("vecs", f"SELECT id, {_ID_VECTOR} AS vec FROM vocab")]))
+def fea6_masked_mean_pool(spark, d):
+    """FEA-6 on token ids (the vector of an id follows from the id). Means are
+    returned times the number of ids, which makes them whole numbers."""
+    vocab, enc = _vocab_and_ids(spark, d)
+    vecs = vocab.select(F.col("id").cast("int").alias("id"),
+                        F.array(*[((F.col("id") * (2 * i + 3)) % 101).cast("double") for i in range(_DIMS)]).alias("vector"))
+    enc = handoff(enc, "ids")
+    pooled = FE.masked_mean_pool(enc, "row_id", "ids", vecs).join(enc.select("row_id", FE.real_length("ids").alias("n")), "row_id")
+    return pooled.select("row_id", "n", F.posexplode("pooled").alias("dim", "value")).select(
+        "row_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("value") * F.col("n")).cast("long").alias("weight"))
+
+
 @register("fea7_decode_ids", tb.with_views(
-    "SELECT t.row_id, coalesce(array_to_string(d.toks, ' '), '') AS text FROM test t LEFT JOIN ("
+    "SELECT t.row_id, coalesce(array_to_string(d.toks, ' '), '') AS text FROM cut t LEFT JOIN ("
     "SELECT ex.row_id, list(coalesce(v.token, '<unk>') ORDER BY pos) AS toks FROM ex "
     "LEFT JOIN vocab v ON ex.tok = v.token GROUP BY ex.row_id) d ON t.row_id = d.row_id",
-    "mail", extra=_SPLIT + [("vocab", _VOCAB), _TEST, _EX]))
+    "mail", extra=_SPLIT + [("vocab", _VOCAB), _CUT, _EX]))
 def fea7_decode_ids(spark, d):
-    vocab, test = _vocab_and_test(spark, d)
-    enc = FE.encode_ids(test, "row_id", "tokens", vocab, MAX_LEN)
+    vocab, enc = _vocab_and_ids(spark, d)
     return FE.decode_ids(enc, "row_id", "ids", vocab)

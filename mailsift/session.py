@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the engine relies on. They are applied only where the
 # session has no value yet, so a cluster's own settings (spark-submit,
@@ -84,6 +84,15 @@ def shared_scratch(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}"
 
 
+def handoff(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: it is computed once,
+    its lineage is cut, and its size is known to the planner."""
+    spark = df.sparkSession
+    path = f"{shared_scratch(spark, 'handoff')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of a local
     session that did not start from the package's folder.

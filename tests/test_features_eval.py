@@ -37,11 +37,27 @@ def test_encode_pad_truncate_unk_and_decode(spark, corpus):
     assert dec == {1: "b a b <unk>", 2: "a b", 3: "", 4: "<unk> a b <unk>"}
 
 
-def test_encode_methods_agree(spark, corpus):
+def test_encode_is_one_plan_and_refuses_repeated_keys(spark, corpus):
+    """A shuffled join gives the broadcast join's ids, and a key that comes
+    twice (with tokens, without, or one of each) raises."""
     vocab = FE.build_vocab(corpus, "tokens", min_freq=1)
-    a = {r.row_id: r.ids for r in FE.encode_ids(corpus, "row_id", "tokens", vocab, 3, method="dict").collect()}
-    b = {r.row_id: r.ids for r in FE.encode_ids(corpus, "row_id", "tokens", vocab, 3, method="join").collect()}
+    a = {r.row_id: r.ids for r in FE.encode_ids(corpus, "row_id", "tokens", vocab, 3).collect()}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        b = {r.row_id: r.ids for r in FE.encode_ids(corpus, "row_id", "tokens", vocab, 3).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert a == b and len(a) == 4
+    for again in ([(1, ["a"])], [(3, [])], [(3, ["a"])], [(2, [])]):
+        rows = corpus.unionByName(spark.createDataFrame(again, corpus.schema))
+        with pytest.raises(Exception, match="not unique"):
+            FE.encode_ids(rows, "row_id", "tokens", vocab, 3).collect()
+
+
+def test_attention_mask(spark):
+    df = spark.createDataFrame([([5, 1, 0, 0],), ([0, 0, 0, 0],)], "ids array<int>")
+    assert [r.m for r in df.select(FE.attention_mask("ids").alias("m")).collect()] == [[1, 1, 0, 0], [0, 0, 0, 0]]
 
 
 def test_bag_of_words_train_vocabulary_only(spark):

@@ -60,11 +60,11 @@ def test_seeded_rank_matches_exact_window(spark):
     assert {r.row_id: r.seg for r in seg.collect()} == exp
 
 
-@pytest.mark.parametrize("budget", [64, 512])
-def test_seeded_rank_all_levels(spark, monkeypatch, budget):
+@pytest.mark.parametrize("digits", [1, 2])
+def test_seeded_rank_all_levels(spark, monkeypatch, digits):
     """Few buckets per level, so rows are decided at levels 1, 2 and 3."""
     from pyspark.sql import Window
-    monkeypatch.setattr(S, "MAX_BUCKET_ROWS", budget)
+    monkeypatch.setattr(S, "DIGITS", digits)
     labels = [0 if i % 3 else 1 for i in range(3000)]
     df = _frame(spark, labels, 8)
     cuts = {0: [0, 333, 1000, 1999], 1: [1, 500, 999]}
@@ -90,10 +90,40 @@ def test_dedup_keeps_first_in_order(spark):
     assert out == {"x": (1, 0), "y": (2, 1)}
 
 
-def test_largest_remainder():
-    assert S.largest_remainder({0: 50, 1: 50}, 80) == {0: 40, 1: 40}
-    assert S.largest_remainder({0: 2, 1: 1}, 2) == {0: 1, 1: 1}
-    assert sum(S.largest_remainder({0: 7, 1: 5, 2: 3}, 9).values()) == 9
+def _shares(spark, counts, n_draws, kind="int"):
+    df = spark.createDataFrame(list(counts.items()), f"label {kind}, n long")
+    return {r.label: r.share for r in S.largest_remainder(df, sum(counts.values()), n_draws).collect()}
+
+
+def test_largest_remainder(spark):
+    assert _shares(spark, {0: 50, 1: 50}, 80) == {0: 40, 1: 40}
+    assert _shares(spark, {0: 2, 1: 1}, 2) == {0: 1, 1: 1}
+    assert sum(_shares(spark, {0: 7, 1: 5, 2: 3}, 9).values()) == 9
+    assert _shares(spark, {"b": 1, "a": 1, None: 1}, 2, "string") == {"a": 1, "b": 1, None: 0}
+    assert _shares(spark, {}, 0) == {}
+
+
+def test_split_of_many_classes(spark):
+    """As many classes as rows / 2, none of them collected: sizes as for one class."""
+    df = spark.range(6000).select(F.col("id").alias("row_id"), (F.col("id") % 3000).alias("label"))
+    out = S.stratified_split(df, "label", "row_id", 0.2, 0.5)
+    assert _sizes(out) == {"train": 4800, "val": 600, "test": 600}
+    per = out.filter("split = 'train'").groupBy("label").count().agg(F.min("count"), F.max("count")).first()
+    assert tuple(per) == (1, 2)
+
+
+def _reads(df, folder):
+    return df._jdf.queryExecution().executedPlan().toString().count(folder)
+
+
+def test_split_reads_the_rows_once_more(spark, tmp_dir):
+    """Keys and classes are read once and written; the result's own plan reads the rows once."""
+    _frame(spark, [i % 3 for i in range(300)]).write.parquet(f"{tmp_dir}/rows_in")
+    df = spark.read.parquet(f"{tmp_dir}/rows_in")
+    for out in (S.stratified_split(df, "label", "row_id"), S.split_test_then_stratified_val(df, "label", "row_id"),
+                S.balance_classes(df, "label", "row_id")):
+        assert _reads(out, "/rows_in") == 1
+        assert out.count() > 0
 
 
 def test_words_only_in_and_lookup(spark):
