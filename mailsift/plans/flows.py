@@ -50,6 +50,13 @@ def clean_mail(df: DataFrame, text: str = "body", remove_stopwords: bool = False
     return df.withColumn(text, X.clean_text(X.coerce_text(df, text), remove_stopwords=remove_stopwords, stem=stem))
 
 
+def with_ids(df: DataFrame, vocab: DataFrame, max_len: int, *cols: str) -> DataFrame:
+    """The model's input as a written table: the ids of FEA-2 (the first
+    ``max_len`` tokens over ``vocab``) and their words, and ``cols`` of ``df``."""
+    ids = FE.encode_ids(df, "_row_ord", "tokens", vocab, max_len)
+    return handoff(df.select("_row_ord", *cols).join(ids, "_row_ord").withColumn("words", M.id_words("ids")), "ids")
+
+
 def train_and_evaluate(spark: SparkSession, train_path: str, test_path: str, out_dir: str,
                        epochs: Sequence[int] = (10, 25, 50), max_len: int = 256, min_freq: int = 2,
                        emb_dim: int = 128, remove_stopwords: bool = False, stem_tokens: bool = False,
@@ -69,14 +76,13 @@ def train_and_evaluate(spark: SparkSession, train_path: str, test_path: str, out
     test = L.encode_labels(test, label_map, "label", "label_id").withColumn("label_id", F.col("label_id").cast("double"))
     # Second cleaning pass for tokens (the body is already cleaned once).
     tok = X.clean_tokens("body", normalize=False)
-    train = train.withColumn("tokens", tok).withColumn("_key", F.col("_row_ord"))
-    test = test.withColumn("tokens", tok)
+    train, test = train.withColumn("tokens", tok), test.withColumn("tokens", tok)
     vocab = handoff(FE.build_vocab(train, "tokens", min_freq), "vocab")
-    encoded = FE.encode_ids(test, "_row_ord", "tokens", vocab, max_len)
-    parts = S.stratified_split(train, "label_id", "_key", 0.1, 1.0, seed)
-    fit_rows, val_rows = parts.filter(F.col("split") == "train"), parts.filter(F.col("split") != "train")
-    n_classes = len(label2id)
-    cands = [M.embedding_mlp("tokens", "label_id", n_classes, emb_dim, min_freq, max_iter=e, seed=seed) for e in epochs]
+    train, test = (with_ids(df, vocab, max_len, "label_id") for df in (train, test))
+    parts = S.stratified_split(train, "label_id", "_row_ord", 0.1, 1.0, seed)
+    fit_rows, val_rows = M.for_fit(parts.filter(F.col("split") == "train")), parts.filter(F.col("split") != "train")
+    n_classes, n_parts = len(label2id), fit_rows.rdd.getNumPartitions()
+    cands = [M.embedding_mlp("words", "label_id", n_classes, emb_dim, max_iter=e, seed=seed, passes=e, partitions=n_parts) for e in epochs]
 
     def val_accuracy(scored: DataFrame) -> float:
         return E.accuracy(scored, "label_id", "y_pred").first()[0] or 0.0
@@ -90,7 +96,7 @@ def train_and_evaluate(spark: SparkSession, train_path: str, test_path: str, out
     K.save_meta(spark, {"max_len": max_len, "emb_dim": emb_dim, "min_freq": min_freq,
                         "remove_stopwords": remove_stopwords, "stem_tokens": stem_tokens}, f"{out_dir}/meta.json")
     K.save_model(model, f"{out_dir}/model")
-    encoded.write.mode("overwrite").parquet(f"{out_dir}/test_ids.parquet")
+    test.select("_row_ord", "ids").write.mode("overwrite").parquet(f"{out_dir}/test_ids.parquet")
     return {"labels": label2id, "validation_accuracy": scores, "report": [r.asDict() for r in report]}
 
 
@@ -149,8 +155,9 @@ def evaluate_saved_model(spark: SparkSession, model_dir: str, test_path: str) ->
     n_unknown = L.unknown_label_count(df, label_map).first()[0]
     df = L.encode_labels(L.keep_known_labels(df, label_map), label_map, "label", "label_id", strict=False)
     df = clean_mail(df, "body", meta.get("remove_stopwords", False), meta.get("stem_tokens", False))
-    df = df.withColumn("tokens", X.clean_tokens("body", normalize=False))
-    scored = M.score(model, df.withColumn("label_id", F.col("label_id").cast("double")))
+    df = df.withColumn("tokens", X.clean_tokens("body", normalize=False)).withColumn("label_id", F.col("label_id").cast("double"))
+    vocab = spark.read.parquet(f"{model_dir}/vocab/vocab.parquet")
+    scored = M.score(model, with_ids(df, vocab, meta["max_len"], "label_id"))
     id2label = {int(r["label_id"]): r["label"] for r in label_map.collect()}
     report = E.classification_report(scored, sorted(id2label), id2label, "label_id", "y_pred").collect()
     return {"n_skipped_unknown_label": int(n_unknown), "report": [r.asDict() for r in report]}

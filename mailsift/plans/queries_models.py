@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from mailsift.functions import patterns as P
 from mailsift.functions import text as X
 from mailsift.operators import evaluate as E
+from mailsift.operators import features as FE
 from mailsift.operators import labels as L
 from mailsift.operators import models as M
 from mailsift.operators import shape as S
 from mailsift.plans.queries_eval import scored_subject_mail
 from mailsift.plans.queries_shape import SEED
 from mailsift.plans.registry import register
+from mailsift.session import handoff
 from mailsift.sources import tables as tb
 
 
@@ -31,18 +33,11 @@ def _out(pred):
     return pred.select("row_id", "y", "y_pred", F.round("conf", 6).alias("conf"))
 
 
-_FITTED: dict = {}
-
-
 def fit_logreg(spark, d):
-    """MOD-1 fitted once per session and data folder (MOD-1, MOD-6 and EVL-1
-    share the model, as the original scripts share one saved model)."""
+    """MOD-1 fitted on the train rows (as MOD-6 and EVL-1 need it)."""
     train, test = _split(spark, d)
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _FITTED:
-        n = train.count()
-        _FITTED[key] = M.logistic_regression_bow("body", "label", n_train=n).fit(M.for_fit(train))
-    return _FITTED[key], test
+    train = M.for_fit(train)
+    return M.logistic_regression_bow("body", "label", n_train=train.count()).fit(train), test
 
 
 @register("mod1_logreg_bow")
@@ -60,11 +55,16 @@ def mod2_decision_tree_bow(spark, d):
 
 @register("mod3_embedding_mlp")
 def mod3_embedding_mlp(spark, d):
-    train, test = _split(spark, d)
-    toks = X.clean_tokens("body", passes=2)
-    train, test = train.withColumn("tokens", toks), test.withColumn("tokens", toks)
-    model = M.embedding_mlp("tokens", "label", n_classes=2, max_iter=50, seed=SEED).fit(M.for_fit(train))
-    return _out(M.score(model, test))
+    """Trained on the ids of FEA-2 over the vocabulary of the train rows."""
+    rows = handoff(S.stratified_split(tb.mail(spark, d), "y", "row_id", 0.2, 0.5, SEED)
+                   .select("row_id", "y", "split", X.clean_tokens("body", passes=2).alias("tokens")), "tokens")
+    vocab = handoff(FE.build_vocab(rows.filter("split = 'train'"), "tokens", 2), "vocab")
+    ids = FE.encode_ids(rows, "row_id", "tokens", vocab, 256)
+    rows = rows.drop("tokens").join(ids, "row_id").select("*", M.id_words("ids").alias("words"), F.col("y").cast("double").alias("label"))
+    rows = handoff(rows, "ids")
+    train = M.for_fit(rows.filter("split = 'train'"))
+    model = M.embedding_mlp("words", "label", n_classes=2, seed=SEED, partitions=train.rdd.getNumPartitions()).fit(train)
+    return _out(M.score(model, rows.filter("split = 'test'")))
 
 
 @register("mod4_weighted_frozen_vectors")

@@ -135,12 +135,11 @@ def src9_training_log_roundtrip(spark, d):
 
 
 def _small_model(spark, d):
-    """A quickly trained bag-of-words model on the labelled mail (the point of
-    the queries below is the sink / stream, not the model)."""
+    """The bag-of-words model on the labelled mail, for the sink and streams below."""
     from mailsift.operators import models as M
     m = tb.mail(spark, d).withColumn("label", F.col("y").cast("double"))
     n = m.count()
-    return M.logistic_regression_bow("body", "label", n_train=n, max_iter=20).fit(M.for_fit(m))
+    return M.logistic_regression_bow("body", "label", n_train=n).fit(M.for_fit(m))
 
 
 @register("snk3_model_roundtrip")

@@ -9,6 +9,7 @@ a label column is decided later, per column, from its values.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,15 @@ LATIN1 = "ISO-8859-1"
 UTF8 = "UTF-8"
 
 
+# monotonically_increasing_id() = partition << 33 | position in the partition.
+_POSITION_BITS = 33
+_POSITION_MASK = (1 << _POSITION_BITS) - 1
+
+
+def _plain(path: str) -> str:
+    return re.sub("^file:/+", "file:/", path)
+
+
 class MissingColumnsError(ValueError):
     """SRC-6: the input lacks required columns."""
 
@@ -54,11 +64,21 @@ def na_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], encoding: str = UTF8) -> DataFrame:
-    """A header CSV as all-string columns with NA spellings as null, each
-    row tagged with its source file and its position in that file."""
-    df = _reader(spark, encoding).csv(path)
-    df = na_to_null(df)
-    df = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row_ord", F.monotonically_increasing_id())
+    """A header CSV, or a folder of them, as all-string columns with NA
+    spellings as null, each row tagged with its source file and its place in
+    the input (``_row_ord``: files by name, then rows as they stand in a file).
+
+    Spark deals large files out first, so positions alone do not follow the
+    files' order. A multi-line file is read by one task: within a file they do."""
+    df = na_to_null(_reader(spark, encoding).csv(path))
+    cols = df.columns
+    # The listing Spark made for the scan, one row per file.
+    files = [(_plain(f), i) for i, f in enumerate(sorted(df.inputFiles(), key=_plain))]
+    order = spark.createDataFrame(files, "_listed string, _file_no long")
+    df = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK)))
+    df = df.join(order, F.regexp_replace("_file", "^file:/+", "file:/") == F.col("_listed"), "left")
+    number = F.coalesce("_file_no", F.raise_error(F.concat(F.lit("file not in the listing: "), F.col("_file"))).cast("long"))
+    df = df.withColumn("_row_ord", F.shiftleft(number, _POSITION_BITS) + F.col("_pos")).select(*cols, "_file", "_row_ord")
     # A multi-line CSV file is one task; spread the rows before any heavy
     # per-row work (the order column is fixed before the exchange).
     return spread(df, "_row_ord")

@@ -14,7 +14,7 @@ from mailsift.plans.registry import queries
 Q = queries()
 
 
-@pytest.mark.parametrize("name", ["mod1_logreg_bow", "mod2_decision_tree_bow"])
+@pytest.mark.parametrize("name", ["mod1_logreg_bow", "mod2_decision_tree_bow", "mod3_embedding_mlp"])
 def test_scores_each_heldout_row_once(spark, name):
     out = Q[name](spark, SF001).collect()
     test_ids = {r.row_id for r in QM._split(spark, SF001)[1].select("row_id").collect()}
@@ -23,6 +23,23 @@ def test_scores_each_heldout_row_once(spark, name):
     assert all(r.y_pred in (0, 1) and 0.5 <= r.conf <= 1.0 for r in out)
 
 
+def test_embedding_model_learns_from_many_partitions(spark):
+    """Two vocabularies, one per class: the embeddings are trained on several
+    parts of the rows and the held-out rows are told apart."""
+    from pyspark.sql import functions as F
+
+    from mailsift.operators import models as M
+
+    rows = spark.range(0, 240, numPartitions=6).select(
+        "id", (F.col("id") % 2).cast("double").alias("label"),
+        F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: ((i * 7 + F.col("id") * 5) % 10 + 2 + 10 * (F.col("id") % 2)).cast("int")).alias("ids"))
+    rows = rows.withColumn("words", M.id_words(F.concat("ids", F.array(F.lit(0)))))
+    model = M.embedding_mlp("words", "label", 2, emb_dim=8, hidden=8, partitions=6).fit(rows.filter("id < 200"))
+    assert model.stages[0].getNumPartitions() == 6 and model.stages[0].getVectors().count() == 20
+    out = M.score(model, rows.filter("id >= 200")).select("label", "y_pred").collect()
+    assert len(out) == 40 and sum(r.label == r.y_pred for r in out) >= 36
+
+
 def test_external_scorer_equals_numpy(spark):
     got = {r.row_id: (r.y_pred, r.dist) for r in Q["udf4_external_scorer"](spark, SF001).collect()}
     t = pq.read_table(f"{SF001}/embeddings.parquet").to_pandas()

@@ -42,6 +42,21 @@ def test_text_csv_keeps_nulls_and_union_by_name(spark, tmp_dir):
     assert C.read_csv_complete(spark, a).count() == 1
 
 
+def test_row_order_follows_files_then_rows(spark, tmp_dir):
+    """Files of a folder by name, whatever their sizes (Spark starts with the
+    largest) and names; rows as they stand in a file."""
+    folder = os.path.join(tmp_dir, "many files")
+    os.mkdir(folder)
+    want = []
+    for name, n in (("a b.csv", 2), ("b%20.csv", 400), ("c.csv", 30), ("d\u00e9.csv", 1)):
+        rows = [(f"{name} {i}\nline", str(i)) for i in range(n)]
+        _write(os.path.join(folder, name), "text,label\n" + "".join(f'"{t}",{y}\n' for t, y in rows))
+        want += rows
+    got = C.read_text_csv(spark, folder).orderBy("_row_ord").collect()
+    assert [(r.text, r.label) for r in got] == want
+    assert len({r._row_ord for r in got}) == len(want)
+
+
 def test_list_csv_files(spark, tmp_dir):
     _write(os.path.join(tmp_dir, "a.CSV"), "x\n" + "1\n" * 600)
     _write(os.path.join(tmp_dir, "b.txt"), "x\n")
