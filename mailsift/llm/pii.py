@@ -93,12 +93,14 @@ def find_spans(text: str, automaton: ahocorasick.Automaton) -> dict[str, list[tu
             if 16 <= len(digits) <= 19 and _luhn(digits):
                 spans["card"].append(found.span())
     if later:
-        taken = [s for k in KINDS[:4] for s in spans[k]]
+        taken = bytearray(len(text))
+        for a, b in (s for k in KINDS[:4] for s in spans[k]):
+            taken[a:b] = b"\1" * (b - a)
         for anchor, at, end in later:
             span = _url(text, at, end) if anchor == "scheme" else _account(text, at, end)
-            if span and all(span[1] <= a or b <= span[0] for a, b in taken):
+            if span and taken.find(1, *span) < 0:
                 spans["url" if anchor == "scheme" else "account"].append(span)
-                taken.append(span)
+                taken[span[0]:span[1]] = b"\1" * (span[1] - span[0])
     return spans
 
 

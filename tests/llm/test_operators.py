@@ -250,6 +250,15 @@ def test_pii(docs, none, rows):
     assert find(none).count() == 0
 
 
+def test_pii_of_a_text_with_very_many_cues():
+    from mailsift.llm.pii import _automaton, find_spans
+
+    n = 50_000
+    spans = find_spans("account: ab12345x user@host.org\n" * n, _automaton())
+    assert len(spans["account"]) == len(spans["email"]) == n
+    assert spans["account"][-1] == ((n - 1) * 32 + 9, (n - 1) * 32 + 17)
+
+
 def test_pii_base_matches_the_grammar_on_random_texts():
     from mailsift.llm.pii import _automaton, find_spans
 
