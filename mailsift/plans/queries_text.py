@@ -259,7 +259,7 @@ def cln13_clean_text(spark, d):
 
 @register("cln13_clean_text_stem_stopwords")
 def cln13_clean_text_stem_stopwords(spark, d):
-    return tb.mail(spark, d).select("row_id", X.clean_text("body", remove_stopwords=True, stem=True).alias("body"))
+    return _docs(spark, d).select("doc_id", X.clean_text("text", remove_stopwords=True, stem=True).alias("text"))
 
 
 @register("cln14_squash_whitespace", f"""
@@ -269,12 +269,11 @@ def cln14_squash_whitespace(spark, d):
     return _docs(spark, d).select("doc_id", X.squash_whitespace("text").alias("text"))
 
 
-@register("cln15_simple_tokens", tb.with_views(
-    f"SELECT row_id, array_to_string({_tokens_sql('body')}, ' ') AS tokens FROM mail", "mail"))
+@register("cln15_simple_tokens", f"SELECT doc_id, array_to_string({_tokens_sql('text')}, ' ') AS tokens FROM documents")
 def cln15_simple_tokens(spark, d):
-    return tb.mail(spark, d).select("row_id", X.join_tokens(X.simple_tokens("body")).alias("tokens"))
+    return _docs(spark, d).select("doc_id", X.join_tokens(X.simple_tokens("text")).alias("tokens"))
 
 
 @register("cln16_clean_twice")
 def cln16_clean_twice(spark, d):
-    return tb.mail(spark, d).select("row_id", X.clean_text("body", passes=2).alias("body"))
+    return _docs(spark, d).select("doc_id", X.clean_text("text", passes=2).alias("text"))

@@ -43,20 +43,20 @@ _NON_WORD = re.compile(r"\W+")
 def tokenize_batch(batch: pd.DataFrame) -> pd.DataFrame:
     """A batched tokenize function: the text column is replaced by its token
     count and its number of distinct tokens."""
-    toks = batch["body"].fillna("").str.lower().map(lambda t: [w for w in _NON_WORD.split(t) if w])
-    return pd.DataFrame({"row_id": batch["row_id"], "n_tokens": toks.map(len).astype("int64"),
+    toks = batch["text"].fillna("").str.lower().map(lambda t: [w for w in _NON_WORD.split(t) if w])
+    return pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": toks.map(len).astype("int64"),
                          "n_distinct": toks.map(lambda w: len(set(w))).astype("int64")})
 
 
-@register("udf2_batched_map", tb.with_views(
-    "SELECT row_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct "
-    "FROM (SELECT row_id, list_filter(regexp_split_to_array(lower(body), '[^\\p{L}\\p{N}_]+'), "
-    "lambda x: x <> '') AS t FROM mail)", "mail"))
+@register("udf2_batched_map",
+    "SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct "
+    "FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_]+'), "
+    "lambda x: x <> '') AS t FROM documents)")
 def udf2_batched_map(spark, d):
-    """UDF-2: a batched map over the mail table that drops ``body`` and adds
+    """UDF-2: a batched map over all documents that drops ``text`` and adds
     ``n_tokens`` / ``n_distinct``."""
-    return H.batch_map(tb.mail(spark, d).select("row_id", "body"), tokenize_batch,
-                       "row_id long, n_tokens long, n_distinct long")
+    return H.batch_map(tb.load(spark, d, "documents").select("doc_id", "text"), tokenize_batch,
+                       "doc_id long, n_tokens long, n_distinct long")
 
 
 _EMB_CTES = [("mail", "SELECT vec_id AS row_id, label AS y FROM embeddings")] + split_ctes(0.2, "0.5") + [
