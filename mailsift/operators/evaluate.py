@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mailsift.functions import patterns as P
+from mailsift.session import handoff
 
 
 def _safe_div(a: Column, b: Column) -> Column:
@@ -231,11 +232,11 @@ def epoch_metrics(batches: DataFrame, epoch: str, loss: str, size: str, correct:
 def cross_entropy(df: DataFrame, y: str, probs: str, weights: DataFrame | None = None,
                   weight_label: str = "label") -> DataFrame:
     """EVL-12: mean ``-ln p_y``; with class weights (one row per class,
-    broadcast) also ``sum(w_y * -ln p_y) / sum(w_y)``."""
+    handed off so that their size is known) also ``sum(w_y * -ln p_y) / sum(w_y)``."""
     nll = -F.log(F.element_at(F.col(probs), F.col(y) + 1))
     if weights is None:
         return df.agg(F.avg(nll).alias("cross_entropy"))
-    wt = F.broadcast(weights.select(F.col(weight_label).alias("_wl"), F.col("weight").alias("_w")))
+    wt = handoff(weights.select(F.col(weight_label).alias("_wl"), F.col("weight").alias("_w")), "weights")
     j = df.join(wt, F.col(y) == F.col("_wl"))
     return j.agg(F.avg(nll).alias("cross_entropy"),
                  (F.sum(F.col("_w") * nll) / F.sum("_w")).alias("cross_entropy_weighted"))

@@ -1,7 +1,7 @@
 """Label normalisation, label maps and class weights (LBL-1 ... LBL-8, PRJ-7/8).
 
 Label maps are tiny (one row per class); they are built once and joined
-with a broadcast, which is safe because their size is the number of classes
+by Spark's own choice: handed off, their size (the number of classes) is known
 of the model, not a function of the data volume.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from mailsift.functions import patterns as P
 from mailsift.functions import text as X
+from mailsift.session import handoff
 
 
 # --------------------------------------------------------------------------
@@ -159,9 +160,9 @@ def label_map_frame(spark: SparkSession, label2id: Mapping[str, int]) -> DataFra
 
 def encode_labels(df: DataFrame, label_map: DataFrame, col: str = "label", out: str = "label_id",
                   strict: bool = True) -> DataFrame:
-    """LBL-5: label -> id through the map (inner broadcast join). With
+    """LBL-5: label -> id through the map (inner join). With
     ``strict`` an unknown label raises, like a dict lookup would."""
-    lm = F.broadcast(label_map.select(F.col("label").alias("_lbl"), F.col("label_id").alias(out)))
+    lm = handoff(label_map.select(F.col("label").alias("_lbl"), F.col("label_id").alias(out)), "labels")
     if strict:
         unknown = df.join(lm, F.col(col) == F.col("_lbl"), "left_anti").select(col).limit(5).collect()
         if unknown:
@@ -175,7 +176,7 @@ def id_to_name(df: DataFrame, id_col: str, label_map: DataFrame | None = None, o
     if label_map is None:
         spark = spark or df.sparkSession
         label_map = label_map_frame(spark, {v: k for k, v in P.DEFAULT_ID2LABEL.items()})
-    lm = F.broadcast(label_map.select(F.col("label_id").alias("_id"), F.col("label").alias(out or f"{id_col}_name")))
+    lm = handoff(label_map.select(F.col("label_id").alias("_id"), F.col("label").alias(out or f"{id_col}_name")), "labels")
     return df.join(lm, F.col(id_col) == F.col("_id"), "left").drop("_id")
 
 
@@ -197,13 +198,13 @@ def class_weights(df: DataFrame, col: str) -> DataFrame:
 
 def keep_known_labels(df: DataFrame, label_map: DataFrame, col: str = "label") -> DataFrame:
     """PRJ-8 / SHP-9: keep rows whose label is in the map (left semi join)."""
-    return df.join(F.broadcast(label_map.select(F.col("label").alias("_lbl"))), F.col(col) == F.col("_lbl"),
+    return df.join(handoff(label_map.select(F.col("label").alias("_lbl")), "labels"), F.col(col) == F.col("_lbl"),
                    "left_semi")
 
 
 def unknown_label_count(df: DataFrame, label_map: DataFrame, col: str = "label") -> DataFrame:
     """PRJ-8: number of rows that would be skipped (left anti join)."""
-    return (df.join(F.broadcast(label_map.select(F.col("label").alias("_lbl"))), F.col(col) == F.col("_lbl"),
+    return (df.join(handoff(label_map.select(F.col("label").alias("_lbl")), "labels"), F.col(col) == F.col("_lbl"),
                     "left_anti")
               .agg(F.count(F.lit(1)).alias("n_unknown")))
 

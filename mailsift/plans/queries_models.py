@@ -74,7 +74,7 @@ def mod4_weighted_frozen_vectors(spark, d):
     sp = M.with_vector(sp, "embedding").withColumn("y", F.col("label"))
     train = sp.filter(F.col("split") == "train")
     weights = L.class_weights(train, "label").select("label", "weight")
-    train = train.join(F.broadcast(weights), "label").withColumn("label", F.col("label").cast("double"))
+    train = train.join(handoff(weights, "weights"), "label").withColumn("label", F.col("label").cast("double"))
     model = M.weighted_logistic_regression("features", "label", "weight").fit(M.for_fit(train))
     test = sp.filter(F.col("split") == "test")
     pred = model.transform(test).withColumn("conf", F.array_max(M.vector_to_array(F.col("probability"))))
