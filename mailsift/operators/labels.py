@@ -1,8 +1,7 @@
 """Label normalisation, label maps and class weights (LBL-1 ... LBL-8, PRJ-7/8).
 
-Label maps are tiny (one row per class); they are built once and joined
-by Spark's own choice: handed off, their size (the number of classes) is known
-of the model, not a function of the data volume.
+Label maps have one row per class. They are handed off and joined without a
+hint: their size is known, and Spark broadcasts them where it is small enough.
 """
 
 from __future__ import annotations
