@@ -5,15 +5,17 @@ Documents are tokenised, ended by id 0 and cut into pieces of at most
 numbers, whatever the corpus) is all that packing depends on, so the driver
 solves it on these counts, and Spark deals the pieces out:
 
-* The largest remaining piece is completed: fillings of the rest of its
-  sequence are enumerated depth first, largest pieces first. A filling that
-  leaves less room than one found before replaces it; one that uses the room
-  exactly dominates all others and ends the search, as does a node budget.
-  The same completion serves as many sequences as the counts allow.
-* The last few hundred pieces are packed by branch and bound: completions of
-  the largest piece in order of waste, backtracking, pruned by the waste that
-  a packing better than the incumbent may still have. The incumbent is the
-  best-fit packing; the search ends at the lower bound or its node budget.
+* The incumbent is the best-fit-decreasing packing of all pieces.
+* Branch and bound over all counts: the largest remaining piece is completed by
+  a filling of the rest of its sequence, and as many equal sequences are made as
+  the counts and the waste allow. Every filling comes up, the fullest first (the
+  sums that the remaining sizes can make are bits of one number, so none is
+  searched in vain), and every smaller number of equal sequences. A branch ends
+  when its waste is more than a packing better than the incumbent may have. What
+  is left is packed by best fit as well, each time it is a tenth smaller and at
+  every step of the last few hundred pieces; a better whole is the new incumbent. The
+  search ends at the lower bound, when nothing is left to search (the result is
+  then optimal), or after NODES steps with the best packing found.
 * A length class's pieces are ranked in parallel (in salted buckets, so one
   hot length is no hot task); the rank decides sequence and offset.
 
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +39,10 @@ from mailsift.llm.tables import handoff
 from mailsift.llm.words import slices, text_column
 
 LENGTH = 2048
-TAIL = 300
-NODES = 4000
+#: Steps of the branch and bound, about a millisecond each on the driver.
+NODES = 20_000
+#: So few pieces are packed by best fit as well at every step.
+SMALL = 300
 
 
 def default_tokenizer() -> str:
@@ -86,57 +91,93 @@ def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None,
 Bin = tuple[int, ...]
 
 
-def _completions(counts: np.ndarray, room: int, most: int, nodes: int) -> list[tuple[int, Bin]]:
-    """Undominated fillings of ``room`` found, as (waste, lengths), least waste
-    first; at most ``most``."""
-    found: list[tuple[int, Bin]] = []
-    budget = nodes
-    sizes = [s for s in range(min(room, len(counts) - 1), 0, -1) if counts[s]]
-
-    def search(at: int, left: int, chosen: list[int]) -> bool:
-        nonlocal budget
-        budget -= 1
-        fits = False
-        last = 0
-        for k in range(at, len(sizes)):
-            s = sizes[k]
-            if s > left or chosen.count(s) >= counts[s]:
+def _reach(counts: np.ndarray, room: int) -> tuple[list[int], list[int], list[int]]:
+    """Sizes up to ``room`` that are left, ascending, their counts, and for each
+    k the sums up to ``room`` of pieces of the k smallest sizes, as bits."""
+    sizes = np.flatnonzero(counts[: room + 1]).tolist()
+    many = counts[sizes].tolist()
+    full, bits, reach = (1 << (room + 1)) - 1, 1, [1]
+    for size, n in zip(sizes, many):
+        n, step = min(n, room // size), 1
+        while n > 0:
+            step = min(step, n)
+            bits |= bits << (step * size) & full
+            n -= step
+            step *= 2
+        reach.append(bits)
+    return sizes, many, reach
+
+
+def _filled(sizes: list[int], many: list[int], reach: list[int], k: int, total: int) -> Bin:
+    """The filling of sum ``total`` (one exists) from the k smallest sizes with
+    the largest pieces first."""
+    chosen: list[int] = []
+    while total:
+        k = min(k, bisect_right(sizes, total))
+        size = sizes[k - 1]
+        n = min(many[k - 1], total // size)
+        while not reach[k - 1] >> (total - n * size) & 1:
+            n -= 1
+        chosen += [size] * n
+        total -= n * size
+        k -= 1
+    return tuple(chosen)
+
+
+def _filling(counts: np.ndarray, room: int, after: Bin | None) -> Bin | None:
+    """The next filling of ``room`` behind ``after`` (None: the first). All
+    fillings come in one order whatever the counts: the fullest first, then
+    those with the largest pieces."""
+    sizes, many, reach = _reach(counts, room)
+    below = reach[-1]
+    if after is not None:
+        total, parts = sum(after), [(s, after.count(s)) for s in dict.fromkeys(after)]
+        for j in range(len(parts) - 1, -1, -1):
+            head = parts[:j]
+            if any(counts[s] < n for s, n in head):
                 continue
-            fits = True
-            chosen.append(s)
-            done = search(k, left - s, chosen)
-            chosen.pop()
-            if done or budget <= 0:
-                return done
-            last += 1
-            if last >= 8:  # larger pieces first; the rest of the branch is dominated or searched from elsewhere
-                break
-        if not fits:
-            if not found or left < found[-1][0] or len(found) < most:
-                found.append((left, tuple(chosen)))
-                found.sort(key=lambda x: (x[0], len(x[1])))
-                del found[most:]
-            return found[0][0] == 0 and len(found) >= most
-        return False
-
-    search(0, room, [])
-    return found
-
-
-def _best_fit(counts: np.ndarray, length: int) -> list[Bin]:
-    """Best-fit decreasing: the incumbent."""
-    by_room: dict[int, list[list[int]]] = {}
-    bins: list[list[int]] = []
-    for size in range(len(counts) - 1, 0, -1):
-        for _ in range(int(counts[size])):
-            room = next((r for r in range(size, length + 1) if by_room.get(r)), None)
-            one = by_room[room].pop() if room is not None else []
-            if room is None:
-                bins.append(one)
-                room = length
-            one.append(size)
-            by_room.setdefault(room - size, []).append(one)
-    return [tuple(b) for b in bins]
+            size, n = parts[j]
+            k = bisect_left(sizes, size)
+            for fewer in range(min(n - 1, int(counts[size])), -1, -1):
+                left = total - sum(s * m for s, m in head) - fewer * size
+                if reach[k] >> left & 1:
+                    return tuple(s for s, m in [*head, (size, fewer)] for _ in range(m)) + _filled(sizes, many, reach, k, left)
+        below &= (1 << total) - 1
+    return _filled(sizes, many, reach, len(sizes), below.bit_length() - 1) if below else None
+
+
+def _best_fit(counts: np.ndarray, length: int) -> list[tuple[Bin, int]]:
+    """Best-fit decreasing, equal sequences at once: the incumbent."""
+    by_room: dict[int, list[tuple[Bin, int]]] = {}
+    rooms: list[int] = []  # ascending
+
+    def put(room: int, one: Bin, times: int) -> None:
+        if times:
+            if not by_room.setdefault(room, []):
+                insort(rooms, room)
+            by_room[room].append((one, times))
+
+    for size in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[size])
+        while left:
+            at = bisect_left(rooms, size)
+            if at == len(rooms):
+                room, one, times = length, (), left
+            else:
+                room = rooms[at]
+                one, times = by_room[room].pop()
+                if not by_room[room]:
+                    rooms.pop(at)
+            each = room // size  # the fullest sequence that a piece fits is the one that just took one
+            whole = min(times, left // each)
+            put(room - each * size, one + (size,) * each, whole)
+            left -= whole * each
+            if whole < times and left:
+                put(room - left * size, one + (size,) * left, 1)
+                whole, left = whole + 1, 0
+            if room < length or one:
+                put(room, one, times - whole)
+    return [group for groups in by_room.values() for group in groups]
 
 
 def least_bins(counts: np.ndarray, length: int) -> int:
@@ -153,61 +194,67 @@ def least_bins(counts: np.ndarray, length: int) -> int:
     return best
 
 
-def _branch_and_bound(counts: np.ndarray, length: int, nodes: int = NODES) -> list[Bin]:
-    """Few pieces: completions of the largest, backtracking within the waste
-    that a better packing than the incumbent may have."""
-    total = int((counts * np.arange(len(counts))).sum())
-    best = _best_fit(counts, length)
-    least = least_bins(counts, length)
-    budget = nodes
-
-    def search(counts: np.ndarray, bins: list[Bin], spare: int) -> bool:
-        nonlocal best, budget
-        if not counts.any():
-            best = list(bins)
-            return len(best) <= least
-        budget -= 1
-        largest = int(np.flatnonzero(counts)[-1])
-        counts[largest] -= 1
-        for waste, filling in _completions(counts, length - largest, 3, 200):
-            if waste <= spare and budget > 0 and len(bins) + 1 < len(best):
-                for s in filling:
-                    counts[s] -= 1
-                done = search(counts, [*bins, (largest, *filling)], min(spare - waste, (len(best) - 1) * length))
-                for s in filling:
-                    counts[s] += 1
-                if done:
-                    counts[largest] += 1
-                    return True
-        counts[largest] += 1
-        return False
-
-    while len(best) > least and budget > 0:
-        had = len(best)
-        search(counts.copy(), [], (had - 1) * length - total)
-        if len(best) == had:
-            break
-    return best
-
-
-def plan(counts: np.ndarray, length: int = LENGTH) -> list[tuple[Bin, int]]:
+def plan(counts: np.ndarray, length: int = LENGTH, nodes: int = NODES) -> list[tuple[Bin, int]]:
     """(lengths in a sequence, number of such sequences) for ``counts[n]``
     pieces of each length n."""
     counts = counts.astype(np.int64).copy()
+    total, least = int((counts * np.arange(len(counts))).sum()), least_bins(counts, length)
+    best = _best_fit(counts, length)
+    fewest = sum(times for _, times in best)
     made: list[tuple[Bin, int]] = []
-    while counts.sum() > TAIL:
-        largest = int(np.flatnonzero(counts)[-1])
-        counts[largest] -= 1
-        room = length - largest
-        found = _completions(counts, room, 1, NODES) if room else [(0, ())]
-        filling = found[0][1] if found else ()
-        counts[largest] += 1
-        chosen = (largest, *filling)
-        sizes, uses = np.unique(chosen, return_counts=True)
-        times = int((counts[sizes] // uses).min())
-        counts[sizes] -= uses * times
-        made.append((chosen, times))
-    return made + [(b, 1) for b in _branch_and_bound(counts, length)]
+    bins = waste = 0  # of made
+    after: Bin | None = None
+    tried = 2 * int(counts.sum())  # pieces that were left when best fit was last tried on them
+
+    def take(chosen: Bin, times: int) -> None:
+        nonlocal bins, waste
+        np.subtract.at(counts, list(chosen), times)
+        bins += times
+        waste += times * (length - sum(chosen))
+
+    while fewest > least and nodes > 0:
+        spare = (fewest - 1) * length - total - waste  # a better packing leaves no more room than this in its further sequences
+        if spare >= 0:
+            if not counts.any():
+                best, fewest = list(made), bins
+                continue
+            nodes -= 1
+            left = int(counts.sum())
+            if made and (left <= SMALL or left <= 0.9 * tried):
+                tried = left
+                rest = _best_fit(counts, length)
+                if bins + sum(times for _, times in rest) < fewest:
+                    best = made + rest
+                    fewest = sum(times for _, times in best)
+                    continue
+            largest = int(np.flatnonzero(counts)[-1])
+            counts[largest] -= 1
+            if after is None and made and made[-1][0][0] == largest:
+                after = made[-1][0][1:]  # sequences with equal largest pieces come in the order of their fillings
+            filling = _filling(counts, length - largest, after)
+            counts[largest] += 1
+            after = None
+            if filling is not None:
+                chosen = (largest, *filling)
+                sizes, uses = np.unique(chosen, return_counts=True)
+                times = int((counts[sizes] // uses).min())
+                room = length - sum(chosen)
+                if room * times > spare:
+                    times = spare // room
+                if times:
+                    made.append((chosen, times))
+                    take(chosen, times)
+                    continue
+        if not made:
+            break  # the whole tree is searched: the best is optimal
+        chosen, times = made.pop()
+        take(chosen, -times)
+        if times > 1:
+            made.append((chosen, times - 1))
+            take(chosen, times - 1)
+        else:
+            after = chosen[1:]
+    return best
 
 
 def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:

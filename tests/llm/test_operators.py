@@ -160,6 +160,16 @@ def test_packing_plan_is_optimal_on_small_cases(seed):
     assert sum(k for _, k in made) == fewest(sizes, [])
 
 
+def test_packing_plan_of_many_pieces_is_optimal():
+    from mailsift.llm.packing import least_bins, plan
+
+    bins = [(60, 20, 20), (31, 32, 37), (33, 33, 34), (35, 34, 31), (39, 30, 31), (38, 31, 31), (36, 32, 32)]
+    counts = np.bincount([s for b in bins for s in b * 100], minlength=101)
+    made = plan(counts, 100)
+    assert least_bins(counts, 100) == 700 == sum(k for _, k in made)  # 60 fits with 20 and 20 only, behind nine larger sizes
+    assert (np.bincount([s for b, k in made for s in b * k], minlength=101) == counts).all() and all(sum(b) <= 100 for b, _ in made)
+
+
 def shingles(text, n):
     w = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in words(text)]
     return {tuple(w[i: i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
