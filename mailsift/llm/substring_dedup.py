@@ -12,8 +12,12 @@ The reference blocks are indexed in two steps, both sharded by hash:
    are dropped; no window over them can have a second copy.
 2. *Blocks.* The consecutive windows over one remaining anchor form a block
    entry: its window hashes, document and place. All entries of an anchor meet
-   in one task, sorted; there each window gets the smallest document that holds
-   it. Every window is looked up by itself, those across a factor's boundary
+   in one task, sorted by document; there each window gets the first document
+   that holds it. An anchor with more than ``HOT`` places in the corpus (a common
+   phrase) is no block: each window over it is one of its own, keyed by its hash,
+   so equal windows meet but the phrase does not. A task keeps the distinct
+   windows of the block it reads (at most those of ``HOT`` places) and no
+   entries. Every window is looked up by itself, those across a factor's boundary
    too, so a greedy factor never hides a copy.
 
 A document's factors are then the maximal runs of consecutive windows with the
@@ -44,6 +48,9 @@ from mailsift.llm.words import Words, by_row, distinct, mix, row_of, signed, sli
 _KEY = np.uint64((1 << 52) - 1)
 WINDOW = 13
 ANCHOR = 5
+#: An anchor with more places than this is split by window; both give the same result.
+HOT = 8192
+_SPLIT = np.uint64(1 << 52)  # beside an anchor's 52 bits
 
 
 def _anchors(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,9 +80,11 @@ def _anchor_rows(window: int, anchor: int) -> Callable:
                 best = np.unique(best)
                 both = by_row(words.row[best], grams[best])
                 both.sort()
-                both = both[distinct(both)]
+                first = np.flatnonzero(distinct(both))
+                places = np.diff(np.r_[first, len(both)])
+                both = both[first]
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row_of(both)], pa.int64()), pa.array(signed(both & _KEY))], ["doc_id", "anchor"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row_of(both)], pa.int64()), pa.array(signed(both & _KEY)), pa.array(places.astype(np.int32))], ["doc_id", "anchor", "places"])
     return run
 
 
@@ -96,7 +105,8 @@ def _lists(first: np.ndarray, size: int, values: pa.Array) -> pa.ListArray:
 def _entry_rows(window: int, anchor: int) -> Callable:
     """Block entries of the windows over shared anchors. A window that a
     smaller document of the same slice holds has its reference already; an
-    entry of such windows only is not looked up (any key, no hashes)."""
+    entry of such windows only is not looked up (any key, no hashes). Over a
+    split anchor each window is an entry, keyed by its hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -105,8 +115,12 @@ def _entry_rows(window: int, anchor: int) -> Callable:
                 lists = part.column("anchors")
                 shared = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                hit = np.isin(by_row(words.row[best], grams[best]), (owner.astype(np.uint64) << np.uint64(52)) | shared)
+                split = (shared & _SPLIT) != 0
+                shared = (owner.astype(np.uint64) << np.uint64(52)) | shared & _KEY
+                key = by_row(words.row[best], grams[best])
+                hit = np.isin(key, shared)
                 start, best = start[hit], best[hit]
+                alone = np.isin(key[hit], shared[split])
                 if not len(start):
                     continue
                 at, wide = words.windows(window, seed=2)
@@ -114,10 +128,10 @@ def _entry_rows(window: int, anchor: int) -> Callable:
                 doc = part.column("doc_id").to_numpy(zero_copy_only=False)[words.row[start]]
                 ref = _smallest(wide, doc)
                 known = ref < doc
-                first = np.flatnonzero(np.r_[True, (best[1:] != best[:-1]) | (start[1:] != start[:-1] + 1)])
+                first = np.flatnonzero(np.r_[True, (best[1:] != best[:-1]) | (start[1:] != start[:-1] + 1) | alone[1:]])
                 done = np.logical_and.reduceat(known, first)
                 pos = (start - words.first[words.row[start]])[first]
-                block = np.where(done, signed(mix(wide[first].view(np.uint64) + doc[first].view(np.uint64))), signed(grams[best[first]]))
+                block = np.where(done, signed(mix(wide[first].view(np.uint64) + doc[first].view(np.uint64))), np.where(alone[first], wide[first], signed(grams[best[first]])))
                 sent = ~np.repeat(done, np.diff(np.r_[first, len(start)]))
                 sizes = np.add.reduceat(sent.astype(np.int64), first)
                 yield pa.RecordBatch.from_arrays(
@@ -127,47 +141,48 @@ def _entry_rows(window: int, anchor: int) -> Callable:
     return run
 
 
-def _look_up(entries: pa.Table) -> pa.RecordBatch:
-    """References of whole blocks: entries with all others of their block."""
-    entries = entries.combine_chunks()
-    hashes, refs = (entries.column(c).combine_chunks() for c in ("hashes", "refs"))
+def _look_up(entries: pa.RecordBatch, seen: np.ndarray, holders: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """References of ``entries``, sorted by block and document, with the windows
+    of the first block ``seen`` before and their documents; the windows of the
+    last block and theirs."""
+    hashes, refs = (entries.column(c) for c in ("hashes", "refs"))
     counts = hashes.value_lengths().to_numpy(zero_copy_only=False)
-    doc = entries.column("doc_id").to_numpy()
-    holder = np.repeat(doc, counts)
+    doc, block = entries.column("doc_id").to_numpy(), entries.column("block").to_numpy()
+    holder = np.r_[holders, np.repeat(doc, counts)]
+    window = np.r_[seen, hashes.flatten().to_numpy(zero_copy_only=False)]
+    least = _smallest(window, holder)
     flat = refs.flatten()
     known = flat.is_valid().to_numpy(zero_copy_only=False).copy()
     ref = flat.fill_null(0).to_numpy(zero_copy_only=False).copy()
     sizes = refs.value_lengths().to_numpy(zero_copy_only=False)
     sent = np.repeat(counts > 0, sizes)
-    least = _smallest(hashes.flatten().to_numpy(zero_copy_only=False), holder)
-    ref[sent] = least
-    known[sent] = least < holder
-    first = np.cumsum(sizes) - sizes
-    some = np.logical_or.reduceat(known, first)
+    ref[sent] = least[len(seen):]
+    known[sent] = least[len(seen):] < holder[len(seen):]
+    last = np.r_[np.full(len(seen), block[0] == block[-1]), np.repeat(block == block[-1], counts)]
+    seen, at = np.unique(window[last], return_index=True)
+    holders = least[last][at]
+    some = np.logical_or.reduceat(known, np.cumsum(sizes) - sizes)
     keep = np.repeat(some, sizes)
     sizes = sizes[some]
-    return pa.RecordBatch.from_arrays(
+    out = pa.RecordBatch.from_arrays(
         [pa.array(doc[some]), pa.array(entries.column("pos").to_numpy()[some]),
          _lists(np.cumsum(sizes) - sizes, int(sizes.sum()), pa.array(ref[keep], mask=~known[keep]))], ["doc_id", "pos", "refs"])
+    return out, seen, holders
 
 
 def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries arrive sorted by block; the last block of a batch waits for
-    the next batch. A block holds at most one slice's worth of entries per slice."""
-    rest: list[pa.RecordBatch] = []
+    """Entries arrive sorted by block and document, so no later entry holds a
+    window's smallest document; of a block that goes on in the next batch, its
+    distinct windows and their documents are kept."""
+    none = np.zeros(0, np.int64)
+    block, seen, holders = None, none, none
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        block = batch.column("block").to_numpy()
-        cut = int(np.searchsorted(block, block[-1]))
-        if cut and rest or rest and rest[-1].column("block")[-1].as_py() != block[0]:
-            yield _look_up(pa.Table.from_batches([*rest, batch.slice(0, cut)]))
-            rest = []
-        elif cut:
-            yield _look_up(pa.Table.from_batches([batch.slice(0, cut)]))
-        rest.append(batch.slice(cut))
-    if rest:
-        yield _look_up(pa.Table.from_batches(rest))
+        if batch.num_rows:
+            if batch.column("block")[0].as_py() != block:
+                seen, holders = none, none
+            out, seen, holders = _look_up(batch, seen, holders)
+            block = batch.column("block")[-1].as_py()
+            yield out
 
 
 def matches(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -175,11 +190,12 @@ def matches(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     from word pos on, a document with a smaller id in which the window also
     starts (null: none)."""
     texts = docs.where("doc_id IS NOT NULL")
-    anchors = texts.select("doc_id", "text").mapInArrow(_anchor_rows(window, anchor), "doc_id long, anchor long")
-    shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    lists = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    anchors = texts.select("doc_id", "text").mapInArrow(_anchor_rows(window, anchor), "doc_id long, anchor long, places int")
+    shared = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("places").alias("places")).where("n > 1")
+    shared = shared.select("anchor", F.when(F.col("places") > HOT, F.col("anchor").bitwiseOR(F.lit(int(_SPLIT)))).otherwise(F.col("anchor")).alias("marked"))
+    lists = anchors.select("doc_id", "anchor").join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("marked").alias("anchors"))
     entries = texts.join(lists, "doc_id").mapInArrow(_entry_rows(window, anchor), "block long, doc_id long, pos int, refs array<long>, hashes array<long>")
-    return entries.repartition("block").sortWithinPartitions("block").mapInArrow(_looked_up, "doc_id long, pos int, refs array<long>")
+    return entries.repartition("block").sortWithinPartitions("block", "doc_id").mapInArrow(_looked_up, "doc_id long, pos int, refs array<long>")
 
 
 def factors(pos: np.ndarray, ref: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:

@@ -365,6 +365,33 @@ def test_substring_dedup(docs, none, rows):
     assert dedup(none).count() == 0
 
 
+def test_substring_dedup_of_a_common_phrase(spark, monkeypatch):
+    """A phrase of every document in ever different context: with a small HOT no
+    block holds more entries than one window has, and the result is the same."""
+    import pyarrow as pa
+
+    from mailsift.llm import substring_dedup as S
+
+    rng = random.Random(6)
+    prose = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    phrase, passage = prose(5), prose(30)
+    rows = [(i, " ".join([*prose(20), *phrase, *prose(20), *(passage if i % 7 == 0 else []), *phrase, *prose(9)])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    exp = sorted((r[0], " ".join(x for x, y in zip(w, k) if y)) for r, w, k in brute_dedup(rows))
+    monkeypatch.setattr(S, "HOT", 50)
+    assert sorted((r.doc_id, r.kept_text) for r in S.dedup(docs).collect()) == exp
+    batch = pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    found = pa.Table.from_batches(S._anchor_rows(S.WINDOW, S.ANCHOR)([batch])).group_by("anchor").aggregate([("places", "sum"), ("doc_id", "count")]).to_pylist()
+    marked = {r["anchor"]: r["anchor"] | (int(S._SPLIT) if r["places_sum"] > 50 else 0) for r in found if r["doc_id_count"] > 1}
+    lists = collections.defaultdict(list)
+    for r in pa.Table.from_batches(S._anchor_rows(S.WINDOW, S.ANCHOR)([batch])).to_pylist():
+        if r["anchor"] in marked:
+            lists[r["doc_id"]].append(marked[r["anchor"]])
+    both = batch.append_column("anchors", pa.array([lists[r[0]] for r in rows], pa.list_(pa.int64())))
+    made = pa.Table.from_batches(S._entry_rows(S.WINDOW, S.ANCHOR)([both]))
+    assert made.num_rows > 400 and max(collections.Counter(made.column("block").to_pylist()).values()) <= 100
+
+
 def test_components_of_paths_and_stars(spark):
     from mailsift.llm.links import components
 
