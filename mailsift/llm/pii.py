@@ -10,8 +10,10 @@ their grammar and validated (parts up to 255, Luhn).
 Kinds, in order: email, ip, card, phone (the base: leftmost, non-overlapping
 per kind, a match that fails validation is dropped and the search goes on
 behind it), then url (a scheme with credentials before its host) and account
-(a cue, a separator and a value with a digit). Added kinds never overlap a base
-span or each other.
+(a cue, a separator and a value with a digit). Base spans stay as they are. A url
+may overlap them (the end of a password and the host look like an email), and so
+may an account that is not inside spans found before; added spans of one kind
+never overlap. The text loses the union of all spans.
 
 Defined results: null text is an empty text; positions are code points, ends
 exclusive; each row is judged by itself, so repeated rows get equal results.
@@ -96,11 +98,14 @@ def find_spans(text: str, automaton: ahocorasick.Automaton) -> dict[str, list[tu
         taken = bytearray(len(text))
         for a, b in (s for k in KINDS[:4] for s in spans[k]):
             taken[a:b] = b"\1" * (b - a)
-        for anchor, at, end in later:
-            span = _url(text, at, end) if anchor == "scheme" else _account(text, at, end)
-            if span and taken.find(1, *span) < 0:
-                spans["url" if anchor == "scheme" else "account"].append(span)
-                taken[span[0]:span[1]] = b"\1" * (span[1] - span[0])
+        for kind, parser in (("url", _url), ("account", _account)):
+            before = 0  # end of the kind's last span
+            for anchor, at, end in later:
+                span = parser(text, at, end) if (anchor == "scheme") == (kind == "url") else None
+                if span and span[0] >= before and taken.find(0, *span) >= 0:
+                    spans[kind].append(span)
+                    taken[span[0]:span[1]] = b"\1" * (span[1] - span[0])
+                    before = span[1]
     return spans
 
 
@@ -117,7 +122,7 @@ def _account(text: str, at: int, end: int) -> tuple[int, int] | None:
 
 
 def redact(text: str, spans: dict[str, list[tuple[int, int]]]) -> str:
-    """``text`` with each span replaced by its kind (overlapping spans: by the first)."""
+    """``text`` with each span replaced by its kind (overlapping spans: their union by the first)."""
     out, at = [], 0
     for start, end, kind in sorted((a, b, k) for k in KINDS for a, b in spans[k]):
         if start >= at:

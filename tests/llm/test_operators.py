@@ -260,6 +260,17 @@ def test_pii(docs, none, rows):
     assert find(none).count() == 0
 
 
+@pytest.mark.parametrize("url", ["https://alice:S3cr!t@db.example.com/x", "postgres://bob:p$w,d@10.1.2.3:5432/db", "ftp://u:p@localhost/x", "https://carol@mail.example.org/"])
+def test_pii_of_credentials_before_any_host(url):
+    from mailsift.llm.pii import _automaton, find_spans, redact
+
+    text = f"see {url} or https://host.org/@name"
+    spans = find_spans(text, _automaton())
+    assert spans["url"] == [(4, 4 + len(url))]
+    assert spans["email"] == [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    assert redact(text, spans) == "see <URL> or https://host.org/@name"
+
+
 def test_pii_of_a_text_with_very_many_cues():
     from mailsift.llm.pii import _automaton, find_spans
 
