@@ -10,10 +10,11 @@ their grammar and validated (parts up to 255, Luhn).
 Kinds, in order: email, ip, card, phone (the base: leftmost, non-overlapping
 per kind, a match that fails validation is dropped and the search goes on
 behind it), then url (a scheme with credentials before its host) and account
-(a cue, a separator and a value with a digit). Base spans stay as they are. A url
-may overlap them (the end of a password and the host look like an email), and so
-may an account that is not inside spans found before; added spans of one kind
-never overlap. The text loses the union of all spans.
+(a cue in any case, a separator and an IBAN with
+right check digits, digits in groups, or an unbroken value with a digit). Base
+spans stay as they are. A url may overlap them (the end of a password and the
+host look like an email), and so may an account that is not inside spans found
+before; added spans of one kind never overlap. The text loses the union of all.
 
 Defined results: null text is an empty text; positions are code points, ends
 exclusive; each row is judged by itself, so repeated rows get equal results.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from mailsift.llm.words import slices
 
 KINDS = ("email", "ip", "card", "phone", "url", "account")
-#: Identifier cues (fixed values), matched in lower, upper and title case.
+#: Identifier cues (fixed values), matched in any mixture of case.
 CUES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api key", "access key", "account", "acct", "iban", "login", "user id", "userid", "ssn", "passport")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -41,7 +42,12 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _DIGIT = re.compile("[0-9]")
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*$")
 _CREDENTIALS = re.compile(r"[^\s/@:\"'<>]+(?::[^\s/@\"'<>]*)?@[^\s\"'<>]+")
-_VALUE = re.compile(r"(?:[ _-]?(?:no|number|id|nr)\.?)?[ \t]*[=:#][ \t]*[\"']?([A-Za-z0-9][A-Za-z0-9_+/-]{5,}=*)")
+_VALUE = re.compile(r"[A-Za-z0-9][A-Za-z0-9_+/-]{5,}=*")
+_CUED = re.compile(r"(?:[ _-]?(?:no|number|id|nr)\.?)?[ \t]*[=:#][ \t]*[\"']?(?=[A-Za-z0-9])", re.IGNORECASE)
+#: Digit groups of two or more after a group of digits, which a few letters may lead.
+_GROUPED = re.compile(r"(?:[A-Za-z]{1,3}[ -])?[A-Za-z]{0,4}[0-9]+(?:[ -][0-9]{2,})+(?![A-Za-z0-9_@])")
+#: Groups of four, the last one may be shorter.
+_IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]{4}){2,7}(?:[ -]?[A-Za-z0-9]{1,3})?")
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -49,8 +55,7 @@ def _automaton() -> ahocorasick.Automaton:
     for mark, kind in (("@", "at"), ("+", "plus"), ("://", "scheme")):
         found.add_word(mark, (kind, len(mark)))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-            found.add_word(form, ("cue", len(form)))
+        found.add_word(cue, ("cue", len(cue)))
     found.make_automaton()
     return found
 
@@ -63,12 +68,17 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _lower(text: str) -> str:
+    """``text`` with A-Z in lower case, all positions unchanged."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def find_spans(text: str, automaton: ahocorasick.Automaton) -> dict[str, list[tuple[int, int]]]:
     """The spans of each kind, by start."""
     spans: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     email_end = phone_end = 0
     later = []
-    for last, (anchor, size) in automaton.iter(text):
+    for last, (anchor, size) in automaton.iter(_lower(text)):
         at = last - size + 1
         if anchor == "at":
             start = at
@@ -114,11 +124,35 @@ def _url(text: str, at: int, end: int) -> tuple[int, int] | None:
     return (scheme.start(), rest.end()) if scheme and rest else None
 
 
+def _iban_end(text: str, at: int) -> int:
+    """The end of the longest IBAN (by its check digits) at ``at``, or ``at``."""
+    found = _IBAN.match(text, at)
+    end = found.end() if found else at
+    while end > at:
+        code = text[at:end].replace(" ", "").replace("-", "")
+        if len(code) < 15:
+            return at
+        whole = end == len(text) or not text[end].isalnum()
+        if whole and text[end - 1].isalnum() and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+            return end
+        end -= 1
+    return at
+
+
 def _account(text: str, at: int, end: int) -> tuple[int, int] | None:
+    """The value after a cue: an IBAN, unbroken or in groups, else the longer of
+    one unbroken value and groups of digits, of six characters at least."""
     if at and text[at - 1].isalnum():
         return None
-    found = _VALUE.match(text, end)
-    return found.span(1) if found and _DIGIT.search(found.group(1)) else None
+    cued = _CUED.match(text, end)
+    if not cued:
+        return None
+    start = cued.end()
+    last = _iban_end(text, start)
+    if last == start:
+        found = [m.end() for m in (_VALUE.match(text, start), _GROUPED.match(text, start)) if m and m.end() - start >= 6 and _DIGIT.search(m.group())]
+        last = max(found, default=start)
+    return (start, last) if last > start else None
 
 
 def redact(text: str, spans: dict[str, list[tuple[int, int]]]) -> str:

@@ -271,6 +271,20 @@ def test_pii_of_credentials_before_any_host(url):
     assert redact(text, spans) == "see <URL> or https://host.org/@name"
 
 
+@pytest.mark.parametrize("text, value", [
+    ("API key: ab12cd34, x", "ab12cd34"), ("API Key: ab12cd34", "ab12cd34"), ("é User ID: u1234567.", "u1234567"), ("PassWord = hunter22 or so", "hunter22"),
+    ("IBAN: DE89 3704 0044 0532 0130 00 and 12 more", "DE89 3704 0044 0532 0130 00"), ("iban: GB82 WEST 1234 5698 7654 32 paid", "GB82 WEST 1234 5698 7654 32"),
+    ("Account no. : 1234 5678 9012 of Ann", "1234 5678 9012"), ("ACCOUNT: 12-34-56 12345678", "12-34-56 12345678"), ("passport: AB 123456 78", "AB 123456 78"),
+    ("IBAN: DE00 3704 0044 0532 0130 00", "DE00 3704 0044 0532 0130 00"), ("IBAN DE89370400440532013000", None), ("Account: closed in 2021", None), ("subaccount: 12345678", None),
+    ("iban=DE89370400440532013000", "DE89370400440532013000"), ("account: 123456 x", "123456")])
+def test_pii_of_account_forms(text, value):
+    from mailsift.llm.pii import _automaton, find_spans, redact
+
+    spans = find_spans(text, _automaton())
+    assert [text[a:b] for a, b in spans["account"]] == ([value] if value else [])
+    assert redact(text, spans) == (text.replace(value, "<ACCOUNT>") if value else text)
+
+
 def test_pii_of_a_text_with_very_many_cues():
     from mailsift.llm.pii import _automaton, find_spans
 
