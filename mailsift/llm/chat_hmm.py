@@ -22,7 +22,8 @@ holds more than a chunk or FAN matrices.
 
 Defined results: null or empty text is one blank line; rows with a null
 conversation id, or a null turn, are conversations of one row each, named by a
-hash; exact repeats of a row count once; different texts of one turn follow each
+hash and, from the second of equal rows on, a number; exact repeats of a row
+that has both count once; different texts of one turn follow each
 other in the order of their hash.
 """
 
@@ -64,8 +65,15 @@ def lines(transcripts: DataFrame) -> DataFrame:
     """(conv, turn, tie, line_no, line, symbol, + other columns) of rows
     (conv_id, turn, text, ...)."""
     name = F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.concat(F.lit("c"), F.col("conv_id").cast("string")))
-    rows = transcripts.distinct().withColumn("tie", F.xxhash64("text", "turn", "conv_id"))
-    rows = rows.withColumn("conv", F.coalesce(name, F.concat(F.lit("row"), F.col("tie").cast("string")))).withColumn("turn", F.coalesce("turn", F.lit(0)).cast("long"))
+    equal = transcripts.groupBy(*transcripts.columns).agg(F.count("*").alias("copies"))
+    # Equal rows without both are told apart by a number, dealt in blocks so that no array holds all of them.
+    many = equal.withColumn("copies", F.when(name.isNull(), F.col("copies")).otherwise(1))
+    blocks = many.withColumn("block", F.explode(F.expr("sequence(0L, (copies - 1) div 1024)")))
+    rows = blocks.withColumn("copy", F.explode(F.expr("sequence(block * 1024, least(copies, (block + 1) * 1024) - 1)"))).drop("copies", "block")
+    rows = rows.withColumn("tie", F.xxhash64("text", "turn", "conv_id"))
+    number = F.when(F.col("copy") > 0, F.concat(F.lit("_"), F.col("copy").cast("string"))).otherwise("")
+    rows = rows.withColumn("conv", F.coalesce(name, F.concat(F.lit("row"), F.col("tie").cast("string"), number))).drop("copy")
+    rows = rows.withColumn("turn", F.coalesce("turn", F.lit(0)).cast("long"))
     out = rows.select("*", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line")).drop("text")
     return out.withColumn("symbol", symbol(F.col("line")))
 

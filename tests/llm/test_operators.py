@@ -330,6 +330,16 @@ def test_chat_hmm_chunks_give_the_long_viterbi_path(spark, monkeypatch):
     assert chat_hmm.parse(raw.where("false"), model).count() == 0
 
 
+def test_chat_hmm_returns_every_row_without_an_id(spark):
+    from mailsift.llm import chat_hmm
+
+    made = [(None, 0, "user", "User: same")] * 2500 + [(4, None, "user", "User: same")] * 2 + [(4, 0, "user", "User: same"), (4, 0, "user", "User: same"), (4, 1, "assistant", "AI: other")]
+    raw = spark.createDataFrame(made, "conv_id long, turn long, role string, text string")
+    got = chat_hmm.parse(raw, chat_hmm.fit(raw)).collect()
+    assert collections.Counter(r.conv_id for r in got) == {None: 2500, 4: 4} and len({r.conv for r in got}) == 2503
+    assert chat_hmm.lines(raw).count() == 2504
+
+
 def test_epsilon_grid(spark, monkeypatch):
     from mailsift.llm import epsilon_grid
 
