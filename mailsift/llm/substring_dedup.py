@@ -1,8 +1,9 @@
-"""Substring de-duplication by relative Lempel-Ziv parsing.
+"""Substring de-duplication by a lookup of word windows.
 
-Every document is factored against the whole corpus as reference: the factor
-that starts at a word is a run of words that also occurs in a document with a
-smaller id. Factors of at least ``window`` words are duplicate spans.
+A window of ``window`` words that also occurs in a document with a smaller id is
+a duplicate; runs of duplicate windows with one reference are the factors. This
+replaces the greedy parse of relative Lempel-Ziv factoring, which would hide
+copies that begin inside a factor.
 
 The reference blocks are indexed in two steps, both sharded by hash:
 
@@ -199,7 +200,7 @@ def matches(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
 
 
 def factors(pos: np.ndarray, ref: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """Greedy parse of one document: (first word, words, reference document)
+    """Runs in one document: (first word, words, reference document)
     of each maximal run of consecutive windows with one reference."""
     if not len(pos):
         return []
