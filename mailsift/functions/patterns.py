@@ -130,8 +130,8 @@ def english_stopwords() -> tuple[str, ...]:
     """Spark ML's default English stop-word list, read from the MLlib jar.
 
     Read straight from the jar so no JVM is needed (the oracle SQL is built
-    without a session). Falls back to the clean-layer list if the jar is
-    missing.
+    without a session). Raises if the list is not found: another list would
+    change word profiles and features.
     """
     import pyspark
 
@@ -143,4 +143,4 @@ def english_stopwords() -> tuple[str, ...]:
             except KeyError:
                 continue
             return tuple(w for w in raw.decode("utf-8").split() if w)
-    return tuple(CLEAN_STOPWORDS)
+    raise FileNotFoundError("Spark ML's English stop words: no spark-mllib jar with the list beside pyspark")

@@ -206,3 +206,11 @@ def test_money_mask_equals_re2_emulation(spark):
     want = dict(con.execute(f"SELECT doc_id, {_MONEY_SQL} FROM documents").fetchall())
     bad = [(values[i], got[i], want[i]) for i in range(len(values)) if got[i] != want[i]]
     assert not bad, bad[:5]
+
+
+def test_missing_stop_word_list_raises(monkeypatch):
+    monkeypatch.setattr(P.glob, "glob", lambda pattern: [])
+    with pytest.raises(FileNotFoundError):
+        P.english_stopwords.__wrapped__()
+    monkeypatch.undo()
+    assert len(P.english_stopwords()) > 100
