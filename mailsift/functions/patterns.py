@@ -14,11 +14,6 @@ Python's Unicode ``re`` module on the same input:
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-from functools import lru_cache
-
 # ---------------------------------------------------------------------------
 # Character classes (building blocks, concatenated textually below).
 # ---------------------------------------------------------------------------
@@ -125,22 +120,23 @@ ALNUM_OR_WS = r"[\p{L}\p{N}" + WS_CLASS + "]"
 ALPHA_WORD = r"^\p{L}+$"
 
 
-@lru_cache(maxsize=1)
-def english_stopwords() -> tuple[str, ...]:
-    """Spark ML's default English stop-word list, read from the MLlib jar.
+# The default English stop words of Spark ML's StopWordsRemover,
+# in its order. Stated here, so that neither the import nor a Python worker
+# needs a JVM or a file; a test holds them against Spark's own list.
+ENGLISH_STOPWORDS = tuple("""
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers
+herself it its itself they them their theirs themselves what which who whom this that these those am is are
+was were be been being have has had having do does did doing a an the and but if or because as until while of
+at by for with about against between into through during before after above below to from up down in out on
+off over under again further then once here there when where why how all any both each few more most other
+some such no nor not only own same so than too very s t can will just don should now i'll you'll he'll she'll
+we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've we've you've
+they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't
+mustn't can't couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's
+would
+""".split())
 
-    Read straight from the jar so no JVM is needed (the oracle SQL is built
-    without a session). Raises if the list is not found: another list would
-    change word profiles and features.
-    """
-    import pyspark
 
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    for jar in jars:
-        with zipfile.ZipFile(jar) as z:
-            try:
-                raw = z.read("org/apache/spark/ml/feature/stopwords/english.txt")
-            except KeyError:
-                continue
-            return tuple(w for w in raw.decode("utf-8").split() if w)
-    raise FileNotFoundError("Spark ML's English stop words: no spark-mllib jar with the list beside pyspark")
+def english_stopwords() -> tuple[str, ...]:
+    """The default stop words of the word profiles and the bag of words."""
+    return ENGLISH_STOPWORDS
