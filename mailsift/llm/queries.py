@@ -98,6 +98,29 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Merkle proof of every document by its language's tree and the tree of
+    all languages, and what the proof says of a copy in which some rows are changed."""
+    from mailsift.llm.merkle import fold, leaf, proofs, siblings
+
+    docs = read_table(spark, sf_dir, "documents")
+    digest = lambda n_chars: leaf(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    changed = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    rows = docs.select("doc_id", "lang", digest(F.col("n_chars")).alias("leaf"), F.when(changed, digest(F.try_add(F.col("n_chars"), F.lit(1)))).alias("changed"))
+    out = proofs(rows, "lang", "doc_id", "leaf").withColumn("folded_root", fold(F.coalesce("changed", "leaf"), F.col("path")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root",
+                      (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each rebuilt from the first turns of
+    the first of its twenty ids."""
+    from mailsift.llm.prefix_trie import rebuilt, trie
+
+    conversations = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return trie(rebuilt(conversations, F.expr("conv_id - conv_id % 20"), F.crc32(F.col("conv_id").cast("string")) % 4))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: fn for name, fn in globals().items() if name.startswith("op") and name[2].isdigit()}
     return found
