@@ -41,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailsift.llm.tables import drop_handoff, handoff
 from mailsift.operators.shape import fresh_index
@@ -85,7 +86,7 @@ class Forest:
         below = self.leaves.select("t", "n", "i", "digest").where("n > 1")
         while _height(most) > K * len(self.tiers):
             low = K * len(self.tiers)
-            tier = handoff(below.groupBy("t", F.shiftright("i", K).alias("block")).applyInArrow(_folded_from(low), _NODES), "nodes")
+            tier = handoff(below.groupBy("t", F.shiftright("i", K).alias("block")).applyInArrow(_folded_from(low, K), _NODES), "nodes")
             self.tiers.append(tier)
             below = tier.where((F.col("level") == low + K) & ~F.col("top")).select("t", "n", "i", "digest")
         roots = [self.leaves.where("n = 1").select("t", "digest"), *(tier.where("top").select("t", "digest") for tier in self.tiers)]
@@ -102,7 +103,8 @@ class Forest:
             fetched = wanted.join(reduce(DataFrame.unionByName, nodes), ["t", "level", "i"])
         else:
             fetched = wanted.withColumn("digest", F.lit(None).cast("string"))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema) + ", path array<string>"
+        fetched = fetched.select(*(F.col(c).alias(c) for c in ("t", "block", "level", "i", "digest")))  # columns of its own, where level 0 was read too
+        schema = T.StructType([*chosen.schema.fields, T.StructField("path", T.ArrayType(T.StringType()))])
         return chosen.groupBy("t", block).cogroup(fetched.groupBy("t", "block")).applyInArrow(_paths, schema)
 
     def drop(self) -> None:
@@ -111,19 +113,19 @@ class Forest:
             drop_handoff(table)
 
 
-def _folded_from(low: int) -> Callable[[pa.Table], pa.Table]:
+def _folded_from(low: int, levels: int) -> Callable[[pa.Table], pa.Table]:
     def folded(table: pa.Table) -> pa.Table:
-        return _folded(table, low)
+        return _folded(table, low, levels)
     return folded
 
 
-def _folded(table: pa.Table, low: int) -> pa.Table:
-    """All nodes above a whole block of a tree's level ``low``, up to K levels."""
+def _folded(table: pa.Table, low: int, levels: int) -> pa.Table:
+    """All nodes above a whole block of a tree's level ``low``, so many levels up at most."""
     place = np.argsort(table["i"].to_numpy())
     first, n = int(table["i"][int(place[0])].as_py()), table["n"][0].as_py()
     digests = table["digest"].take(pa.array(place)).to_pylist()
     level, places, found = [], [], []
-    for up in range(low + 1, min(low + K, _height(n)) + 1):
+    for up in range(low + 1, min(low + levels, _height(n)) + 1):
         pairs = iter([*digests, ""] if len(digests) % 2 else digests)
         digests = [_parent(a, b) for a, b in zip(pairs, pairs)]
         first >>= 1
@@ -182,23 +184,23 @@ def siblings(path: Column) -> Column:
     return F.array_join(F.transform(F.filter(path, lambda s: s != "="), lambda s: F.substr(s, F.lit(2))), "")
 
 
-def manifest(rows: DataFrame, tree: str, order: str, digest: str) -> tuple[Forest, Forest]:
+def manifest(rows: DataFrame, tree: str, order: str, digest: str, only: Column | None = None) -> tuple[Forest, Forest]:
     """The trees of the groups, and the tree over their roots. A group is named
-    by ``t``: 'n' for null, else 's' and its value, which keeps the order."""
-    named = rows.withColumn("t", F.coalesce(F.concat(F.lit("s"), F.col(tree).cast("string")), F.lit("n"))).withColumnRenamed(digest, "digest")
-    groups = Forest(named, [order])
+    by ``t``: 'n' for null, else 's' and its value, which keeps the order. Leaves
+    hold the input's ``row`` and whether it is ``chosen``."""
+    name = F.coalesce(F.concat(F.lit("s"), F.col(tree).cast("string")), F.lit("n"))
+    chosen = F.lit(True) if only is None else F.coalesce(only, F.lit(False))
+    groups = Forest(rows.select(name.alias("t"), F.col(order).alias("rank"), F.col(digest).alias("digest"), chosen.alias("chosen"), F.struct("*").alias("row")), ["rank"])
     return groups, Forest(groups.roots.select(F.lit("all").alias("t"), F.col("t").alias("group"), "digest"), ["group"])
 
 
 def proofs(rows: DataFrame, tree: str, order: str, digest: str, only: Column | None = None) -> DataFrame:
-    """Columns of ``rows`` (columns ``t``, ``n``, ``i``, ``path``, ``subroot`` and
-    ``root`` are replaced) for the rows that ``only`` selects, with ``path`` (leaf
-    to root of all), ``subroot`` and ``root``."""
-    plain = rows.drop("t", "n", "i", "path", "subroot", "root", "at")
-    groups, top = manifest(plain, tree, order, digest)
-    chosen = groups.leaves if only is None else groups.leaves.where(only)
-    proven = groups.prove(chosen).withColumnRenamed("path", "low")
+    """Columns of ``rows`` for the rows that ``only`` selects (default: all), with
+    ``path`` (leaf to root of all), ``subroot`` and ``root``; input columns of
+    these three names are replaced."""
+    groups, top = manifest(rows, tree, order, digest, only)
+    proven = groups.prove(groups.leaves if only is None else groups.leaves.where("chosen")).withColumnRenamed("path", "low")
     upper = top.prove(top.leaves).join(top.roots.withColumnRenamed("digest", "root"), "t")
     upper = handoff(upper.select(F.col("group").alias("t"), F.col("path").alias("high"), F.col("digest").alias("subroot"), "root"), "top")
-    out = proven.join(upper, "t").withColumn("path", F.concat("low", "high")).withColumnRenamed("digest", digest)
-    return out.select(*plain.columns, "path", "subroot", "root")
+    kept = [F.col(f"row.`{c}`") for c in rows.columns if c not in ("path", "subroot", "root")]
+    return proven.join(upper, "t").select(*kept, F.concat("low", "high").alias("path"), "subroot", "root")

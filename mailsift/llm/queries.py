@@ -112,6 +112,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all whole documents; a seventh of the ids is held out of the counts."""
+    from mailsift.llm.backoff_lm import score
+
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    return score(read_table(spark, sf_dir, "documents").select("doc_id", "text"), held_out)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prefix trie of all conversations, each rebuilt from the first turns of
     the first of its twenty ids."""
