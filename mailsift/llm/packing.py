@@ -8,9 +8,12 @@ solves it on these counts, and Spark deals the pieces out:
 * The incumbent is the best-fit-decreasing packing of all pieces.
 * Branch and bound over all counts: the largest remaining piece is completed by
   a filling of the rest of its sequence, and as many equal sequences are made as
-  the counts and the waste allow. Every filling comes up, the fullest first (the
-  sums that the remaining sizes can make are bits of one number, so none is
-  searched in vain), and every smaller number of equal sequences. A branch ends
+  the counts and the waste allow. Every undominated filling comes up, the fullest
+  first (the sums that the remaining sizes can make are bits of one number, so none
+  is searched in vain), and every smaller number of equal sequences. A filling is
+  dominated where one remaining piece could take the place of some of its pieces
+  of no greater sum: exchanging them loses nothing and leads to an earlier filling
+  in this order, so some optimum holds no dominated one. A branch ends
   when its waste is more than a packing better than the incumbent may have. What
   is left is packed by best fit as well, each time it is a tenth smaller and at
   every step of the last few hundred pieces; a better whole is the new incumbent. The
@@ -146,6 +149,31 @@ def _filling(counts: np.ndarray, room: int, after: Bin | None) -> Bin | None:
     return _filled(sizes, many, reach, len(sizes), below.bit_length() - 1) if below else None
 
 
+def _dominated(counts: np.ndarray, room: int, filling: Bin) -> bool:
+    """Whether a piece that is left could replace pieces of the filling of no
+    greater sum (two or more, or one smaller piece, or none) within the room."""
+    spare = room - sum(filling)
+    one, more = 0, 0  # sums of one and of at least two of the pieces, as bits
+    for size in filling:
+        more |= (more | one) << size
+        one |= 1 << size
+
+    def widened(bits: int, by: int) -> int:
+        """``bits`` moved up by 0 to ``by``."""
+        step = 1
+        while by > 0:
+            step = min(step, by)
+            bits |= bits << step
+            by -= step
+            step *= 2
+        return bits
+
+    used = np.bincount(filling, minlength=room + 1) if filling else np.zeros(room + 1, np.int64)
+    left = sum(1 << size for size in np.flatnonzero(counts[: room + 1] > used[: len(counts[: room + 1])]).tolist())
+    replaced = widened(more, spare) | (widened((one | 1) << 1, spare - 1) if spare else 0)
+    return bool(left & replaced)
+
+
 def _best_fit(counts: np.ndarray, length: int) -> list[tuple[Bin, int]]:
     """Best-fit decreasing, equal sequences at once: the incumbent."""
     by_room: dict[int, list[tuple[Bin, int]]] = {}
@@ -232,6 +260,9 @@ def plan(counts: np.ndarray, length: int = LENGTH, nodes: int = NODES) -> list[t
             if after is None and made and made[-1][0][0] == largest:
                 after = made[-1][0][1:]  # sequences with equal largest pieces come in the order of their fillings
             filling = _filling(counts, length - largest, after)
+            while filling is not None and nodes > 0 and _dominated(counts, length - largest, filling):
+                nodes -= 1
+                filling = _filling(counts, length - largest, filling)
             counts[largest] += 1
             after = None
             if filling is not None:
@@ -280,6 +311,6 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, wi
     ranked = (ranked.join(before, ["length", "salt"])
               .withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1))
     # The runs are as many as the plan's distinct sequences hold lengths: bounded by the length classes, not by the corpus.
-    where = spark.createDataFrame(runs, "run_length long, low long, high long, base long, many long, place long")
-    out = ranked.join(F.broadcast(where), (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    where = handoff(spark.createDataFrame(runs, "run_length long, low long, high long, base long, many long, place long"), "runs")
+    out = ranked.join(where, (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     return out.select(*cut.columns, F.expr("base + (rank - low) div many").alias("sequence_id"), F.expr("place + ((rank - low) % many) * length").alias("offset"))

@@ -3,25 +3,53 @@
 The tokenizer never merges across a single space between two non-space
 characters, so a text is cut there and each distinct chunk is encoded once per
 worker; the ids of a text are its chunks' ids in order, equal to encoding it
-whole. The chunk memory holds MAX_CHUNKS entries at most (about 200 bytes
-each); beyond that it keeps the half learned first, which holds the commonest.
+whole. A special token's string has its id as in plain encoding: it holds no
+space, so it stays within one chunk.
+
+Chunks of more than UNIT characters (text without spaces, encoded strings) are
+encoded where they stand and not remembered. What is remembered is bounded by
+MAX_BYTES of chunks, ids and bookkeeping; beyond that the half learned first
+stays, which holds the commonest.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import islice
 
 import numpy as np
 
-MAX_CHUNKS = 1_000_000
+MAX_BYTES = 96 << 20
+UNIT = 128
+#: Bytes of a remembered chunk besides its characters and ids.
+ENTRY = 220
 _SPACES = r"\s\x1c-\x1f\x85᠎​﻿"
 #: A space next to white space (of any tokenizer's notion) is no place to cut.
 _UNSAFE = re.compile(f"[{_SPACES}] | [{_SPACES}]")
 _CUT = re.compile(f"(?<=[^{_SPACES}]) (?=[^{_SPACES}])")
 
 
+class Memory(dict):
+    """Ids by chunk, bounded in bytes."""
+
+    size = 0
+
+    def learn(self, chunks: list[str], ids: list[bytes]) -> None:
+        self.update(zip(chunks, ids))
+        self.size += ENTRY * len(chunks) + 4 * sum(map(len, chunks)) + sum(map(len, ids))
+
+    def trim(self, most: int) -> None:
+        """Keep the first half where there is more than ``most``."""
+        if self.size > most:
+            learnt, self.size, kept = list(self.items()), 0, 0
+            self.clear()
+            for kept, (chunk, ids) in enumerate(learnt):
+                self.size += ENTRY + 4 * len(chunk) + len(ids)
+                if 2 * self.size > most:
+                    break
+            self.update(learnt[: kept + 1])
+
+
 class Encoder:
     """ids of texts as little-endian uint32 bytes."""
 
@@ -32,12 +60,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)  # tokens that begin with a space
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        self.first: dict[str, bytes] = {"": b""}
-        self.later: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.first, self.later = Memory(), Memory()
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -51,9 +78,10 @@ class Encoder:
 
     def _learn(self, chunks: list[str]) -> None:
         """Ids of chunks that follow a space: many at once, cut where a token
-        begins with a space; one by one where a chunk holds spaces itself."""
-        plain = [c for c in chunks if c and " " not in c]
-        odd = [c for c in chunks if not c or " " in c]
+        begins with a space; one by one where a chunk holds spaces or a special
+        token (whose space before is a token of its own)."""
+        odd = [c for c in chunks if not c or " " in c or any(s in c for s in self.special)]
+        plain = sorted(set(chunks).difference(odd))
         for at in range(0, len(plain), 512):
             group = plain[at: at + 512]
             ids = self._ids([" " + " ".join(group)])[0]
@@ -61,21 +89,24 @@ class Encoder:
             if len(starts) == len(group):
                 raw = ids.tobytes()
                 ends = [*(4 * starts[1:]).tolist(), len(raw)]
-                self.later.update((c, raw[a:b]) for c, a, b in zip(group, (4 * starts).tolist(), ends))
+                self.later.learn(group, [raw[a:b] for a, b in zip((4 * starts).tolist(), ends)])
             else:
                 odd += group
-        self.later.update(zip(odd, (i.tobytes() for i in self._ids([" " + c for c in odd]))))
+        self.later.learn(odd, [i.tobytes() for i in self._ids([" " + c for c in odd])])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [_CUT.split(t) if _UNSAFE.search(t) else t.split(" ") for t in texts]
-        if len(self.later) > MAX_CHUNKS:
-            self.later = dict(islice(self.later.items(), MAX_CHUNKS // 2))
-        if len(self.first) > MAX_CHUNKS:
-            self.first = {"": b""}
-        new = set().union(*(c[1:] for c in cut)) - self.later.keys()
+        first, later = self.first, self.later
+        first.trim(MAX_BYTES // 4)
+        later.trim(MAX_BYTES)
+        new = {c for c in set().union(*(c[1:] for c in cut)) - later.keys() if len(c) <= UNIT}
         if new:
             self._learn(sorted(new))
-        heads = sorted({c[0] for c in cut} - self.first.keys())
-        self.first.update(zip(heads, (i.tobytes() for i in self._ids(heads))))
-        later = self.later
-        return [b"".join([self.first[c[0]], *map(later.__getitem__, c[1:])]) for c in cut]
+        heads = sorted({c[0] for c in cut if len(c[0]) <= UNIT} - first.keys())
+        first.learn(heads, [i.tobytes() for i in self._ids(heads)])
+
+        def ids(at: int, chunk: str) -> bytes:
+            known = (later if at else first).get(chunk)
+            return self._ids([" " + chunk if at else chunk])[0].tobytes() if known is None else known
+
+        return [b"".join([ids(k, x) for k, x in enumerate(c)]) if max(map(len, c)) > UNIT else b"".join([first[c[0]], *map(later.__getitem__, c[1:])]) for c in cut]

@@ -26,7 +26,8 @@ def rows():
     vocab = ["".join(rng.choices("abcdeéfgh", k=rng.randint(1, 6))) for _ in range(400)]
     prose = lambda n: " ".join(rng.choices(vocab, k=n))
     passage, base = prose(60), prose(120).split(" ")
-    texts = [None, "", " \n\t", "one", "two words", "A b c D", "a B C d", "x" * 5000, prose(9000), "é　ß 日本語 ▁ <|endoftext|>  two  spaces "]
+    texts = [None, "", " \n\t", "one", "two words", "A b c D", "a B C d", "x" * 5000, prose(9000), "é　ß 日本語 ▁ <|endoftext|>  two  spaces ",
+              "a<|endoftext|>b <|endoftext|> c<|endoftext|> <|endoftext|><|endoftext|>x", "<|endoftext|>", "日本語の長い文" * 300, "x" + "QUJD" * 700 + " end"]
     texts += [prose(rng.randint(5, 150)) for _ in range(40)]
     texts += [prose(20) + " " + passage + "\n" + prose(15) for _ in range(12)]
     for _ in range(30):
@@ -118,7 +119,6 @@ def test_packing(docs, none, rows):
     from mailsift.llm.packing import least_bins, pack
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     exp = collections.Counter()
     for r in rows:
         ids = [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0]
@@ -160,6 +160,42 @@ def test_packing_plan_is_optimal_on_small_cases(seed):
     assert sum(k for _, k in made) == fewest(sizes, [])
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_leaves_out_dominated_fillings_only(seed):
+    """A filling is dominated just where a piece that is left can take the place
+    of some of its pieces (brute force over all subsets)."""
+    from mailsift.llm.packing import _dominated
+
+    rng = np.random.default_rng(seed)
+    for _ in range(60):
+        pieces = rng.integers(1, 14, 8).tolist()
+        k = int(rng.integers(0, 5))
+        filling, rest = tuple(sorted(pieces[:k], reverse=True)), pieces[k:]
+        room = sum(filling) + int(rng.integers(0, 5))
+        subsets = [c for n in range(k + 1) for c in itertools.combinations(filling, n)]
+        exp = any((sum(c) < x if len(c) < 2 else sum(c) <= x) and x <= sum(c) + room - sum(filling) for c in subsets for x in rest)
+        assert _dominated(np.bincount(pieces, minlength=31), room, filling) == exp
+
+
+def test_encoder_memory_is_bounded_in_bytes(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from mailsift.llm import tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    rng = random.Random(4)
+    encoder = tokens.Encoder(path)
+    monkeypatch.setattr(tokens, "MAX_BYTES", 60_000)
+    for _ in range(40):
+        batch = ["".join(rng.choices("αβγdef語", k=rng.choice([5, 3000]))) for _ in range(4)]
+        batch += [" ".join("".join(rng.choices("abcé", k=4)) for _ in range(50)) + " " + "z" * 400]
+        assert encoder.encode(batch) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in batch]
+        assert max(map(len, [*encoder.later, *encoder.first])) <= tokens.UNIT
+        assert encoder.later.size < 60_000 + 40_000 and encoder.first.size < 15_000 + 10_000
+
+
 def test_packing_plan_of_many_pieces_is_optimal():
     from mailsift.llm.packing import least_bins, plan
 
