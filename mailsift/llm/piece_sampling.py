@@ -14,10 +14,16 @@ row's segmentation is the same on every run and partitioning.
 Lossless: a character without a piece of its own (also a literal U+2581) is
 spelled by byte pieces, no text is normalised, and spaces are kept one by one,
 so decoding gives back the text. Lattices are computed for the distinct units of
-a slice at once; a worker remembers the MAX_UNITS first ones.
+a slice, GROUP bytes at a time; a worker remembers MAX_BYTES of them.
+
+The vocabulary's own scores are merge ranks, no probabilities; the weights here
+are made from these ranks, and pieces with a space inside are left out.
 
 Defined results: null or empty text has no ids; rows with equal keys draw alike
-(a null key is a key).
+(a null key is a key). A unit of more than WINDOW bytes (text without spaces) is
+cut at characters into windows of at most so many bytes, which are drawn one by
+one and not remembered: no piece crosses such a cut, and a text's memory follows
+its length and GROUP, never a lattice of its whole length.
 """
 
 from __future__ import annotations
@@ -36,9 +42,13 @@ from mailsift.llm.words import mix, slices, text_column
 RANK_OFFSET = 10
 #: Probability weight of a byte piece, that of a piece of this rank.
 BYTE_RANK = 1_000_000
-MAX_UNITS = 300_000
-#: Units whose lattices are computed at once (a bound on working memory).
-GROUP = 16_000
+MAX_BYTES = 96 << 20
+#: Bytes whose lattices are computed at once (a bound on working memory).
+GROUP = 128 << 10
+#: Longer units are cut; shorter ones are remembered.
+WINDOW = 256
+#: Bytes that a remembered unit takes besides its lattice.
+ENTRY = 250
 _B = np.uint64(0x100000001B3)
 
 
@@ -107,19 +117,37 @@ class Pieces:
         return b"".join(map(self.bytes.__getitem__, ids))[1:]
 
 
+class _Grown:
+    """An array that grows at its end, copied once each time its size doubles."""
+
+    def __init__(self, kind: type, *start: int):
+        self.held, self.n = np.array(start, kind), len(start)
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.held):
+            room = np.empty(max(2 * self.n, self.n + len(x)), self.held.dtype)
+            room[: self.n] = self.held[: self.n]
+            self.held = room
+        self.held[self.n: self.n + len(x)] = x
+        self.n += len(x)
+
+    def cut(self, n: int) -> None:
+        self.held, self.n = self.held[:n].copy(), n
+
+
 class Lattices:
     """Backward choices of distinct units: for unit u and end byte e the
-    entries ``choice[node[u] + e] : choice[node[u] + e + 1]``."""
+    entries ``choice[node[u] + e] : choice[node[u] + e + 1]``. A unit that begins
+    with a space is a window that goes on without one."""
 
     _made: dict[int, "Lattices"] = {}
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.index: dict[bytes, int] = {}
-        self.size = np.zeros(0, np.int64)
-        self.node = np.zeros(1, np.int64)
-        self.choice = np.zeros(1, np.int64)
-        self.length, self.id, self.upto = np.zeros(0, np.int16), np.zeros(0, np.int32), np.zeros(0, np.float32)
+        self.begin, self.size = _Grown(np.int64), _Grown(np.int64)
+        self.node, self.choice = _Grown(np.int64, 0), _Grown(np.int64, 0)
+        self.length, self.id, self.upto = _Grown(np.int16), _Grown(np.int32), _Grown(np.float32)
 
     @classmethod
     def of(cls, pieces: Pieces) -> "Lattices":
@@ -127,21 +155,23 @@ class Lattices:
         return cls._made.setdefault(id(pieces), cls(pieces))
 
     def add(self, units: list[bytes]) -> None:
-        """Lattices of new units (without their space)."""
-        made = [self._made_of(units[i: i + GROUP]) for i in range(0, len(units), GROUP)]
-        size, choice, length, piece, upto = (np.concatenate(x) for x in zip(*made))
-        self.index.update(zip(units, range(len(self.size), len(self.size) + len(units))))
-        self.node = np.r_[self.node, self.node[-1] + np.cumsum(size + 1)]
-        self.size = np.r_[self.size, size]
-        self.choice = np.r_[self.choice, len(self.id) + np.cumsum(choice)]
-        self.length, self.id, self.upto = np.r_[self.length, length], np.r_[self.id, piece], np.r_[self.upto, upto]
+        """Lattices of new units, GROUP bytes at a time."""
+        for group in grouped(units):
+            begin, size, choice, length, piece, upto = self._made_of(group)
+            self.index.update(zip(group, range(self.size.n, self.size.n + len(group))))
+            self.node.add(self.node.held[self.node.n - 1] + np.cumsum(size + 1))
+            self.choice.add(self.id.n + np.cumsum(choice))
+            for held, x in ((self.begin, begin), (self.size, size), (self.length, length), (self.id, piece), (self.upto, upto)):
+                held.add(x)
 
     def _made_of(self, units: list[bytes]) -> tuple[np.ndarray, ...]:
-        """(bytes per unit, choices per node, and of each choice its length, id
-        and running probability)."""
+        """(first and last byte of each unit, choices per node, and of each choice
+        its length, id and running probability)."""
         p = self.pieces
-        data = np.frombuffer(b" " + b" ".join(units), np.uint8)
-        size = np.fromiter(map(len, units), np.int64, len(units)) + 1
+        goes_on = np.fromiter((u[:1] == b" " for u in units), bool, len(units))
+        spaced = [u if u[:1] == b" " else b" " + u for u in units]
+        data = np.frombuffer(b"".join(spaced), np.uint8)
+        size = np.fromiter(map(len, spaced), np.int64, len(units))
         base = np.cumsum(size) - size
         end_of = np.repeat(base + size, size)
         live = np.arange(len(data))
@@ -174,13 +204,15 @@ class Lattices:
         ids.append(p.byte_id[data[spelled]])
         start, length, piece = (np.concatenate(x) for x in (starts, lengths, ids))
         unit = np.searchsorted(base, start, side="right") - 1
+        real = ~(goes_on[unit] & (start == base[unit]))
+        start, length, piece, unit = start[real], length[real], piece[real], unit[real]
         end = start + length  # node numbers: byte ends, one extra start node per unit
         node_end, node_start = end + unit, start + unit
         order = np.argsort(node_end, kind="stable")
         node_end, node_start, length, piece, unit = (x[order] for x in (node_end, node_start, length, piece, unit))
         total = len(data) + len(units)
         alpha = np.full(total, -np.inf)
-        alpha[base + np.arange(len(units))] = 0
+        alpha[base + np.arange(len(units)) + goes_on] = 0
         weight = p.weight[piece]
         local = node_end - (base + np.arange(len(units)))[unit]
         by_end = np.argsort(local, kind="stable")
@@ -199,44 +231,105 @@ class Lattices:
         running = np.cumsum(share)
         choice = np.searchsorted(node_end, np.arange(total + 1))
         before = np.r_[0.0, running][choice[node_end]]
-        return size, np.diff(choice), length.astype(np.int16), piece.astype(np.int32), (running - before).astype(np.float32)
+        return goes_on.astype(np.int64), size, np.diff(choice), length.astype(np.int16), piece.astype(np.int32), (running - before).astype(np.float32)
+
+    def bytes(self) -> int:
+        return ENTRY * self.size.n + 8 * (self.choice.n + 3 * self.size.n) + 10 * self.id.n
 
     def keep(self, most: int) -> None:
-        """Forget all but the first ``most`` units."""
-        if len(self.size) > most:
-            self.index = dict(islice(self.index.items(), most))
-            self.size, self.node = self.size[:most], self.node[: most + 1]
-            self.choice = self.choice[: self.node[-1] + 1]
-            entries = self.choice[-1]
-            self.length, self.id, self.upto = self.length[:entries], self.id[:entries], self.upto[:entries]
+        """Beyond ``most`` bytes, forget all but the first units of half of it."""
+        if self.bytes() > most:
+            node = self.node.held[: self.node.n]
+            taken = ENTRY * np.arange(len(node)) + 8 * node + 10 * self.choice.held[node]
+            n = int(np.searchsorted(taken, most // 2))
+            self.index = dict(islice(self.index.items(), n))
+            nodes = int(node[n])
+            entries = int(self.choice.held[nodes])
+            for held, k in ((self.begin, n), (self.size, n), (self.node, n + 1), (self.choice, nodes + 1), (self.length, entries), (self.id, entries), (self.upto, entries)):
+                held.cut(k)
 
     def sample(self, unit: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids in order, ids per unit) for occurrences of units."""
-        at = self.size[unit].copy()
+        nodes, choice, length, piece, upto = (x.held for x in (self.node, self.choice, self.length, self.id, self.upto))
+        at, floor = self.size.held[unit], self.begin.held[unit]
         live = np.arange(len(unit))
         steps: list[tuple[np.ndarray, np.ndarray]] = []
         while len(live):
-            node = self.node[unit[live]] + at[live]
+            node = nodes[unit[live]] + at[live]
             draw = (mix(seed[live] + np.uint64(len(steps) + 1)) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
-            entry, last = self.choice[node], self.choice[node + 1] - 1
+            entry, last = choice[node], choice[node + 1] - 1
             while True:
-                more = (draw >= self.upto[entry]) & (entry < last)
+                more = (draw >= upto[entry]) & (entry < last)
                 if not more.any():
                     break
                 entry = entry + more
-            steps.append((live, self.id[entry]))
-            at[live] -= self.length[entry]
-            live = live[at[live] > 0]
+            steps.append((live, piece[entry]))
+            at[live] -= length[entry]
+            live = live[at[live] > floor[live]]
         count = np.zeros(len(unit), np.int64)
         for occurrence, _ in steps:
             count[occurrence] += 1
         ends = np.cumsum(count)
         ids = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
-        for k, (occurrence, piece) in enumerate(steps):
-            ids[ends[occurrence] - 1 - k] = piece
+        for k, (occurrence, chosen) in enumerate(steps):
+            ids[ends[occurrence] - 1 - k] = chosen
         return ids, count
 
 
+def grouped(units: list[bytes]) -> Iterator[list[bytes]]:
+    """Consecutive units of at most GROUP bytes together (at least one)."""
+    start = held = 0
+    for i, unit in enumerate(units):
+        if held and held + len(unit) > GROUP:
+            yield units[start:i]
+            start, held = i, 0
+        held += len(unit) + 1
+    if start < len(units):
+        yield units[start:]
+
+
+def _windows(unit: bytes) -> list[bytes]:
+    """A long unit cut at characters, further windows marked by a space."""
+    edges = [0]
+    while len(unit) - edges[-1] > WINDOW:
+        end = edges[-1] + WINDOW
+        while end > edges[-1] + 1 and unit[end] & 0xC0 == 0x80:
+            end -= 1
+        edges.append(end)
+    return [b" " * (a > 0) + unit[a:b] for a, b in zip(edges, [*edges[1:], len(unit)])]
+
+
+def _drawn(lattices: Lattices, units: list[bytes], seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids in order, ids per unit) of a slice's units."""
+    known = lattices.index
+    short = np.fromiter(map(len, units), np.int64, len(units)) < WINDOW
+    at = np.flatnonzero(short)
+    remembered = units if len(at) == len(units) else [units[i] for i in at.tolist()]
+    new = set(remembered) - known.keys()
+    if new:
+        lattices.add(list(new))
+    drawn = lattices.sample(np.fromiter(map(known.__getitem__, remembered), np.int64, len(at)), seed[at])
+    if len(at) == len(units):
+        return drawn
+    parts = [(at, *drawn)]
+    at = np.flatnonzero(~short)
+    done = 0
+    for group in grouped([units[i] for i in at.tolist()]):
+        scratch = Lattices(lattices.pieces)
+        scratch.add(list(dict.fromkeys(group)))
+        here = at[done: done + len(group)]
+        parts.append((here, *scratch.sample(np.fromiter(map(scratch.index.__getitem__, group), np.int64, len(group)), seed[here])))
+        done += len(group)
+    count = np.zeros(len(units), np.int64)
+    for here, _, n in parts:
+        count[here] = n
+    first = np.cumsum(count) - count
+    ids = np.empty(int(count.sum()), np.int32)
+    for here, found, n in parts:
+        ids[np.repeat(first[here] - (np.cumsum(n) - n), n) + np.arange(len(found))] = found
+    return ids, count
+
+
 def _encode(model: str | None, sharpness: float, check: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(model or default_model(), sharpness)
@@ -245,16 +338,13 @@ def _encode(model: str | None, sharpness: float, check: bool = False):
             for part in slices(batch):
                 texts = text_column(part, "text").cast(pa.large_binary()).to_pylist()
                 cut = [t.split(b" ") if t else [] for t in texts]
-                lattices.keep(MAX_UNITS)
-                new = set().union(*cut) - lattices.index.keys()
-                if new:
-                    lattices.add(list(new))
+                cut = [c if max(map(len, c), default=0) <= WINDOW else [w for u in c for w in (_windows(u) if len(u) > WINDOW else (u,))] for c in cut]
+                lattices.keep(MAX_BYTES)
                 sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-                unit = np.fromiter(map(lattices.index.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
-                place = np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 key = part.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
                 seed = mix(np.repeat(mix(key), sizes) + mix(place.astype(np.uint64)))
-                ids, count = lattices.sample(unit, seed)
+                ids, count = _drawn(lattices, list(chain.from_iterable(cut)), seed)
                 edges = np.r_[0, np.cumsum(count)][np.r_[0, np.cumsum(sizes)]]
                 columns, names = [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"]
                 if check:

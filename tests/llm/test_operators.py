@@ -112,6 +112,43 @@ def test_piece_sampling_draws_each_segmentation_with_its_probability(spark):
     assert max(abs(got[c] / n - p) for c, p in zip(every, weight / weight.sum())) < 0.015
 
 
+def test_piece_sampling_of_long_units(monkeypatch):
+    """Text without spaces: lossless, bounded memory, windows drawn by their own
+    lattices (brute force over all segmentations of a window that goes on)."""
+    from mailsift.llm import piece_sampling as P
+
+    pieces = P.Pieces.of(P.default_model(), 1.0)
+    lattices = P.Lattices(pieces)
+    rng = random.Random(6)
+    monkeypatch.setattr(P, "MAX_BYTES", 400_000)
+    for k in range(12):
+        text = ("".join(rng.choices("日本語abcdé▁", k=4000)) + " " + " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(200))).encode()
+        units = [w for u in text.split(b" ") for w in (P._windows(u) if len(u) > P.WINDOW else (u,))]
+        assert all(len(u) <= P.WINDOW + 1 for u in units)
+        lattices.keep(P.MAX_BYTES)
+        ids, count = P._drawn(lattices, units, np.arange(len(units), dtype=np.uint64) + np.uint64(1000 * k))
+        assert pieces.decode(ids.tolist()) == text and count.sum() == len(ids)
+        assert lattices.bytes() < 900_000 and max(map(len, lattices.index)) < P.WINDOW
+    known = {b: i for i, b in enumerate(pieces.bytes) if pieces.weight[i] < 0 and i not in set(pieces.byte_id.tolist())}
+
+    def cuts(s):
+        if not s:
+            yield ()
+        for n in range(1, len(s) + 1):
+            if s[:n] in known:
+                yield from ((known[s[:n]], *rest) for rest in cuts(s[n:]))
+
+    every = list(cuts(b"ing"))
+    weight = np.array([math.exp(sum(pieces.weight[i] for i in c)) for c in every])
+    scratch = P.Lattices(pieces)
+    scratch.add([b" ing"])
+    ids, count = scratch.sample(np.zeros(20000, np.int64), P.mix(np.arange(20000, dtype=np.uint64)))
+    ends = np.cumsum(count)
+    got = collections.Counter(tuple(ids[a:b].tolist()) for a, b in zip(ends - count, ends))
+    assert set(got) <= set(every)
+    assert max(abs(got[c] / 20000 - p) for c, p in zip(every, weight / weight.sum())) < 0.015
+
+
 def test_packing(docs, none, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
