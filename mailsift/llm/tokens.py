@@ -19,10 +19,10 @@ import re
 
 import numpy as np
 
-MAX_BYTES = 96 << 20
+MAX_BYTES = 256 << 20
 UNIT = 128
 #: Bytes of a remembered chunk besides its characters and ids.
-ENTRY = 220
+ENTRY = 190
 _SPACES = r"\s\x1c-\x1f\x85᠎​﻿"
 #: A space next to white space (of any tokenizer's notion) is no place to cut.
 _UNSAFE = re.compile(f"[{_SPACES}] | [{_SPACES}]")
@@ -36,7 +36,7 @@ class Memory(dict):
 
     def learn(self, chunks: list[str], ids: list[bytes]) -> None:
         self.update(zip(chunks, ids))
-        self.size += ENTRY * len(chunks) + 4 * sum(map(len, chunks)) + sum(map(len, ids))
+        self.size += ENTRY * len(chunks) + 2 * sum(map(len, chunks)) + sum(map(len, ids))
 
     def trim(self, most: int) -> None:
         """Keep the first half where there is more than ``most``."""
@@ -44,7 +44,7 @@ class Memory(dict):
             learnt, self.size, kept = list(self.items()), 0, 0
             self.clear()
             for kept, (chunk, ids) in enumerate(learnt):
-                self.size += ENTRY + 4 * len(chunk) + len(ids)
+                self.size += ENTRY + 2 * len(chunk) + len(ids)
                 if 2 * self.size > most:
                     break
             self.update(learnt[: kept + 1])
@@ -76,11 +76,11 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: list[str], special: list[str]) -> None:
         """Ids of chunks that follow a space: many at once, cut where a token
-        begins with a space; one by one where a chunk holds spaces or a special
-        token (whose space before is a token of its own)."""
-        odd = [c for c in chunks if not c or " " in c or any(s in c for s in self.special)]
+        begins with a space; one by one where a chunk holds spaces or one
+        of the ``special`` tokens (the space before is a token of its own there)."""
+        odd = [c for c in chunks if not c or " " in c or any(s in c for s in special)]
         plain = sorted(set(chunks).difference(odd))
         for at in range(0, len(plain), 512):
             group = plain[at: at + 512]
@@ -101,7 +101,7 @@ class Encoder:
         later.trim(MAX_BYTES)
         new = {c for c in set().union(*(c[1:] for c in cut)) - later.keys() if len(c) <= UNIT}
         if new:
-            self._learn(sorted(new))
+            self._learn(sorted(new), [s for s in self.special if any(s in t for t in texts)])
         heads = sorted({c[0] for c in cut if len(c[0]) <= UNIT} - first.keys())
         first.learn(heads, [i.tobytes() for i in self._ids(heads)])
 
