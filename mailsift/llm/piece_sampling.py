@@ -42,7 +42,7 @@ from mailsift.llm.words import mix, slices, text_column
 RANK_OFFSET = 10
 #: Probability weight of a byte piece, that of a piece of this rank.
 BYTE_RANK = 1_000_000
-MAX_BYTES = 96 << 20
+MAX_BYTES = 224 << 20
 #: Bytes whose lattices are computed at once (a bound on working memory).
 GROUP = 128 << 10
 #: Longer units are cut; shorter ones are remembered.
