@@ -1,21 +1,23 @@
 """CSV ingest (SRC-1 ... SRC-7).
 
-Mail CSVs hold quoted multi-line bodies, so they are read with
-``multiLine``; such a file cannot be split, which is why the engine ingests
-CSV once (tagging every row with its file and position) and works from
-Parquet afterwards (SURVEY H5). All columns are read as strings: the kind of
-a label column is decided later, per column, from its values.
+Mail CSVs hold quoted multi-line bodies, which Spark's own reader only takes
+whole, a file a task. Here the files' byte ranges are read side by side
+(``csv_records``) and whole records go through ``from_csv``; every row is tagged
+with its file and its number there. All columns are read as strings: the kind
+of a label column is decided later, per column, from its values.
 """
 
 from __future__ import annotations
 
-import re
+import csv
+import io
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailsift.operators.shape import union_tables
+from mailsift.sources.csv_records import ASCII_BASED, read_records
 from mailsift.sources.tables import spread
 
 # Spellings the original CSV reader turns into a missing value.
@@ -26,13 +28,8 @@ LATIN1 = "ISO-8859-1"
 UTF8 = "UTF-8"
 
 
-# monotonically_increasing_id() = partition << 33 | position in the partition.
+# A row's number within its file takes so many bits of its order.
 _POSITION_BITS = 33
-_POSITION_MASK = (1 << _POSITION_BITS) - 1
-
-
-def _plain(path: str) -> str:
-    return re.sub("^file:/+", "file:/", path)
 
 
 class MissingColumnsError(ValueError):
@@ -51,9 +48,12 @@ def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
     return df
 
 
-def _reader(spark: SparkSession, encoding: str):
-    return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-            .option("encoding", encoding).option("inferSchema", False).option("mode", "PERMISSIVE"))
+def _names(header: str) -> list[str]:
+    """Column names of a header record, as Spark's reader gives them: a place
+    for an empty name, a number after a repeated one."""
+    given = next(csv.reader(io.StringIO(header, newline="")), [])
+    lowered = [n.lower() for n in given]
+    return [f"_c{i}" if not n else f"{n}{i}" if lowered.count(n.lower()) > 1 else n for i, n in enumerate(given)]
 
 
 def na_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -68,19 +68,22 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], encoding: str = UTF
     spellings as null, each row tagged with its source file and its place in
     the input (``_row_ord``: files by name, then rows as they stand in a file).
 
-    Spark deals large files out first, so positions alone do not follow the
-    files' order. A multi-line file is read by one task: within a file they do."""
-    df = na_to_null(_reader(spark, encoding).csv(path))
-    cols = df.columns
-    # The listing Spark made for the scan, one row per file.
-    files = [(_plain(f), i) for i, f in enumerate(sorted(df.inputFiles(), key=_plain))]
-    order = spark.createDataFrame(files, "_listed string, _file_no long")
-    df = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK)))
-    df = df.join(order, F.regexp_replace("_file", "^file:/+", "file:/") == F.col("_listed"), "left")
-    number = F.coalesce("_file_no", F.raise_error(F.concat(F.lit("file not in the listing: "), F.col("_file"))).cast("long"))
-    df = df.withColumn("_row_ord", F.shiftleft(number, _POSITION_BITS) + F.col("_pos")).select(*cols, "_file", "_row_ord")
-    # A multi-line CSV file is one task; spread the rows before any heavy
-    # per-row work (the order column is fixed before the exchange).
+    A file is read by as many tasks as it has byte ranges. Columns are those of the
+    first file's header, and rows of all files fill them by position. Fields that are
+    missing at a row's end are null, fields too many are left out, blank lines are
+    no rows."""
+    if encoding.upper() not in ASCII_BASED:
+        raise ValueError(f"no ASCII-based encoding: {encoding}")
+    header, records = read_records(spark, path if isinstance(path, str) else list(path), encoding)
+    names = _names(header)
+    if not names:
+        raise ValueError(f"no header in {path}")
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    rows = records.where("record > 0 AND text <> ''").select(
+        F.from_csv("text", schema, {"escape": '"', "multiLine": "true", "lineSep": "\n", "mode": "PERMISSIVE"}).alias("r"),
+        F.col("file").alias("_file"), (F.shiftleft("file_no", _POSITION_BITS) + F.col("record")).alias("_row_ord"))
+    df = na_to_null(rows.select(*(F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)), "_file", "_row_ord"), names)
+    # Few ranges (small files) are few tasks; the order is fixed before the exchange.
     return spread(df, "_row_ord")
 
 
