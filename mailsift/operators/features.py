@@ -94,20 +94,6 @@ def bag_of_words(train: DataFrame, test: DataFrame, key: str, text: str,
     return counts.join(vocab, "term", "left_semi")
 
 
-def count_vectorizer_stages(text: str = "text", features: str = "features",
-                            stopwords: Sequence[str] | None = None, vocab_size: int = (1 << 31) - 1):
-    """FEA-4 as Spark ML stages (fit on train, transform test): tokenizer,
-    stop-word remover, count vectorizer."""
-    from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StopWordsRemover
-
-    tok = RegexTokenizer(inputCol=text, outputCol="_tokens", gaps=False, pattern="[" + P.W_CLASS + "]{2,}",
-                         toLowercase=True, minTokenLength=2)
-    sw = StopWordsRemover(inputCol="_tokens", outputCol="_terms",
-                          stopWords=list(P.english_stopwords() if stopwords is None else stopwords))
-    cv = CountVectorizer(inputCol="_terms", outputCol=features, minDF=1.0, vocabSize=vocab_size)
-    return [tok, sw, cv]
-
-
 def truncate_pad(df: DataFrame, tokens: str, group: str, max_len: int, pad: str = PAD,
                  out: str = "padded") -> DataFrame:
     """FEA-5: truncate to ``max_len`` and pad to the longest row of the same

@@ -133,7 +133,7 @@ def train_classical(spark: SparkSession, train_paths: Sequence[str], test_path:
     test = test.withColumn("y", L.binary_label("label", "phishing"))
     n_train = bal.count()
     if model == "tree":
-        pipe = M.decision_tree_bow("Email Text", "label", seed)
+        pipe = M.decision_tree_bow("Email Text", "label")
     else:
         pipe = M.logistic_regression_bow("Email Text", "label", n_train=n_train)
     fitted = pipe.fit(M.for_fit(bal))

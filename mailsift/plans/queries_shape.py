@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from mailsift.functions import text as X
 from mailsift.operators import shape as S
 from mailsift.plans.queries_profile import STOP_SQL
 from mailsift.plans.registry import register
+from mailsift.session import shared_scratch
+from mailsift.sources import csv as C
 from mailsift.sources import tables as tb
 
 SEED = 42
@@ -52,16 +56,23 @@ def _split_sql(hold: float, toh: str) -> str:
     "SELECT doc_id, NULL::BIGINT AS item_id, text, lang, 0 AS _file_ord FROM documents "
     "UNION ALL SELECT NULL::BIGINT, item_id, text, NULL::VARCHAR, 1 FROM benchmark"))
 def src4_union_by_name(spark, d):
-    docs = tb.load(spark, d, "documents").select("doc_id", "text", "lang")
-    bench = tb.load(spark, d, "benchmark").select("item_id", "text")
-    return S.union_tables([docs, bench])
+    """Both tables written as CSV folders and read by SRC-4: column union by name, files in order."""
+    folder = shared_scratch(spark, f"queries/src4-{uuid.uuid4().hex}")
+    C.write_csv(tb.load(spark, d, "documents").select("doc_id", "text", "lang"), f"{folder}/documents", C.UTF8)
+    C.write_csv(tb.load(spark, d, "benchmark").select("item_id", "text"), f"{folder}/benchmark", C.UTF8)
+    rows = C.read_csv_files(spark, [f"{folder}/documents", f"{folder}/benchmark"], C.UTF8)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("item_id").cast("long").alias("item_id"), "text", "lang", "_file_ord")
 
 
 @register("src5_dropna_any", tb.with_views(
     "SELECT conv_id, turn, subject, body, label FROM mail_subject "
     "WHERE subject IS NOT NULL AND body IS NOT NULL AND label IS NOT NULL", "mail_subject"))
 def src5_dropna_any(spark, d):
-    return tb.mail_subject(spark, d).dropna(how="any")
+    """The mail table written as CSV and read by SRC-5."""
+    path = shared_scratch(spark, f"queries/src5-{uuid.uuid4().hex}")
+    C.write_csv(tb.mail_subject(spark, d), path, C.UTF8)
+    rows = C.read_csv_complete(spark, path)
+    return rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "subject", "body", "label")
 
 
 @register("shp1_union_labels", tb.with_views(

@@ -14,6 +14,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailsift.operators.bow_models import BowModel
+
 
 def _write_document(df: DataFrame, path: str, col: str = "value") -> None:
     df.select(col).coalesce(1).write.mode("overwrite").text(path)
@@ -47,14 +49,18 @@ def save_meta_frame(meta: DataFrame, path: str) -> None:
     _write_document(meta.select(F.to_json(F.struct("*")).alias("value")), path)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """SNK-3: persist a fitted pipeline (overwrite keeps the latest best)."""
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel | BowModel, path: str) -> None:
+    """SNK-3: persist a fitted model (overwrite keeps the latest best)."""
+    if isinstance(model, BowModel):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    """SNK-3: reload a persisted pipeline."""
-    return PipelineModel.load(path)
+def load_model(path: str, spark: SparkSession | None = None) -> PipelineModel | BowModel:
+    """SNK-3: reload a persisted model, of whichever kind stands there."""
+    spark = spark or SparkSession.active()
+    return BowModel.load(spark, path) if BowModel.saved_at(spark, path) else PipelineModel.load(path)
 
 
 def save_report(spark: SparkSession, report: dict, path: str) -> None:
