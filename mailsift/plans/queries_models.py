@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from mailsift.functions import patterns as P
 from mailsift.functions import text as X
+from mailsift.operators import bow_models as B
 from mailsift.operators import evaluate as E
 from mailsift.operators import features as FE
 from mailsift.operators import labels as L
 from mailsift.operators import models as M
 from mailsift.operators import shape as S
 from mailsift.plans.queries_eval import scored_subject_mail
+from mailsift.plans.queries_features import _BOW, _SPLIT
 from mailsift.plans.queries_shape import SEED
 from mailsift.plans.registry import register
 from mailsift.session import handoff
@@ -48,11 +50,35 @@ def mod1_logreg_bow(spark, d):
 
 @register("mod2_decision_tree_bow")
 def mod2_decision_tree_bow(spark, d):
+    """Grown without a limit on depth."""
     train, test = _split(spark, d)
-    model = M.decision_tree_bow("body", "label", seed=SEED).fit(M.for_fit(train))
+    model = M.decision_tree_bow("body", "label").fit(M.for_fit(train))
     return _out(M.score(model, test))
 
 
+_FIRST_SPLIT = tb.with_views("""
+SELECT term, threshold, round(score, 6) AS score FROM (
+  SELECT term, (c + coalesce(lower, 0)) / 2.0::DOUBLE AS threshold, ((n0 - r0) ** 2 + (n1 - r1) ** 2) / (n0 + n1 - r0 - r1) + (r0 ** 2 + r1 ** 2) / (r0 + r1) AS score
+  FROM s, n WHERE n0 + n1 > r0 + r1)
+ORDER BY score DESC, term, threshold LIMIT 1""", "mail", extra=_SPLIT + [
+    ("train_rows", "SELECT m.row_id, m.y, m.body FROM mail m JOIN splits s ON m.row_id = s.row_id WHERE s.split = 'train'"),
+    ("tc", f"SELECT row_id, y, term, count(*) AS c FROM (SELECT row_id, y, unnest({_BOW}) AS term FROM train_rows m) GROUP BY row_id, y, term"),
+    ("v", "SELECT term, c, CAST(count(CASE WHEN y = 0 THEN 1 END) AS DOUBLE) AS v0, CAST(count(CASE WHEN y = 1 THEN 1 END) AS DOUBLE) AS v1 FROM tc GROUP BY term, c"),
+    ("s", "SELECT term, c, lead(c) OVER w AS lower, sum(v0) OVER w AS r0, sum(v1) OVER w AS r1 FROM v WINDOW w AS (PARTITION BY term ORDER BY c DESC)"),
+    ("n", "SELECT CAST(count(CASE WHEN y = 0 THEN 1 END) AS DOUBLE) AS n0, CAST(count(CASE WHEN y = 1 THEN 1 END) AS DOUBLE) AS n1 FROM train_rows")])
+
+
+@register("mod2_first_split", _FIRST_SPLIT)
+def mod2_first_split(spark, d):
+    """The root's split of MOD-2's tree, found on one level of growth."""
+    train = _split(spark, d)[0].select("row_id", "body", "y")
+    vocabulary = B.term_ids(train, "body")
+    rows = B.numbered(train).withColumn("node", F.lit(0).cast("long"))
+    nodes = rows.groupBy("node").agg(*(F.count_if(F.col("y") == i).alias(f"c{i}") for i in (0, 1)))
+    best = B.best_splits(rows.select("_row", "node", "y"), B.term_counts(rows, "body", vocabulary), nodes, 2)
+    return best.join(vocabulary, "term_id").select("term", "threshold", F.round("score", 6).alias("score"))
+
+
 @register("mod3_embedding_mlp")
 def mod3_embedding_mlp(spark, d):
     """Trained on the ids of FEA-2 over the vocabulary of the train rows."""

@@ -188,23 +188,41 @@ def _arriving_files(spark, d, name):
     return folder
 
 
-@register("str1_stream_scoring")
+def _valid_by_class():
+    from mailsift.plans.queries_eval import _VALID_SQL
+    return _VALID_SQL
+
+
+@register("str1_stream_scoring", tb.with_views("SELECT y_true, count(*) AS n FROM v GROUP BY y_true", "mail_subject", extra=[_valid_by_class()]))
 def str1_stream_scoring(spark, d):
-    """STR-1: arriving CSVs -> scored, thresholded rows (availableNow run)."""
+    """STR-1: arriving CSVs -> scored, thresholded rows (availableNow run);
+    the rows scored of each class, every one with a score and its verdict."""
     from mailsift.streaming import scoring as ST
     model = _small_model(spark, d)
     out = _scratch(spark, "str1-out")
     q = ST.score_stream(spark, _arriving_files(spark, d, "str1-in"), model, out, _scratch(spark, "str1-ckpt"))
     q.awaitTermination()
-    return spark.read.parquet(out)
+    scored = spark.read.parquet(out).where("score BETWEEN 0 AND 1 AND verdict = IF(score >= 0.5, 'phishing', 'legitimate')")
+    return scored.groupBy("y_true").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("str2_running_confusion")
 def str2_running_confusion(spark, d):
-    """STR-2: confusion counts kept in the stream's state store."""
+    """STR-2: confusion counts kept in a durable table, batch by batch."""
     from mailsift.streaming import scoring as ST
     model = _small_model(spark, d)
-    name = "str2_" + uuid.uuid4().hex[:8]
-    q = ST.running_confusion(spark, _arriving_files(spark, d, "str2-in"), model, _scratch(spark, "str2-ckpt"), name)
+    out = _scratch(spark, "str2-out")
+    q = ST.running_confusion(spark, _arriving_files(spark, d, "str2-in"), model, out, _scratch(spark, "str2-ckpt"), max_files_per_trigger=4)
     q.awaitTermination()
-    return spark.sql(f"SELECT * FROM {name}")
+    return ST.confusion_so_far(spark, out)
+
+
+@register("str2_merged_batches", tb.with_views("SELECT y AS y_true, y_pred, count(*) AS n FROM pred GROUP BY y, y_pred", "mail", "pred"))
+def str2_merged_batches(spark, d):
+    """STR-2's table: the scored mail in seven batches, the third of which runs twice."""
+    from mailsift.streaming import scoring as ST
+    out = _scratch(spark, "str2-merge")
+    pred = tb.pred(spark, d).withColumnRenamed("y", "y_true")
+    for number in (0, 1, 2, 2, 3, 4, 5, 6):
+        ST.count_batch(pred.where(F.pmod(F.xxhash64("row_id"), F.lit(7)) == number), out, number)
+    return ST.confusion_so_far(spark, out)

@@ -35,9 +35,9 @@ _POSITION_BITS = 33
 class MissingColumnsError(ValueError):
     """SRC-6: the input lacks required columns."""
 
-    def __init__(self, missing: Sequence[str]):
-        self.missing = list(missing)
-        super().__init__(f"Missing required columns: {', '.join(self.missing)}")
+    def __init__(self, missing: Sequence[str], file: str | None = None):
+        self.missing, self.file = list(missing), file
+        super().__init__(f"Missing required columns: {', '.join(self.missing)}" + (f" in {file}" if file else ""))
 
 
 def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
@@ -72,21 +72,47 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], encoding: str = UTF
     first file's header, and rows of all files fill them by position. Fields that are
     missing at a row's end are null, fields too many are left out, blank lines are
     no rows."""
-    if encoding.upper() not in ASCII_BASED:
-        raise ValueError(f"no ASCII-based encoding: {encoding}")
-    header, records = read_records(spark, path if isinstance(path, str) else list(path), encoding)
-    names = _names(header)
+    headers, records = _records(spark, path, encoding)
+    names = _names(next(iter(headers.values()), ""))
     if not names:
         raise ValueError(f"no header in {path}")
-    schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    rows = records.where("record > 0 AND text <> ''").select(
-        F.from_csv("text", schema, {"escape": '"', "multiLine": "true", "lineSep": "\n", "mode": "PERMISSIVE"}).alias("r"),
-        F.col("file").alias("_file"), (F.shiftleft("file_no", _POSITION_BITS) + F.col("record")).alias("_row_ord"))
+    rows = _fields(records, len(names))
     df = na_to_null(rows.select(*(F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)), "_file", "_row_ord"), names)
     # Few ranges (small files) are few tasks; the order is fixed before the exchange.
     return spread(df, "_row_ord")
 
 
+def read_csv_by_name(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str], encoding: str = UTF8) -> DataFrame:
+    """``columns`` of header CSVs whose headers may differ: each file's values are
+    taken by its own header's names, whatever their order and whatever else it
+    holds. A file without one of the columns raises, named with what it lacks."""
+    headers, records = _records(spark, path, encoding)
+    names = {f: _names(h) for f, h in headers.items()}
+    for f, n in names.items():
+        lacking = [c for c in columns if c not in n]
+        if lacking:
+            raise MissingColumnsError(lacking, f)
+    width = max(map(len, names.values()), default=1)
+    places = spark.createDataFrame([(f, *map(n.index, columns)) for f, n in names.items()], ", ".join(["_file string", *(f"p{i} int" for i in range(len(columns)))]))
+    rows = _fields(records, width).join(places, "_file")
+    values = F.array(*(F.col(f"r.c{i}") for i in range(width)))
+    return na_to_null(rows.select(*(F.get(values, F.col(f"p{i}")).alias(c) for i, c in enumerate(columns)), "_file", "_row_ord"), columns)
+
+
+def _records(spark: SparkSession, path: str | Sequence[str], encoding: str):
+    if encoding.upper() not in ASCII_BASED:
+        raise ValueError(f"no ASCII-based encoding: {encoding}")
+    return read_records(spark, path if isinstance(path, str) else list(path), encoding)
+
+
+def _fields(records: DataFrame, width: int) -> DataFrame:
+    """Data records as r (struct of c0, c1, ...), _file, _row_ord."""
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    return records.where("record > 0 AND text <> ''").select(
+        F.from_csv("text", schema, {"escape": '"', "multiLine": "true", "lineSep": "\n", "mode": "PERMISSIVE"}).alias("r"),
+        F.col("file").alias("_file"), (F.shiftleft("file_no", _POSITION_BITS) + F.col("record")).alias("_row_ord"))
+
+
 def read_mail_csv(spark: SparkSession, path: str, required: Sequence[str] = ("body", "label"),
                   encoding: str = LATIN1, dropna: bool = True) -> DataFrame:
     """SRC-1: Latin-1 CSV, require ``body`` and ``label``, project to them,

@@ -171,8 +171,8 @@ def _cut(known, encoding: str, pieces: bool):
     return run
 
 
-def read_records(spark: SparkSession, path: str | list[str], encoding: str) -> tuple[str, DataFrame]:
-    """(first record of the first file, frame of file, file_no, record, text):
+def read_records(spark: SparkSession, path: str | list[str], encoding: str) -> tuple[dict[str, str], DataFrame]:
+    """(first record by file, files by name; frame of file, file_no, record, text):
     every record of every file, the files' first ones (headers) included as
     record 0; file_no counts files by name."""
     codec = encoding.upper().replace("WINDOWS-1252", "CP1252")
@@ -204,6 +204,5 @@ def read_records(spark: SparkSession, path: str | list[str], encoding: str) -> t
         crlf_files = [f for f in crlf if crlf[f]]
         joined = joined.withColumn("text", F.when(F.col("file").isin(crlf_files), F.regexp_replace(F.regexp_replace("text", "\r\\z", ""), "\r\n", "\n")).otherwise(F.col("text")))
         out = out.select("file", "file_no", "record", "text").unionByName(joined)
-    first = next((heads[f] for f in sorted(numbers)), b"")
-    head = first.decode(codec, "replace").removesuffix("\r").removeprefix("﻿")
-    return head, out.select("file", "file_no", "record", "text")
+    headers = {f: heads[f].decode(codec, "replace").removesuffix("\r").removeprefix("\ufeff") for f in sorted(heads)}
+    return headers, out.select("file", "file_no", "record", "text")

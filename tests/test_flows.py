@@ -51,15 +51,35 @@ def test_str1_stream_equals_batch(spark, lr_model, eval_csv, tmp_dir):
         sorted(repr(tuple(r)) for r in batch.select(*key).collect())
 
 
-def test_str2_running_confusion_equals_batch(spark, lr_model, eval_csv, tmp_dir):
+def test_str2_running_confusion_equals_batch_and_survives_replay(spark, lr_model, eval_csv, tmp_dir):
     from mailsift.streaming import scoring as ST
 
-    q = ST.running_confusion(spark, eval_csv, lr_model, os.path.join(tmp_dir, "ck2"), "confusion_test")
-    q.awaitTermination(300)
-    streamed = {(r.y_true, r.y_pred): r.n for r in spark.sql("SELECT * FROM confusion_test").collect()}
+    out = os.path.join(tmp_dir, "counts")
+    ST.running_confusion(spark, eval_csv, lr_model, out, os.path.join(tmp_dir, "ck2")).awaitTermination(300)
     batch = ST.score_rows(lr_model, ST.prepare_eval_rows(C.read_eval_csv(spark, eval_csv)))
     exp = {(r.y_true, r.y_pred): r.n for r in E.pair_counts(batch, "y_true", "y_pred").collect()}
-    assert streamed == exp
+    so_far = lambda: {(r.y_true, r.y_pred): r.n for r in ST.confusion_so_far(spark, out).collect()}
+    assert so_far() == exp
+    ST.count_batch(batch, out, 0)  # the batch again, as after a crash before its commit
+    assert so_far() == exp
+    ST.running_confusion(spark, eval_csv, lr_model, out, os.path.join(tmp_dir, "ck2")).awaitTermination(300)
+    assert so_far() == exp
+
+
+def test_arriving_files_are_read_by_their_own_headers(spark, tmp_path):
+    from mailsift.streaming import scoring as ST
+
+    (tmp_path / "a.csv").write_text("label,body,extra,subject\n1,b1,x,s1\n0,\"b\n2\",x,s2\n")
+    (tmp_path / "b.CSV").write_text("subject,body,label\ns3,b3,phishing\n")
+    (tmp_path / "c.txt").write_text("no mail")
+    got = []
+    q = ST._run(ST.arriving_files(spark, str(tmp_path)), lambda b, n: got.extend(map(tuple, ST.read_arrived(b).select("subject", "body", "label").collect())),
+                str(tmp_path / "ck"), True)
+    q.awaitTermination(120)
+    assert sorted(got) == [("s1", "b1", "1"), ("s2", "b\n2", "0"), ("s3", "b3", "phishing")]
+    (tmp_path / "d.csv").write_text("subject,label\ns,1\n")
+    with pytest.raises(C.MissingColumnsError, match="body.*d.csv"):
+        C.read_csv_by_name(spark, [str(tmp_path / "a.csv"), str(tmp_path / "d.csv")], ST.EVAL_COLUMNS)
 
 
 def test_e3_classical(spark, tmp_dir):
