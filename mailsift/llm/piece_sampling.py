@@ -305,7 +305,7 @@ def _drawn(lattices: Lattices, units: list[bytes], seed: np.ndarray) -> tuple[np
     short = np.fromiter(map(len, units), np.int64, len(units)) < WINDOW
     at = np.flatnonzero(short)
     remembered = units if len(at) == len(units) else [units[i] for i in at.tolist()]
-    new = set(remembered) - known.keys()
+    new = set(remembered).difference(known)
     if new:
         lattices.add(list(new))
     drawn = lattices.sample(np.fromiter(map(known.__getitem__, remembered), np.int64, len(at)), seed[at])

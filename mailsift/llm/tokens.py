@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import islice
 
 import numpy as np
 
@@ -29,25 +30,26 @@ _UNSAFE = re.compile(f"[{_SPACES}] | [{_SPACES}]")
 _CUT = re.compile(f"(?<=[^{_SPACES}]) (?=[^{_SPACES}])")
 
 
-class Memory(dict):
+class Memory:
     """Ids by chunk, bounded in bytes."""
 
-    size = 0
+    def __init__(self) -> None:
+        self.ids: dict[str, bytes] = {}
+        self.size = 0
 
     def learn(self, chunks: list[str], ids: list[bytes]) -> None:
-        self.update(zip(chunks, ids))
+        self.ids.update(zip(chunks, ids))
         self.size += ENTRY * len(chunks) + 2 * sum(map(len, chunks)) + sum(map(len, ids))
 
     def trim(self, most: int) -> None:
         """Keep the first half where there is more than ``most``."""
         if self.size > most:
-            learnt, self.size, kept = list(self.items()), 0, 0
-            self.clear()
-            for kept, (chunk, ids) in enumerate(learnt):
+            learnt, self.ids, self.size = self.ids, {}, 0
+            for chunk, ids in learnt.items():
+                self.ids[chunk] = ids
                 self.size += ENTRY + 2 * len(chunk) + len(ids)
                 if 2 * self.size > most:
                     break
-            self.update(learnt[: kept + 1])
 
 
 class Encoder:
@@ -80,8 +82,11 @@ class Encoder:
         """Ids of chunks that follow a space: many at once, cut where a token
         begins with a space; one by one where a chunk holds spaces or one
         of the ``special`` tokens (the space before is a token of its own there)."""
-        odd = [c for c in chunks if not c or " " in c or any(s in c for s in special)]
-        plain = sorted(set(chunks).difference(odd))
+        odd = [c for c in chunks if not c or " " in c]
+        plain = [c for c in chunks if c and " " not in c]
+        if special:
+            odd = [c for c in chunks if not c or " " in c or any(s in c for s in special)]
+            plain = list(set(plain).difference(odd))
         for at in range(0, len(plain), 512):
             group = plain[at: at + 512]
             ids = self._ids([" " + " ".join(group)])[0]
@@ -96,17 +101,21 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [_CUT.split(t) if _UNSAFE.search(t) else t.split(" ") for t in texts]
-        first, later = self.first, self.later
-        first.trim(MAX_BYTES // 4)
-        later.trim(MAX_BYTES)
-        new = {c for c in set().union(*(c[1:] for c in cut)) - later.keys() if len(c) <= UNIT}
+        self.first.trim(MAX_BYTES // 4)
+        self.later.trim(MAX_BYTES)
+        first, later = self.first.ids, self.later.ids
+        long = [max(map(len, c)) > UNIT for c in cut]
+        new = set().union(*cut).difference(later)  # with the texts' first chunks, which often follow a space elsewhere
+        if any(long):
+            new = {c for c in new if len(c) <= UNIT}
         if new:
-            self._learn(sorted(new), [s for s in self.special if any(s in t for t in texts)])
-        heads = sorted({c[0] for c in cut if len(c[0]) <= UNIT} - first.keys())
-        first.learn(heads, [i.tobytes() for i in self._ids(heads)])
+            self._learn(list(new), [s for s in self.special if any(s in t for t in texts)])
+        heads = list({c[0] for c in cut if len(c[0]) <= UNIT}.difference(first))
+        self.first.learn(heads, [i.tobytes() for i in self._ids(heads)])
 
         def ids(at: int, chunk: str) -> bytes:
             known = (later if at else first).get(chunk)
             return self._ids([" " + chunk if at else chunk])[0].tobytes() if known is None else known
 
-        return [b"".join([ids(k, x) for k, x in enumerate(c)]) if max(map(len, c)) > UNIT else b"".join([first[c[0]], *map(later.__getitem__, c[1:])]) for c in cut]
+        return [b"".join([ids(k, x) for k, x in enumerate(c)]) if far else b"".join([first[c[0]], *map(later.__getitem__, islice(c, 1, None))])
+                for c, far in zip(cut, long)]
