@@ -80,6 +80,7 @@ def _cut(length: int, path: str | None, with_ids: bool):
                     columns.append(pa.array(raw, pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        encoder.forget()  # the worker may go on with other stages
     return run
 
 
