@@ -109,4 +109,4 @@ def test_query_equals_oracle(spark, name):
 def test_every_operator_has_one_query():
     from mailsift.llm import queries
 
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
