@@ -73,7 +73,7 @@ def mod2_first_split(spark, d):
     """The root's split of MOD-2's tree, found on one level of growth."""
     train = _split(spark, d)[0].select("row_id", "body", "y")
     vocabulary = B.term_ids(train, "body")
-    rows = B.numbered(train).withColumn("node", F.lit(0).cast("long"))
+    rows = B.numbered(train.withColumn("node", F.lit(0).cast("long")))
     nodes = rows.groupBy("node").agg(*(F.count_if(F.col("y") == i).alias(f"c{i}") for i in (0, 1)))
     best = B.best_splits(rows.select("_row", "node", "y"), B.term_counts(rows, "body", vocabulary), nodes, 2)
     return best.join(vocabulary, "term_id").select("term", "threshold", F.round("score", 6).alias("score"))
