@@ -5,7 +5,7 @@ and either a train ``loss`` or eval metrics. The carry-forward of the last
 seen epoch is a running "last non-null" over the log order; it is computed
 block-wise so no single task has to see the whole log: each block of
 ``block`` consecutive steps runs its own window, and the value carried into a
-block comes from a small per-block table.
+block comes from a per-block table, scanned in blocks itself where it is long.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailsift.session import handoff
+
 
 def train_loss_by_step(log: DataFrame, step: str = "step", loss: str = "loss") -> DataFrame:
     """LOG-1: (step, loss) of train rows, in step order."""
@@ -29,21 +31,31 @@ def carry_forward(log: DataFrame, col: str, order: str = "step", out: str | None
                   block: int = 1 << 20) -> DataFrame:
     """``out`` = the last non-null ``col`` at or before each row in ``order``.
 
-    ``order`` must be a unique integer. Rows are cut into blocks of
-    ``block`` consecutive order values; the in-block window is bounded by the
-    block size, and the carry into a block is a running value over the
-    one-row-per-block summary."""
-    out = out or f"{col}_ff"
-    blk = F.floor(F.col(order) / block)
-    keyed = log.withColumn("_blk", blk)
-    last_in_block = keyed.groupBy("_blk").agg(
-        F.max_by(F.col(col), F.when(F.col(col).isNotNull(), F.col(order))).alias("_last"))
-    wb = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = last_in_block.select("_blk", F.last("_last", ignorenulls=True).over(wb).alias("_carry"))
-    wi = Window.partitionBy("_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = keyed.withColumn("_in", F.last(F.col(col), ignorenulls=True).over(wi))
-    return (inner.join(carry, "_blk", "left")
-                 .withColumn(out, F.coalesce("_in", "_carry")).drop("_blk", "_in", "_carry"))
+    ``order`` must be a unique integer; rows without one get null. Rows are cut
+    into blocks of ``block`` consecutive order values, and a block's last value is
+    one row of a summary. The value carried into a block is found on the summary
+    in the same way, level by level, until a summary has at most ``block`` rows:
+    no window sees more than that."""
+    return _scan(log, col, order, out or f"{col}_ff", block, 0, 0)
+
+
+def _scan(rows: DataFrame, col: str, order: str, out: str, block: int, end: int, level: int) -> DataFrame:
+    """``rows`` with ``out``: the last non-null ``col`` up to the row (``end`` 0) or before it (-1)."""
+    blk, last, carry, inner = (f"_{name}{level}" for name in ("blk", "last", "carry", "in"))
+    keyed = rows.withColumn(blk, F.expr(f"`{order}` div {block}L"))
+    seen = F.max_by(F.col(col), F.when(F.col(col).isNotNull(), F.col(order)))
+    summary = handoff(keyed.where(F.col(blk).isNotNull()).groupBy(blk).agg(seen.alias(last)), "blocks")
+    if summary.count() > block:
+        carried = _scan(summary, last, blk, carry, block, -1, level + 1)
+    else:
+        before = Window.orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
+        carried = summary.withColumn(carry, F.last(last, ignorenulls=True).over(before))
+    within = Window.partitionBy(blk).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
+    found = keyed.where(F.col(blk).isNotNull()).withColumn(inner, F.last(F.col(col), ignorenulls=True).over(within))
+    found = found.join(carried.select(blk, carry), blk, "left").withColumn(out, F.coalesce(inner, carry))
+    without = keyed.where(F.col(blk).isNull()).withColumn(out, F.lit(None).cast(rows.schema[col].dataType))
+    columns = [*(c for c in rows.columns if c != out), out]
+    return found.select(*columns).unionByName(without.select(*columns))
 
 
 def mean_train_loss_per_epoch(log: DataFrame, epoch: str = "epoch", loss: str = "loss", order: str = "step",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from mailsift.functions import patterns as P
 from mailsift.functions import text as X
+from mailsift.operators.quantiles import quantiles
 from mailsift.session import handoff
 
 
@@ -30,29 +31,27 @@ def with_special_chars(df: DataFrame, text: str = "body", out: str = "special_ch
 def box_stats(df: DataFrame, value: str, by: str, approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """AGG-3: box-plot statistics of ``value`` per ``by``.
 
-    Quartiles are linear-interpolated (exact ``percentile``, whose buffer is a
-    value -> count map, so integer-valued counts stay small per group), or
-    ``percentile_approx`` when ``approx``. Whiskers are the most extreme
-    values within 1.5 IQR of the box; outliers are counted. The quartile table
-    has one row per group; it is handed off, so that the planner knows its size,
-    and joined back for a second aggregate pass.
+    Quartiles are exact and linear-interpolated, found by distributed selection
+    (``quantiles``), or ``percentile_approx`` when ``approx``. Whiskers are the
+    most extreme values within 1.5 IQR of the box; outliers are counted. The
+    quartile table has one row per group; it is handed off, so that the planner
+    knows its size, and joined back for a second aggregate pass.
     """
     v = F.col(value)
     if approx:
         q = F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy)
+        quart = df.groupBy(by).agg(q.alias("_q")).select(by, *(F.col("_q")[k].cast("double").alias(f"q{k}") for k in range(3)))
     else:
-        q = F.percentile(v, [0.25, 0.5, 0.75])
-    quart = (df.groupBy(by).agg(q.alias("_q"))
-               .select(by, F.col("_q")[0].cast("double").alias("q1"), F.col("_q")[1].cast("double").alias("median"),
-                       F.col("_q")[2].cast("double").alias("q3")))
+        quart = quantiles(df, value, by, (0.25, 0.5, 0.75))
+    quart = quart.select(by, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     joined = df.select(by, value).join(handoff(quart, "quartiles"), by)
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = (v >= lo) & (v <= hi)
     return (joined.groupBy(by, "q1", "median", "q3")
                   .agg(F.count(F.lit(1)).alias("n"),
-                       F.min(F.when(inside, v)).cast("long").alias("whisker_lo"),
-                       F.max(F.when(inside, v)).cast("long").alias("whisker_hi"),
+                       F.min(F.when(inside, v)).alias("whisker_lo"),
+                       F.max(F.when(inside, v)).alias("whisker_hi"),
                        F.count(F.when(~inside, F.lit(1))).alias("n_outliers")))
 
 

@@ -33,8 +33,7 @@ def log2_eval_by_epoch(spark, d):
 @register("log3_mean_train_loss_per_epoch", tb.with_views(
     "SELECT epoch, round(train_loss, 9) AS train_loss FROM tr", "log", extra=[_TRAIN_SQL]))
 def log3_mean_train_loss_per_epoch(spark, d):
-    # A small block size here exercises the carry across blocks.
-    m = G.mean_train_loss_per_epoch(tb.log(spark, d), block=1000)
+    m = G.mean_train_loss_per_epoch(tb.log(spark, d))
     return m.select("epoch", F.round("train_loss", 9).alias("train_loss"))
 
 
@@ -43,7 +42,7 @@ def log3_mean_train_loss_per_epoch(spark, d):
     "round(val_accuracy, 9) AS val_accuracy FROM tr FULL OUTER JOIN va ON tr.epoch = va.epoch",
     "log", extra=[_TRAIN_SQL, _VAL_SQL]))
 def log4_align_curves(spark, d):
-    a = G.align_curves(tb.log(spark, d), block=1000)
+    a = G.align_curves(tb.log(spark, d))
     return a.select("epoch", *[F.round(c, 9).alias(c) for c in ("train_loss", "val_loss", "val_accuracy")])
 
 

@@ -46,6 +46,24 @@ def agg3_special_char_boxplot(spark, d):
     return prof.box_stats(prof.with_special_chars(tb.mail(spark, d)), "special_characters", "y")
 
 
+_PRICE_BOX_SQL = """
+WITH q AS (SELECT o_orderpriority AS g, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS median,
+                  quantile_cont(o_totalprice, 0.75) AS q3 FROM orders GROUP BY 1),
+     s AS (SELECT q.*, o_totalprice AS v, o_totalprice >= q1 - 1.5 * (q3 - q1) AND o_totalprice <= q3 + 1.5 * (q3 - q1) AS inside
+           FROM orders JOIN q ON o_orderpriority = g)
+SELECT g AS o_orderpriority, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, count(*) AS n,
+       min(CASE WHEN inside THEN v END) AS whisker_lo, max(CASE WHEN inside THEN v END) AS whisker_hi,
+       count(CASE WHEN NOT inside THEN 1 END) AS n_outliers
+FROM s GROUP BY g, q1, median, q3"""
+
+
+@register("agg3_price_boxplot", _PRICE_BOX_SQL)
+def agg3_price_boxplot(spark, d):
+    """AGG-3 on real-valued input: nearly every value is distinct."""
+    box = prof.box_stats(tb.load(spark, d, "orders"), "o_totalprice", "o_orderpriority")
+    return box.select("o_orderpriority", *(F.round(c, 6).alias(c) for c in ("q1", "median", "q3")), "n", "whisker_lo", "whisker_hi", "n_outliers")
+
+
 @register("agg4_top_words_phishing", tb.with_views(
     "SELECT word, count(*) AS n FROM words WHERE y = 1 GROUP BY word ORDER BY n DESC, word LIMIT 20",
     "mail", extra=[_WORDS]))

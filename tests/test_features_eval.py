@@ -117,11 +117,24 @@ def test_carry_forward_across_blocks(spark):
     rnd = random.Random(9)
     rows = [(i, None if rnd.random() < 0.6 else float(i) / 10, float(i)) for i in range(300)]
     df = spark.createDataFrame(rows, "step long, epoch double, loss double")
-    got = {r.step: r.ep for r in G.carry_forward(df, "epoch", "step", "ep", block=7).collect()}
-    last = None
-    for step, ep, _ in rows:
-        last = ep if ep is not None else last
-        assert got[step] == last
+    # 300 rows in blocks of 7 are three levels of summaries, in blocks of 3 five.
+    for block in (3, 7, 1000):
+        got = {r.step: r.ep for r in G.carry_forward(df, "epoch", "step", "ep", block=block).collect()}
+        last = None
+        for step, ep, _ in rows:
+            last = ep if ep is not None else last
+            assert got[step] == last, (block, step)
+
+
+def test_carry_forward_gaps_negative_and_null_order(spark):
+    steps = [-40, -39, -7, -1, 0, 3, 50, 51, 900, 10**12]
+    rows = [(s, None if i in (0, 2, 5, 8) else float(i), "x") for i, s in enumerate(steps)] + [(None, 5.0, "y")]
+    df = spark.createDataFrame(rows, "step long, epoch double, _blk0 string")
+    out = G.carry_forward(df.withColumnRenamed("_blk0", "other"), "epoch", "step", "ep", block=4).collect()
+    got = {r.step: r.ep for r in out}
+    assert len(out) == len(rows) and got.pop(None) is None
+    assert [got[s] for s in steps] == [None, 1.0, 1.0, 3.0, 4.0, 4.0, 6.0, 7.0, 7.0, 9.0]
+    assert G.carry_forward(df.limit(0), "epoch", "step", "ep", block=4).collect() == []
 
 
 def test_misclassified_positions(spark):
