@@ -7,6 +7,7 @@ computation written in SQL.
 from __future__ import annotations
 
 import re
+import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -15,10 +16,12 @@ from pyspark.sql import types as T
 from mailsift.functions import hooks as H
 from mailsift.operators import evaluate as E
 from mailsift.operators import models as M
+from mailsift.operators import scorers as SC
 from mailsift.operators import shape as S
 from mailsift.plans.queries_profile import _SPECIAL_SQL
 from mailsift.plans.queries_shape import SEED, split_ctes
 from mailsift.plans.registry import register
+from mailsift.session import handoff, shared_scratch
 from mailsift.sources import tables as tb
 
 
@@ -95,6 +98,22 @@ def udf4_external_scorer(spark, d):
     return centroid_scores(spark, d)[1].withColumn("dist", F.round("dist", 6))
 
 
+@register("udf4_scorer_by_path", tb.with_views(
+    "SELECT row_id, y_true, y_pred, round(dist, 6) AS dist FROM p", extra=_EMB_CTES))
+def udf4_scorer_by_path(spark, d):
+    """UDF-4 with the model chosen by its folder: the centroids of the train split are
+    saved with their manifest and loaded by the workers from there."""
+    emb = tb.load(spark, d, "embeddings").withColumnRenamed("vec_id", "row_id")
+    sp = handoff(S.stratified_split(emb, "label", "row_id", 0.2, 0.5, SEED), "split")
+    labels, cents = M.fit_centroids(sp.filter(F.col("split") == "train"), "label", "embedding")
+    folder = f"{shared_scratch(spark, 'scorers')}/{uuid.uuid4().hex}"
+    SC.save_scorer(spark, folder, SC.CENTROIDS, SC.centroid_payload(cents), ["embedding"], [[len(cents[0])]])
+    test = sp.filter(F.col("split") == "test").withColumn("_d", SC.scorer_at(spark, folder))
+    near = F.array_position(F.col("_d"), F.array_min("_d")).cast("int")
+    return test.select("row_id", F.col("label").alias("y_true"), F.element_at(F.array(*[F.lit(v) for v in labels]), near).alias("y_pred"),
+                       F.round(F.array_min("_d"), 6).alias("dist"))
+
+
 @register("udf3_metric_callback", tb.with_views("""
 SELECT 'accuracy' AS metric, round(avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END), 9) AS value FROM p
 UNION ALL SELECT 'precision', round(avg(precision), 9) FROM pc

@@ -106,7 +106,8 @@ def test_e1_train_and_evaluate(spark, tmp_dir):
     tr, te = os.path.join(tmp_dir, "tr"), os.path.join(tmp_dir, "te")
     C.write_csv(m.filter(F.col("row_id") % 5 != 0).select("body", "label").coalesce(1), tr, C.LATIN1)
     C.write_csv(m.filter(F.col("row_id") % 5 == 0).select("body", "label").coalesce(1), te, C.LATIN1)
-    res = train_and_evaluate(spark, tr, te, os.path.join(tmp_dir, "out"), epochs=(5, 10), emb_dim=16)
+    res = train_and_evaluate(spark, tr, te, os.path.join(tmp_dir, "out"), epochs=2, emb_dim=16)
+    assert len(res["validation_accuracy"]) == 2
     assert "phishing" in res["labels"] and "legitimate" in res["labels"]
     rows = {r["row"]: r for r in res["report"]}
     assert "accuracy" in rows and "macro avg" in rows
@@ -181,6 +182,7 @@ def test_explore_and_train_with_validation(spark, tmp_dir):
     assert rep["shape_before"] == (n, 2) and sum(rep["rows_per_label"].values()) == rep["shape_after"][0]
     assert sum(rep["split_sizes"].values()) == rep["shape_after"][0]
     assert len(rep["top_words"][0]) <= 20 and {b["label"] for b in rep["special_characters"]} <= {0, 1}
-    res = train_with_validation(spark, path)
+    res = train_with_validation(spark, path, os.path.join(tmp_dir, "run"), epochs=2, emb_dim=8)
+    assert len(res["f1_by_epoch"]) == 2 and res["validation"]["f1"] == max(res["f1_by_epoch"])
     assert set(res["validation"]) == {"accuracy", "precision", "recall", "f1"}
     assert res["split_sizes"]["val"] == res["split_sizes"]["test"]

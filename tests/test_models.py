@@ -1,6 +1,8 @@
 """Model queries (MOD-*, UDF-3/4): invariants, and the external scorer
 against a brute-force numpy nearest-centroid computation."""
 
+import shutil
+
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -40,6 +42,81 @@ def test_embedding_model_learns_from_many_partitions(spark):
     assert len(out) == 40 and sum(r.label == r.y_pred for r in out) >= 36
 
 
+class Cut(Exception):
+    pass
+
+
+def test_epochs_go_on_after_a_cut_and_keep_the_best(spark, tmp_dir):
+    """A run cut in its second epoch goes on to the same weights, rows and choice as
+    one that was not; the choice is the latest arg-max of the metrics table."""
+    from pyspark.sql import functions as F
+
+    from mailsift.operators import evaluate as E
+    from mailsift.operators import models as M
+
+    rows = spark.range(0, 120, numPartitions=2).select(
+        "id", (F.col("id") % 2).cast("double").alias("label"),
+        F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: ((i * 7 + F.col("id") * 5) % 10 + 6 * (F.col("id") % 2)).cast("string")).alias("tokens"))
+    train, val = rows.filter("id < 90"), rows.filter("id >= 90")
+
+    def accuracy(scored):
+        return E.accuracy(scored, "label", "y_pred").first()[0]
+
+    calls = []
+
+    def cut_second(scored):
+        calls.append(1)
+        if len(calls) == 2:
+            raise Cut
+        return accuracy(scored)
+
+    kind = {"emb_dim": 4, "hidden": 4, "steps": 2, "passes": 1}
+    one, two = f"{tmp_dir}/one", f"{tmp_dir}/two"
+    whole, of_whole = M.fit_epochs(train, val, one, 3, accuracy, **kind)
+    # Both runs on the same vectors: learning these depends on the order of rows.
+    for part in ("run", "vectors", "train"):
+        shutil.copytree(f"{one}/{part}", f"{two}/{part}")
+    with pytest.raises(Cut):
+        M.fit_epochs(train, val, two, 3, cut_second, **kind)
+    again, of_again = M.fit_epochs(train, val, two, 3, cut_second, **kind)
+    assert len(calls) == 4  # the first epoch is not run again
+    rows_whole, rows_again = (sorted((r.epoch, r.metric) for r in t.collect()) for t in (of_whole, of_again))
+    assert rows_whole == rows_again and [e for e, _ in rows_whole] == [1, 2, 3]
+    assert np.allclose(whole.stages[1].weights.toArray(), again.stages[1].weights.toArray(), rtol=1e-3)
+    of_whole.createOrReplaceTempView("epoch_metrics")
+    best = spark.sql("SELECT max_by(epoch, struct(metric, epoch)) FROM epoch_metrics").first()[0]
+    kept = M.MultilayerPerceptronClassificationModel.load(f"{one}/epochs/{best}")
+    assert np.allclose(kept.weights.toArray(), whole.stages[1].weights.toArray())
+    with pytest.raises(ValueError, match="other settings"):
+        M.fit_epochs(train, val, two, 3, accuracy, **(kind | {"steps": 3}))
+
+
+def test_two_kinds_of_model_by_path(spark, tmp_dir):
+    from mailsift.operators import scorers as SC
+
+    rows = spark.createDataFrame([(1, [0.0, 1.0]), (2, [3.0, 4.0]), (3, [-1.0, 0.5])], "id int, v array<double>")
+    SC.save_scorer(spark, f"{tmp_dir}/a", SC.CENTROIDS, SC.centroid_payload([[0.0, 0.0], [3.0, 4.0]]), ["v"], [[2]])
+    SC.save_scorer(spark, f"{tmp_dir}/b", SC.LINEAR, SC.linear_payload([[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]], [0.0, 0.5, -1.0]), ["v"], [[2]])
+    got = {r.id: r for r in rows.select("id", "v", SC.scorer_at(spark, f"{tmp_dir}/a").alias("a"), SC.scorer_at(spark, f"{tmp_dir}/b").alias("b")).collect()}
+    for r in got.values():
+        x = np.array(r.v)
+        assert np.allclose(r.a, [np.linalg.norm(x), np.linalg.norm(x - [3.0, 4.0])])
+        z = np.exp(np.array([x[0], x[1] + 0.5, x.sum() - 1.0]))
+        assert np.allclose(r.b, z / z.sum())
+    with pytest.raises(FileNotFoundError):
+        SC.scorer_at(spark, f"{tmp_dir}/none")
+    # A payload that is not the manifest's is refused in the workers.
+    SC.save_scorer(spark, f"{tmp_dir}/c", SC.CENTROIDS, SC.centroid_payload([[9.0, 9.0]]), ["v"], [[2]])
+    SC._write(spark, f"{tmp_dir}/c/payload-{SC.read_manifest(spark, f'{tmp_dir}/c')['sha256']}", b"[[1.0, 1.0]]")
+    with pytest.raises(Exception, match="differs from its manifest"):
+        rows.select(SC.scorer_at(spark, f"{tmp_dir}/c").alias("s")).collect()
+
+
+def test_scorer_by_path_equals_scorer_by_function(spark):
+    a, b = ({r.row_id: (r.y_pred, r.dist) for r in Q[name](spark, SF001).collect()} for name in ("udf4_scorer_by_path", "udf4_external_scorer"))
+    assert a == b and a
+
+
 def test_external_scorer_equals_numpy(spark):
     got = {r.row_id: (r.y_pred, r.dist) for r in Q["udf4_external_scorer"](spark, SF001).collect()}
     t = pq.read_table(f"{SF001}/embeddings.parquet").to_pandas()
