@@ -8,7 +8,9 @@ order, cut into blocks of consecutive vectors. Two blocks meet only if their
 first cells allow it (a join on the first axis' cells, own and next); within a
 pair of blocks the join recurses on the halves of both sequence intervals and
 drops intervals whose bounding boxes on the leading axes, or balls in all
-dimensions, are provably farther apart than eps.
+dimensions, are provably farther apart than eps. Between two small intervals a
+pair is dropped where the product on the leading half of the axes and the lengths
+of the rests (Cauchy-Schwarz) keep its cosine below the limit.
 
 Pairs are never emitted: a pair of blocks returns each vector's number of
 links and a spanning forest of the links found. Equal vectors are one point
@@ -35,10 +37,15 @@ from mailsift.llm.links import components
 from mailsift.llm.tables import handoff
 
 AXES = 6
-BLOCK = 1024
-LEAF = 64
+#: Vectors of a block, and the bytes they may take: each pair of blocks that may meet
+#: ships both, so what is shipped falls as blocks grow.
+BLOCK = 16_384
+BLOCK_BYTES = 8 << 20
+LEAF = 256
 #: Slack of the geometric bounds for rounding; links are decided on exact cosines.
 SLACK = 1e-6
+#: The same for products in single precision of parts of unit vectors.
+FLOAT_SLACK = 1e-4
 
 
 def _matrix(batch: pa.RecordBatch, name: str = "v") -> np.ndarray:
@@ -81,26 +88,33 @@ def _cells(axes: np.ndarray, eps: float) -> Callable:
 class _Join:
     """Recursive join of two sequence intervals (or one with itself)."""
 
-    def __init__(self, v: np.ndarray, lead: np.ndarray, weight: np.ndarray, cosine: float, eps: float):
-        self.v, self.lead, self.weight, self.cosine, self.eps = v, lead, weight, cosine, eps + SLACK
+    def __init__(self, v: np.ndarray, turned: np.ndarray, weight: np.ndarray, cosine: float, eps: float):
+        self.v, self.lead, self.weight, self.cosine, self.eps = v, turned[:, :AXES], weight, cosine, eps + SLACK
+        # x . y <= the product on the leading half of the axes + the product of the rests' lengths.
+        half = max(1, turned.shape[1] // 2)
+        rest = np.sqrt((turned[:, half:] ** 2).sum(1))
+        self.bound = np.ascontiguousarray(np.c_[turned[:, :half], rest], dtype=np.float32)
         self.links = np.zeros(len(v), np.int64)
-        self.parent = np.arange(len(v))
+        self.label = np.arange(len(v))
         self.forest: list[tuple[int, int]] = []
+        self.shapes: dict[tuple[int, int], tuple] = {}
+
+    def _shape(self, s: slice) -> tuple:
+        """Box on the leading axes, centre and radius of an interval, computed once."""
+        key = (s.start, s.stop)
+        if key not in self.shapes:
+            x, v = self.lead[s], self.v[s]
+            centre = v.mean(0)
+            self.shapes[key] = (x.min(0), x.max(0), centre, float(np.sqrt(((v - centre) ** 2).sum(1).max())))
+        return self.shapes[key]
 
     def _far(self, a: slice, b: slice) -> bool:
-        x, y = self.lead[a], self.lead[b]
-        gap = np.maximum(0, np.maximum(x.min(0) - y.max(0), y.min(0) - x.max(0)))
+        (low_a, high_a, centre_a, radius_a), (low_b, high_b, centre_b, radius_b) = self._shape(a), self._shape(b)
+        gap = np.maximum(0, np.maximum(low_a - high_b, low_b - high_a))
         if gap @ gap > self.eps ** 2:
             return True
-        cx, cy = self.v[a].mean(0), self.v[b].mean(0)
-        rx, ry = (np.sqrt(((self.v[s] - c) ** 2).sum(1).max()) for s, c in ((a, cx), (b, cy)))
-        return float(np.sqrt(((cx - cy) ** 2).sum())) - rx - ry > self.eps
-
-    def _root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
+        apart = centre_a - centre_b
+        return float(np.sqrt(apart @ apart)) - radius_a - radius_b > self.eps
 
     def run(self, a: slice, b: slice) -> None:
         same = a == b
@@ -115,8 +129,22 @@ class _Join:
                 if not same or j >= i:
                     self.run(x, y)
 
+    def _near(self, a: slice, b: slice) -> np.ndarray | None:
+        """Which pairs are linked: exact cosines of those that the bound leaves."""
+        near = self.bound[a] @ self.bound[b].T >= self.cosine - FLOAT_SLACK
+        left = int(near.sum())
+        if not left:
+            return None
+        if left * 20 > near.size:
+            return self.v[a] @ self.v[b].T >= self.cosine
+        i, j = np.nonzero(near)
+        near[i, j] = np.einsum("ij,ij->i", self.v[a][i], self.v[b][j]) >= self.cosine
+        return near
+
     def _leaf(self, a: slice, b: slice, same: bool) -> None:
-        near = self.v[a] @ self.v[b].T >= self.cosine
+        near = self._near(a, b)
+        if near is None:
+            return
         if same:
             np.fill_diagonal(near, False)
         if not near.any():
@@ -124,20 +152,28 @@ class _Join:
         self.links[a] += near @ self.weight[b]
         if not same:
             self.links[b] += near.T @ self.weight[a]
-        for i, j in zip(*np.nonzero(near)):
-            x, y = self._root(a.start + int(i)), self._root(b.start + int(j))
-            if x != y:
-                self.parent[max(x, y)] = min(x, y)
-                self.forest.append((a.start + int(i), b.start + int(j)))
-
-
-def _block_links(cosine: float, eps: float) -> Callable:
+        # Rows with a link between two trees; a row's partners are joined at once.
+        crossing = near & (self.label[a][:, None] != self.label[b][None, :])
+        for row in np.flatnonzero(crossing.any(1)):
+            i, partners = a.start + int(row), b.start + np.flatnonzero(near[row])
+            trees, first = np.unique(self.label[partners], return_index=True)
+            own = self.label[i]
+            others = trees != own
+            if others.any():
+                self.forest.extend((i, int(j)) for j in partners[first[others]])
+                self.label[np.isin(self.label, np.r_[trees, own])] = min(int(own), int(trees.min()))
+
+
+def _block_links(cosine: float, eps: float, axes: np.ndarray) -> Callable:
     def run(table: pa.Table) -> pa.Table:
-        batch = table.combine_chunks().sort_by([("side", "ascending"), ("place", "ascending")]).combine_chunks().to_batches()[0]
-        v, lead = _matrix(batch), _matrix(batch, "lead")
-        point, side = batch.column("point").to_numpy(), batch.column("side").to_numpy()
-        first = int((side == 0).sum())
-        join = _Join(v, lead, batch.column("weight").to_numpy(), cosine, eps)
+        batch = table.combine_chunks().to_batches()[0]
+        v, side, point = _matrix(batch), batch.column("side").to_numpy(), batch.column("point").to_numpy()
+        turned = v @ axes.T
+        # Each side in epsilon grid order.
+        cells = np.floor(turned[:, :AXES] / eps)
+        order = np.lexsort((point, *cells.T[::-1], side))
+        join = _Join(v[order], turned[order], batch.column("weight").to_numpy()[order], cosine, eps)
+        point, first = point[order], int((side == 0).sum())
         left = slice(0, first)
         join.run(left, slice(first, len(side)) if first < len(side) else left)
         forest = np.array(join.forest, np.int64).reshape(-1, 2)
@@ -181,6 +217,7 @@ def groups(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
 def _links(points: DataFrame, d: int, cosine: float, eps: float) -> DataFrame:
     axes = _axes(points, d)
     gridded = handoff(points.select("point", "weight", "v").mapInArrow(_cells(axes, eps), "point long, weight long, v array<double>, lead array<double>, cells array<int>"), "grid")
+    size = max(1, min(BLOCK, BLOCK_BYTES // (8 * d)))
     # Epsilon grid order: blocks are slices of it within one cell of the first axis.
     order = F.array_join(F.transform("cells", lambda c: F.lpad(F.conv(c + F.lit(1 << 20), 10, 16), 6, "0")), "")
     keyed = gridded.withColumn("cell", F.element_at("cells", 1)).withColumn("order", order)
@@ -188,11 +225,11 @@ def _links(points: DataFrame, d: int, cosine: float, eps: float) -> DataFrame:
 
     sizes = keyed.groupBy("cell", "order").agg(F.count("*").alias("c"))
     upto = Window.partitionBy("cell").orderBy("order")
-    sizes = sizes.select("cell", "order", (F.sum("c").over(upto) - F.col("c")).alias("before"), F.ceil(F.col("c") / BLOCK).alias("salts"))
+    sizes = sizes.select("cell", "order", (F.sum("c").over(upto) - F.col("c")).alias("before"), F.ceil(F.col("c") / size).alias("salts"))
     placed = keyed.join(sizes, ["cell", "order"])
     # A cell with more than a block of vectors is dealt to several by hash.
-    block = F.col("before").cast("long") / BLOCK
-    placed = handoff(placed.select("point", "weight", "v", "lead", "cell", "order",
+    block = F.col("before").cast("long") / size
+    placed = handoff(placed.select("point", "weight", "v", "lead", "cell",
                                    F.floor(block).alias("block"), F.when(F.col("salts") > 1, F.pmod(F.xxhash64("point"), F.col("salts"))).otherwise(-1).alias("salt")), "blocks")
     blocks = placed.groupBy("cell", "block", "salt").agg(*(F.min(F.element_at("lead", k + 1)).alias(f"lo{k}") for k in range(min(AXES, d))), *(F.max(F.element_at("lead", k + 1)).alias(f"hi{k}") for k in range(min(AXES, d))))
     other = blocks.select(*(F.col(c).alias(f"o_{c}") for c in blocks.columns))
@@ -202,8 +239,8 @@ def _links(points: DataFrame, d: int, cosine: float, eps: float) -> DataFrame:
     meets = (blocks.withColumn("o_cell", F.explode(F.array(F.col("cell"), F.col("cell") + 1))).join(other, "o_cell")
              .where(ordered).where(near).select("cell", "block", "salt", "o_cell", "o_block", "o_salt"))
     pair = ["cell", "block", "salt", "o_cell", "o_block", "o_salt"]
-    rows = placed.select("point", "weight", "v", "lead", F.col("order").alias("place"), "cell", "block", "salt")
+    rows = placed.select("point", "weight", "v", "cell", "block", "salt")
     first = rows.join(meets, ["cell", "block", "salt"]).withColumn("side", F.lit(0))
     second = (rows.withColumnsRenamed({"cell": "o_cell", "block": "o_block", "salt": "o_salt"})
               .join(meets.where("NOT (cell = o_cell AND block = o_block AND salt = o_salt)"), ["o_cell", "o_block", "o_salt"]).withColumn("side", F.lit(1)))
-    return first.unionByName(second).groupBy(*pair).applyInArrow(_block_links(cosine, eps), "a long, b long, n long")
+    return first.unionByName(second).groupBy(*pair).applyInArrow(_block_links(cosine, eps, axes), "a long, b long, n long")
