@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailsift.llm.links import components
 from mailsift.llm.tables import handoff
@@ -53,6 +54,29 @@ def _matrix(batch: pa.RecordBatch, name: str = "v") -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
 
 
+def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors at length one; null where they link with nothing. Each is divided by
+    its largest component first, so that squares neither overflow nor vanish."""
+    for batch in batches:
+        given = batch.column("v")
+        lengths = given.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = given.flatten().to_numpy(zero_copy_only=False)
+        held = np.flatnonzero(lengths)
+        sound = np.zeros(len(lengths), bool)
+        if len(held):
+            starts = np.cumsum(lengths[held]) - lengths[held]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                top = np.maximum.reduceat(np.abs(flat), starts)
+                flat = flat / np.repeat(top, lengths[held])
+                flat = flat / np.repeat(np.sqrt(np.add.reduceat(flat * flat, starts)), lengths[held])
+            # A component that is null (read as NaN) or not finite makes top so.
+            sound[held] = np.isfinite(top) & (top > 0)
+            flat = flat[np.repeat(sound[held], lengths[held])]
+        offsets = np.r_[0, np.cumsum(np.where(sound, lengths, 0))].astype(np.int32)
+        units = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.float64()), mask=pa.array(~sound))
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), units], ["vec_id", "v"])
+
+
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
@@ -187,11 +211,8 @@ def groups(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     """One row per row of ``vectors`` (vec_id long, embedding array of numbers):
     vec_id, n_links, component_id."""
     eps = float(np.sqrt(2 - 2 * cosine))
-    given = vectors.select("vec_id", F.expr("transform(embedding, x -> CAST(x AS DOUBLE))").alias("v"))
-    norm = F.expr("sqrt(aggregate(v, 0D, (s, x) -> s + x * x))")
-    sound = F.expr("size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))")
-    scaled = given.withColumn("v", F.when(sound, F.col("v"))).withColumn("top", F.expr("array_max(transform(v, x -> abs(x)))"))
-    scaled = scaled.withColumn("v", F.expr("IF(top > 0, transform(v, x -> x / top), null)")).withColumn("norm", norm).withColumn("v", F.expr("transform(v, x -> x / norm)")).select("vec_id", "v")
+    given = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    scaled = given.mapInArrow(_unit, T.StructType([given.schema["vec_id"], given.schema["v"]]))
     rows = handoff(scaled.withColumn("key", F.when(F.col("v").isNotNull(), F.xxhash64("v"))).withColumn("key2", F.when(F.col("v").isNotNull(), F.hash("v"))), "vectors")
     # One point per distinct vector; its number is its smallest id (row count as weight).
     points = handoff(rows.where("v IS NOT NULL").groupBy("key", "key2").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("v").alias("v"))
