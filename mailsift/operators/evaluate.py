@@ -143,62 +143,104 @@ def classification_report(df: DataFrame, labels: Sequence[int], names: Mapping[i
 # --------------------------------------------------------------------------
 # EVL-9 / EVL-10: the evaluation report of the scoring endpoint
 # --------------------------------------------------------------------------
+def _report_state(scored: DataFrame, order: Sequence[str], y: str, yp: str, conf: str, text: str, k: int) -> DataFrame:
+    """One row: n, hit, cells (array of y, p, n), errors (the first ``k`` in
+    input order) and before (the valid rows in front of each of them).
+
+    The first errors are a top-k inside a scalar subquery; the pairs and the rows
+    in front of the errors are counters of one hash aggregate with map-side
+    combine, so nothing is sorted as a whole and no part reaches the driver.
+    How many rows stand before an error is known only once the error is, so
+    ``scored`` is read twice within the one query."""
+    rows = scored.select(F.struct(*order).alias("key"), F.col(y).cast("long").alias("y"), F.col(yp).cast("long").alias("p"),
+                         F.col(conf).cast("double").alias("conf"), F.substring(F.col(text), 1, 300).alias("preview"))
+    first = rows.filter("y <> p").orderBy("key").limit(k)
+    errors = first.agg(F.sort_array(F.collect_list(F.struct("key", "y", "p", "conf", "preview")))).scalar()
+    marked = rows.select("key", "y", "p", errors.alias("errors"))
+    counted = marked.groupBy("y", "p").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(F.col("key") < F.get("errors", F.lit(i))["key"]).alias(f"b{i}") for i in range(k)])
+    return counted.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.when(F.col("y") == F.col("p"), F.col("n"))), F.lit(0)).alias("hit"),
+        F.collect_list(F.struct("y", "p", "n")).alias("cells"),
+        F.array(*[F.sum(f"b{i}") for i in range(k)]).alias("before")).withColumn("errors", errors)
+
+
+def _examples(id2label: Mapping[int, str]) -> Column:
+    names = F.create_map(*[F.lit(x) for k, v in id2label.items() for x in (int(k), v)])
+
+    def one(e: Column, i: Column) -> Column:
+        return F.struct(F.get("before", i).alias("index_in_valid"),
+                        F.try_element_at(names, e["y"].cast("int")).alias("true"),
+                        F.try_element_at(names, e["p"].cast("int")).alias("pred"),
+                        F.bround(e["conf"], 4).alias("confidence"), e["preview"].alias("preview"))
+
+    return F.transform("errors", one)
+
+
 def misclassified(df: DataFrame, order: Sequence[str], y: str = "y_true", yp: str = "y_pred", conf: str = "conf",
-                  text: str = "text", k: int = 10, id2label: Mapping[int, str] | None = None) -> list[dict]:
+                  text: str = "text", k: int = 10, id2label: Mapping[int, str] | None = None) -> DataFrame:
     """EVL-10: the first ``k`` misclassified rows in input order with their
-    position among the valid rows.
+    position among the valid rows (``order`` is unique per row)."""
+    id2label = dict(P.DEFAULT_ID2LABEL if id2label is None else id2label)
+    return _report_state(df, order, y, yp, conf, text, k).select(F.inline(_examples(id2label)))
+
 
-    The ``k`` rows come from a top-k (no global sort); their positions are
-    ``k`` conditional counts computed in one more aggregate pass. Only ``k``
-    rows reach the driver."""
+def evaluation_frame(scored: DataFrame, rows_in: DataFrame | int | None = None, order: Sequence[str] = ("row_id",),
+                     y: str = "y_true", yp: str = "y_pred", conf: str = "conf", text: str = "text",
+                     id2label: Mapping[int, str] | None = None) -> DataFrame:
+    """EVL-9 as one lazy row of ``REPORT_SCHEMA``: rows in, rows used, label
+    map, accuracy, per-class report, confusion matrix and the first
+    misclassified rows.
+
+    ``scored`` holds the valid rows only (label id not null) and is read twice
+    (see ``_report_state``): hand it off first where scoring is expensive.
+    ``rows_in`` is the table before that filter, or its row count. Without a
+    valid row the counts and rates are 0 and there are no examples."""
     id2label = dict(P.DEFAULT_ID2LABEL if id2label is None else id2label)
-    errs = (df.filter(F.col(y) != F.col(yp)).orderBy(*order).limit(k)
-              .select(*order, y, yp, conf, F.substring(F.col(text), 1, 300).alias("preview")).collect())
-    if not errs:
-        return []
-    key = F.struct(*[F.col(c) for c in order])
-    types = {c: df.schema[c].dataType for c in order}
+    labels = sorted(id2label)
+    state = _report_state(scored, order, y, yp, conf, text, 10)
+    ids = F.array(*[F.lit(int(c)) for c in labels])
+    names = F.create_map(*[F.lit(x) for k, v in id2label.items() for x in (int(k), v)])
+
+    def pair(a: Column, b: Column) -> Column:
+        return F.concat_ws(",", *[F.coalesce(v.cast("string"), F.lit("null")) for v in (a, b)])
 
-    def at(r):
-        return F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in order])
+    def total(side: str, a: Column) -> Column:
+        return F.aggregate(F.filter("cells", lambda c: c[side] == a), F.lit(0).cast("long"), lambda acc, c: acc + c["n"])
 
-    counts = df.agg(*[F.count(F.when(key < at(r), 1)).alias(f"c{i}") for i, r in enumerate(errs)]).first()
-    return [{"index_in_valid": int(counts[f"c{i}"]), "true": id2label.get(r[y]), "pred": id2label.get(r[yp]),
-             "confidence": round(float(r[conf]), 4), "preview": r["preview"]} for i, r in enumerate(errs)]
+    state = state.withColumn("by_pair", F.map_from_entries(F.transform("cells", lambda c: F.struct(pair(c["y"], c["p"]), c["n"]))))
 
+    def cell(a: Column, b: Column) -> Column:
+        return F.coalesce(F.try_element_at("by_pair", pair(a, b)), F.lit(0).cast("long"))
 
-def evaluation_report(scored: DataFrame, n_rows: int | None = None, order: Sequence[str] = ("row_id",),
+    def scores(c: Column) -> Column:
+        tp, support, predicted = cell(c, c).cast("double"), total("y", c), total("p", c)
+        return F.struct(c.alias("class_id"), F.try_element_at(names, c).alias("class_name"),
+                        F.bround(_safe_div(tp, predicted.cast("double")), 4).alias("precision"),
+                        F.bround(_safe_div(tp, support.cast("double")), 4).alias("recall"),
+                        F.bround(_safe_div(2 * tp, (support + predicted).cast("double")), 4).alias("f1"),
+                        support.alias("support"))
+
+    n_rows = rows_in.agg(F.count(F.lit(1))).scalar() if isinstance(rows_in, DataFrame) else F.col("n") if rows_in is None else F.lit(rows_in)
+    return state.select(
+        n_rows.cast("long").alias("n_rows"), F.col("n").alias("n_used_for_eval"), names.alias("labels"),
+        F.bround(_safe_div(F.col("hit").cast("double"), F.col("n").cast("double")), 4).alias("accuracy"),
+        F.transform(ids, scores).alias("per_class"),
+        F.struct(F.array(*[F.lit(id2label[c]) for c in labels]).alias("labels_order"),
+                 F.transform(ids, lambda a: F.transform(ids, lambda b: cell(a, b))).alias("matrix")).alias("confusion_matrix"),
+        _examples(id2label).alias("examples_misclassified"))
+
+
+def evaluation_report(scored: DataFrame, rows_in: DataFrame | int | None = None, order: Sequence[str] = ("row_id",),
                       y: str = "y_true", yp: str = "y_pred", conf: str = "conf", text: str = "text",
                       id2label: Mapping[int, str] | None = None) -> dict:
-    """EVL-9: rows in, rows used, label map, accuracy, per-class report,
-    confusion matrix and the first misclassified rows, as one nested dict.
-
-    ``scored`` holds the valid rows only (label id not null)."""
-    id2label = dict(P.DEFAULT_ID2LABEL if id2label is None else id2label)
-    labels = sorted(id2label)
-    counts = pair_counts(scored, y, yp).cache()
-    try:
-        pc = per_class(scored, labels, id2label, y, yp, counts).orderBy("class_id").collect()
-        cm = {(r["y_true"], r["y_pred"]): r["n"] for r in confusion_matrix(scored, labels, counts=counts).collect()}
-        tot = counts.agg(F.sum("n").alias("n"),
-                         F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)).alias("hit")).first()
-    finally:
-        counts.unpersist()
-    n_used = int(tot["n"] or 0)
-    if n_used == 0:
+    """EVL-9 as a nested dict: the one row of ``evaluation_frame``."""
+    rep = evaluation_frame(scored, rows_in, order, y, yp, conf, text, id2label).first().asDict(recursive=True)
+    if rep["n_used_for_eval"] == 0:
         raise ValueError("No valid labels after normalization.")
-    return {
-        "n_rows": int(n_rows if n_rows is not None else n_used),
-        "n_used_for_eval": n_used,
-        "labels": {int(k): v for k, v in id2label.items()},
-        "accuracy": round(tot["hit"] / n_used, 4),
-        "per_class": [{"class_id": r["class_id"], "class_name": r["class_name"],
-                       "precision": round(r["precision"], 4), "recall": round(r["recall"], 4),
-                       "f1": round(r["f1"], 4), "support": int(r["support"])} for r in pc],
-        "confusion_matrix": {"labels_order": [id2label[c] for c in labels],
-                             "matrix": [[int(cm[(a, b)]) for b in labels] for a in labels]},
-        "examples_misclassified": misclassified(scored, list(order), y, yp, conf, text, 10, id2label),
-    }
+    return rep
 
 
 REPORT_SCHEMA = (

@@ -110,8 +110,7 @@ def evaluate_csv(spark: SparkSession, path: str, model, id2label: Mapping[int, s
     t = raw.withColumn("text", X.subject_body_block("subject", "body"))
     t = L.label_ids(t, "label", label2id).filter(F.col("y_true").isNotNull())
     scored = M.score(model, t.withColumn(text_col, F.col("text")))
-    # The report makes three passes (counts, first errors, their positions):
-    # score once and hand the rows off instead of scoring three times.
+    # The report reads its rows twice (first errors, then counts): score once.
     scored = handoff(scored.select("_row_ord", "y_true", "y_pred", "conf", "text"), "scored")
     rep = E.evaluation_report(scored, n_rows, ("_row_ord",), "y_true", "y_pred", "conf", "text", id2label)
     if report_path:

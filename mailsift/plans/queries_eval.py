@@ -156,14 +156,10 @@ def _cells():
     + " FROM v", "mail_subject", extra=[_VALID_SQL]))
 def evl9_evaluation_report(spark, d):
     m, v = scored_subject_mail(spark, d)
-    rep = E.evaluation_report(v, m.count(), ("conv_id", "turn"), "y_true", "y_pred", "conf", "text")
-    mat = rep["confusion_matrix"]["matrix"]
-    row = {"n_rows": rep["n_rows"], "n_used_for_eval": rep["n_used_for_eval"], "accuracy": rep["accuracy"]}
-    for i, a in enumerate(LABELS):
-        for j, b in enumerate(LABELS):
-            row[f"cm_{a}{b}"] = mat[i][j]
-    schema = "n_rows long, n_used_for_eval long, accuracy double, " + ", ".join(f"cm_{a}{b} long" for a, b in _cells())
-    return spark.createDataFrame([row], schema)
+    rep = E.evaluation_frame(v, m, ("conv_id", "turn"))
+    cells = [F.col("confusion_matrix.matrix")[i][j].alias(f"cm_{a}{b}")
+             for i, a in enumerate(LABELS) for j, b in enumerate(LABELS)]
+    return rep.select("n_rows", "n_used_for_eval", "accuracy", *cells)
 
 
 @register("evl9_per_class_report", tb.with_views(
@@ -171,10 +167,8 @@ def evl9_evaluation_report(spark, d):
     "round_even(f1, 4) AS f1, support FROM pc", "mail_subject", extra=[
         _VALID_SQL, _LAB_SQL, ("c", "SELECT y_true, y_pred, count(*) AS n FROM v GROUP BY y_true, y_pred"), _PC_SQL]))
 def evl9_per_class_report(spark, d):
-    m, v = scored_subject_mail(spark, d)
-    rep = E.evaluation_report(v, None, ("conv_id", "turn"), "y_true", "y_pred", "conf", "text")
-    return spark.createDataFrame(rep["per_class"], "class_id int, class_name string, precision double, "
-                                                   "recall double, f1 double, support long")
+    _, v = scored_subject_mail(spark, d)
+    return E.evaluation_frame(v, None, ("conv_id", "turn")).select(F.inline("per_class"))
 
 
 @register("evl10_misclassified_examples", tb.with_views("""
@@ -185,9 +179,7 @@ FROM (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS index_in_valid
 WHERE y_true <> y_pred ORDER BY index_in_valid LIMIT 10""", "mail_subject", extra=[_VALID_SQL]))
 def evl10_misclassified_examples(spark, d):
     _, v = scored_subject_mail(spark, d)
-    errs = E.misclassified(v, ["conv_id", "turn"], "y_true", "y_pred", "conf", "text", 10)
-    return spark.createDataFrame(errs, "index_in_valid long, true string, pred string, confidence double, "
-                                       "preview string")
+    return E.misclassified(v, ["conv_id", "turn"])
 
 
 # ----------------------------------------------------------- EVL-11 ... 13

@@ -168,8 +168,7 @@ def snk4_report_roundtrip(spark, d):
     from mailsift.plans.queries_eval import scored_subject_mail
     m, v = scored_subject_mail(spark, d)
     path = _scratch(spark, "snk4")
-    K.save_report(spark, E.evaluation_report(v, m.count(), ("conv_id", "turn"), "y_true", "y_pred", "conf", "text"),
-                  path)
+    K.save_report(spark, E.evaluation_frame(v, m, ("conv_id", "turn")), path)
     doc = spark.read.text(path, wholetext=True).select(F.from_json("value", E.REPORT_JSON_SCHEMA).alias("r"))
     cm = F.col("r.confusion_matrix.matrix")
     off = F.aggregate(F.transform(F.sequence(F.lit(0), F.size(cm) - 1),

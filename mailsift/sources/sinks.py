@@ -63,12 +63,13 @@ def load_model(path: str, spark: SparkSession | None = None) -> PipelineModel |
     return BowModel.load(spark, path) if BowModel.saved_at(spark, path) else PipelineModel.load(path)
 
 
-def save_report(spark: SparkSession, report: dict, path: str) -> None:
-    """SNK-4: the nested evaluation report as one JSON document."""
+def save_report(spark: SparkSession, report: dict | DataFrame, path: str) -> None:
+    """SNK-4: the nested evaluation report (a dict, or its one row as a frame,
+    which then never leaves Spark) as one JSON document."""
     from mailsift.operators.evaluate import report_frame
 
-    doc = report_frame(spark, report).select(F.to_json(F.struct("*")).alias("value"))
-    _write_document(doc, path)
+    row = report if isinstance(report, DataFrame) else report_frame(spark, report)
+    _write_document(row.select(F.to_json(F.struct("*")).alias("value")), path)
 
 
 def read_document(spark: SparkSession, path: str) -> str:

@@ -139,8 +139,40 @@ def test_carry_forward_gaps_negative_and_null_order(spark):
 
 def test_misclassified_positions(spark):
     rows = [(i, i % 3, 0 if i % 4 else 1, 0.9, f"t{i}") for i in range(40)]
-    df = spark.createDataFrame(rows, "ord long, y_true int, y_pred int, conf double, text string")
-    got = E.misclassified(df, ["ord"], k=10)
+    df = spark.createDataFrame(rows, "ord long, y_true int, y_pred int, conf double, text string").repartition(5)
+    got = E.misclassified(df, ["ord"], k=10).collect()
     exp = [i for i, (_, y, p, _, _) in enumerate(rows) if y != p][:10]
     assert [e["index_in_valid"] for e in got] == exp
     assert got[0]["preview"] == f"t{exp[0]}"
+
+
+def test_evaluation_frame_against_plain_counts(spark):
+    """Three classes, an id no label names, long texts, a composite order."""
+    names = {0: "a", 1: "b", 2: "c"}
+    rows = [(i // 7, i % 7, i % 3, (i * i) % 4, (i % 10) / 9, "x" * (290 + i)) for i in range(50)]
+    df = spark.createDataFrame([(*r[:3], float(r[3]), *r[4:]) for r in rows],
+                               "k int, t int, y_true int, y_pred double, conf double, text string")
+    rep = E.evaluation_report(df.repartition(4), df.union(df), ("k", "t"), id2label=names)
+    assert (rep["n_rows"], rep["n_used_for_eval"], rep["labels"]) == (100, 50, names)
+    assert rep["accuracy"] == round(sum(r[2] == r[3] for r in rows) / 50, 4)
+    assert rep["confusion_matrix"] == {"labels_order": ["a", "b", "c"], "matrix": [
+        [sum(r[2] == a and r[3] == b for r in rows) for b in names] for a in names]}
+    for c, got in zip(names, rep["per_class"]):
+        tp, sup, pred = (sum(f(r) for r in rows) for f in (lambda r: r[2] == r[3] == c, lambda r: r[2] == c, lambda r: r[3] == c))
+        exp = (c, names[c], round(tp / pred, 4) if pred else 0, round(tp / sup, 4), round(2 * tp / (sup + pred), 4), sup)
+        assert tuple(got.values()) == exp
+    wrong = [(i, r) for i, r in enumerate(rows) if r[2] != r[3]][:10]
+    assert [tuple(e.values()) for e in rep["examples_misclassified"]] == [
+        (i, names[r[2]], names.get(r[3]), round(r[4], 4), r[5][:300]) for i, r in wrong]
+
+
+def test_evaluation_frame_without_errors_or_rows(spark):
+    schema = "row_id long, y_true int, y_pred int, conf double, text string"
+    right = spark.createDataFrame([(1, 1, 1, 0.5, None), (2, 0, 0, None, "")], schema)
+    rep = E.evaluation_report(right)
+    assert (rep["n_rows"], rep["accuracy"], rep["examples_misclassified"]) == (2, 1.0, [])
+    none = E.evaluation_frame(right.limit(0), right).first()
+    assert (none.n_rows, none.n_used_for_eval, none.accuracy, none.examples_misclassified) == (2, 0, 0.0, [])
+    with pytest.raises(ValueError, match="No valid labels"):
+        E.evaluation_report(right.limit(0))
+
