@@ -8,7 +8,8 @@ counts differ by one at most, each with the sources in the corpus's mixture.
 Nothing is ranked in one task: ranks are taken in buckets of the hash (of
 every source) and of the fraction, about sqrt(N) of each, and shifted by the
 row counts before the bucket. The counts before a fraction bucket follow from
-the sources' sizes alone, so they need no second pass.
+the sources' sizes alone, so they need no second pass; sources of one size share
+that work, so a source for every few rows costs no more than the rows do.
 
 Only DataFrame functions are used. Defined results: a null source is a source;
 null keys sort as the text 'null'; rows with equal keys are ordered by ``tie``
@@ -38,10 +39,17 @@ def shard(df: DataFrame, n_shards: int, source: str = "source", key: str = "doc_
     ranked = (rows.join(before.select("src", "part", (F.col("upto") - F.col("c")).alias("before"), "n"), ["src", "part"])
               .withColumn("r", F.col("before") + F.row_number().over(within))
               .withColumn("bucket", F.expr(f"((2 * r - 1) * {buckets}L) div (2 * n)")))
-    sizes = counts.groupBy("src").agg(F.sum("c").alias("n"))
-    # Rows of a source below fraction b / buckets: those with (2 r - 1) * buckets < 2 b n.
-    starts = (sizes.select("n", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("b"))
-              .groupBy(F.col("b").cast("long").alias("bucket")).agg(F.sum(F.expr(f"IF(b = 0, 0L, ((2L * b * n - 1) div {buckets}L + 1) div 2)")).alias("start")))
+    # Rows of a source below fraction b / buckets: those with (2 r - 1) * buckets < 2 b n. A source's
+    # size alone says where its rows fall, so sources of one size are laid out together, and only
+    # over the buckets that hold a row of theirs: never more cells than rows, however many sources.
+    sizes = counts.groupBy("src").agg(F.sum("c").alias("n")).groupBy("n").agg(F.count("*").alias("m"))
+    below = lambda b: f"IF({b} = 0, 0L, ((2L * {b} * n - 1) div {buckets}L + 1) div 2)"
+    cells = sizes.select("n", "m", F.explode(F.expr(f"sequence(1L, least(n, {buckets}L))")).alias("i"))
+    filled = (cells.select(F.expr(f"IF(n < {buckets}, ((2 * i - 1) * {buckets}L) div (2 * n), i - 1)").alias("bucket"),
+                           F.expr(f"m * IF(n < {buckets}, 1L, {below('i')} - {below('(i - 1)')})").alias("c"))
+              .groupBy("bucket").agg(F.sum("c").alias("c")))
+    # One row a bucket, about sqrt(N): small enough for one running total.
+    starts = filled.select("bucket", (F.sum("c").over(Window.orderBy("bucket")) - F.col("c")).alias("start"))
     in_bucket = Window.partitionBy("bucket").orderBy((F.col("r") * 2 - 1) / (F.col("n") * 2), "src", "r")
     placed = ranked.join(starts, "bucket").withColumn("at", F.col("start") + F.row_number().over(in_bucket) - 1)
     out = placed.withColumn("shard", F.expr(f"CAST((at * {n_shards}L) div {max(total, 1)}L AS INT)"))

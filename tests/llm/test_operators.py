@@ -78,6 +78,21 @@ def test_sharding(docs, none, rows):
     assert shard(none, 7).count() == 0
 
 
+def test_sharding_with_a_source_for_every_few_rows(spark):
+    from mailsift.llm.sharding import shard
+
+    sizes = [400, 400, 90, 31, 30] + [7] * 20 + [2] * 60 + [1] * 300
+    made = [(k * 1000 + i, f"h{k}") for k, n in enumerate(sizes) for i in range(n)]
+    got = shard(spark.createDataFrame(made, "doc_id long, source string"), 9).collect()
+    place = {}
+    for k, n in enumerate(sizes):
+        ids = sorted((k * 1000 + i for i in range(n)), key=lambda d: hashlib.md5(f"7:{d}".encode()).hexdigest())
+        place |= {d: ((2 * r + 1) / (2 * n), f"sh{k}", r) for r, d in enumerate(ids)}
+    want = sorted(place, key=place.get)
+    starts = [next(i for i in range(len(want)) if i * 9 // len(want) == s) for s in range(9)]
+    assert {r.doc_id: starts[r.shard] + r.slot for r in got} == {d: i for i, d in enumerate(want)}
+
+
 def test_piece_sampling_is_lossless_and_reproducible(docs, none, rows):
     from mailsift.llm.piece_sampling import decode, encode
 
