@@ -12,13 +12,16 @@ turns are the runs from one beginning to the next and are rendered as
     text
     <|end|>
 
-Long conversations are decoded in parallel: Viterbi is a product of max-plus
-matrices, so each chunk of CHUNK turns is first reduced to one matrix (best
-score from any state before it to any state at its end), groups of FAN matrices
-are reduced again until few are left, the best path through them fixes the
-states at every chunk's borders from the top down, and each chunk is decoded
-between its fixed borders. The result is that of one long Viterbi pass; no task
-holds more than a chunk or FAN matrices.
+Conversations of at most CHUNK lines (and CHARS characters) are decoded whole, many
+of them in one Arrow batch that holds the lines' symbols only. Longer ones are decoded
+in parallel: Viterbi is a product of max-plus matrices, so each chunk of CHUNK
+lines is first reduced to one matrix (best score from any state before it to any
+state at its end), groups of FAN matrices are reduced again until few are left,
+the best path through them fixes the states at every chunk's borders from the top
+down, and each chunk is decoded between its fixed borders. The result is that of one
+long Viterbi pass. Chunks are cut by the line's place in its conversation, counted
+over ranges of a sort, so neither a conversation nor a turn of any length is one task's
+work; no task holds more than a chunk or FAN matrices of it.
 
 Defined results: null or empty text is one blank line; rows with a null
 conversation id, or a null turn, are conversations of one row each, named by a
@@ -36,9 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailsift.llm.tables import handoff
+from mailsift.llm.tables import drop_handoff, handoff
 
-CHUNK = 64
+CHUNK = 256
+CHARS = 1 << 22
 FAN = 64
 ROLES = ("user", "assistant", "system")
 #: Speaker markers (fixed values) by the role they name.
@@ -61,9 +65,8 @@ def symbol(line: F.Column) -> F.Column:
     return (role * 8 + length * 2 + F.trim(line).endswith("?").cast("int")).cast("int")
 
 
-def lines(transcripts: DataFrame) -> DataFrame:
-    """(conv, turn, tie, line_no, line, symbol, + other columns) of rows
-    (conv_id, turn, text, ...)."""
+def messages(transcripts: DataFrame) -> DataFrame:
+    """(conv, turn, tie, text, + other columns) of rows (conv_id, turn, text, ...)."""
     name = F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.concat(F.lit("c"), F.col("conv_id").cast("string")))
     equal = transcripts.groupBy(*transcripts.columns).agg(F.count("*").alias("copies"))
     # Equal rows without both are told apart by a number, dealt in blocks so that no array holds all of them.
@@ -73,11 +76,21 @@ def lines(transcripts: DataFrame) -> DataFrame:
     rows = rows.withColumn("tie", F.xxhash64("text", "turn", "conv_id"))
     number = F.when(F.col("copy") > 0, F.concat(F.lit("_"), F.col("copy").cast("string"))).otherwise("")
     rows = rows.withColumn("conv", F.coalesce(name, F.concat(F.lit("row"), F.col("tie").cast("string"), number))).drop("copy")
-    rows = rows.withColumn("turn", F.coalesce("turn", F.lit(0)).cast("long"))
-    out = rows.select("*", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line")).drop("text")
+    return rows.withColumn("turn", F.coalesce("turn", F.lit(0)).cast("long")).withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def lines(said: DataFrame) -> DataFrame:
+    """(line_no, line, symbol, + other columns) of ``messages``."""
+    out = said.select("*", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).drop("text")
     return out.withColumn("symbol", symbol(F.col("line")))
 
 
+def _ranges(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` written in the order (conv, *order), with the range (part) that holds
+    each: a conversation of any size is a few ranges, in the order of ``part``."""
+    return handoff(rows.repartitionByRange("conv", *order).withColumn("part", F.spark_partition_id()), name)
+
+
 class Model:
     """Log probabilities: start (S), step (S x S), show (S x N_SYMBOLS)."""
 
@@ -94,13 +107,20 @@ def fit(labelled: DataFrame) -> Model:
     """Counts over rows (conv_id, turn, role, text); unknown roles are left out.
     State 2 r: first line of a turn of role r; 2 r + 1: a further line."""
     role = F.expr("CASE " + " ".join(f"WHEN role = '{r}' THEN {k}" for k, r in enumerate(ROLES)) + " END")
-    rows = lines(labelled.select("conv_id", "turn", "role", "text")).withColumn("state", role * 2 + (F.col("line_no") > 0).cast("int")).where("state IS NOT NULL")
+    said = messages(labelled.select("conv_id", "turn", "role", "text"))
+    rows = lines(said).withColumn("state", role * 2 + (F.col("line_no") > 0).cast("int")).where("state IS NOT NULL")
+    rows = handoff(rows.select("conv", "turn", "tie", "state", "symbol"), "states")
     shown = rows.groupBy("state", "symbol").agg(F.count("*").alias("n"))
-    # Within a turn the steps follow from its number of lines; between turns from the neighbours.
-    turns = rows.groupBy("conv", "turn", "tie").agg(F.min("state").alias("first"), F.count("*").alias("size"))
-    order = Window.partitionBy("conv").orderBy("turn", "tie")
-    linked = turns.withColumn("before", F.lag("first").over(order)).withColumn("before_size", F.lag("size").over(order))
-    steps = linked.groupBy("first", "before", F.expr("before_size > 1").alias("before_long")).agg(F.count("*").alias("n"), F.sum(F.expr("IF(size > 1, 1, 0)")).alias("enter"), F.sum(F.expr("greatest(size - 2, 0)")).alias("stay"))
+    # Within a turn the steps follow from its number of lines; between turns from the neighbours,
+    # of which the first of a range is in the range before.
+    turns = rows.groupBy("conv", "turn", "tie").agg(F.struct(F.min("state").alias("first"), F.count("*").alias("size")).alias("t"))
+    turns = _ranges(turns, ["turn", "tie"], "turns")
+    last = turns.groupBy("conv", "part").agg(F.max_by("t", F.struct("turn", "tie")).alias("last"))
+    last = last.select("conv", "part", F.lag("last").over(Window.partitionBy("conv").orderBy("part")).alias("last"))
+    near = F.lag("t").over(Window.partitionBy("conv", "part").orderBy("turn", "tie"))
+    linked = turns.withColumn("near", near).join(last, ["conv", "part"]).withColumn("b", F.coalesce("near", "last"))
+    steps = (linked.groupBy(F.col("t.first").alias("first"), F.col("b.first").alias("before"), F.expr("b.size > 1").alias("before_long"))
+             .agg(F.count("*").alias("n"), F.sum(F.expr("IF(t.size > 1, 1, 0)")).alias("enter"), F.sum(F.expr("greatest(t.size - 2, 0)")).alias("stay")))
     start, step, show = np.zeros(N_STATES), np.zeros((N_STATES, N_STATES)), np.zeros((N_STATES, N_SYMBOLS))
     for r in shown.collect():  # at most N_STATES * N_SYMBOLS rows
         show[r["state"], r["symbol"]] += r["n"]
@@ -112,9 +132,54 @@ def fit(labelled: DataFrame) -> Model:
             start[first] += r["n"]
         else:
             step[r["before"] + int(bool(r["before_long"])), first] += r["n"]
+    drop_handoff(rows)
+    drop_handoff(turns)
     return Model(start, step, show)
 
 
+def _whole_paths(symbols: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
+    """States of the conversations ``symbols[offsets[i]:offsets[i + 1]]``, each
+    decoded whole; 256 at a time advance together, the longest first."""
+    moves = model.step[None] + model.show.T[:, None, :]
+    sizes, out = np.diff(offsets), np.zeros(len(symbols), np.int32)
+    order = np.argsort(-sizes, kind="stable")
+    for low in range(0, len(order), 256):
+        n, at = sizes[order[low:low + 256]], offsets[order[low:low + 256]]
+        score, back = model.start + model.show.T[symbols[at]], []
+        for t in range(1, n[0]):
+            k = np.searchsorted(-n, -t)  # those with a line t
+            total = score[:k, :, None] + moves[symbols[at[:k] + t]]
+            back.append(total.argmax(1).astype(np.int8))
+            score[:k] = total.max(1)
+        state = score.argmax(1)
+        out[at + n - 1] = state
+        for t in range(n[0] - 1, 0, -1):
+            k = len(back[t - 1])
+            state[:k] = back[t - 1][np.arange(k), state[:k]]
+            out[at[:k] + t - 1] = state[:k]
+    return out
+
+
+def _whole_turns(model: Model) -> Callable:
+    """Arrow function: the turns (begin, n_lines, role) of whole conversations."""
+    kind = pa.struct([("begin", pa.int32()), ("n_lines", pa.int32()), ("role", pa.int32())])
+
+    @F.arrow_udf("array<struct<begin int, n_lines int, role int>>")
+    def turns(shown: pa.Array) -> pa.Array:
+        offsets = shown.offsets.to_numpy().astype(np.int64)
+        symbols = shown.values.to_numpy()[offsets[0]:offsets[-1]]
+        offsets -= offsets[0]
+        states = _whole_paths(symbols, offsets, model)
+        begins = np.flatnonzero(states % 2 == 0)
+        sizes = np.diff(np.append(begins, len(states)))
+        first = np.searchsorted(begins, offsets)
+        begin = begins - np.repeat(offsets[:-1], np.diff(first))
+        found = pa.StructArray.from_arrays([pa.array(v, pa.int32()) for v in (begin, sizes, states[begins] // 2)], fields=list(kind))
+        return pa.ListArray.from_arrays(pa.array(first, pa.int32()), found)
+
+    return turns
+
+
 def _product(matrices: list[np.ndarray]) -> np.ndarray:
     out = matrices[0]
     for m in matrices[1:]:
@@ -147,7 +212,7 @@ def _line_matrices(symbols: np.ndarray, model: Model, first: bool) -> list[np.nd
 
 def _reduce_chunk(model: Model) -> Callable:
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("turn", "ascending"), ("tie", "ascending"), ("line_no", "ascending")])
+        table = table.sort_by("place")
         m = _product(_line_matrices(table.column("symbol").to_numpy(), model, table.column("chunk")[0].as_py() == 0))
         return pa.table({"conv": table.column("conv").slice(0, 1), "chunk": table.column("chunk").slice(0, 1), "m": pa.array([m.ravel().tolist()], pa.list_(pa.float64()))})
     return run
@@ -173,7 +238,7 @@ def _borders(table: pa.Table) -> pa.Table:
 
 def _decode_chunk(model: Model) -> Callable:
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("turn", "ascending"), ("tie", "ascending"), ("line_no", "ascending")])
+        table = table.sort_by("place")
         found = _line_matrices(table.column("symbol").to_numpy(), model, table.column("chunk")[0].as_py() == 0)
         states = _path(found, table.column("enter")[0].as_py(), table.column("leave")[0].as_py())
         begins = np.cumsum(np.array(states) % 2 == 0)
@@ -182,31 +247,63 @@ def _decode_chunk(model: Model) -> Callable:
     return run
 
 
+def _unmarked(line: F.Column) -> F.Column:
+    return F.when(F.lower(F.regexp_extract(line, MARKER, 1)).isin(*_NAMES), F.regexp_replace(line, MARKER, "")).otherwise(line)
+
+
 def parse(transcripts: DataFrame, model: Model) -> DataFrame:
     """Turns recovered from rows (conv_id, turn, text): conv, conv_id, turn (from
     0), role, n_lines, text (markers removed) and rendered."""
-    kind = transcripts.schema["conv_id"].dataType.simpleString()
-    # Dense turn numbers would need a sort per conversation; chunks are cut by the given turn number.
-    shown = lines(transcripts.select("conv_id", "turn", "text"))
-    first = shown.groupBy("conv").agg(F.min("turn").alias("least"))
-    all_lines = handoff(shown.join(first, "conv").withColumn("chunk", F.expr(f"CAST((turn - least) div {CHUNK} AS LONG)")).drop("least"), "lines")
-    levels = [handoff(all_lines.groupBy("conv", "chunk").applyInArrow(_reduce_chunk(model), "conv string, chunk long, m array<double>"), "matrices")]
+    said = handoff(messages(transcripts.select("conv_id", "turn", "text")), "messages")
+    n_lines = F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    long = said.groupBy("conv").agg(F.sum(n_lines).alias("n"), F.sum(F.char_length("text")).alias("chars"))
+    long = handoff(long.where(f"n > {CHUNK} OR chars > {CHARS}").select("conv"), "long")
+    turns = _short(said.join(long, "conv", "left_anti"), model).unionByName(_long(lines(said.join(long, "conv", "left_semi")), model))
+    return turns.withColumn("rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>")))
+
+
+def _short(said: DataFrame, model: Model) -> DataFrame:
+    """Conversations of at most CHUNK lines: one row each, whose symbols alone go
+    through Arrow."""
+    whole = said.groupBy("conv", "conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "tie", "text"))).alias("said"))
+    whole = whole.select("conv", "conv_id", F.flatten(F.transform("said", lambda m: F.split(m["text"], "\n", -1))).alias("line"))
+    whole = whole.withColumn("found", _whole_turns(model)(F.transform("line", symbol)))
+
+    def turn(t: F.Column, i: F.Column) -> F.Column:
+        own = F.slice("line", t["begin"] + 1, t["n_lines"])
+        role = F.get(F.array(*(F.lit(r) for r in ROLES)), t["role"])
+        return F.struct(i.cast("long").alias("turn"), role.alias("role"), t["n_lines"].cast("long").alias("n_lines"), F.array_join(F.transform(own, _unmarked), "\n").alias("text"))
+
+    return whole.select("conv", "conv_id", F.inline(F.transform("found", turn)))
+
+
+def _long(shown: DataFrame, model: Model) -> DataFrame:
+    """Longer conversations, from their lines: in chunks of CHUNK lines."""
+    kind = shown.schema["conv_id"].dataType.simpleString()
+    ranged = _ranges(shown, ["turn", "tie", "line_no"], "ranges")
+    before = ranged.groupBy("conv", "part").agg(F.count("*").alias("n"))
+    before = before.select("conv", "part", (F.sum("n").over(Window.partitionBy("conv").orderBy("part")) - F.col("n")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("conv", "part").orderBy("turn", "tie", "line_no"))
+    placed = ranged.withColumn("within", within).join(before, ["conv", "part"]).withColumn("place", F.col("before") + F.col("within") - 1)
+    all_lines = handoff(placed.select("conv", "conv_id", "place", F.expr(f"place div {CHUNK}").alias("chunk"), "line", "symbol"), "lines")
+    drop_handoff(ranged)
+    levels = [handoff(all_lines.select("conv", "chunk", "place", "symbol").groupBy("conv", "chunk").applyInArrow(_reduce_chunk(model), "conv string, chunk long, m array<double>"), "matrices")]
     while (levels[-1].agg(F.max("chunk")).first()[0] or 0) >= FAN:
         levels.append(handoff(levels[-1].withColumn("group", F.expr(f"chunk div {FAN}")).groupBy("conv", "group").applyInArrow(_reduce_group, "conv string, chunk long, m array<double>"), "matrices"))
     border_type = "conv string, chunk long, enter int, leave int"
     top = levels[-1].withColumn("enter", F.lit(None).cast("int")).withColumn("leave", F.lit(None).cast("int"))
-    borders = handoff(top.groupBy("conv").applyInArrow(_borders, border_type), "borders")
+    borders = [handoff(top.groupBy("conv").applyInArrow(_borders, border_type), "borders")]
     for level in reversed(levels[:-1]):
-        above = borders.withColumnRenamed("chunk", "group")
-        borders = handoff(level.withColumn("group", F.expr(f"chunk div {FAN}")).join(above, ["conv", "group"]).groupBy("conv", "group").applyInArrow(_borders, border_type), "borders")
-    decoded = handoff(all_lines.join(borders, ["conv", "chunk"]).groupBy("conv", "chunk").applyInArrow(_decode_chunk(model), f"conv string, conv_id {kind}, chunk long, line string, at int, role string, begun long"), "decoded")
+        above = borders[-1].withColumnRenamed("chunk", "group")
+        borders.append(handoff(level.withColumn("group", F.expr(f"chunk div {FAN}")).join(above, ["conv", "group"]).groupBy("conv", "group").applyInArrow(_borders, border_type), "borders"))
+    decoded = handoff(all_lines.join(borders[-1], ["conv", "chunk"]).groupBy("conv", "chunk").applyInArrow(_decode_chunk(model), f"conv string, conv_id {kind}, chunk long, line string, at int, role string, begun long"), "decoded")
+    for done in (all_lines, *levels, *borders):
+        drop_handoff(done)
     counts = decoded.groupBy("conv", "chunk").agg(F.max("begun").alias("turns"))
     offset = counts.select("conv", "chunk", (F.sum("turns").over(Window.partitionBy("conv").orderBy("chunk")) - F.col("turns")).alias("before"))
-    stripped = F.when(F.lower(F.regexp_extract("line", MARKER, 1)).isin(*_NAMES), F.regexp_replace("line", MARKER, "")).otherwise(F.col("line"))
     turns = (decoded.join(offset, ["conv", "chunk"]).withColumn("turn", F.col("before") + F.col("begun") - 1)
-             .groupBy("conv", "conv_id", "turn").agg(F.min("role").alias("role"), F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct("chunk", "at", stripped.alias("line")))).alias("all")))
-    text = F.array_join(F.col("all.line"), "\n")
-    return turns.select("conv", "conv_id", "turn", "role", "n_lines", text.alias("text")).withColumn("rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>")))
+             .groupBy("conv", "conv_id", "turn").agg(F.min("role").alias("role"), F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct("chunk", "at", _unmarked(F.col("line")).alias("line")))).alias("all")))
+    return turns.select("conv", "conv_id", "turn", "role", "n_lines", F.array_join(F.col("all.line"), "\n").alias("text"))
 
 
 def as_transcript(conversations: DataFrame) -> DataFrame:

@@ -425,7 +425,66 @@ def test_chat_hmm_returns_every_row_without_an_id(spark):
     raw = spark.createDataFrame(made, "conv_id long, turn long, role string, text string")
     got = chat_hmm.parse(raw, chat_hmm.fit(raw)).collect()
     assert collections.Counter(r.conv_id for r in got) == {None: 2500, 4: 4} and len({r.conv for r in got}) == 2503
-    assert chat_hmm.lines(raw).count() == 2504
+    assert chat_hmm.lines(chat_hmm.messages(raw)).count() == 2504
+
+
+def test_chat_hmm_against_a_plain_viterbi(spark, monkeypatch):
+    """Counts by hand, one pass per conversation in pure Python; one conversation
+    has all of its rows in one turn, one a very long text, one clashing columns."""
+    from pyspark.sql import functions as F
+
+    from mailsift.llm import chat_hmm
+
+    rng = random.Random(6)
+    text = lambda: rng.choice(["User: ", "AI: ", "### System: ", "", "", ""]) + rng.choice(["hello?", "", "a line " * 12, "b " * 150]) + "\nmore" * rng.randint(0, 3)
+    made = [(c, t, rng.choice(chat_hmm.ROLES), f"{text()}{c}.{t}") for c in range(40) for t in range(rng.randint(1, 6))]
+    made += [(77, 0, "user", f"{text()} {i}") for i in range(300)] + [(78, 0, None, "\n".join(text() for _ in range(900))), (79, 0, "narrator", ""), (80, 1, "user", None)]
+    raw = spark.createDataFrame([(*m, 1, "x") for m in made], "conv_id long, turn long, role string, text string, symbol int, conv string")
+    model = chat_hmm.fit(raw)
+    ties = {(r.conv_id, r.turn, r.text): r.tie for r in raw.select("*", F.xxhash64("text", "turn", "conv_id").alias("tie")).collect()}
+    convs = collections.defaultdict(list)
+    for m in sorted(made, key=lambda m: (m[0], m[1], ties[m[0], m[1], m[3]])):
+        convs[m[0]].append((m[2], (m[3] or "").split("\n")))
+
+    def sign(line):
+        name = re.match(chat_hmm.MARKER, line)
+        role = next((k + 1 for k, r in enumerate(chat_hmm.ROLES) if name and name[1].lower() in chat_hmm.MARKERS[r]), 0)
+        size = len(line.strip(" "))
+        return role * 8 + (0 if size == 0 else 1 if size < 60 else 2 if size < 200 else 3) * 2 + line.strip(" ").endswith("?")
+
+    start, step, show = np.zeros(6), np.zeros((6, 6)), np.zeros((6, chat_hmm.N_SYMBOLS))
+    for said in convs.values():
+        states = []
+        for role, own in said:
+            if role in chat_hmm.ROLES:
+                found = [2 * chat_hmm.ROLES.index(role) + (k > 0) for k in range(len(own))]
+                for s, line in zip(found, own):
+                    show[s, sign(line)] += 1
+                states += found
+        for a, b in zip(states, states[1:]):
+            step[a, b] += 1
+        if states:
+            start[states[0]] += 1
+    plain = chat_hmm.Model(start, step, show)
+    for a, b in ((plain.start, model.start), (plain.step, model.step), (plain.show, model.show)):
+        assert np.array_equal(a, b)
+
+    want = []
+    for c, said in convs.items():
+        own = [line for _, part in said for line in part]
+        best = [(model.start[s] + model.show[s, sign(own[0])], [s]) for s in range(6)]
+        for line in own[1:]:
+            best = [max(((v + (model.step[p[-1], s] + model.show[s, sign(line)]), p) for v, p in best), key=lambda x: x[0]) for s in range(6)]
+            best = [(v, p + [s]) for s, (v, p) in enumerate(best)]
+        path = max(best, key=lambda x: x[0])[1]
+        begins = [i for i, s in enumerate(path) if s % 2 == 0] + [len(own)]
+        for t, (i, j) in enumerate(zip(begins, begins[1:])):
+            bare = [re.sub(chat_hmm.MARKER, "", line) if sign(line) >= 8 else line for line in own[i:j]]
+            want.append((c, t, chat_hmm.ROLES[path[i] // 2], j - i, "\n".join(bare)))
+    for chunk in (256, 7):
+        monkeypatch.setattr(chat_hmm, "CHUNK", chunk)
+        got = chat_hmm.parse(raw, model).select("conv_id", "turn", "role", "n_lines", "text").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_epsilon_grid(spark, monkeypatch):
