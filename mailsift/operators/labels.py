@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 
 from mailsift.functions import patterns as P
 from mailsift.functions import text as X
-from mailsift.session import handoff
+from mailsift.operators.shape import fresh_index
+from mailsift.session import handoff, handoff_path
 
 
 # --------------------------------------------------------------------------
@@ -142,14 +143,14 @@ def label_ids(df: DataFrame, col: str, label2id: Mapping[str, int], kind: dict |
 def build_label_map(*frames: DataFrame, col: str = "label") -> DataFrame:
     """LBL-4: sorted distinct labels over the union of the inputs -> dense ids.
 
-    The distinct set is one row per class; numbering it in one task is
-    bounded by the number of classes."""
+    Ids come from one range sort of the distinct labels (SHP-12), so no task
+    holds all of them."""
     labels = None
     for f in frames:
         part = f.select(F.col(col).cast("string").alias("label")).where(F.col("label").isNotNull())
         labels = part if labels is None else labels.unionByName(part)
-    distinct = labels.distinct()
-    return distinct.withColumn("label_id", (F.row_number().over(Window.orderBy("label")) - 1).cast("long"))
+    path = handoff_path(labels.sparkSession, "handoff", "label-map")
+    return fresh_index(labels.distinct(), ["label"], path, "label_id")
 
 
 def label_map_frame(spark: SparkSession, label2id: Mapping[str, int]) -> DataFrame:

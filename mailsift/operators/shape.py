@@ -12,6 +12,7 @@ table of keys and classes; the rows themselves are read once more at the end.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import uuid
 from collections.abc import Mapping, Sequence
@@ -19,7 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailsift.session import handoff, shared_scratch
+from mailsift.session import handoff, handoff_path, shared_scratch
 
 # Hex digits of the seeded hash in one level of buckets (65,536 a class).
 DIGITS = 4
@@ -158,7 +159,7 @@ def largest_remainder(counts: DataFrame, total: int, n_draws: int, by: str = "la
     need = n_draws - (base.agg(F.sum(out)).first()[0] or 0) if total else 0
     if need <= 0:
         return base.drop("_less")
-    path = f"{shared_scratch(counts.sparkSession, 'handoff')}/shares-{uuid.uuid4().hex}"
+    path = handoff_path(counts.sparkSession, "handoff", "shares")
     ranked = fresh_index(base.withColumn("_none", F.col(by).isNull()), ["_less", "_none", by], path, "_rank")
     return ranked.withColumn(out, F.col(out) + (F.col("_rank") < need).cast("long")).drop("_less", "_none", "_rank")
 
@@ -185,13 +186,44 @@ def stratified_split(df: DataFrame, label: str, key: str, hold_fraction: float =
                      seed: int = 42, out: str = "split") -> DataFrame:
     """SHP-4 / SHP-5: stratified train / val / test in one pass, as a
     ``split`` column (SHP-13 keeps the parts in one table)."""
+    return df.join(_split_table(df, label, key, hold_fraction, test_of_hold, seed, out), key)
+
+
+def _split_table(df: DataFrame, label: str, key: str, hold_fraction: float, test_of_hold: float, seed: int, out: str) -> DataFrame:
+    """(key, split) of ``stratified_split``."""
     keys = _keyed(df, label, key, seed)
     counts = handoff(keys.groupBy(label).agg(F.count(F.lit(1)).alias("n")), "counts")
     q = split_quotas(counts, hold_fraction, test_of_hold, label)
     cuts = q.select(label, F.array("n_train", F.col("n_train") + F.col("n_val")).alias("cuts"))
     segs = segment_table(keys, label, key, cuts, "_seg")
     name = F.element_at(F.array(*[F.lit(s) for s in SPLIT_NAMES]), F.col("_seg") + 1)
-    return df.join(segs.select(key, name.alias(out)), key)
+    return segs.select(key, name.alias(out))
+
+
+def stored_split(df: DataFrame, label: str, key: str, hold_fraction: float = 0.2, test_of_hold: float = 0.5,
+                 seed: int = 42, out: str = "split") -> DataFrame:
+    """SHP-4 / SHP-5 drawn once for all queries on the same rows: the (key,
+    split) table of ``stratified_split`` is kept in the shared folder under the
+    seed, the fractions and a fingerprint of every row's key and label.
+
+    The fingerprint is taken anew by every call (one aggregate over two columns),
+    so rows that changed in either get a split of their own; other columns
+    have no part in a split. Of two calls at once each writes its own copy;
+    both hold the same rows, and a copy counts once it is complete."""
+    spark, jvm = df.sparkSession, df.sparkSession.sparkContext._jvm
+    sums = [F.sum(F.xxhash64(F.lit(i), key, label).cast("decimal(38,0)")) for i in range(2)]
+    known = df.agg(F.count(F.lit(1)), *sums).first()
+    kinds = [df.schema[c].dataType.simpleString() for c in (key, label)]
+    name = hashlib.md5(repr((tuple(known), kinds, key, hold_fraction, test_of_hold, seed, out)).encode()).hexdigest()
+    folder = f"{shared_scratch(spark, 'splits')}/{name}"
+    found = jvm.org.apache.hadoop.fs.Path(f"{folder}/*/_SUCCESS")
+    done = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(found)
+    if done:
+        path = min(str(s.getPath().getParent()) for s in done)
+    else:
+        path = f"{folder}/{uuid.uuid4().hex}"
+        _split_table(df, label, key, hold_fraction, test_of_hold, seed, out).write.parquet(path)
+    return df.join(spark.read.parquet(path), key)
 
 
 def split_test_then_stratified_val(df: DataFrame, label: str, key: str, test_fraction: float = 0.2,

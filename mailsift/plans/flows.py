@@ -16,7 +16,7 @@
 
 Intermediate tables are handed off as Parquet in the session's shared
 checkpoint folder (cleaning runs once, lineage is cut, and a lost executor
-only recomputes from the last written table).
+only recomputes from the last written table); they are deleted when a flow ends.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from mailsift.operators import labels as L
 from mailsift.operators import models as M
 from mailsift.operators import profile as PR
 from mailsift.operators import shape as S
-from mailsift.session import handoff
+from mailsift.session import clears_handoffs, handoff
 from mailsift.sources import csv as C
 from mailsift.sources import json as J
 from mailsift.sources import sinks as K
@@ -57,6 +57,7 @@ def with_ids(df: DataFrame, vocab: DataFrame, max_len: int, *cols: str) -> DataF
     return handoff(df.select("_row_ord", *cols).join(ids, "_row_ord").withColumn("words", M.id_words("ids")), "ids")
 
 
+@clears_handoffs
 def train_and_evaluate(spark: SparkSession, train_path: str, test_path: str, out_dir: str,
                        epochs: int = 10, max_len: int = 256, min_freq: int = 2,
                        emb_dim: int = 128, remove_stopwords: bool = False, stem_tokens: bool = False,
@@ -100,6 +101,7 @@ def train_and_evaluate(spark: SparkSession, train_path: str, test_path: str, out
     return {"labels": label2id, "validation_accuracy": scores, "report": [r.asDict() for r in report]}
 
 
+@clears_handoffs
 def evaluate_csv(spark: SparkSession, path: str, model, id2label: Mapping[int, str] | None = None,
                  text_col: str = "body", report_path: str | None = None) -> dict:
     """E2: the evaluation upload -> nested report (EVL-9)."""
@@ -118,6 +120,7 @@ def evaluate_csv(spark: SparkSession, path: str, model, id2label: Mapping[int, s
     return rep
 
 
+@clears_handoffs
 def train_classical(spark: SparkSession, train_paths: Sequence[str], test_path: str, model: str = "tree",
                     seed: int = 42) -> dict:
     """E3: multi-file training set, first-wins dedup on the text, balanced
@@ -143,6 +146,7 @@ def train_classical(spark: SparkSession, train_paths: Sequence[str], test_path:
     return {"accuracy": acc, "report": [r.asDict() for r in report], "n_train": n_train}
 
 
+@clears_handoffs
 def evaluate_saved_model(spark: SparkSession, model_dir: str, test_path: str) -> dict:
     """SRC-1 -> LBL-2 -> PRJ-8 -> EVL-1 -> EVL-8 with the assets E1 saved
     (model, label map, run metadata)."""
@@ -166,6 +170,7 @@ def _numeric_label(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn(label, F.trim(F.col(label).cast("string")).try_cast("double").cast("int"))
 
 
+@clears_handoffs
 def explore(spark: SparkSession, path: str, text: str = "text", label: str = "label", k: int = 20,
             seed: int = 42) -> dict:
     """SRC-5, AGG-8, PRJ-5, AGG-1 ... AGG-6, SHP-5 as one report (every part
@@ -186,6 +191,7 @@ def explore(spark: SparkSession, path: str, text: str = "text", label: str = "la
             "split_sizes": sizes}
 
 
+@clears_handoffs
 def train_with_validation(spark: SparkSession, path: str, out_dir: str, test_size: float = 0.1, val_size: float = 0.1,
                           max_len: int = 256, epochs: int = 5, emb_dim: int = 128, seed: int = 42) -> dict:
     """The secondary training script: SRC-2 -> SHP-4 -> FEA-5 -> epochs on the

@@ -33,7 +33,7 @@ _EX = ("ex", "SELECT row_id, unnest(toks) AS tok, generate_subscripts(toks, 1) A
 
 def _split_mail(spark, d):
     m = tb.mail(spark, d)
-    return S.stratified_split(m, "y", "row_id", 0.2, 0.5, SEED)
+    return S.stored_split(m, "y", "row_id", 0.2, 0.5, SEED)
 
 
 def _vocab(spark, d):

@@ -26,7 +26,7 @@ from mailsift.sources import tables as tb
 
 
 def _split(spark, d):
-    sp = S.stratified_split(tb.mail(spark, d), "y", "row_id", 0.2, 0.5, SEED)
+    sp = S.stored_split(tb.mail(spark, d), "y", "row_id", 0.2, 0.5, SEED)
     sp = sp.withColumn("label", F.col("y").cast("double"))
     return sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test")
 
@@ -82,7 +82,7 @@ def mod2_first_split(spark, d):
 @register("mod3_embedding_mlp")
 def mod3_embedding_mlp(spark, d):
     """Trained on the ids of FEA-2 over the vocabulary of the train rows."""
-    rows = handoff(S.stratified_split(tb.mail(spark, d), "y", "row_id", 0.2, 0.5, SEED)
+    rows = handoff(S.stored_split(tb.mail(spark, d), "y", "row_id", 0.2, 0.5, SEED)
                    .select("row_id", "y", "split", X.clean_tokens("body", passes=2).alias("tokens")), "tokens")
     vocab = handoff(FE.build_vocab(rows.filter("split = 'train'"), "tokens", 2), "vocab")
     ids = FE.encode_ids(rows, "row_id", "tokens", vocab, 256)
@@ -96,7 +96,7 @@ def mod3_embedding_mlp(spark, d):
 @register("mod4_weighted_frozen_vectors")
 def mod4_weighted_frozen_vectors(spark, d):
     emb = tb.load(spark, d, "embeddings")
-    sp = S.stratified_split(emb.withColumnRenamed("vec_id", "row_id"), "label", "row_id", 0.2, 0.5, SEED)
+    sp = S.stored_split(emb.withColumnRenamed("vec_id", "row_id"), "label", "row_id", 0.2, 0.5, SEED)
     sp = M.with_vector(sp, "embedding").withColumn("y", F.col("label"))
     train = sp.filter(F.col("split") == "train")
     weights = L.class_weights(train, "label").select("label", "weight")

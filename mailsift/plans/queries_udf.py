@@ -21,7 +21,7 @@ from mailsift.operators import shape as S
 from mailsift.plans.queries_profile import _SPECIAL_SQL
 from mailsift.plans.queries_shape import SEED, split_ctes
 from mailsift.plans.registry import register
-from mailsift.session import handoff, shared_scratch
+from mailsift.session import shared_scratch
 from mailsift.sources import tables as tb
 
 
@@ -79,7 +79,7 @@ def centroid_scores(spark, d):
     """Nearest-centroid model: centroids fitted by Spark on the train split
     of ``embeddings``, test rows scored through the external-scorer hook."""
     emb = tb.load(spark, d, "embeddings").withColumnRenamed("vec_id", "row_id")
-    sp = S.stratified_split(emb, "label", "row_id", 0.2, 0.5, SEED)
+    sp = S.stored_split(emb, "label", "row_id", 0.2, 0.5, SEED)
     labels, cents = M.fit_centroids(sp.filter(F.col("split") == "train"), "label", "embedding")
     scorer = M.external_scorer(M.centroid_predict_fn(cents), T.ArrayType(T.DoubleType()), batch_size=64,
                                input_tensor_shapes=[[len(cents[0])]])
@@ -104,7 +104,7 @@ def udf4_scorer_by_path(spark, d):
     """UDF-4 with the model chosen by its folder: the centroids of the train split are
     saved with their manifest and loaded by the workers from there."""
     emb = tb.load(spark, d, "embeddings").withColumnRenamed("vec_id", "row_id")
-    sp = handoff(S.stratified_split(emb, "label", "row_id", 0.2, 0.5, SEED), "split")
+    sp = S.stored_split(emb, "label", "row_id", 0.2, 0.5, SEED)
     labels, cents = M.fit_centroids(sp.filter(F.col("split") == "train"), "label", "embedding")
     folder = f"{shared_scratch(spark, 'scorers')}/{uuid.uuid4().hex}"
     SC.save_scorer(spark, folder, SC.CENTROIDS, SC.centroid_payload(cents), ["embedding"], [[len(cents[0])]])

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -88,11 +92,52 @@ def handoff(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: it is computed once,
     its lineage is cut, and its size is known to the planner."""
     spark = df.sparkSession
-    path = f"{shared_scratch(spark, 'handoff')}/{name}-{uuid.uuid4().hex}"
+    path = handoff_path(spark, "handoff", name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scopes = threading.local()
+
+
+def handoff_path(spark: SparkSession, folder: str, name: str) -> str:
+    """A new path for a hand-off table, noted in the innermost open scope."""
+    path = f"{shared_scratch(spark, folder)}/{name}-{uuid.uuid4().hex}"
+    if getattr(_scopes, "open", None):
+        _scopes.open[-1].append(path)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def handoff_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete, when the block ends or fails, the hand-off tables that this thread
+    wrote in it. A frame that reads one must be written or collected by then;
+    a path taken off the yielded list is kept."""
+    made: list[str] = []
+    _scopes.open = [*getattr(_scopes, "open", []), made]
+    try:
+        yield made
+    finally:
+        _scopes.open = _scopes.open[:-1]
+        for path in made:
+            delete_path(spark, path)
+
+
+def clears_handoffs(flow: Callable) -> Callable:
+    """A flow (session first) whose result holds no lazy frame: its hand-off
+    tables are deleted when it returns."""
+    @functools.wraps(flow)
+    def run(spark: SparkSession, *args, **kwargs):
+        with handoff_scope(spark):
+            return flow(spark, *args, **kwargs)
+    return run
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of a local
     session that did not start from the package's folder.

@@ -1,6 +1,8 @@
 """Row-set shaping (SHP-*): the original split test, ratios, determinism
 across partition counts, disjoint cover, balance, first-wins dedup."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +181,40 @@ def test_dedup_does_not_group_by_the_text(spark):
     assert sorted(map(str, out.collect())) == sorted(map(str, df.where("ord IN (1, 3, 5)").collect()))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_stored_split_is_drawn_once_and_follows_the_rows(spark, monkeypatch):
+    drawn = []
+    table = S._split_table
+    monkeypatch.setattr(S, "_split_table", lambda *a: drawn.append(1) or table(*a))
+    df = _frame(spark, [0] * 300 + [1] * 100)
+    exp = sorted(map(tuple, S.stratified_split(df, "label", "row_id", 0.2, 0.5, 7).select("row_id", "split").collect()))
+    drawn.clear()
+    for again in (df, df.repartition(7), df.withColumn("more", F.rand())):
+        got = S.stored_split(again, "label", "row_id", 0.2, 0.5, 7)
+        assert set(again.columns) | {"split"} == set(got.columns)
+        assert sorted(map(tuple, got.select("row_id", "split").collect())) == exp
+    assert len(drawn) == 1
+    changed = df.withColumn("label", F.expr("IF(row_id = 5, 1 - label, label)"))
+    for other in (S.stored_split(changed, "label", "row_id", 0.2, 0.5, 7), S.stored_split(df, "label", "row_id", 0.2, 0.5, 8),
+                  S.stored_split(df.limit(0), "label", "row_id", 0.2, 0.5, 7)):
+        assert other.count() in (0, 400)
+    assert len(drawn) == 4
+
+
+def test_handoff_scope_deletes_what_it_wrote(spark):
+    from mailsift import session
+
+    def made_by(df):
+        return df.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+
+    outer = session.handoff(spark.range(3), "outer")
+    with pytest.raises(KeyError), session.handoff_scope(spark) as made:
+        inner, kept = session.handoff(spark.range(4), "inner"), session.handoff(spark.range(5), "kept")
+        made.pop()
+        with session.handoff_scope(spark):
+            nested = session.handoff(spark.range(6), "nested")
+            gone = [made_by(inner), made_by(nested)]
+        raise KeyError
+    assert outer.count() == 3 and kept.count() == 5
+    assert not any(os.path.exists(p) for p in gone) and os.path.exists(made_by(kept))
