@@ -32,7 +32,6 @@ leaves and no root. Other columns of the input are not read.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 from hashlib import sha256
@@ -45,7 +44,7 @@ from pyspark.sql import types as T
 
 from mailsift.llm.tables import drop_handoff, handoff
 from mailsift.operators.shape import fresh_index
-from mailsift.session import shared_scratch
+from mailsift.session import handoff_path
 
 K = 10
 _NODES = "t string, n long, level int, i long, digest string, top boolean"
@@ -78,7 +77,7 @@ class Forest:
     def __init__(self, rows: DataFrame, order: list[str]):
         """``rows``: columns t, digest and others; ``order``: columns that order a tree's leaves."""
         spark = rows.sparkSession
-        indexed = fresh_index(rows, ["t", *order, "digest"], f"{shared_scratch(spark, 'llm')}/leaves-{uuid.uuid4().hex}", out="at")
+        indexed = fresh_index(rows, ["t", *order, "digest"], handoff_path(spark, "llm", "leaves"), out="at")
         self.sizes = handoff(indexed.groupBy("t").agg(F.min("at").alias("first"), F.count("*").alias("n")), "trees")
         self.leaves = indexed.join(self.sizes, "t").withColumn("i", F.col("at") - F.col("first")).drop("at", "first")
         most = self.sizes.agg(F.max("n")).first()[0] or 0

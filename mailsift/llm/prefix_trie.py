@@ -34,7 +34,6 @@ left out; an empty table has no node, not even a root. Prefixes compare by
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,7 +42,7 @@ from pyspark.sql import functions as F
 
 from mailsift.llm.tables import drop_handoff, handoff
 from mailsift.operators.shape import fresh_index
-from mailsift.session import shared_scratch
+from mailsift.session import handoff_path
 
 BLOCK = 1 << 14
 PIECE = 1 << 14
@@ -72,7 +71,7 @@ def rebuilt(conversations: DataFrame, base: Column | None = None, shared: Column
     rows = conversations.where("conv_id IS NOT NULL").select(
         F.col("conv_id").cast("long").alias("c"), "turn", turn_digest(role, text).alias("digest"),
         F.size(F.regexp_extract_all(text, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))).cast("long").alias("words"))
-    placed = fresh_index(rows, ["c", "turn", "digest"], f"{shared_scratch(spark, 'llm')}/turns-{uuid.uuid4().hex}", out="at")
+    placed = fresh_index(rows, ["c", "turn", "digest"], handoff_path(spark, "llm", "turns"), out="at")
     convs = placed.groupBy("c").agg(F.min("at").alias("first"))
     id_of = lambda column: F.lit(0) if column is None else column
     convs = handoff(convs.withColumnRenamed("c", "conv_id").select(
@@ -146,7 +145,7 @@ def ends(whole: DataFrame, key: list[str]) -> DataFrame:
     """Of each sequence the SHA-256 of its conversations' ids, ascending and
     comma-joined. Ids are ranked by one range sort, joined to texts of at most
     PIECE ids, and the texts of a sequence stream through one hash."""
-    path = f"{shared_scratch(whole.sparkSession, 'llm')}/ends-{uuid.uuid4().hex}"
+    path = handoff_path(whole.sparkSession, "llm", "ends")
     ranked = fresh_index(whole.select(*key, "c"), [*key, "c"], path, out="at")
     ids = F.transform(F.sort_array(F.collect_list("c")), lambda c: c.cast("string"))
     pieces = ranked.groupBy(*key, F.expr(f"at div {PIECE}").alias("piece")).agg(F.array_join(ids, ",").alias("ids"))

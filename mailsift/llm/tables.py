@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from mailsift.session import shared_scratch
+from mailsift.session import delete_path, handoff_path
 
 
 def handoff(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder (``spark.checkpoint.dir``) and read it
     back: its lineage is cut, a lost executor costs nothing but a re-read, and
     the rows are computed once however often they are used."""
-    path = f"{shared_scratch(df.sparkSession, 'llm')}/{name}-{uuid.uuid4().hex}"
+    path = handoff_path(df.sparkSession, "llm", name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._llm_path = path
@@ -22,10 +20,7 @@ def handoff(df: DataFrame, name: str) -> DataFrame:
 
 def drop_handoff(df: DataFrame) -> None:
     """Delete a hand-off table that its maker no longer reads."""
-    spark: SparkSession = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._llm_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete_path(df.sparkSession, df._llm_path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
