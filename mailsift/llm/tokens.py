@@ -26,7 +26,7 @@ UNIT = 128
 ENTRY = 190
 _SPACES = r"\s\x1c-\x1f\x85᠎​﻿"
 #: A space next to white space (of any tokenizer's notion) is no place to cut.
-_UNSAFE = re.compile(f"[{_SPACES}] | [{_SPACES}]")
+_UNSAFE = re.compile(f" (?:(?=[{_SPACES}])|(?<=[{_SPACES}] ))")
 _CUT = re.compile(f"(?<=[^{_SPACES}]) (?=[^{_SPACES}])")
 
 
