@@ -45,10 +45,15 @@ _NON_WORD = re.compile(r"\W+")
 
 def tokenize_batch(batch: pd.DataFrame) -> pd.DataFrame:
     """A batched tokenize function: the text column is replaced by its token
-    count and its number of distinct tokens."""
-    toks = batch["text"].fillna("").str.lower().map(lambda t: [w for w in _NON_WORD.split(t) if w])
-    return pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": toks.map(len).astype("int64"),
-                         "n_distinct": toks.map(lambda w: len(set(w))).astype("int64")})
+    count and its number of distinct tokens. The tokens of one text are held at
+    a time."""
+    def counts(text: str | None) -> tuple[int, int]:
+        toks = [w for w in _NON_WORD.split((text or "").lower()) if w]
+        return len(toks), len(set(toks))
+
+    found = [counts(t) for t in batch["text"].astype(object).where(batch["text"].notna(), None)]
+    return pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": pd.Series([n for n, _ in found], batch.index, "int64"),
+                         "n_distinct": pd.Series([n for _, n in found], batch.index, "int64")})
 
 
 @register("udf2_batched_map",

@@ -150,3 +150,24 @@ def test_for_fit_keeps_rows_and_sizes_partitions_by_bytes(spark):
         made = M.for_fit(spark.range(0, n, numPartitions=16).selectExpr("id", "id % 7 AS y"))
         assert made.columns == ["id", "y"] and made.count() == n
         assert made.agg({"id": "sum"}).first()[0] == n * (n - 1) // 2
+
+
+def test_batch_map_hands_on_small_frames(spark):
+    """However many rows an Arrow batch has, a user's function gets at most
+    FRAME_BYTES of them (or one row), every row once and in order."""
+    import pandas as pd
+
+    from mailsift.functions import hooks as H
+    from mailsift.plans.queries_udf import tokenize_batch
+
+    sizes = [5_000_000, 10, 12_000_000, 3_000_000, 4_000_000, 2_000_000, 0]
+    batch = pd.DataFrame({"id": range(8), "text": ["x" * n for n in sizes] + [None]})
+    frames = list(H._frames(batch))
+    assert [list(f["id"]) for f in frames] == [[0, 1], [2], [3, 4], [5, 6, 7]]
+    assert all(list(f.index) == list(range(len(f))) for f in frames)
+    assert [len(f) for f in H._frames(batch.iloc[:0])] == [0]
+    rows = spark.createDataFrame([(i, "a b a" * 400_000) for i in range(12)], "id long, text string").coalesce(1)
+    got = H.batch_map(rows, lambda b: pd.DataFrame({"id": b["id"], "n": len(b)}), "id long, n long").collect()
+    assert sorted(r.id for r in got) == list(range(12)) and max(r.n for r in got) <= H.FRAME_BYTES // 2_000_000
+    found = tokenize_batch(pd.DataFrame({"doc_id": [1, 2, 3], "text": ["A b, a_1 É-b", None, ""]}))
+    assert found.values.tolist() == [[1, 5, 4], [2, 0, 0], [3, 0, 0]]
