@@ -41,7 +41,7 @@ HXXP = "(?iu)hx{2}p"
 # Case-insensitivity is scoped to the words: whitespace has no case, and a
 # case-folding test of every whitespace-class position costs ~20 %.
 DOT_OBFUSCATION = r"\[\.\]|\((?iu:dot)\)|" + WS + "+(?iu:dot)" + WS + "+"
-AT_OBFUSCATION = r"\[@\]|" + WS + "+(?iu:at)" + WS + "+"
+AT_WORD = WS + "+(?iu:at)" + WS + "+"
 # CLN-5: reply / forward markers (multi-line, case-insensitive).
 REPLY_SPLITTERS = [
     r"^>+ .*",
@@ -52,12 +52,14 @@ REPLY_SPLITTERS = [
     r"^Subject:" + WS + ".*$",
 ]
 REPLY_SPLITTER = "(?iumd)(?:" + "|".join(REPLY_SPLITTERS) + ")"
+# What every marker begins with, under the same flags.
+REPLY_HINT = "(?iumd)^(?:>|On |--|From:|Sent:|Subject:)"
 OUTER_WS = r"\A" + WS + "+|" + WS + r"+\z"
 # CLN-6a..e: masks, applied in this order.
 # A URL starts with "h" or "w" (word characters): the leading boundary is
 # "no word character before".
 URL = "(?iud)(?<!" + W + ")((?:https?://|www\\.)" + NWS + "+)" + B
-URL_HINT = r"(?i)://|www\."
+URL_HINT = ["://", "www."]
 EMAIL = B + "[" + W_CLASS + ".+-]+@[" + W_CLASS + "-]+(?:\\.[" + W_CLASS + "-]+)+" + B
 MONEY = (
     "(?iud)(?:(?<=" + WS + ")|^)"
@@ -74,11 +76,15 @@ PHONE = (
     + r"\p{Nd}{2,4}" + B
 )
 # A number starts and ends with a digit (a word character), so its boundaries
-# are "no word character before" / "no word character after".
-NUMBER = "(?<!" + W + r")\p{Nd}+(?:[.,]\p{Nd}+)?(?!" + W + ")"
-EMAIL_HINT = "@"
-MONEY_HINT = r"[\$£€]|(?i:usd|aud|eur|gbp)"
-HXXP_HINT = r"(?i)hxxp"
+# are "no word character before" / "no word character after"; the look-ahead
+# rejects other positions before the (costlier) look-behind.
+NUMBER = r"(?=\p{Nd})(?<!" + W + r")\p{Nd}+(?:[.,]\p{Nd}+)?(?!" + W + ")"
+# What a match must hold, in lower case (only ASCII letters have these lower cases).
+EMAIL_HINT = ["@"]
+MONEY_HINT = ["$", "£", "€", "usd", "aud", "eur", "gbp"]
+HXXP_HINT = ["hxxp"]
+DOT_HINT = ["[.]", "dot"]
+DIGIT = r"\p{Nd}"
 MASKS = [
     (URL, " <url> "),
     (EMAIL, " <email> "),

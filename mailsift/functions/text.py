@@ -8,6 +8,7 @@ Every function takes and returns a ``Column`` so it composes inside one
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,23 +48,27 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _guarded(col, hint_regex: str | None, literal: str | None, pattern: str, repl: str) -> Column:
-    """``regexp_replace`` run only on values that can match (a cheap
-    necessary condition first); the value is bound once."""
-    def body(v):
-        cond = v.contains(literal) if literal else v.rlike(hint_regex)
-        return F.when(cond, F.regexp_replace(v, pattern, repl)).otherwise(v)
-    return _let(_c(col), body)
+def _holds(v: Column, words: Sequence[str]) -> Column:
+    """Whether ``v`` holds one of the lower-case ASCII ``words`` in any case. A search
+    for plain bytes: a regex that may begin at any character costs many times that."""
+    low = F.lower(v)
+    return reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+
+
+def _guarded(col, words: Sequence[str], pattern: str, repl: str) -> Column:
+    """``regexp_replace`` run only on values that can match (they hold one of
+    ``words``); the value is bound once."""
+    return _let(_c(col), lambda v: F.when(_holds(v, words), F.regexp_replace(v, pattern, repl)).otherwise(v))
 
 
 def replace_br(col) -> Column:
     """CLN-3b: ``<br>`` variants become a newline."""
-    return _guarded(col, None, "<", P.BR_TAG, "\n")
+    return _guarded(col, ["<"], P.BR_TAG, "\n")
 
 
 def strip_tags(col) -> Column:
     """CLN-3c: any ``<...>`` becomes a space."""
-    return _guarded(col, None, "<", P.ANY_TAG, " ")
+    return _guarded(col, ["<"], P.ANY_TAG, " ")
 
 
 def strip_html(col, decode: bool = False) -> Column:
@@ -74,9 +79,16 @@ def strip_html(col, decode: bool = False) -> Column:
 
 def deobfuscate(col) -> Column:
     """CLN-4: hxxp -> http; [.] (dot) ' dot ' -> '.'; [@] ' at ' -> '@'."""
-    c = _guarded(col, P.HXXP_HINT, None, P.HXXP, "http")
-    c = F.regexp_replace(c, P.DOT_OBFUSCATION, ".")
-    return F.regexp_replace(c, P.AT_OBFUSCATION, "@")
+    c = _guarded(col, P.HXXP_HINT, P.HXXP, "http")
+    c = _guarded(c, P.DOT_HINT, P.DOT_OBFUSCATION, ".")
+    # "@" in place of "[@]" neither makes nor breaks a word between blanks.
+    return F.regexp_replace(F.replace(c, F.lit("[@]"), F.lit("@")), P.AT_WORD, "@")
+
+
+def _deobfuscate_cleaned(c: Column) -> Column:
+    """CLN-4 on cleaner output, which holds lower-case words and single spaces."""
+    c = _guarded(c, P.HXXP_HINT, P.HXXP, "http")
+    return F.replace(F.replace(c, F.lit(" dot "), F.lit(".")), F.lit(" at "), F.lit("@"))
 
 
 def strip_outer_ws(col) -> Column:
@@ -87,20 +99,23 @@ def strip_outer_ws(col) -> Column:
 def cut_reply(col) -> Column:
     """CLN-5: keep the text before the first reply/forward marker, stripped.
     Without a marker ``split`` returns the whole text as its only part."""
-    return _let(F.split(_c(col), P.REPLY_SPLITTER, 2),
-                lambda parts: F.when(F.size(parts) == 2, strip_outer_ws(parts[0])).otherwise(parts[0]))
+    def cut(v):
+        first = _let(F.split(v, P.REPLY_SPLITTER, 2),
+                     lambda parts: F.when(F.size(parts) == 2, strip_outer_ws(parts[0])).otherwise(parts[0]))
+        return F.when(v.rlike(P.REPLY_HINT), first).otherwise(v)
+    return _let(_c(col), cut)
 
 
 def mask_url(col) -> Column:
-    return _guarded(col, P.URL_HINT, None, P.URL, " <url> ")
+    return _guarded(col, P.URL_HINT, P.URL, " <url> ")
 
 
 def mask_email(col) -> Column:
-    return _guarded(col, None, P.EMAIL_HINT, P.EMAIL, " <email> ")
+    return _guarded(col, P.EMAIL_HINT, P.EMAIL, " <email> ")
 
 
 def mask_money(col) -> Column:
-    return _guarded(col, P.MONEY_HINT, None, P.MONEY, " <money> ")
+    return _guarded(col, P.MONEY_HINT, P.MONEY, " <money> ")
 
 
 def mask_phone(col) -> Column:
@@ -112,8 +127,9 @@ def mask_number(col) -> Column:
 
 
 def mask_all(col) -> Column:
-    """CLN-6a..e in order: url, email, money, phone, number."""
-    return mask_number(mask_phone(mask_money(mask_email(mask_url(col)))))
+    """CLN-6a..e in order: url, email, money, phone, number (the last three need a digit)."""
+    return _let(mask_email(mask_url(col)),
+                lambda v: F.when(v.rlike(P.DIGIT), mask_number(mask_phone(mask_money(v)))).otherwise(v))
 
 
 def cap_repeats(col) -> Column:
@@ -187,9 +203,10 @@ def _one_pass(c: Column, *, remove_stopwords: bool, stem: bool, drop_long_tokens
         c = normalize_unicode_html(c)
     if markup_steps:
         c = strip_tags(replace_br(c))
-    c = deobfuscate(c)
-    if markup_steps:
+        c = deobfuscate(c)
         c = cut_reply(c)
+    else:
+        c = _deobfuscate_cleaned(c)
     c = mask_all(c)
     c = cap_repeats(c)
     toks = word_tokens(c)
@@ -217,11 +234,21 @@ def clean_text(col, *, remove_stopwords: bool = False, stem: bool = False,
     c = _one_pass(c, remove_stopwords=remove_stopwords, stem=stem,
                   drop_long_tokens=drop_long_tokens, unicode_step=normalize)
     for _ in range(passes - 1):
-        c = _one_pass(c, remove_stopwords=False, stem=False,
-                      drop_long_tokens=P.DROP_LONG_TOKENS, unicode_step=False, markup_steps=False)
+        if 0 < drop_long_tokens <= P.DROP_LONG_TOKENS:
+            c = _let(c, _clean_again)
+        else:
+            c = _one_pass(c, remove_stopwords=False, stem=False,
+                          drop_long_tokens=P.DROP_LONG_TOKENS, unicode_step=False, markup_steps=False)
     return c
 
 
+def _clean_again(v: Column) -> Column:
+    """A later pass over cleaner output without long tokens: where the steps before
+    the tokens change nothing, the tokens are those that ``v`` is joined of."""
+    steps = cap_repeats(mask_all(_deobfuscate_cleaned(v)))
+    return _let(steps, lambda c: F.when(c == v, v).otherwise(join_tokens(drop_long(word_tokens(c)))))
+
+
 def clean_tokens(col, **opts) -> Column:
     """Tokens of the cleaned text (the cleaner's output split on spaces)."""
     return F.filter(F.split(clean_text(col, **opts), " "), lambda t: t != "")

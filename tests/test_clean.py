@@ -212,3 +212,42 @@ def test_stop_words_equal_spark_ml(spark):
     from pyspark.ml.feature import StopWordsRemover
 
     assert list(P.english_stopwords()) == list(StopWordsRemover.loadDefaultStopWords("english"))
+
+
+def test_guards_and_second_pass_change_nothing(spark):
+    """Steps that run only where they can match, and the second pass that stops early,
+    against the same patterns run on every value."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from mailsift.functions import patterns as P
+    from mailsift.functions import text as X
+
+    rnd = random.Random(5)
+    bits = ["[@]", "[.]", "(DoT)", " dot ", " At ", " AT ", "at at", "On x wrote:", "\n> q", "\nSent: b", "\n--Original Message--", "$ 5", "7 usd", "9USD", "8 uſd",
+            "12.5", "\U0001d7d9", "٣", "K", "İ", "WWW.a.b", "hXXp://c", "a@b.c", "+1 22 333 44", "aaA", "...", "x", " ", "\n", "a" * 31, "3", "<br>", "&amp;", "_"]
+    texts = ["", " at ", "a dot b at c", "one two", "aaA bb"] + ["".join(rnd.choice(bits) + rnd.choice(["", " ", "\n"]) for _ in range(rnd.randrange(1, 14))) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+
+    def plain(c, first):
+        ws, w = P.WS, P.W
+        if first:
+            c = F.regexp_replace(F.regexp_replace(X.normalize_unicode_html(c), P.BR_TAG, "\n"), P.ANY_TAG, " ")
+        c = F.regexp_replace(c, P.HXXP, "http")
+        c = F.regexp_replace(F.regexp_replace(c, P.DOT_OBFUSCATION, "."), r"\[@\]|" + ws + "+(?iu:at)" + ws + "+", "@")
+        if first:
+            parts = F.split(c, P.REPLY_SPLITTER, 2)
+            c = F.when(F.size(parts) == 2, X.strip_outer_ws(parts[0])).otherwise(parts[0])
+        c = F.when(c.rlike(r"(?i)://|www\."), F.regexp_replace(c, P.URL, " <url> ")).otherwise(c)
+        c = F.regexp_replace(c, P.EMAIL, " <email> ")
+        c = F.when(c.rlike(r"[\$£€]|(?i:usd|aud|eur|gbp)"), F.regexp_replace(c, P.MONEY, " <money> ")).otherwise(c)
+        c = F.regexp_replace(F.regexp_replace(c, P.PHONE, " <phone> "), "(?<!" + w + r")\p{Nd}+(?:[.,]\p{Nd}+)?(?!" + w + ")", " <number> ")
+        return X.join_tokens(X.drop_long(X.word_tokens(X.cap_repeats(c))))
+
+    got = df.select("t", plain(F.col("t"), True).alias("want"), X.clean_text("t").alias("once"), X.clean_text("t", passes=2).alias("twice"))
+    rows = got.select("*", plain(F.col("want"), False).alias("again")).collect()
+    assert len(rows) == len(texts)
+    assert [r.t for r in rows if r.once != r.want] == []
+    assert [r.t for r in rows if r.twice != r.again] == []
+    assert any(r.twice != r.once for r in rows)
