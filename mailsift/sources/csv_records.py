@@ -190,14 +190,15 @@ def read_records(spark: SparkSession, path: str | list[str], encoding: str) -> t
     ranges = ranges.withColumn("inside", F.coalesce("last.to", F.lit(False)) != since)
     begins = F.when(F.col("inside"), F.col("begins_in")).otherwise(F.col("begins_out"))
     ranges = ranges.withColumn("begins", begins).withColumn("first", F.coalesce(F.sum("begins").over(before), F.lit(0)))
-    found = ranges.select("file", "start", "inside", "first", "head").collect()  # one row a range, as Spark's own plan of the scan
+    ranges = ranges.withColumn("open", F.when(F.col("inside"), F.col("ends_in")).otherwise(F.col("ends_out")))
+    found = ranges.select("file", "start", "inside", "open", "first", "head").collect()  # one row a range, as Spark's own plan of the scan
 
     numbers = {f: i for i, f in enumerate(sorted({r["file"] for r in found}))}
     heads = {r["file"]: r["head"] for r in found if r["start"] == 0}
     crlf = {f: head.split(b"\n", 1)[0].endswith(b"\r") for f, head in heads.items()}
     known = spark.sparkContext.broadcast({(r["file"], r["start"]): (r["inside"], r["first"], numbers[r["file"]], crlf[r["file"]]) for r in found})
     out = lines.mapInArrow(_cut(known, codec, False), _RECORDS)
-    if any(r["inside"] for r in found):
+    if any(r["inside"] or r["open"] for r in found):  # open at a file's end: a quote that is never closed
         cut = lines.mapInArrow(_cut(known, codec, True), _RECORDS)
         text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "text"))), lambda s: s["text"]), "\n")
         joined = cut.groupBy("file", "file_no", "record").agg(text.alias("text"))
